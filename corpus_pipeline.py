@@ -6,17 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import _store, token_ids
+from lodestone.llm import _store, decontamination, mixing, near_dup, quality, token_ids
 from lodestone.llm.queries import tokenizer_path
 from lodestone.tables import table
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return quality.kept(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dup.kept(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontamination.kept(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: a row for each document and pass that takes words of it."""
+    return mixing.mixed(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-id files of all that is left, read back."""
+    """Token-id files of the mix, read back."""
     return token_ids.write_and_read(docs, tokenizer_path())
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("tokens", tokens)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_duplicates),
+    ("benchmark passages", benchmark_passages),
+    ("mixing", mixture),
+    ("token ids", tokens),
+]
 
 #: SQL can't express the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -26,5 +52,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = _store.staged(stage(spark, docs, sf_dir), name)
+        docs = _store.staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -70,10 +70,10 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray
             s = np.sort(grown[a : b - size + 1])
             out.append(s[np.append(True, s[1:] != s[:-1])])
         elif b > a:
-            x = _SINGLE + _U(b - a)
+            x = np.array([int(_SINGLE) + b - a], _U)
             for v in h[a:b]:
-                x = _bytes.mix(np.array([x * _STEP + v], _U))[0]
-            out.append(np.array([x], _U))
+                x = _bytes.mix(x * _STEP + v)
+            out.append(x)
         else:
             out.append(np.zeros(0, _U))
     return out
