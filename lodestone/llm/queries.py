@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, mixing, near_dup, quality, sql, token_ids
+from lodestone.llm import decontamination, mixing, near_dup, quality, repeats, sql, token_ids
 from lodestone.tables import table
 
 
@@ -29,6 +29,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.amounts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.judged(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_near_dup": op4_near_dup,
         "op5_mixing": op5_mixing,
+        "op7_repeats": op7_repeats,
         "op9_decontamination": op9_decontamination,
         "op10_token_ids": op10_token_ids,
     }

@@ -54,3 +54,20 @@ def targets(sizes: dict, weights=(5, 2, 1), volume=1.5, cap=2) -> dict:
         if not above:
             return {s: float(cap * sizes[s]) if s in full else share[s] for s in order}
         full |= above
+
+
+def repeats(texts: list[str | None], length: int) -> list[tuple[int, int, int, str]]:
+    """(n_bytes, n_removed, n_spans, sha256 of what stays) of each text."""
+    import hashlib
+
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[k : k + length] for b in raw for k in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if seen[b[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        spans = len(re.findall(rb"\x01+", bytes(gone)))
+        out.append((len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return out
