@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, mixing, near_dup, quality, repeats, sql, token_ids
+from lodestone.llm import decontamination, mixing, near_dup, quality, repeats, secrets, sharding, sql, token_ids, url_rules
 from lodestone.tables import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.with_totals(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -29,10 +33,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.amounts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.judged(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -44,14 +56,17 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sharding": op2_sharding,
         "op3_quality_rules": op3_quality_rules,
         "op4_near_dup": op4_near_dup,
         "op5_mixing": op5_mixing,
+        "op6_secrets": op6_secrets,
         "op7_repeats": op7_repeats,
+        "op8_url_rules": op8_url_rules,
         "op9_decontamination": op9_decontamination,
         "op10_token_ids": op10_token_ids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": sql.quality_rules()}
+    return {"op2_sharding": sql.sharding(), "op3_quality_rules": sql.quality_rules(), "op8_url_rules": sql.url_rules()}

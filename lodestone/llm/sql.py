@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from lodestone.llm import quality
+from lodestone.llm import sharding as sharding_op
+from lodestone.llm import url_rules as url_rules_op
 
 
 def _list(values) -> str:
@@ -48,3 +50,35 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
     AND (coalesce(dw, 0) > {limits.word_distance} OR coalesce(dc, 0) > {limits.joint[0]} AND coalesce(dw, 0) > {limits.joint[1]})) AS kept
 FROM based b LEFT JOIN far USING (r)
 """
+
+
+def sharding(params: sharding_op.Params = sharding_op.PARAMS) -> str:
+    bits, limit = sharding_op.BITS, params.limit
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, {bits // 4}))::BIGINT AS h FROM documents),
+levels AS (SELECT r, h, bytes, k, h >> ({bits} - k) AS prefix FROM d, unnest(range(0, {bits + 1})) AS u(k)),
+split AS (SELECT k, prefix FROM levels GROUP BY ALL HAVING sum(bytes) > {limit} AND min(h) < max(h)),
+depths AS (SELECT r, count(*) AS depth FROM levels JOIN split USING (k, prefix) GROUP BY r),
+b AS (SELECT d.*, coalesce(depth, 0)::INT AS depth, substr(lpad(bin(h), {bits}, '0'), 1, coalesce(depth, 0)::INT) AS bits FROM d LEFT JOIN depths USING (r)),
+p AS (SELECT *, sum(bytes) OVER w > {limit} AND min(h) OVER w = max(h) OVER w AND count(*) OVER w > 1 AS cut,
+    row_number() OVER (PARTITION BY h ORDER BY doc_id) AS n FROM b WINDOW w AS (PARTITION BY bits)),
+s AS (SELECT doc_id, bytes AS n_bytes, depth, CASE WHEN cut THEN bits || '.' || ((n - 1) // greatest({limit} // greatest(bytes, 1), 1))::VARCHAR ELSE bits END AS shard FROM p)
+SELECT *, (sum(n_bytes) OVER (PARTITION BY shard))::BIGINT AS shard_bytes FROM s
+"""
+
+
+def url_rules() -> str:
+    hosts = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_rules_op.HOST_RULES)
+    patterns = ", ".join(f"({k}, '{p.verdict}', '{p.expression}')" for k, p in enumerate(url_rules_op.PATTERNS))
+    return f"""
+WITH hosts(verdict, h, p) AS (VALUES {hosts}), patterns(k, verdict, e) AS (VALUES {patterns}),
+u AS (SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url FROM pages),
+c AS (SELECT *, instr(url, '://') AS p0, regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)([^?#]*)', ['a', 'b']) AS x FROM u),
+s AS (SELECT r, page_id, url, CASE WHEN p0 > 0 THEN lower(x['a']) ELSE '' END AS host, CASE WHEN p0 > 0 THEN x['b'] ELSE '' END AS path FROM c),
+fits AS (SELECT r, arg_max(v.h || v.p, length(v.h || v.p)) AS rule, arg_max(verdict, length(v.h || v.p)) AS verdict
+  FROM s JOIN hosts v ON (s.host = v.h OR ends_with(s.host, '.' || v.h)) AND starts_with(s.path, v.p) GROUP BY r),
+more AS (SELECT r, arg_min(verdict, k) AS verdict FROM s JOIN patterns ON regexp_matches(lower(url), e) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(fits.verdict, more.verdict, 'allow') AS verdict
+FROM s LEFT JOIN fits USING (r) LEFT JOIN more USING (r)
+"""

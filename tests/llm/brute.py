@@ -71,3 +71,23 @@ def repeats(texts: list[str | None], length: int) -> list[tuple[int, int, int, s
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         out.append((len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
     return out
+
+
+def has_run(doc: str | None, items: list[str], n: int = 13) -> bool:
+    """Whether n words in a row of an item, or half of its words, stand in the document, letter case and edges aside."""
+
+    def core(text):
+        out = [re.sub(r"^[^a-z0-9\x80-\U0010ffff]+|[^a-z0-9\x80-\U0010ffff]+$", "", w) for w in WORD.findall(fold(text or ""))]
+        return [w for w in out if w]
+
+    words = core(doc)
+    grams = {k: {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} for k in {n, 5, 6, 7, 8}}
+    for item in items:
+        w = core(item)
+        if len(w) >= 8 and any(tuple(w[i : i + n]) in grams[n] for i in range(len(w) - n + 1)):
+            return True
+        size = min(8, len(w))
+        hit = {j for i in range(len(w) - size + 1) if size >= 5 and tuple(w[i : i + size]) in grams[size] for j in range(i, i + size)}
+        if hit and 2 * len(hit) >= len(w):
+            return True
+    return False
