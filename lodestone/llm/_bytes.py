@@ -112,3 +112,23 @@ def words(data: np.ndarray, at: np.ndarray, fold: bool = False) -> tuple[np.ndar
     """64-bit hashes of all words (fold: as if A-Z were a-z), and for each row the index of its first word."""
     starts, ends, first = word_spans(data, at)
     return span_hash(prefix_hash(data, FOLDED if fold else CODES), starts, ends), first
+
+
+ALNUM = np.ones(256, bool)  # bytes of other scripts count as letters
+ALNUM[:128] = [chr(c).isalnum() for c in range(128)]
+
+
+def core_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words without the punctuation at their edges, A-Z folded, and each row's first one.
+
+    Words of punctuation alone are left out.
+    """
+    start, end, first = word_spans(data, at)
+    solid = ALNUM[data]
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(solid, out=before[1:])
+    has = before[end] > before[start]
+    where = np.flatnonzero(solid)
+    low, high = where[before[start[has]]], where[before[end[has]] - 1] + 1
+    kept = np.append(0, np.cumsum(has))
+    return span_hash(prefix_hash(data, FOLDED), low, high), kept[first]

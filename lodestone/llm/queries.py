@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, mixing, near_dup, quality, repeats, secrets, sharding, sql, token_ids, url_rules
+from lodestone.llm import decontamination, mixing, near_dup, quality, repeats, secrets, sharding, sql, token_ids, toxicity, url_rules
 from lodestone.tables import table
 
 
@@ -16,6 +16,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_totals(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_sharding": op2_sharding,
         "op3_quality_rules": op3_quality_rules,
         "op4_near_dup": op4_near_dup,

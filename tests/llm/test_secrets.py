@@ -50,12 +50,12 @@ def test_spans_against_expressions(monkeypatch, segment):
 
 
 def test_automaton_ends_where_expressions_do():
-    rules = ["ab+c", "(a|bc){2}x?d", "[0-9]{3,}", r"q\x20*[:=]"]
+    rules = ["ab+c", "(xab|yab)d", "(a|bc){2}x?d", "[0-9]{3,}", r"q\x20*[:=]"]
     automaton = Automaton(rules)
     assert len(automaton.next) < automaton.subsets
     r = random.Random(1)
     for _ in range(500):
-        text = "".join(r.choice("abcdx019q :=") for _ in range(r.randint(0, 12))).encode()
+        text = "".join(r.choice("abcdxy019q :=") for _ in range(r.randint(0, 12))).encode()
         data = np.frombuffer(text, np.uint8)
         (got,) = automaton.scan(data, np.array([0]), np.array([len(data)]))
         assert got == sum((re.search(e.encode(), text) is not None) << k for k, e in enumerate(rules)), text
