@@ -204,18 +204,18 @@ def judged(docs: DataFrame, benchmark: DataFrame, params: Params = PARAMS, block
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for low, high, data, at in _bytes.slices(batch.column(text_at)):
-                    piece = batch.slice(low, high - low)
-                    found = index.value.judge(*template(data, at), params)
-                    if found:
-                        columns = [c.to_pylist() for c in piece.columns[n:]]
+                    piece, kinds = batch.slice(low, high - low), (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                    columns = list(piece.columns[n:])
+                    if found := index.value.judge(*template(data, at), params):
+                        lists = [c.to_pylist() for c in columns]
                         for k, (w, i, r, s) in found.items():
-                            columns[0][k] += w
-                            columns[1][k] += i
-                            columns[2][k] = max(columns[2][k], r)
-                            columns[3][k] = max(columns[3][k], s)
-                        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-                        piece = pa.RecordBatch.from_arrays([*piece.columns[:n], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], piece.schema.names)
-                    yield piece
+                            lists[0][k] += w
+                            lists[1][k] += i
+                            lists[2][k] = max(lists[2][k], r)
+                            lists[3][k] = max(lists[3][k], s)
+                        columns = [pa.array(c, k) for c, k in zip(lists, kinds, strict=True)]
+                    # by names alone, so that all batches have one schema
+                    yield pa.RecordBatch.from_arrays([*piece.columns[:n], *columns], piece.schema.names)
 
         out = out.mapInArrow(run, schema)
     return out.withColumn("contaminated", (F.col("longest_run") >= params.run) | (F.col("item_share") >= params.share))
