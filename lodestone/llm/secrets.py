@@ -132,6 +132,8 @@ def digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, n_base: int = N_BA
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
     out = scanned(docs, rules, n_base)
-    counts = [F.size(F.filter("spans", lambda x, kind=kind: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in base]
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     own = F.filter("spans", lambda x: x["kind"].isin(base))
-    return out.select("doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *map(count, base), F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
