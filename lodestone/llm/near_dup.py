@@ -11,12 +11,15 @@ Nothing here grows with the square of a group:
 1. Equal sets become one class, kept by the smallest doc_id; only classes are banded.
 2. In each bucket every class is compared with the smallest one (the star). Links that hold on full sets give
    components.
-3. Only in buckets that still hold several components, every class outside the largest component is compared
-   with those of other components there. Pairs inside a component can't change the result. So no link between
-   components is lost, whatever the size of a bucket.
-
-Pairs whose signatures agree in fewer than half of the values (similarity 0.8 is eight standard deviations
-above) or whose set sizes exclude the threshold are not read in full; all others are compared on whole sets.
+3. In buckets that still hold several components, every class outside the largest is compared with a few classes
+   drawn from that. Copies that drifted from the smallest class mostly link here.
+4. Where a bucket holds several components even then, every class outside the largest is compared with all of
+   other components there. In small buckets those pairs are rows; in large ones blocks of either side are
+   compared at once, so that near misses of a large group don't become rows. Pairs inside a component can't change
+   the result. So no link between components is lost, whatever the size of a bucket.
+
+Pairs whose signatures agree in fewer than 60% of the values (similarity 0.8 is more than five standard
+deviations above) or whose set sizes exclude the threshold are not read in full; all others are compared on whole sets.
 Shingles are compared by 64-bit hashes.
 
 Rows: a null text is empty. A row without a doc_id is linked with nothing and kept. Rows that share a doc_id
@@ -52,6 +55,11 @@ class Params:
 
 
 PARAMS = Params()
+#: Turns in which what isn't yet in a bucket's largest component is compared with HUBS members of that.
+TURNS, HUBS = 1, 8
+#: Members up to which a bucket's pairs are rows, and members of a block of larger buckets.
+FEW, BLOCK = 12, 1024
+
 _U = np.uint64
 _SINGLE = _U(0x5851F42D4C957F2D)
 _STEP = _U(0xD6E8FEB86659FD93)
@@ -139,7 +147,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, params: Params) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(_bytes.text_buffers(batch.column(k))[0], np.uint8).reshape(len(batch), -1) for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) * 2 >= params.values))
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) * 5 >= params.values * 3))
 
     u, v = (classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "uv")
     sized = pairs.join(u, "u").join(v, "v").where(100 * F.least("n_u", "n_v") >= params.percent * F.greatest("n_u", "n_v"))
@@ -172,6 +180,91 @@ def _linked(pairs: DataFrame, packed: DataFrame, params: Params) -> DataFrame:
     return pairs.join(v, "v").join(u, "u").select("u", "v", "packed_u", "packed_v").mapInArrow(run, "u long, v long").distinct()
 
 
+def _open(placed: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The members of buckets with several components; and those outside the largest, as a, with some hubs from inside it."""
+    several = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
+    opened = _store.staged(placed.join(several, ["band", "key"], "left_semi"), "near-dup-open")
+    drawn = [F.min_by("rep", F.xxhash64("rep", F.lit(turn * HUBS + k))).alias(f"h{k}") for k in range(HUBS)]
+    sizes = opened.groupBy("band", "key", "component").agg(F.count("*").alias("n"), *drawn)
+    hubs = F.struct("component", F.array(*[f"h{k}" for k in range(HUBS)]).alias("hubs"))
+    largest = sizes.groupBy("band", "key").agg(F.max_by(hubs, F.struct("n", "component")).alias("largest"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    outside = opened.join(largest, ["band", "key"]).where("component <> largest.component")
+    return opened, outside.select("band", "key", F.col("rep").alias("a"), F.col("component").alias("component_a"), "largest.hubs", "total", (F.col("total") - F.col("most")).alias("n_outside"))
+
+
+def _block_links(opened: DataFrame, outside: DataFrame, packed: DataFrame, params: Params) -> DataFrame:
+    """Links of what is outside the largest components of large buckets with all other components there.
+
+    Either side of a bucket is dealt into blocks, and each pair of blocks is compared by one product of two matrices over
+    the shingles that both hold. No pair becomes a row: of the links between two components one is returned.
+    """
+
+    def blocks(n):
+        return F.ceil(n / BLOCK).cast("int")
+
+    def numbers(n):
+        return F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+
+    sizes = outside.groupBy("band", "key").agg(F.first("total").alias("total"), F.first("n_outside").alias("n_outside"))
+    place = F.xxhash64(F.lit(3), "rep")
+    left = outside.select("band", "key", F.col("a").alias("rep"), F.col("component_a").alias("component"), "total", "n_outside")
+    left = left.select("band", "key", F.pmod(place, blocks(F.col("n_outside"))).cast("int").alias("x"), numbers(F.col("total")).alias("y"), F.lit(0).alias("side"), "rep", "component")
+    right = opened.join(sizes, ["band", "key"]).withColumn("y", F.pmod(place, blocks(F.col("total"))).cast("int"))
+    right = right.select("band", "key", numbers(F.col("n_outside")).alias("x"), "y", F.lit(1).alias("side"), "rep", "component")
+    rows = left.union(right).join(packed.withColumnRenamed("doc_id", "rep"), "rep").select("band", "key", "x", "y", "side", "rep", "component", "packed")
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        press = zstandard.ZstdDecompressor()
+        texts = pa.array([press.decompress(p) for p in rows.column("packed").to_pylist()], pa.binary())
+        sets = shingle_sets(*_bytes.text_buffers(texts), params.shingle)
+        side, rep, component = (rows.column(c).to_numpy() for c in ("side", "rep", "component"))
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        shared = _intersections([sets[k] for k in a], [sets[k] for k in b])
+        n = np.array([len(s) for s in sets])
+        found = (100 * shared >= params.percent * (n[a][:, None] + n[b][None, :] - shared)) & (component[a][:, None] != component[b][None, :])
+        i, j = np.nonzero(found)
+        _, one = np.unique(np.stack([component[a[i]], component[b[j]]]), axis=1, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(rep[a[i[one]]]), pa.array(rep[b[j[one]]])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now]).combine_chunks()
+            key = np.stack([held.column(c).to_numpy() for c in ("band", "key", "x", "y")])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                yield links(held.slice(low, high - low).combine_chunks())
+            held = held.slice(cuts[-1])  # its blocks may go on
+        if held is not None and len(held):
+            yield links(held.combine_chunks())
+
+    return rows.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y").mapInArrow(run, "u long, v long").distinct()
+
+
+def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of a with every set of b; sets are sorted."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not out.size:  # a block to which the hash dealt nothing
+        return out.astype(np.int64)
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    sides = []
+    for sets in (a, b):
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        own = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        sides.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[own], at[own]))
+    for low in range(0, len(both), 4096):
+        dense = []
+        for (row, at), n in zip(sides, (len(a), len(b)), strict=True):
+            m = np.zeros((n, min(4096, len(both) - low)), np.float32)
+            here = (at >= low) & (at < low + 4096)
+            m[row[here], at[here] - low] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return np.rint(out).astype(np.int64)
+
+
 def clusters(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept, one row a document."""
     sigs = _store.staged(signatures(docs, params), "near-dup-signatures")
@@ -182,26 +275,30 @@ def clusters(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
 
     rows = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = rows.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").drop("top")
+    # written, so that both sides of the join are plain exchanges, whose hot partitions Spark can split
+    buckets = _store.staged(buckets, "near-dup-buckets")
     members = _store.staged(rows.join(buckets, ["band", "key"]), "near-dup-members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     packed = _store.staged(_packed(_ids_and_texts(docs).join(wanted, "doc_id", "left_semi")), "near-dup-texts")
 
     star = members.where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
     links = _store.staged(_linked(_plausible(star, classes, params), packed, params), "near-dup-links")
+    for turn in range(TURNS + 1):
+        found = components(links)
+        placed = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        opened, outside = _open(_store.staged(placed, "near-dup-placed"), turn)
+        if turn < TURNS:
+            pairs = outside.select("a", F.explode(F.array_distinct("hubs")).alias("rep"))
+        else:
+            few = outside.where(F.col("total") <= FEW).select("band", "key", "a", "component_a")
+            pairs = few.join(opened, ["band", "key"]).where("component_a <> component and a <> hub and rep <> hub").select("a", "rep")
+        pairs = pairs.select(F.least("a", "rep").alias("u"), F.greatest("a", "rep").alias("v")).distinct()
+        more = _linked(_plausible(pairs, classes, params), packed, params)
+        if turn == TURNS:
+            more = more.union(_block_links(opened, outside.where(F.col("total") > FEW), packed, params))
+        links = _store.staged(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "near-dup-links")
     found = components(links)
 
-    # buckets that hold several components: what lies outside the largest against the others
-    placed = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = _store.staged(placed, "near-dup-placed")
-    several = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
-    opened = placed.join(several, ["band", "key"], "left_semi")
-    largest = opened.groupBy("band", "key", "component").count().groupBy("band", "key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    outside = opened.join(largest, ["band", "key"]).where("component <> largest").select("band", "key", F.col("rep").alias("a"), F.col("component").alias("component_a"))
-    across = outside.join(opened, ["band", "key"]).where("component_a <> component and a <> hub and rep <> hub")
-    pairs = across.select(F.least("a", "rep").alias("u"), F.greatest("a", "rep").alias("v")).distinct()
-    more = _store.staged(_linked(_plausible(pairs, classes, params), packed, params), "near-dup-links")
-    found = components(links.union(more))
-
     by_class = classes.select("f1", "f2", "n", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     by_class = by_class.select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("doc_id", "n", "f1", "f2").join(by_class, ["f1", "f2", "n"], "left")
