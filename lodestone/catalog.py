@@ -1,18 +1,616 @@
-"""All queries of the library and their oracles, by name."""
+"""All queries of the library and their DuckDB oracles, by name.
+
+The filings that the operators were made for are stood in for by the tables at hand: parts are filings with titles,
+order lines their documents and facts, orders dated versions, documents text chunks, pages filings in HTML.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import normalize as N
+from lodestone.functions import text as T
+from lodestone.operators import answers, calculation, chunking, history, quality, search, tables
+from lodestone.plans import question
+from lodestone.sources import files, markup
+from lodestone.tables import table
 
 #: Key of the query that ``entry`` runs.
 FLAGSHIP = "q01_metadata_search_topk"
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+# ---- search ---------------------------------------------------------------------------------------------------------
+
+PART = search.FilingColumns(key="p_partkey", title="p_name", category="p_type", subtype="p_brand")
+TITLES = search.MetadataCondition(title_terms=("red", "small widget"), limit=20)
+_TITLE_SCORE = """(CASE WHEN lower(p_name) = 'red' THEN 3.0 WHEN instr(lower(p_name), 'red') = 1 THEN 2.0 WHEN instr(lower(p_name), 'red') > 0 THEN 1.0 ELSE 0.0 END
+  + CASE WHEN lower(p_name) = 'small widget' THEN 3.0 WHEN instr(lower(p_name), 'small widget') = 1 THEN 2.0 WHEN instr(lower(p_name), 'small widget') > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE"""
+_TITLE_FILTER = "(instr(lower(p_name), 'red') > 0 OR instr(lower(p_name), 'small widget') > 0)"
+
+
+@query(f"""SELECT p_partkey, p_name, title_score, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS document_count
+FROM (SELECT p_partkey, p_name, p_size, {_TITLE_SCORE} AS title_score FROM part WHERE {_TITLE_FILTER} ORDER BY title_score DESC, p_size DESC, p_partkey LIMIT 20)""")
+def q01_metadata_search_topk(spark: SparkSession, d: str) -> DataFrame:
+    out = search.metadata_search(table(spark, d, "part"), table(spark, d, "lineitem").select("l_partkey"), "l_partkey", PART, TITLES, (F.col("p_size").desc(), F.col("p_partkey")))
+    return out.select("p_partkey", "p_name", "title_score", "document_count")
+
+
+@query(f"SELECT count(*) AS candidate_count, least(count(*), 20) AS returned, count(*) > 20 AS truncated FROM part WHERE {_TITLE_FILTER}")
+def q02_metadata_candidate_count_truncated(spark: SparkSession, d: str) -> DataFrame:
+    return search.candidate_summary(search.metadata_candidates(table(spark, d, "part"), PART, TITLES), TITLES.limit)
+
+
+@query(f"""SELECT p_partkey, title_score FROM (SELECT p_partkey, p_size, {_TITLE_SCORE} AS title_score FROM part WHERE p_type IN (SELECT min(p_type) FROM part)
+ORDER BY title_score DESC, p_size DESC, p_partkey LIMIT 50)""")
+def q03_title_as_filter_vs_ranking(spark: SparkSession, d: str) -> DataFrame:
+    parts = table(spark, d, "part")
+    kind = parts.agg(F.min("p_type")).first()[0]
+    cond = search.MetadataCondition(title_terms=TITLES.title_terms, categories=(kind,), limit=50)
+    out = search.metadata_candidates(parts, PART, cond).withColumn("title_score", search.title_score("p_name", cond.title_terms))
+    return out.orderBy(F.desc("title_score"), F.desc("p_size"), "p_partkey").limit(cond.limit).select("p_partkey", "title_score")
+
+
+ORDERS = search.FilingColumns(key="o_orderkey", title="o_orderpriority", filed_on="o_orderdate", correction="is_correction")
+
+
+def _filings(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").withColumn("is_correction", F.col("o_orderstatus") == "P")
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS filed_on FROM orders WHERE o_orderdate >= DATE '1995-01-01' AND o_orderdate <= DATE '1995-06-30'")
+def q04_asof_upper_bound(spark: SparkSession, d: str) -> DataFrame:
+    cond = search.MetadataCondition(date_from=date(1995, 1, 1), date_to=date(1996, 1, 1), as_of=date(1995, 6, 30))
+    return search.metadata_candidates(_filings(spark, d), ORDERS, cond).select("o_orderkey", F.col("o_orderdate").cast("date").cast("string").alias("filed_on"))
+
+
+@query("""SELECT 'ALL' AS filter, count(*) AS n FROM orders UNION ALL SELECT 'CORRECTION_ONLY', count(*) FILTER (WHERE o_orderstatus = 'P') FROM orders
+UNION ALL SELECT 'ORIGINAL_ONLY', count(*) FILTER (WHERE o_orderstatus <> 'P') FROM orders""")
+def q05_correction_filter_counts(spark: SparkSession, d: str) -> DataFrame:
+    tests = {f: search.metadata_predicate(ORDERS, search.MetadataCondition(correction=f)) for f in ("ALL", "CORRECTION_ONLY", "ORIGINAL_ONLY")}
+    counts = _filings(spark, d).agg(*[F.count_if(t).alias(f) for f, t in tests.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(f).alias("filter"), F.col(f).alias("n")) for f in tests])).alias("x")).select("x.*")
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (WHERE l_linestatus = 'F') AS completed, count(*) FILTER (WHERE o_orderstatus = 'P') AS corrections,
+count(*) FILTER (WHERE l_returnflag = 'R') AS returned FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def q06_scope_stats(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    tests = {"completed": F.col("l_linestatus") == "F", "corrections": F.col("o_orderstatus") == "P", "returned": F.col("l_returnflag") == "R"}
+    return search.scope_stats(lines, table(spark, d, "orders"), "o_orderkey", tests)
+
+
+CHUNK = search.ChunkColumns(report="lang", section="source", body="text", search="search_text")
+WORDS = search.ChunkCondition(keywords=("then", "the and", "pour", "en"), section_hints=("src1", "src7"), fact_hints=frozenset({"then"}), top_k=20)
+
+
+def _chunk_sql(where: str = "") -> str:
+    def has(column: str, term: str) -> str:
+        return f"instr(lower({column}), '{term}') > 0"
+
+    def when(test: str, value: str) -> str:
+        return f"CASE WHEN {test} THEN {value} ELSE 0.0 END"
+
+    ks, hs = WORDS.keywords, WORDS.section_hints
+    parts = {
+        "report_name_score": " + ".join(when(has("lang", k), "0.25") for k in ks),
+        "body_score": " + ".join(f"CASE WHEN {has('text', k)} THEN 1.0 WHEN {has('search_text', k)} THEN 0.5 ELSE 0.0 END" for k in ks),
+        "phrase_bonus": " + ".join(when(has("text", k), "0.5") for k in ks if " " in k),
+        "fact_hint_bonus": " + ".join(when(has("search_text", k), "0.75") for k in ks if k in WORDS.fact_hints),
+        "section_path_score": " + ".join(when(has("source", h), "1.5") for h in hs),
+    }
+    found = " OR ".join([*(has("search_text", k) for k in ks), *(has("source", h) for h in hs)])
+    return f"""SELECT doc_id, {", ".join(f"({v})::DOUBLE AS {k}" for k, v in parts.items())}, ({" + ".join(f"({v})" for v in parts.values())})::DOUBLE AS final_score
+FROM (SELECT *, '[' || source || ']' || chr(10) || text AS search_text FROM documents) WHERE {found}"""
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").withColumn("search_text", T.search_text(F.col("source"), F.array().cast("array<string>"), F.col("text")))
+
+
+@query(f"{_chunk_sql()} ORDER BY final_score DESC, doc_id LIMIT 20")
+def q07_chunk_search_scored(spark: SparkSession, d: str) -> DataFrame:
+    parts = ["report_name_score", "body_score", "phrase_bonus", "fact_hint_bonus", "section_path_score", "final_score"]
+    return search.chunk_search(_chunks(spark, d), CHUNK, WORDS, (F.col("doc_id"),)).select("doc_id", *parts)
+
+
+@query("""SELECT doc_id, array_to_string(list_filter(['worthless', 'idiot', 'token', 'src3'], lambda t: instr(lower(text || chr(10) || source), t) > 0), ',') AS terms FROM documents""")
+def q08_matched_terms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.array_join(search.matched_terms(("text", "source"), ("worthless", "idiot", "token", "src3")), ",").alias("terms"))
+
+
+@query("""SELECT l_orderkey AS o_orderkey, string_agg(l_partkey::VARCHAR, ' | ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS labels, count(*)::INT AS n_sources
+FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100) GROUP BY l_orderkey""")
+def q09_chunk_sources_collected(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey").join(hits, "o_orderkey", "left_semi")
+    return search.ordered_sources(hits, lines, "o_orderkey", "l_partkey", ["l_linenumber", "l_partkey", "l_suppkey"], [])
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def q10_missing_keys_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    return search.missing_keys(table(spark, d, "customer").select("c_custkey"), "c_custkey", table(spark, d, "orders"), "o_custkey")
+
+
+@query("""SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linestatus = 'F'
+AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1%'))""")
+def q11_verified_semijoin_chain(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem")
+    facts = table(spark, d, "orders").select("o_orderkey", ((F.col("o_orderstatus") == "F") & F.col("o_orderpriority").startswith("1")).alias("verified"), F.array("o_orderkey").alias("evidence_ids"))
+    proof = lines.select(F.col("l_orderkey").alias("evidence_id"), F.col("l_partkey").alias("document_id"), (F.col("l_linestatus") == "F").alias("verified"))
+    _, _, kept = answers.verified_chain(facts, proof, table(spark, d, "part").select(F.col("p_partkey").alias("document_id")))
+    return kept.withColumnRenamed("document_id", "p_partkey")
+
+
+# ---- stored state and expectations ----------------------------------------------------------------------------------
+
+
+@query("""SELECT action, count(*) AS n FROM (SELECT CASE WHEN a.o_orderkey IS NULL THEN 'created' WHEN b.o_orderkey IS NULL THEN 'missing'
+WHEN a.o_totalprice IS NOT DISTINCT FROM b.o_totalprice AND a.o_orderstatus IS NOT DISTINCT FROM b.o_orderstatus THEN 'unchanged' ELSE 'updated' END AS action
+FROM (SELECT * FROM orders WHERE o_orderkey % 10 <> 0) a FULL JOIN (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus
+FROM orders WHERE o_orderkey % 11 <> 0) b ON a.o_orderkey = b.o_orderkey) GROUP BY action""")
+def q12_upsert_diff(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    stored = rows.where("o_orderkey % 10 <> 0")
+    incoming = rows.where("o_orderkey % 11 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")))
+    return quality.upsert_actions(stored, incoming, "o_orderkey").groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'nations' AS metric, count(*) AS actual, 25::BIGINT AS expected, count(*) = 25 AS ok FROM nation UNION ALL SELECT 'regions', count(DISTINCT n_regionkey), 5, count(DISTINCT n_regionkey) = 5 FROM nation
+UNION ALL SELECT 'named', count(*) FILTER (WHERE length(trim(n_name)) > 0), 25, count(*) FILTER (WHERE length(trim(n_name)) > 0) = 25 FROM nation""")
+def q13_reconciliation_expectations(spark: SparkSession, d: str) -> DataFrame:
+    measured = table(spark, d, "nation").agg(F.count("*").alias("nations"), F.countDistinct("n_regionkey").alias("regions"), F.count_if(quality.not_blank("n_name")).alias("named"))
+    return quality.reconciled(measured, {"nations": 25, "regions": 5, "named": 25})
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def q13b_duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
+    return quality.duplicates(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("""SELECT 'price' AS rule, count(*) FILTER (WHERE NOT o_totalprice > 0) AS n FROM orders UNION ALL
+SELECT 'priority', count(*) FILTER (WHERE NOT regexp_matches(o_orderpriority, '^[1-5]-[A-Z]')) FROM orders UNION ALL SELECT 'status', count(*) FILTER (WHERE NOT o_orderstatus IN ('F', 'O')) FROM orders""")
+def q13c_violations(spark: SparkSession, d: str) -> DataFrame:
+    checks = {"price": F.col("o_totalprice") > 0, "priority": F.col("o_orderpriority").rlike("^[1-5]-[A-Z]"), "status": F.col("o_orderstatus").isin("F", "O")}
+    return quality.violations(table(spark, d, "orders"), checks)
+
+
+@query("""SELECT count(*) AS n, (sum(o_totalprice::DECIMAL(18,2)) * 100)::BIGINT AS total_cents FROM (SELECT o_totalprice FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)
+UNION ALL SELECT o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) AND o_orderstatus = 'F')""")
+def q13d_replace_by_document(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    theirs = table(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    marked = orders.join(theirs, "o_custkey", "left_semi")
+    # every customer that has any order of theirs is replaced
+    fresh = marked.where("o_orderstatus = 'F'")
+    left = orders.join(marked.select("o_custkey").distinct(), "o_custkey", "left_anti").unionByName(fresh)
+    return left.agg(F.count("*").alias("n"), (F.sum(F.col("o_totalprice").cast("decimal(18,2)")) * 100).cast("long").alias("total_cents"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'F' DESC, o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
+def q13e_keep_first_by_priority(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    return quality.keep_first(orders, "o_custkey", [F.col("o_orderstatus") != "F", -F.unix_micros(F.col("o_orderdate").cast("timestamp")), F.col("o_orderkey")]).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT l_linestatus, count(*) AS n, sum(l_linenumber)::BIGINT AS sum_l_linenumber FROM lineitem GROUP BY l_linestatus")
+def q13f_batch_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return quality.rollup(table(spark, d, "lineitem"), "l_linestatus", ["l_linenumber"])
+
+
+# ---- text -----------------------------------------------------------------------------------------------------------
+
+_PARAGRAPH = r"""array_to_string(list_filter(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)),
+lambda x: trim(regexp_replace(x, '[\p{Zs}\t\f\x0B]+', ' ', 'g'))), lambda x: x <> ''), chr(10))"""
+
+
+@query(f"SELECT doc_id, {_PARAGRAPH} AS body FROM documents")
+def q14_paragraph_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.paragraph(F.col("text")).alias("body"))
+
+
+@query(f"SELECT doc_id, '[' || source || ']' || chr(10) || '소제목: ' || lang || chr(10) || {_PARAGRAPH} AS search_text FROM documents WHERE trim({_PARAGRAPH}) <> ''")
+def q15_search_text_build(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").withColumn("body", T.paragraph(F.col("text"))).where("trim(body) <> ''")
+    return docs.select("doc_id", T.search_text(F.col("source"), F.array("lang", F.lit(" ")), F.col("body")).alias("search_text"))
+
+
+@query()
+def q16_sentence_pack_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.sentence_chunks(table(spark, d, "documents").select("doc_id", T.paragraph(F.col("text")).alias("text")))
+
+
+@query()
+def q16b_block_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.text_chunks(_blocks(spark, d).select("doc_id", "sequence_no", "block_type", "text")).drop("headings")
+
+
+@query("""SELECT event_id, (sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS segment FROM (SELECT *,
+CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS b FROM events)""")
+def q17_segment_ids(spark: SparkSession, d: str) -> DataFrame:
+    order = ["ts", "event_id"]
+    return history.segments(table(spark, d, "events"), "user_id", order, history.changed("event_type", "user_id", order)).select("event_id", "segment")
+
+
+@query("SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)::INT AS sequence_no FROM customer")
+def q17b_renumbered(spark: SparkSession, d: str) -> DataFrame:
+    return history.renumbered(table(spark, d, "customer"), "c_nationkey", ["c_acctbal", "c_custkey"]).select("c_custkey", "sequence_no")
+
+
+@query("""WITH RECURSIVE nodes AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS title FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation
+UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name FROM supplier), p AS (SELECT id, title AS path, 1 AS level FROM nodes WHERE parent IS NULL
+UNION ALL SELECT nodes.id, p.path || ' > ' || nodes.title, level + 1 FROM nodes JOIN p ON nodes.parent = p.id) SELECT id, path, level FROM p""")
+def q18_section_path_recursive(spark: SparkSession, d: str) -> DataFrame:
+    region = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("title"))
+    nation = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), "n_name")
+    supplier = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey"), "s_name")
+    return section_paths(region.union(nation).union(supplier), depth=4)
+
+
+def section_paths(nodes: DataFrame, depth: int, glue: str = " > ") -> DataFrame:
+    """id, path and level of a forest (id, parent, title) that is at most ``depth`` levels deep: a join for each level."""
+    level = nodes.where("parent is null").select("id", F.col("title").alias("path"), F.lit(1).alias("level"))
+    out = level
+    for k in range(2, depth + 1):
+        up = level.select(F.col("id").alias("parent"), F.col("path").alias("above"))
+        level = nodes.join(up, "parent").select("id", F.when(F.trim("title") == "", F.col("above")).otherwise(F.concat("above", F.lit(glue), "title")).alias("path"), F.lit(k).alias("level"))
+        out = out.union(level)
+    return out
+
+
+# ---- filings in HTML ------------------------------------------------------------------------------------------------
+
+TAGS = ("p", "h1", "a", "ul", "li", "nav", "script", "style", "footer")
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("source"))
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return markup.blocks(_pages(spark, d), "html")
+
+
+@query("SELECT page_id AS doc_id, " + ", ".join(rf"len(regexp_extract_all(lower(html), '<{t}[\s>/]')) AS n_{t}" for t in TAGS) + " FROM pages")
+def q19_html_tag_profile(spark: SparkSession, d: str) -> DataFrame:
+    return markup.html_profile(_pages(spark, d), TAGS)
+
+
+@query("""SELECT doc_id, (i - 1)::INT AS position, hrefs[i] AS href FROM (SELECT page_id AS doc_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS hrefs FROM pages), unnest(range(1, len(hrefs) + 1)) AS u(i)""")
+def q20_html_links(spark: SparkSession, d: str) -> DataFrame:
+    return markup.html_links(_pages(spark, d))
+
+
+@query()
+def q21_html_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d).drop("error")
+
+
+@query("""SELECT page_id AS doc_id, len(regexp_extract_all(lower(html), '<h[1-6][\\s>/]')) AS headings, true AS agrees FROM pages""")
+def q22_profile_vs_parse_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d)
+    counted = pages.select("doc_id", F.regexp_count(F.lower("source"), F.lit(r"<h[1-6][\s>/]")).cast("long").alias("headings"))
+    parsed = markup.tree_metrics(_blocks(spark, d)).select("doc_id", "n_heading")
+    return counted.join(parsed, "doc_id", "left").select("doc_id", "headings", (F.col("headings") == F.coalesce("n_heading", F.lit(0))).alias("agrees"))
+
+
+# ---- tables of filings, from rows in code ---------------------------------------------------------------------------
+
+
+def _cell(text: str, rows: int = 1, columns: int = 1, kind: str = "DATA", nested: list | None = None) -> dict:
+    return {"type": kind, "rowSpan": rows, "colSpan": columns, "text": text, "nestedTables": nested or []}
+
+
+TABLES = {
+    1: {"rows": [
+        {"cells": [_cell("1. 투자구분", columns=2, kind="HEADER"), _cell("신규시설투자")]},
+        {"cells": [_cell("2. 투자내역", rows=3, kind="HEADER"), _cell("투자금액(원)", kind="HEADER"), _cell("5,296,200,000,000")]},
+        {"cells": [_cell("자기자본(원)", kind="HEADER"), _cell("53,503,752,397,611")]},
+        {"cells": [_cell("자기자본대비(%)", kind="HEADER"), _cell("9.90")]},
+        {"cells": [_cell("3. 투자목적", columns=2, kind="HEADER"), _cell("생산능력 확대")]},
+        {"cells": [_cell("4. 투자기간", rows=2, kind="HEADER"), _cell("시작일", kind="HEADER"), _cell("2024-01-02")]},
+        {"cells": [_cell("종료일", kind="HEADER"), _cell("2026년 12월 31일")]},
+        {"cells": [_cell("5. 이사회결의일(결정일)", columns=2, kind="HEADER"), _cell("2023.12.20")]},
+    ]},
+    2: {"rows": [
+        {"cells": [_cell("정정항목", kind="HEADER"), _cell("정정전", kind="HEADER"), _cell("정정후", kind="HEADER")]},
+        {"cells": [_cell("2. 투자내역 - 투자금액(원)"), _cell("100"), _cell("120")]},
+        {"cells": [_cell("4. 투자기간 - 종료일"), _cell("2025-01-01"), _cell("2025-06-30")]},
+    ]},
+    3: {"rows": [{"cells": [_cell("a", rows=2), _cell("b", columns=2, nested=[{"rows": [{"cells": [_cell("inner")]}]}])]}, {"cells": [_cell("c"), _cell("d\ne")]}]},
+    4: {"rows": [{"cells": [_cell("x", rows=0)]}]},
+}
+
+
+def _tables(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, json.dumps(t, ensure_ascii=False)) for k, t in TABLES.items()], "table_id long, table_json string")
+
+
+@query("""SELECT * FROM (VALUES ('', 0, 0, 'a', true, false), ('', 0, 1, 'b', true, false), ('', 0, 2, '', false, false), ('', 1, 0, 'a', false, true), ('', 1, 1, 'c', true, false),
+('', 1, 2, 'd' || chr(10) || 'e', true, false), ('rows[0].cells[1].nestedTables[0].', 0, 0, 'inner', true, false)) AS t(path, row_index, column_index, text, is_origin, continues)""")
+def q23_grid_expand(spark: SparkSession, d: str) -> DataFrame:
+    return tables.grid(_tables(spark).where("table_id = 3")).select("path", "row_index", "column_index", "text", "is_origin", "continues")
+
+
+@query("""SELECT * FROM (VALUES ('', 1, 'a | b' || chr(10) || 'a | c | d / e', 0, 1), ('rows[0].cells[1].nestedTables[0].', 1, 'inner', 0, 0)) AS t(path, sequence_no, body, first_row, last_row)""")
+def q24_table_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table_chunks(tables.grid(_tables(spark).where("table_id = 3"))).drop("table_id")
+
+
+@query("""SELECT * FROM (VALUES ('facility.type', '신규시설투자', NULL), ('facility.amount', '5,296,200,000,000', '원'), ('facility.equity_amount', '53,503,752,397,611', '원'),
+('facility.equity_ratio', '9.90', '%'), ('facility.purpose', '생산능력 확대', NULL), ('facility.start_date', '2024-01-02', NULL), ('facility.end_date', '2026년 12월 31일', NULL),
+('facility.decision_date', '2023.12.20', NULL)) AS t(fact_key, raw_value, unit)""")
+def q25_evidence_extract(spark: SparkSession, d: str) -> DataFrame:
+    return tables.evidence(tables.grid(_tables(spark).where("table_id = 1"))).select("fact_key", "raw_value", "unit")
+
+
+@query("SELECT * FROM (VALUES ('amount', '100', '120'), ('end_date', '2025-01-01', '2025-06-30')) AS t(item, before, after)")
+def q26_correction_diff(spark: SparkSession, d: str) -> DataFrame:
+    return tables.corrections(tables.grid(_tables(spark).where("table_id = 2"))).select(N.correction_item(F.col("item")).alias("item"), "before", "after")
+
+
+# ---- typed values ---------------------------------------------------------------------------------------------------
+
+AMOUNTS = [("5,296,200,000,000원", None), ("1,200 백만원", None), ("3.5억원", "억원"), ("100", None), ("100", "천원"), ("7백만원", "억원"), ("약 백원", None), ("  ", "원"), (None, None), ("0원", None), ("12", "달러"), ("-3", "원")]
+DATES = ["2024-01-02", "2024.3.5", "2024년 12월 31일", "20240229", "2024-02-30", "soon", "", None, "2023.12.20."]
+RATIOS = [("9.90%", None), ("1,234.5", "%"), ("12", "퍼센트"), ("12", "배"), ("x", "%"), ("", None)]
+TYPES = ["신설", "증설 및 이전", "없음", "", None, "기존 설비의 개보수"]
+
+
+@query("""SELECT * FROM (VALUES (0, 'MAPPED', '5296200000000'), (1, 'MAPPED', '1200000000'), (2, 'MAPPED', '350000000'), (3, 'AMBIGUOUS', NULL), (4, 'MAPPED', '100000'), (5, 'AMBIGUOUS', NULL),
+(6, 'UNMAPPED', NULL), (7, 'MISSING', NULL), (8, 'MISSING', NULL), (9, 'MAPPED', '0'), (10, 'UNMAPPED', NULL), (11, 'MAPPED', '-3')) AS t(k, status, value)""")
+def q27_krw_normalize(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(AMOUNTS)], "k int, raw string, unit string")
+    return rows.select("k", N.krw_amount(F.col("raw"), F.col("unit")).alias("x")).select("k", "x.status", "x.value")
+
+
+@query("""SELECT * FROM (VALUES (0, 'MAPPED', '2024-01-02'), (1, 'MAPPED', '2024-03-05'), (2, 'MAPPED', '2024-12-31'), (3, 'MAPPED', '2024-02-29'), (4, 'UNMAPPED', NULL), (5, 'UNMAPPED', NULL),
+(6, 'MISSING', NULL), (7, 'MISSING', NULL), (8, 'MAPPED', '2023-12-20')) AS t(k, status, value)""")
+def q28_date_normalize(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame(list(enumerate(DATES)), "k int, raw string")
+    return rows.select("k", N.iso_date(F.col("raw")).alias("x")).select("k", "x.status", "x.value")
+
+
+@query("""SELECT * FROM (VALUES (0, 'MAPPED', 'NEW_CONSTRUCTION'), (1, 'AMBIGUOUS', NULL), (2, 'UNMAPPED', NULL), (3, 'MISSING', NULL), (4, 'MISSING', NULL), (5, 'MAPPED', 'RENOVATION')) AS t(k, status, value)""")
+def q29_type_code(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame(list(enumerate(TYPES)), "k int, raw string")
+    return rows.select("k", N.facility_type(F.col("raw")).alias("x")).select("k", "x.status", "x.value")
+
+
+@query("""SELECT * FROM (VALUES (0, 'MAPPED', '9.90'), (1, 'MAPPED', '1234.5'), (2, 'MAPPED', '12'), (3, 'AMBIGUOUS', NULL), (4, 'UNMAPPED', NULL), (5, 'MISSING', NULL)) AS t(k, status, value)""")
+def q29b_ratio_normalize(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(RATIOS)], "k int, raw string, unit string")
+    return rows.select("k", N.ratio(F.col("raw"), F.col("unit")).alias("x")).select("k", "x.status", "x.value")
+
+
+@query("SELECT 12000000::VARCHAR AS foreign_value, '1,312.5' AS told, '1312.5' AS fx_rate")
+def q29c_foreign_amount_note(spark: SparkSession, d: str) -> DataFrame:
+    note = "- 기타 사항 USD 5\n- 투자금액은 USD 12,000,000 이며 환율 1,312.5 KRW/USD 를 적용"
+    rows = spark.createDataFrame([(note,)], "note string").select(N.foreign_amount(F.col("note")).alias("x"))
+    return rows.select("x.foreign_value", F.lit("1,312.5").alias("told"), "x.fx_rate")
+
+
+# ---- calculations over facts ----------------------------------------------------------------------------------------
+
+_KEYS = ("amount", "equity", "ratio", "start", "end", "foreign", "rate")
+_UNITS = ("KRW", "KRW", "PERCENT", "ISO_DATE", "ISO_DATE", "USD", "KRW_PER_USD")
+FACTS_SQL = """facts AS (SELECT l_orderkey AS filing, ['amount', 'equity', 'ratio', 'start', 'end', 'foreign', 'rate'][l_linenumber] AS fact_key,
+CASE l_linenumber WHEN 1 THEN floor(l_extendedprice)::BIGINT::VARCHAR WHEN 2 THEN floor(l_extendedprice * 2)::BIGINT::VARCHAR WHEN 3 THEN l_quantity::INT::VARCHAR
+WHEN 4 THEN l_shipdate::DATE::VARCHAR WHEN 5 THEN l_shipdate::DATE::VARCHAR WHEN 6 THEN l_quantity::INT::VARCHAR ELSE floor(l_extendedprice / 100)::BIGINT::VARCHAR END AS raw_value,
+['KRW', 'KRW', 'PERCENT', 'ISO_DATE', 'ISO_DATE', 'USD', 'KRW_PER_USD'][l_linenumber] AS unit, l_tax < 0.075 AS verified FROM lineitem WHERE l_linenumber <= 7)"""
+
+
+def facts_of(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as facts: the line's number says which."""
+    n, q, p = F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string"), F.col("l_extendedprice")
+    raw = (
+        F.when(n == 1, F.floor(p).cast("string")).when(n == 2, F.floor(p * 2).cast("string")).when(n.isin(3, 6), q)
+        .when(n.isin(4, 5), F.col("l_shipdate").cast("date").cast("string")).otherwise(F.floor(p / 100).cast("string"))
+    )
+    none = F.lit(None).cast("date")
+    pick = [F.get(F.array(*map(F.lit, values)), n - 1) for values in (_KEYS, _UNITS)]
+    return table(spark, d, "lineitem").where("l_linenumber <= 7").select(F.col("l_orderkey").alias("filing"), pick[0].alias("fact_key"), raw.alias("raw_value"), pick[1].alias("unit"), (F.col("l_tax") < 0.075).alias("verified"), none.alias("period_start"), none.alias("period_end"))
+
+
+def _paired_sql(keys: tuple[str, ...], where: str = "true") -> str:
+    columns = ", ".join(f"""max(raw_value) FILTER (WHERE fact_key = '{k}') AS v_{k}, count(*) FILTER (WHERE fact_key = '{k}') AS {k}_n, coalesce(bool_and(verified) FILTER (WHERE fact_key = '{k}'), false) AS {k}_ok""" for k in keys)
+    return f"{FACTS_SQL}, p AS (SELECT filing, {columns} FROM facts WHERE fact_key IN ({', '.join(f'{chr(39)}{k}{chr(39)}' for k in keys)}) AND {where} GROUP BY filing)"
+
+
+def _guard_sql(*keys: str) -> str:
+    return f"""CASE WHEN {" OR ".join(f"{k}_n > 1" for k in keys)} THEN 'duplicate fact' WHEN {" OR ".join(f"{k}_n = 0" for k in keys)} THEN 'missing fact'
+WHEN {" OR ".join(f"NOT {k}_ok" for k in keys)} THEN 'unverified fact' END"""
+
+
+@query(f"""WITH {_paired_sql(("amount", "equity", "ratio"))}, g AS (SELECT *, {_guard_sql("amount", "equity")} AS reason, ratio_n = 1 AND ratio_ok AS usable,
+v_amount::HUGEINT AS a, v_equity::HUGEINT AS b FROM p), r AS (SELECT *, CASE WHEN reason IS NULL THEN (2 * a * (CASE WHEN usable THEN 100 ELSE 1000 END) + b) // (2 * b) END AS x FROM g)
+SELECT filing, CASE WHEN reason IS NOT NULL THEN 'NOT_CALCULABLE' WHEN NOT usable THEN 'NOT_COMPARABLE' WHEN x = v_ratio::HUGEINT THEN 'MATCH' ELSE 'MISMATCH' END AS verdict,
+CASE WHEN usable THEN x::VARCHAR ELSE (x // 10)::VARCHAR || '.' || (x % 10)::VARCHAR END AS display, reason FROM r""")
+def q30_fact_ratio_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return calculation.ratio(facts_of(spark, d), "filing", "amount", "equity", "ratio")
+
+
+@query(f"""WITH {_paired_sql(("foreign", "rate", "amount"))}, g AS (SELECT *, {_guard_sql("foreign", "rate", "amount")} AS reason FROM p), r AS (SELECT *,
+CASE WHEN reason IS NULL THEN v_foreign::HUGEINT * v_rate::HUGEINT END AS x FROM g)
+SELECT filing, CASE WHEN reason IS NOT NULL THEN 'NOT_CALCULABLE' WHEN x = v_amount::HUGEINT THEN 'MATCH' ELSE 'MISMATCH' END AS verdict, x::VARCHAR AS product, reason FROM r""")
+def q31_fact_product_check(spark: SparkSession, d: str) -> DataFrame:
+    return calculation.product(facts_of(spark, d), "filing", "foreign", "rate", "amount").withColumn("product", F.col("product").cast("string"))
+
+
+@query(f"""WITH {_paired_sql(("amount", "equity", "start", "end"), "((filing % 2 = 0) = (fact_key IN ('amount', 'equity')) OR filing % 9 = 0)")}, g AS (SELECT *, amount_n > 0 OR equity_n > 0 AS m, start_n > 0 OR end_n > 0 AS t FROM p),
+r AS (SELECT *, CASE WHEN m AND t THEN 'both kinds' WHEN m THEN ({_guard_sql("amount", "equity")}) ELSE ({_guard_sql("start", "end")}) END AS reason FROM g)
+SELECT filing, CASE WHEN reason IS NULL THEN 'NOT_COMPARABLE' ELSE 'NOT_CALCULABLE' END AS verdict, CASE WHEN reason IS NULL AND m THEN (v_equity::BIGINT - v_amount::BIGINT)::VARCHAR END AS amount_change,
+CASE WHEN reason IS NULL AND t THEN (v_end::DATE - v_start::DATE)::VARCHAR END AS days_change, reason FROM r""")
+def q32_difference_delay(spark: SparkSession, d: str) -> DataFrame:
+    money = F.col("fact_key").isin("amount", "equity")
+    facts = facts_of(spark, d).where(((F.col("filing") % 2 == 0) == money) | (F.col("filing") % 9 == 0))
+    out = calculation.difference(facts, "filing", ("amount", "equity"), ("start", "end"))
+    return out.withColumns({c: F.col(c).cast("string") for c in ("amount_change", "days_change")})
+
+
+@query(f"""WITH {_paired_sql(("start", "end"))}, g AS (SELECT *, coalesce({_guard_sql("start", "end")}, CASE WHEN v_end::DATE < v_start::DATE THEN 'end before start' END) AS reason FROM p)
+SELECT filing, CASE WHEN reason IS NULL THEN 'NOT_COMPARABLE' ELSE 'NOT_CALCULABLE' END AS verdict, CASE WHEN reason IS NULL THEN (v_end::DATE - v_start::DATE + 1)::VARCHAR END AS days, reason FROM g""")
+def q33_duration_days(spark: SparkSession, d: str) -> DataFrame:
+    return calculation.duration(facts_of(spark, d), "filing", "start", "end").withColumn("days", F.col("days").cast("string"))
+
+
+@query("SELECT o_custkey, round((max(o_totalprice) - min(o_totalprice)) / min(o_totalprice) * 100, 4) AS change_rate FROM orders GROUP BY o_custkey")
+def q34_change_rate(spark: SparkSession, d: str) -> DataFrame:
+    ends = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_totalprice").alias("a"), F.max("o_totalprice").alias("b"))
+    return ends.select("o_custkey", F.round(calculation.change_rate(F.col("a"), F.col("b")), 4).alias("change_rate"))
+
+
+@query(f"""WITH {FACTS_SQL}, s AS (SELECT filing, bool_and(verified) AS ok, sum(raw_value::BIGINT) AS t, count(*) AS n FROM facts WHERE fact_key = 'amount' GROUP BY filing)
+SELECT filing, CASE WHEN ok THEN t::VARCHAR END AS total, CASE WHEN ok THEN ((200 * t + n) // (2 * n))::VARCHAR END AS average_cents, CASE WHEN ok THEN 'NOT_COMPARABLE' ELSE 'NOT_CALCULABLE' END AS verdict FROM s""")
+def q35_sum_average(spark: SparkSession, d: str) -> DataFrame:
+    out = calculation.same_basis_totals(facts_of(spark, d), "filing", "amount", "KRW")
+    return out.select("filing", F.col("total").cast("string").alias("total"), (F.col("average") * 100).cast("long").cast("string").alias("average_cents"), "verdict")
+
+
+@query("SELECT p_partkey, round(p_size * 1000000.0 / 1000.0, 2)::DOUBLE AS in_thousands FROM part")
+def q36_unit_convert(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.round(calculation.converted(F.col("p_size").cast("double"), F.lit("백만원"), F.lit("천원")), 2).alias("in_thousands"))
+
+
+@query("SELECT o_custkey, round(100.0 * count(*) FILTER (WHERE o_orderstatus = 'O') / count(*), 6)::DOUBLE AS dilution FROM orders GROUP BY o_custkey")
+def q37_share_dilution(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") != "O").alias("a"), F.count_if(F.col("o_orderstatus") == "O").alias("b"))
+    return n.select("o_custkey", F.round(calculation.dilution(F.col("a").cast("double"), F.col("b").cast("double")), 6).alias("dilution"))
+
+
+# ---- versions over time ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT q.event_id, arg_max(v.value, (v.ts, v.event_id)) AS value_as_of FROM (SELECT * FROM events WHERE event_type = 'purchase') q
+LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON v.user_id = q.user_id AND v.ts <= q.ts GROUP BY q.event_id""")
+def q38_as_of_selection(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    out = history.as_of_join(events.where("event_type = 'purchase'"), events.where("event_type = 'view'"), "user_id", "ts", "ts", "event_id", "value")
+    return out.select("event_id", "value_as_of")
+
+
+@query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderdate <= DATE '1997-01-01') WHERE r = 1""")
+def q39_latest_as_of(spark: SparkSession, d: str) -> DataFrame:
+    return history.latest_as_of(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey", F.lit(date(1997, 1, 1))).select("o_custkey", "o_orderkey")
+
+
+@query("""SELECT event_id, row_number() OVER w::INT AS version, lag(value) OVER w AS previous, epoch_us(lead(ts) OVER w)::VARCHAR AS valid_to_us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def q40_full_history(spark: SparkSession, d: str) -> DataFrame:
+    out = history.full_history(table(spark, d, "events"), "user_id", "ts", "event_id", "value")
+    return out.select("event_id", "version", "previous", F.unix_micros(F.col("valid_to").cast("timestamp")).cast("string").alias("valid_to_us"))
+
+
+# ---- answers --------------------------------------------------------------------------------------------------------
+
+REQUIRED = ("amount", "equity", "start")
+_OUTCOME_SQL = f"""{FACTS_SQL}, c AS (SELECT filing, count(DISTINCT fact_key) FILTER (WHERE verified AND fact_key IN ('amount', 'equity', 'start')) AS n FROM facts GROUP BY filing)"""
+
+
+@query(f"WITH {_OUTCOME_SQL} SELECT filing, n::INT AS n_present, CASE n WHEN 0 THEN 'UNANSWERABLE' WHEN 3 THEN 'COMPLETED' ELSE 'PARTIAL' END AS outcome FROM c")
+def q41_answer_outcome(spark: SparkSession, d: str) -> DataFrame:
+    return answers.outcomes(facts_of(spark, d), "filing", REQUIRED)
+
+
+@query("""SELECT 'fact-filing' AS relation, count(DISTINCT l_orderkey) FILTER (WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')) AS n FROM lineitem
+UNION ALL SELECT 'filing-company', count(DISTINCT o_custkey) FILTER (WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) FROM orders""")
+def q42_reference_integrity(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    a = answers.dangling(table(spark, d, "lineitem"), "l_orderkey", orders.where("o_orderstatus <> 'P'"), "o_orderkey", "fact-filing")
+    return a.union(answers.dangling(orders, "o_custkey", table(spark, d, "customer").where("c_acctbal > 0"), "c_custkey", "filing-company"))
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_filter(['the', 'guarantee', 'pour la'], lambda p: instr(lower(text), p) > 0), '|') AS phrases FROM conversations
+WHERE instr(lower(text), 'the') > 0 OR instr(lower(text), 'guarantee') > 0 OR instr(lower(text), 'pour la') > 0""")
+def q43_forbidden_phrases(spark: SparkSession, d: str) -> DataFrame:
+    out = answers.forbidden(table(spark, d, "conversations"), "text", ("the", "guarantee", "pour la"))
+    return out.select("conv_id", "turn", F.array_join("phrases", "|").alias("phrases"))
+
+
+@query("SELECT * FROM (VALUES (1, 'ratio', '12.3'), (2, 'date', '2024-01-03')) AS t(id, kind, value)")
+def q44_answer_number_mentions(spark: SparkSession, d: str) -> DataFrame:
+    said = spark.createDataFrame([(1, "The ratio is 9.9% and not 12.3%, as of 2024-01-02."), (2, "On 2024.01.03 it was 9.90퍼센트."), (3, "No number here.")], "id int, text string")
+    known = spark.createDataFrame([(k, kind, v) for k in (1, 2, 3) for kind, v in (("ratio", "9.8987"), ("ratio", "9.90"), ("date", "2024-01-02"))], "id int, kind string, value string")
+    return answers.unsupported_mentions(said, "id", "text", known)
+
+
+@query(f"WITH {_OUTCOME_SQL} SELECT count(*) AS n_filings, count(*) FILTER (WHERE n = 3) AS n_ready, count(*) = count(*) FILTER (WHERE n = 3) AS ready FROM c")
+def q46_readiness(spark: SparkSession, d: str) -> DataFrame:
+    return answers.readiness(facts_of(spark, d), "filing", REQUIRED)
+
+
+@query("SELECT string_agg(format('[{}] receipt_no={} | report_name={}' || chr(10) || '{}', p_size, p_partkey, p_name, p_type), chr(10) ORDER BY p_size, p_partkey) AS retrieved_contexts, count(*) AS n_contexts FROM (SELECT * FROM part WHERE p_partkey <= 5)")
+def q49_response_text(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "part").where("p_partkey <= 5")
+    return answers.response(hits, "p_size", "p_partkey", "p_name", "p_type")
+
+
+@query(f"""WITH {FACTS_SQL} SELECT filing, count(*) AS n_facts FROM facts WHERE verified AND fact_key IN ('amount', 'equity', 'start')
+AND filing IN (SELECT o_orderkey FROM orders WHERE o_orderdate <= DATE '1996-06-30' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50) GROUP BY filing""")
+def q45_plan_execution(spark: SparkSession, d: str) -> DataFrame:
+    """A plan of a search and a lookup bound to it, compiled into one lineage."""
+
+    def find(given: dict, _: dict[str, DataFrame]) -> DataFrame:
+        cond = search.MetadataCondition(as_of=date.fromisoformat(given["asOf"]), limit=given["limit"])
+        rows = search.metadata_candidates(_filings(spark, d), ORDERS, cond)
+        return rows.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(cond.limit).select(F.col("o_orderkey").alias("filing"))
+
+    def look_up(given: dict, before: dict[str, DataFrame]) -> DataFrame:
+        facts = facts_of(spark, d).where(F.col("verified") & F.col("fact_key").isin(*given["factKeys"]))
+        return facts.join(before[given["disclosureIdsFrom"]], "filing", "left_semi")
+
+    steps = (question.Step("s1", question.SEARCH, {"asOf": "1996-06-30", "limit": 50}), question.Step("s2", question.LOOKUP, {"disclosureIdsFrom": "s1", "factKeys": ["amount"]}))
+    plan = question.with_required_facts(question.Plan(steps), REQUIRED)
+    frames, _ = question.compiled(plan, {question.SEARCH: find, question.LOOKUP: look_up})
+    return frames["s2"].groupBy("filing").agg(F.count("*").alias("n_facts"))
+
+
+# ---- windows over events, as the streams have them ------------------------------------------------------------------
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY ALL")
+def q47_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.streaming import events
+
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.windowed(rows).select(F.unix_micros("start").alias("start_us"), "event_type", "n")
+
+
+@query("""SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
+FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s""")
+def q48_session_windows(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.streaming import events
+
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.sessions(rows).select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query("SELECT page_id, CASE WHEN host = 'dart' THEN 'MAIN' ELSE 'UNKNOWN' END AS role, 'HTML' AS content_format, sha256(html) AS sha256 FROM (SELECT *, CASE WHEN page_id % 3 = 0 THEN 'dart' ELSE '' END AS host FROM pages)")
+def q50_file_description(spark: SparkSession, d: str) -> DataFrame:
+    name = F.when(F.col("page_id") % 3 == 0, F.concat(F.lpad(F.col("page_id").cast("string"), 14, "0"), F.lit(".html"))).otherwise("x.html")
+    raw = table(spark, d, "pages").select("page_id", F.concat(F.lit("/in/"), name).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return files.described(raw).select("page_id", "role", "content_format", "sha256")
