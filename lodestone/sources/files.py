@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 COMPANY_SCHEMA = (
     "corp_code string, stock_code string, corp_name string, listed_name string, corp_eng_name string, market string, industry string, sector_no string, sector string, "
@@ -98,7 +99,7 @@ def document_role(file_name: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(values: pd.Series) -> pd.Series:
     """Canonical composition, which no built-in function has."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
