@@ -6,9 +6,9 @@ falls with the gradients it has seen, and the L1 term keeps most weights at zero
 places and weights that every task can hold; the list's length is bounded by the places and, in practice, by
 the sample.
 
-Training takes the labelled rows of least hash, at most ``max_rows`` rows and ``max_features`` features, a bound that
-makes the fit a single task's work whatever the table's size; each pass reads them in the same order, so reruns
-agree. Rare positive rows weigh more. Scoring reads every whole text.
+Training takes the labelled rows of least hash, at most ``max_toxic`` and ``max_clean`` rows of either kind and
+``max_features`` features, a bound that makes the fit a single task's work whatever the table's size; each pass
+reads them in the same order, so reruns agree. Both kinds weigh alike. Scoring reads every whole text.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 3 is not 1. Where a doc_id has several labels
 the largest counts; null labels and null doc_ids teach nothing. Every row is scored, a null text as an empty one.
@@ -32,7 +32,8 @@ from lodestone.llm import _bytes
 @dataclass(frozen=True)
 class Params:
     bits: int = 22
-    max_rows: int = 12_000
+    max_toxic: int = 6_000
+    max_clean: int = 8_000
     max_features: int = 40_000_000
     alpha: float = 1.0
     beta: float = 1.0
@@ -118,7 +119,9 @@ def teachers(docs: DataFrame, labels: DataFrame, label: str, params: Params) ->
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     turn = F.xxhash64(F.lit("turn"), "doc_id")
-    known = known.withColumn("turn", turn).orderBy("turn", "doc_id").limit(params.max_rows)
+    known = known.withColumn("turn", turn)
+    toxic, clean = (known.where(test).orderBy("turn", "doc_id").limit(most) for test, most in (("toxic > 0", params.max_toxic), ("toxic <= 0", params.max_clean)))
+    known = toxic.union(clean)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id").select("turn", "toxic", "text")
 
 
