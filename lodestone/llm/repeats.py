@@ -114,7 +114,7 @@ def parse(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tag = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for low, _, data, at in _bytes.slices(batch.column(2)):
+            for low, _, data, at in _bytes.slices(batch.column(2), 1 << 20):
                 first, n, trigger, phrase = phrases(data, at, params)
                 row = np.searchsorted(at, first, "right") - 1
                 span = (first - at[row]) << 32 | n << 24 | tag[low + row]
@@ -274,7 +274,8 @@ def removals(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
         raise ValueError("length is at most 255 bytes, and longer than a gram")
     # the parse is made anew for the count and for the join: it costs less than to keep it
     triggers = parse(docs, params).groupBy("trigger").agg(F.count("*").alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high"))
-    triggers = triggers.where("n > 1").select("trigger", (F.col("low") == F.col("high")).alias("alike"))
+    # written, so that both sides of the join are plain exchanges, whose hot partitions Spark can split
+    triggers = _store.staged(triggers.where("n > 1").select("trigger", (F.col("low") == F.col("high")).alias("alike")), "repeats-triggers")
     found = _store.staged(parse(docs, params).join(triggers, "trigger"), "repeats")
     alike, mixed = found.where("alike").select("doc", "span"), found.where("not alike").select("doc", "span", "trigger", "phrase")
 
