@@ -283,6 +283,7 @@ def removals(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
     counted = _store.staged(counted, "repeats-phrases")
     whole = alike.union(mixed.join(counted.where("times > 1").select("trigger", "phrase"), ["trigger", "phrase"], "left_semi").select("doc", "span"))
     groups = counted.groupBy("trigger").agg(F.count("*").alias("different"), F.min("times").alias("least")).where("different > 1 and least = 1")
+    groups = _store.staged(groups, "repeats-groups")
     tests = counted.join(groups, "trigger").select("one.doc", "one.span", "trigger", (F.col("times") == 1).alias("single"), (F.col("different") > GROUP).alias("big"))
 
     null = {"trigger": F.lit(None).cast("long"), "single": F.lit(None).cast("boolean"), "big": F.lit(None).cast("boolean")}
