@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
 from lodestone.functions import text as T
-from lodestone.operators import answers, calculation, chunking, history, quality, search, tables
+from lodestone.operators import answers, calculation, chunking, history, invariants, quality, search, tables
 from lodestone.plans import question
 from lodestone.sources import files, markup
 from lodestone.tables import table
@@ -614,3 +614,96 @@ def q50_file_description(spark: SparkSession, d: str) -> DataFrame:
     name = F.when(F.col("page_id") % 3 == 0, F.concat(F.lpad(F.col("page_id").cast("string"), 14, "0"), F.lit(".html"))).otherwise("x.html")
     raw = table(spark, d, "pages").select("page_id", F.concat(F.lit("/in/"), name).alias("path"), F.encode("html", "UTF-8").alias("content"))
     return files.described(raw).select("page_id", "role", "content_format", "sha256")
+
+
+# ---- further operators ----------------------------------------------------------------------------------------------
+
+
+@query("""SELECT user_id, string_agg(event_type || '=' || n, ', ' ORDER BY event_type) AS summary FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id""")
+def q51_counts_as_text(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    # as many entries as there are event types
+    return counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m")).select("user_id", quality.sorted_pairs(F.col("m")).alias("summary"))
+
+
+@query("SELECT * FROM (VALUES (0, 'DART', '20240101000001'), (1, 'KRX', '20240101000002'), (2, NULL, NULL), (3, NULL, NULL)) AS t(k, system, number)")
+def q52_link_targets(spark: SparkSession, d: str) -> DataFrame:
+    urls = ["http://dart.fss.or.kr/x?rcpNo=20240101000001", "https://kind.krx.co.kr/a?acptNo=20240101000002", "http://dart.fss.or.kr/x?rcpNo=1", None]
+    rows = spark.createDataFrame(list(enumerate(urls)), "k int, url string").withColumn("t", markup.link_target(F.col("url")))
+    return rows.select("k", "t.system", "t.number")
+
+
+@query("SELECT * FROM (VALUES (0, '5296200000000'), (1, '10005'), (2, NULL)) AS t(k, value)")
+def q53_korean_money(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(0, "5조 2,962억 원"), (1, "1만 5 원"), (2, "없음")], "k int, raw string")
+    return rows.select("k", N.korean_money(F.col("raw")).cast("string").alias("value"))
+
+
+@query("""SELECT name, count(p_partkey) AS n, CASE count(p_partkey) WHEN 0 THEN 'NOT_FOUND' WHEN 1 THEN 'FOUND' ELSE 'AMBIGUOUS' END AS status
+FROM (SELECT DISTINCT p_name AS name FROM part UNION SELECT 'no such name') LEFT JOIN part ON p_name = name GROUP BY name""")
+def q54_company_resolution(spark: SparkSession, d: str) -> DataFrame:
+    parts = table(spark, d, "part")
+    asked = parts.select(F.col("p_name").alias("name")).union(spark.createDataFrame([("no such name",)], "name string")).distinct()
+    return question.resolved_company(parts, "p_name", asked)
+
+
+@query(f"""WITH {FACTS_SQL}, c AS (SELECT filing, list(DISTINCT raw_value ORDER BY raw_value) AS v, fact_key FROM facts WHERE verified GROUP BY filing, fact_key)
+SELECT filing, fact_key, array_to_string(v, chr(10)) AS texts, len(v) > 1 AS ambiguous FROM c""")
+def q55_facts_by_key(spark: SparkSession, d: str) -> DataFrame:
+    grouped = facts_of(spark, d).where("verified").groupBy("filing", "fact_key").agg(F.array_sort(F.collect_set("raw_value")).alias("v"))
+    return grouped.select("filing", "fact_key", F.array_join("v", "\n").alias("texts"), (F.size("v") > 1).alias("ambiguous"))
+
+
+@query(f"""WITH {FACTS_SQL}, k AS (SELECT * FROM (VALUES ('amount'), ('equity'), ('ratio')) AS t(fact_key)), f AS (SELECT DISTINCT filing FROM facts)
+SELECT filing, fact_key FROM f, k WHERE NOT EXISTS (SELECT 1 FROM facts x WHERE x.filing = f.filing AND x.fact_key = k.fact_key AND x.verified)""")
+def q56_missing_core_facts(spark: SparkSession, d: str) -> DataFrame:
+    facts = facts_of(spark, d)
+    wanted = facts.select("filing").distinct().select("filing", F.explode(F.array(*map(F.lit, ("amount", "equity", "ratio")))).alias("fact_key"))
+    return wanted.join(facts.where("verified").select("filing", "fact_key"), ["filing", "fact_key"], "left_anti")
+
+
+@query("""SELECT 'finite_score' AS rule, 0::BIGINT AS n UNION ALL SELECT 'score_is_its_parts', 0""")
+def q57_hit_invariants(spark: SparkSession, d: str) -> DataFrame:
+    parts = list(search.chunk_scores(CHUNK, WORDS))[:-1]
+    hits = _chunks(spark, d).where(search.chunk_predicate(CHUNK, WORDS)).withColumns(search.chunk_scores(CHUNK, WORDS))
+    return quality.violations(hits, invariants.hit_rules(parts))
+
+
+@query(f"""WITH {FACTS_SQL} SELECT 'fact_key' AS rule, count(*) AS n FROM facts WHERE NOT regexp_matches('f.' || fact_key, '^[a-z][a-z0-9_]*(\\.[a-z][a-z0-9_]*)+$')
+UNION ALL SELECT 'receipt_no', count(*) FILTER (WHERE filing % 5 = 0) FROM facts UNION ALL SELECT 'verified_has_evidence', count(*) FILTER (WHERE verified AND filing % 7 = 0) FROM facts""")
+def q58_fact_invariants(spark: SparkSession, d: str) -> DataFrame:
+    made = facts_of(spark, d).select(
+        F.when(F.col("unit").isin("KRW", "PERCENT", "USD", "KRW_PER_USD"), "DECIMAL").otherwise("DATE").alias("value_type"), F.lit("AVAILABLE").alias("availability"), "raw_value", F.col("unit").alias("raw_unit"),
+        F.col("raw_value").try_cast("decimal(20,2)").alias("decimal_value"), F.when(F.col("unit") == "ISO_DATE", F.try_to_date("raw_value")).alias("date_value"), F.lit(None).cast("string").alias("text_value"), "unit",
+        F.when(F.col("unit") == "KRW", "KRW").alias("currency"), F.lit("RAW").alias("method"), F.lit(None).cast("string").alias("policy_version"), F.when(F.col("verified"), "VERIFIED").otherwise("UNVALIDATED").alias("status"),
+        F.when(F.col("filing") % 7 != 0, F.array(F.lit("e"))).alias("evidence_ids"), "period_start", "period_end", F.concat(F.lit("f."), "fact_key").alias("fact_key"),
+        F.when(F.col("filing") % 5 != 0, F.lpad(F.col("filing").cast("string"), 14, "0")).otherwise("short").alias("receipt_no"),
+    )
+    rules = invariants.fact_rules()
+    return quality.violations(made, {k: rules[k] for k in ("fact_key", "receipt_no", "verified_has_evidence")})
+
+
+@query("""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0)) >= 20 AND len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) = 1))
+>= 0.35 * len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0)) OR instr(text, chr(65533)) > 0 AS suspicious FROM documents""")
+def q59_suspicious_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.suspicious(F.col("text")).alias("suspicious"))
+
+
+@query("SELECT event_id FROM events")
+def q60_stream_without_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """The events table read as a stream, drained through a deduplication into a table of the session's folder."""
+    import tempfile
+    import uuid
+
+    from lodestone.streaming import events
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="lodestone-")
+    out = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rows = events.source(spark, d, table(spark, d, "events").schema, "events.parquet")
+    # a batch that is done again after a failure replaces itself
+    events.drained(events.deduplicated(rows, "event_id"), f"{out}/state", lambda df, n: df.select("event_id").write.mode("overwrite").parquet(f"{out}/rows/batch={n}"))
+    return spark.read.parquet(f"{out}/rows").select("event_id")

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SEARCH, LOOKUP, EVIDENCE, CALCULATE, HISTORY = "SEARCH_DISCLOSURES", "LOOKUP_FACTS", "SEARCH_EVIDENCE", "CALCULATE", "RESOLVE_DISCLOSURE_HISTORY"
 
@@ -134,3 +135,18 @@ def resolved_terms(concepts: list[str], fact_keys: list[str], words: list[str] =
         hints |= set(FACT_WORDS.get(name, ()))
         warnings += [] if name in FACT_WORDS else [f"unknown fact {name}"]
     return tuple(dict.fromkeys(keywords)), frozenset(hints), SECTION_HINTS if known else (), warnings
+
+
+def resolved_company(companies: DataFrame, name_column: str, asked: DataFrame) -> DataFrame:
+    """asked (name) with the number of companies of exactly that name and what follows: FOUND, NOT_FOUND or AMBIGUOUS."""
+    counts = companies.groupBy(F.col(name_column).alias("name")).agg(F.count("*").alias("n"))
+    found = asked.join(counts, "name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return found.withColumn("status", F.when(F.col("n") == 0, "NOT_FOUND").when(F.col("n") > 1, "AMBIGUOUS").otherwise("FOUND"))
+
+
+def matched_policy(policies: list[dict], subtype: str | None, asked: str) -> dict | None:
+    """The policy of the subtype that was asked for, else of exactly this question; several are an error."""
+    found = [p for p in policies if subtype and p.get("subtype") == subtype] or [p for p in policies if p.get("question") == asked]
+    if len(found) > 1:
+        raise PlanError("several policies fit")
+    return found[0] if found else None

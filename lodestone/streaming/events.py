@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def source(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """Parquet files of a folder as a stream, with event times that watermarks accept."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(folder)
+def source(spark: SparkSession, folder: str, schema, files: str = "*") -> DataFrame:
+    """Parquet files of a folder whose names fit, as a stream, with event times that watermarks accept."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).option("pathGlobFilter", files).parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
