@@ -6,13 +6,15 @@ character is among those, so bytes and code points give the same words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; a longer text is taken alone.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _U = np.uint64
 _RADIX = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
@@ -69,6 +71,19 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start])
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run for mapInArrow; when a task ends its worker gives freed memory back, as it stays for later tasks beside the JVM."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
+
+    return wrapped
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -217,7 +217,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, params: Params = PARAMS, block
                     # by names alone, so that all batches have one schema
                     yield pa.RecordBatch.from_arrays([*piece.columns[:n], *columns], piece.schema.names)
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(_bytes.frugal(run), schema)
     return out.withColumn("contaminated", (F.col("longest_run") >= params.run) | (F.col("item_share") >= params.share))
 
 

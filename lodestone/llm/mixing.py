@@ -49,16 +49,18 @@ PARTS = 1024
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, source and size (words) of each row, written to the shared folder. Without text."""
-    return _store.staged(_with_id(docs).select("row_id", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size()), "mix-sizes")
+    """row_id, doc_id, source, size (words) and mark (a hash of the text) of each row, written to the shared folder. Without text."""
+    return _store.staged(_narrow(_with_id(docs)), "mix-sizes")
 
 
 def _with_id(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row_id", F.monotonically_increasing_id())
 
 
-def _size():
-    return F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_WORD)).cast("long").alias("size")
+def _narrow(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size = F.regexp_count(text, F.lit(_WORD)).cast("long")
+    return docs.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("mark"))
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -116,7 +118,7 @@ def plan(quotas: DataFrame, params: Params = PARAMS) -> DataFrame:
                 own = np.flatnonzero(drawn)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), shard)), pa.array(numbers[own]), pa.array(drawn[own])], ["shard", "src", "n"])
 
-    drawn = spark.range(0, -(-total // params.shard)).mapInArrow(draw, "shard long, src long, n long")
+    drawn = spark.range(0, -(-total // params.shard)).mapInArrow(_bytes.frugal(draw), "shard long, src long, n long")
     drawn = drawn.withColumn("first", F.sum("n").over(Window.partitionBy("src").orderBy("shard")) - F.col("n"))
     drawn = _store.staged(drawn, "mix-draws")
     limits = quotas.select("src", "quota", "blocks")
@@ -138,7 +140,7 @@ def plan(quotas: DataFrame, params: Params = PARAMS) -> DataFrame:
                 block = np.concatenate([permuted(slot[slot // of == p] % of, of, [params.seed, own, int(p)]) for p in np.unique(slot // of)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.full(n, own)), pa.array(slot), pa.array(block), pa.array(slot // of)], ["shard", "src", "slot", "block", "pass"])
 
-    return runs.select("shard", F.col("src").cast("long").alias("src"), "first", "n", "blocks").mapInArrow(permute, "shard long, src long, slot long, block long, pass long")
+    return runs.select("shard", F.col("src").cast("long").alias("src"), "first", "n", "blocks").mapInArrow(_bytes.frugal(permute), "shard long, src long, slot long, block long, pass long")
 
 
 def permuted(index: np.ndarray, n: int, key: list[int]) -> np.ndarray:
@@ -160,9 +162,10 @@ def permuted(index: np.ndarray, n: int, key: list[int]) -> np.ndarray:
 
 def placed(sizes: DataFrame, found: DataFrame, params: Params) -> DataFrame:
     """Rows with words, with src, first (of the row's words in its source's stream) and each block they lie in."""
-    rows = sizes.where("size > 0").withColumn("part", F.pmod(F.xxhash64(F.lit(params.seed), "doc_id", "row_id"), F.lit(PARTS)))
-    rows = rows.join(found.select("source", "src"), rows["source"].eqNullSafe(found["source"])).select("row_id", "src", "part", "size")
-    inside = rows.withColumn("within", F.sum("size").over(Window.partitionBy("src", "part").orderBy("row_id")) - F.col("size"))
+    # the order hangs on the rows' contents; row_id only tells equal rows apart
+    rows = sizes.where("size > 0").withColumn("part", F.pmod(F.xxhash64(F.lit(params.seed), "doc_id", "mark"), F.lit(PARTS)))
+    rows = rows.join(found.select("source", "src"), rows["source"].eqNullSafe(found["source"])).select("row_id", "doc_id", "mark", "src", "part", "size")
+    inside = rows.withColumn("within", F.sum("size").over(Window.partitionBy("src", "part").orderBy("doc_id", "mark", "row_id")) - F.col("size"))
     parts = rows.groupBy("src", "part").agg(F.sum("size").alias("of_part"))
     parts = parts.select("src", "part", (F.sum("of_part").over(Window.partitionBy("src").orderBy("part")) - F.col("of_part")).alias("before"))
     out = inside.join(parts, ["src", "part"]).select("row_id", "src", "size", (F.col("before") + F.col("within")).alias("first"))
@@ -196,7 +199,7 @@ def mixed(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
     n_chars, if docs have it, is the new text's length. A row whose words no slot takes is left out.
     """
     kept = _store.staged(_with_id(docs), "mix-documents")
-    sizes = _store.staged(kept.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size()), "mix-sizes")
+    sizes = _store.staged(_narrow(kept), "mix-sizes")
     _, pieces = taken(sizes, params)
     spans = pieces.groupBy("row_id", "pass").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("_spans"))
     joined = kept.join(spans, "row_id").drop("row_id", "pass")
@@ -224,4 +227,4 @@ def mixed(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
                 columns[length] = pa.array([len(t) for t in texts], batch.schema.field(length).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*names, "_spans").mapInArrow(cut, docs.schema)
+    return joined.select(*names, "_spans").mapInArrow(_bytes.frugal(cut), docs.schema)

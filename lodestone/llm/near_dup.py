@@ -121,7 +121,7 @@ def signatures(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
                 sig = pa.array([v.tobytes() for v in (values >> np.uint32(24)).astype(np.uint8)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, sig], ["doc_id", "n", "f1", "f2", "bands", "sig"])
 
-    return _ids_and_texts(docs).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<bigint>, sig binary")
+    return _ids_and_texts(docs).mapInArrow(_bytes.frugal(run), "doc_id long, n long, f1 long, f2 long, bands array<bigint>, sig binary")
 
 
 def _ids_and_texts(docs: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def _packed(texts: DataFrame) -> DataFrame:
             raw = memoryview(np.ascontiguousarray(data))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(raw[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "packed"])
 
-    return texts.mapInArrow(run, "doc_id long, packed binary")
+    return texts.mapInArrow(_bytes.frugal(run), "doc_id long, packed binary")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, params: Params) -> DataFrame:
@@ -151,7 +151,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, params: Params) -> DataFram
 
     u, v = (classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "uv")
     sized = pairs.join(u, "u").join(v, "v").where(100 * F.least("n_u", "n_v") >= params.percent * F.greatest("n_u", "n_v"))
-    return sized.select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long").distinct()
+    return sized.select("u", "v", "sig_u", "sig_v").mapInArrow(_bytes.frugal(run), "u long, v long").distinct()
 
 
 def _linked(pairs: DataFrame, packed: DataFrame, params: Params) -> DataFrame:
@@ -177,7 +177,7 @@ def _linked(pairs: DataFrame, packed: DataFrame, params: Params) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     u, v = (packed.select(F.col("doc_id").alias(c), F.col("packed").alias(f"packed_{c}")) for c in "uv")
-    return pairs.join(v, "v").join(u, "u").select("u", "v", "packed_u", "packed_v").mapInArrow(run, "u long, v long").distinct()
+    return pairs.join(v, "v").join(u, "u").select("u", "v", "packed_u", "packed_v").mapInArrow(_bytes.frugal(run), "u long, v long").distinct()
 
 
 def _open(placed: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -239,7 +239,7 @@ def _block_links(opened: DataFrame, outside: DataFrame, packed: DataFrame, param
         if held is not None and len(held):
             yield links(held.combine_chunks())
 
-    return rows.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y").mapInArrow(run, "u long, v long").distinct()
+    return rows.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y").mapInArrow(_bytes.frugal(run), "u long, v long").distinct()
 
 
 def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:

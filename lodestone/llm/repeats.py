@@ -114,13 +114,13 @@ def parse(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tag = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for low, _, data, at in _bytes.slices(batch.column(2), 1 << 20):
+            for low, _, data, at in _bytes.slices(batch.column(2)):
                 first, n, trigger, phrase = phrases(data, at, params)
                 row = np.searchsorted(at, first, "right") - 1
                 span = (first - at[row]) << 32 | n << 24 | tag[low + row]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[low + row]), pa.array(span), pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64))], ["doc", "span", "trigger", "phrase"])
 
-    return _rows(docs).select("doc", "tag", "text").mapInArrow(run, "doc long, span long, trigger long, phrase long")
+    return _rows(docs).select("doc", "tag", "text").mapInArrow(_bytes.frugal(run), "doc long, span long, trigger long, phrase long")
 
 
 def _first(span):
@@ -146,7 +146,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             packed = pa.array([press.compress(raw[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], ["doc_id", "doc", "tag", "packed"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, doc long, tag long, packed binary")
+    return _rows(docs).mapInArrow(_bytes.frugal(run), "doc_id long, doc long, tag long, packed binary")
 
 
 _MARKED = "doc_id long, doc long, tag long, n_bytes long, sha string, packed binary, runs array<struct<low: long, high: long>>, tests array<struct<trigger: long, single: boolean, big: boolean, first: long, n: int, bytes: binary>>"
@@ -176,7 +176,7 @@ def _mark(joined: DataFrame, length: int) -> DataFrame:
     run_type = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
     test_type = pa.list_(pa.struct([("trigger", pa.int64()), ("single", pa.bool_()), ("big", pa.bool_()), ("first", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())]))
     schema = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("packed", pa.binary()), ("runs", run_type), ("tests", test_type)])
-    return joined.select("doc_id", "doc", "tag", "packed", "marks").mapInArrow(run, _MARKED)
+    return joined.select("doc_id", "doc", "tag", "packed", "marks").mapInArrow(_bytes.frugal(run), _MARKED)
 
 
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -234,7 +234,7 @@ def _ordered(tests: DataFrame, length: int) -> DataFrame:
         if held is not None and len(held):
             yield order(held.combine_chunks())
 
-    return tests.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(run, "doc long, tag long, first long, n long")
+    return tests.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_bytes.frugal(run), "doc long, tag long, first long, n long")
 
 
 def _runs(trigger: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -262,7 +262,7 @@ def _aggregated(tests: DataFrame, length: int) -> DataFrame:
                 columns = [pa.array(part.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("doc", "tag", "trigger", "single")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(first), pa.array(window.view(np.int64))], ["doc", "tag", "trigger", "single", "first", "window"])
 
-    each = tests.mapInArrow(run, "doc long, tag long, trigger long, single boolean, first long, window long")
+    each = tests.mapInArrow(_bytes.frugal(run), "doc long, tag long, trigger long, single boolean, first long, window long")
     twice = each.groupBy("trigger", "window").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("times")).where("times > 1")
     return each.where("single").join(twice, ["trigger", "window"]).select("doc", "tag", "first", F.lit(1).cast("long").alias("n"))
 
@@ -315,7 +315,7 @@ def removals(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
 
     run_type = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("sha", pa.string()), ("runs", run_type)])
-    done = flagged.select("doc_id", "n_bytes", "packed", "runs", "more").mapInArrow(cut, "doc_id long, n_bytes long, kept binary, sha string, runs array<struct<low: long, high: long>>")
+    done = flagged.select("doc_id", "n_bytes", "packed", "runs", "more").mapInArrow(_bytes.frugal(cut), "doc_id long, n_bytes long, kept binary, sha string, runs array<struct<low: long, high: long>>")
     return done.union(marked.where("packed is null").select("doc_id", "n_bytes", F.lit(None).cast("binary"), "sha", "runs"))
 
 

@@ -114,14 +114,14 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, n_base: int = N_BA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value, rules)
         for batch in batches:
-            for low, high, data, at in _bytes.slices(batch.column(1), 4 << 20):
+            for low, high, data, at in _bytes.slices(batch.column(1), 2 << 20):
                 found = scanner.spans(data, at)
                 spans = [[{"kind": rules[r].kind, "start": s, "end": e} for s, r, e in found.get(k, ())] for k in range(high - low)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(spans, span_type)], ["doc_id", "spans"])
 
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
+    return narrow.mapInArrow(_bytes.frugal(run), "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
 
 
 def digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, n_base: int = N_BASE) -> DataFrame:

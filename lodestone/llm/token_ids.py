@@ -36,7 +36,7 @@ END_ID = 2
 BLOCK_IDS = 1 << 20
 
 #: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 3 << 19
+REMEMBERED = 3 << 18
 
 _LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -163,12 +163,12 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         for batch in batches:
-            for low, high, data, at in _bytes.slices(batch.column(1), 4 << 20):
+            for low, high, data, at in _bytes.slices(batch.column(1), 2 << 20):
                 ids, first = encoder.encode(data, at)
                 rows = [ids[a:b].astype("<u2").tobytes() + end_id.to_bytes(2, "little") for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(rows, pa.binary()), pa.array(np.diff(first) + 1, pa.int64())], ["doc_id", "ids", "n"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, n long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_bytes.frugal(run), "doc_id long, ids binary, n long")
 
 
 def id_counts(ids: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def id_counts(ids: DataFrame) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.select("ids").mapInArrow(_bytes.frugal(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
@@ -227,7 +227,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID)
     # a range exchange, so that blocks are in order; sampling for the bounds reads only doc_id
     by_range = ids.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "ids")
     (by_range.withColumn("part", F.spark_partition_id()).select("doc_id", "ids", "n", "part")
-     .mapInArrow(run, "part int, seq int, n_ids long, doc_ids array<bigint>, counts array<bigint>, control binary, data binary")
+     .mapInArrow(_bytes.frugal(run), "part int, seq int, n_ids long, doc_ids array<bigint>, counts array<bigint>, control binary, data binary")
      .write.option("compression", "none").parquet(f"{path}/blocks"))
     shared.unpersist()
 
@@ -254,7 +254,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([docs.values, pa.array(upto - counts + first.as_py(), pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return (blocks.join(starts, ["part", "seq"]).select("first", "n_ids", "doc_ids", "counts", "control", "data")
-            .mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+            .mapInArrow(_bytes.frugal(run), "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:

@@ -148,8 +148,8 @@ def trained(docs: DataFrame, labels: DataFrame, params: Params = PARAMS, label:
         model = fit(rows, np.array(labels, bool), params)
         yield pa.RecordBatch.from_arrays([pa.array([*model.place.tolist(), -1], pa.int32()), pa.array([*model.weight.tolist(), model.bias], pa.float64())], ["place", "weight"])
 
-    made = teachers(docs, labels, label, params).mapInArrow(make, "turn long, toxic int, places array<int>")
-    rows = made.repartition(1).sortWithinPartitions("turn", "places").mapInArrow(learn, "place int, weight double").toPandas()
+    made = teachers(docs, labels, label, params).mapInArrow(_bytes.frugal(make), "turn long, toxic int, places array<int>")
+    rows = made.repartition(1).sortWithinPartitions("turn", "places").mapInArrow(_bytes.frugal(learn), "place int, weight double").toPandas()
     own = rows[rows.place >= 0]
     bias = rows.weight[rows.place < 0]  # Spark runs no task where there are no rows
     return Model(own.place.to_numpy(np.int32), own.weight.to_numpy(np.float32), float(bias.iloc[0]) if len(bias) else -35.0, params.bits)
@@ -165,6 +165,6 @@ def scored(docs: DataFrame, model: Model, params: Params = PARAMS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(shared.value.scores(data, at), pa.float64())], ["doc_id", "score"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = narrow.mapInArrow(run, "doc_id long, score double")
+    out = narrow.mapInArrow(_bytes.frugal(run), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= params.threshold).cast("int").alias("predicted"))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import _bytes
+
 # The contract's host rules.
 HOST_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -73,7 +75,7 @@ def token_counts(pages: DataFrame, wanted: set[str]) -> dict[str, int]:
                     counts[token] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
 
-    rows = pages.select(F.col("url").cast("string").alias("url")).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = pages.select(F.col("url").cast("string").alias("url")).mapInArrow(_bytes.frugal(run), "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return {r["token"]: r["n"] for r in rows}
 
 
@@ -120,4 +122,4 @@ def judged(pages: DataFrame, hosts=HOST_RULES, patterns: tuple[Pattern, ...] = P
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["page_id", "host", "path", "rule", "verdict"])
 
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    return narrow.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
+    return narrow.mapInArrow(_bytes.frugal(run), "page_id long, host string, path string, rule string, verdict string")

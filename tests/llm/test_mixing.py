@@ -49,8 +49,8 @@ def test_targets_and_amounts(spark, block):
 
 
 def test_reruns_agree(spark):
-    df = frame(spark, made()).coalesce(1)
-    a, b = ([tuple(r) for r in mixing.amounts(df).collect()] for _ in range(2))
+    df = frame(spark, made())
+    a, b = ([tuple(r) for r in mixing.amounts(x).collect()] for x in (df.coalesce(1), df.repartition(5, "text")))
     assert sorted(a, key=str) == sorted(b, key=str)
 
 
