@@ -8,8 +8,8 @@ Guards: either comparison waits for a minimum length and lets shorter texts pass
 reference (no such document), it is left out; without any reference the divergence rules let all pass.
 
 Every row gives one result, whatever its doc_id, and extra columns don't matter. A null text is an empty one;
-empty texts fail the base rule on word counts. A lang that isn't one of the languages gives no reference but
-is judged like any other.
+empty texts fail the base rule on word counts. A lang that isn't one of the four gives no reference, and its
+rows are judged by character classes alone; where lang is null the nearest language decides.
 """
 
 from __future__ import annotations
@@ -161,7 +161,9 @@ def verdicts(measured: DataFrame, refs: dict[str, dict[str, list[float]]], limit
     of_class, of_words = F.col("class_distance"), F.col("word_distance")
     far = (F.col("n_letters") >= limits.class_guard) & (of_class > limits.class_distance)
     both = (of_class > limits.joint[0]) & (of_words > limits.joint[1])
-    far = far | (F.col("n_words") >= limits.word_guard) & ((of_words > limits.word_distance) | both)
+    # a language without reference can't be told from noise by its words
+    known = F.col("lang").isNull() | F.col("lang").isin(*LANGUAGES)
+    far = far | known & (F.col("n_words") >= limits.word_guard) & ((of_words > limits.word_distance) | both)
     return out.withColumn("base_failed", base_failed(limits)).withColumn("kept", ~F.col("base_failed") & ~far)
 
 

@@ -46,7 +46,7 @@ refs AS (SELECT lang, {means("classes", n)} AS rc, {means("commons", len(quality
 far AS (SELECT b.r, min({distance("classes", "rc", n)}) AS dc, min({distance("commons", "rw", len(quality.WORDS) + 1)}) AS dw FROM based b, refs GROUP BY b.r)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT (n_letters >= {limits.class_guard} AND coalesce(dc, 0) > {limits.class_distance} OR n_words >= {limits.word_guard}
+  NOT base_failed AND NOT (n_letters >= {limits.class_guard} AND coalesce(dc, 0) > {limits.class_distance} OR n_words >= {limits.word_guard} AND (lang IS NULL OR lang IN {"(" + _list(quality.LANGUAGES)[1:-1] + ")"})
     AND (coalesce(dw, 0) > {limits.word_distance} OR coalesce(dc, 0) > {limits.joint[0]} AND coalesce(dw, 0) > {limits.joint[1]})) AS kept
 FROM based b LEFT JOIN far USING (r)
 """

@@ -65,6 +65,14 @@ def test_kept_has_the_columns_of_documents(spark):
     assert quality.kept(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_other_languages_are_judged_by_characters_alone(spark):
+    clean, junk, _ = texts()
+    strange = " ".join(f"zq{k % 97}xj vvow{k % 89} oolm{k % 83}y" for k in range(100)).translate(str.maketrans("0123456789", "abcdefghij")) + "."
+    rows = [(k, t, "en") for k, t in enumerate(clean)] + [(100, strange, "en"), (101, strange, "fi"), (102, junk[0], "fi")]
+    got = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (got[100], got[101], got[102]) == (False, True, False)
+
+
 def test_distance_is_zero_for_the_reference(spark):
     df = spark.createDataFrame([([0.25, 0.75, 0.0],), ([0.0, 0.0, 1.0],)], "p array<double>")
     got = [r.d for r in df.select(quality._distance("p", [0.25, 0.75, 0.0]).alias("d")).collect()]
