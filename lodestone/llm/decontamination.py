@@ -189,13 +189,9 @@ _FOUND = T.StructType([T.StructField("n_windows", T.LongType()), T.StructField("
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, params: Params = PARAMS, block: int = BLOCK) -> DataFrame:
-    """docs with n_windows, n_items, longest_run, item_share and contaminated."""
-    spark = docs.sparkSession
-    names = {c.lower() for c in docs.columns}
+    """docs with n_windows, n_items, longest_run, item_share and contaminated; columns of docs named like those are left out."""
+    spark, docs = docs.sparkSession, docs.drop(*[f.name for f in _FOUND], "contaminated")
     text = next(c for c in docs.columns if c.lower() == "text")
-    clash = names & {f.name for f in _FOUND} | names & {"contaminated"}
-    if clash:
-        raise ValueError(f"documents already have {sorted(clash)}")
     out = docs.select("*", *[F.lit(0).cast(f.dataType).alias(f.name) for f in _FOUND])
     schema, n, text_at = out.schema, len(docs.columns), docs.columns.index(text)
     for texts in _blocks(benchmark, block):

@@ -198,11 +198,12 @@ def mixed(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
 
     n_chars, if docs have it, is the new text's length. A row whose words no slot takes is left out.
     """
-    kept = _store.staged(_with_id(docs), "mix-documents")
-    sizes = _store.staged(_narrow(kept), "mix-sizes")
+    # the row in one column, so that no name of docs meets one of ours
+    kept = _store.staged(docs.select(F.struct(*docs.columns).alias("_doc")).withColumn("row_id", F.monotonically_increasing_id()), "mix-documents")
+    sizes = _store.staged(_narrow(kept.select("row_id", "_doc.doc_id", "_doc.source", "_doc.text")), "mix-sizes")
     _, pieces = taken(sizes, params)
     spans = pieces.groupBy("row_id", "pass").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("_spans"))
-    joined = kept.join(spans, "row_id").drop("row_id", "pass")
+    joined = kept.join(spans, "row_id")
     names = list(docs.columns)
     text, length = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
@@ -227,4 +228,4 @@ def mixed(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
                 columns[length] = pa.array([len(t) for t in texts], batch.schema.field(length).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*names, "_spans").mapInArrow(_bytes.frugal(cut), docs.schema)
+    return joined.select("_doc.*", "_spans").mapInArrow(_bytes.frugal(cut), docs.schema)

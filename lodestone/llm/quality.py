@@ -126,6 +126,10 @@ def _word_shares(coded: Column, n: Column) -> Column:
     return F.element_at(F.transform(F.array(coded), each), 1)
 
 
+#: Columns that ``judged`` adds.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters", "classes", "commons", "class_distance", "word_distance", "base_failed", "kept")
+
+
 def base_failed(limits: Limits = LIMITS) -> Column:
     return (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words"))
 
@@ -168,12 +172,12 @@ def verdicts(measured: DataFrame, refs: dict[str, dict[str, list[float]]], limit
 
 
 def judged(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """All columns of docs but text, and the measures and verdict of each row.
+    """All columns of docs but text, and the measures and verdict of each row; columns of docs named like those are left out.
 
     The texts are read once: their measures are written to the shared folder, and references and verdicts come
     from there.
     """
-    measured = _store.staged(measures(docs).drop("text"), "quality")
+    measured = _store.staged(measures(docs.drop(*RESULTS)).drop("text"), "quality")
     return verdicts(measured, references(measured, limits), limits)
 
 

@@ -86,6 +86,12 @@ def test_empty_and_wordless_tables(spark):
     assert [(r.size, r.source_size, r.target, r.taken) for r in got] == [(0, 0, 0.0, 0)] * 2
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c", "s", 7, 8)], "doc_id long, text string, source string, row_id int, size int")
+    assert [tuple(r) for r in mixing.mixed(df).collect()][:1] == [(1, "a b c", "s", 7, 8)]
+    assert mixing.amounts(df).first()["size"] == 3
+
+
 def test_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = mixing.amounts(docs).collect()

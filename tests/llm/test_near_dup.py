@@ -6,7 +6,7 @@ import brute
 import numpy as np
 import pytest
 
-from lodestone.llm import near_dup, queries
+from lodestone.llm import _store, near_dup, queries
 from lodestone.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, n int, component_id string"
@@ -78,7 +78,8 @@ def test_intersections():
 
 def test_components_of_paths(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (7, 7), (200, 100)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    with _store.Scratch(spark, "test") as scratch:
+        got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long"), scratch).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 101, 102, 200), 100)}
 
 

@@ -63,6 +63,7 @@ def test_kept_has_the_columns_of_documents(spark):
     assert out.where("n_words <> 3 or classes <> 'clash'").count() == 0
     assert out.count() >= len(clean) + 2
     assert quality.kept(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert quality.judged(df).where("n_words = 3").count() == 1  # the operator's column, of the text "x y z"
 
 
 def test_other_languages_are_judged_by_characters_alone(spark):
