@@ -28,16 +28,16 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: _store.Scratch) -> DataFrame:
     """node and component (the smallest node reachable) for every node of a link (u, v). Self-links and nulls are ignored.
 
-    Each round is written to the shared folder; the driver sees two numbers a round. The number of rounds grows
+    Each round is written to the scratch tables, the result among them; the driver sees two numbers a round. The number of rounds grows
     with the logarithm of the longest path, squared at most.
     """
-    now = _store.staged(links.where("u <> v").select("u", "v").distinct(), "links")
+    now = scratch.staged(links.where("u <> v").select("u", "v").distinct())
     mark = _mark(now)
     while True:
-        now = _store.staged(_small_star(_large_star(now)), "links")
+        now = scratch.staged(_small_star(_large_star(now)))
         mark, before = _mark(now), mark
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -180,14 +180,16 @@ def _linked(pairs: DataFrame, packed: DataFrame, params: Params) -> DataFrame:
     return pairs.join(v, "v").join(u, "u").select("u", "v", "packed_u", "packed_v").mapInArrow(_bytes.frugal(run), "u long, v long").distinct()
 
 
-def _open(placed: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+def _open(placed: DataFrame, turn: int, scratch: _store.Scratch) -> tuple[DataFrame, DataFrame]:
     """The members of buckets with several components; and those outside the largest, as a, with some hubs from inside it."""
     several = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
-    opened = _store.staged(placed.join(several, ["band", "key"], "left_semi"), "near-dup-open")
+    several = scratch.staged(several)
+    opened = scratch.staged(placed.join(several, ["band", "key"], "left_semi"))
     drawn = [F.min_by("rep", F.xxhash64("rep", F.lit(turn * HUBS + k))).alias(f"h{k}") for k in range(HUBS)]
     sizes = opened.groupBy("band", "key", "component").agg(F.count("*").alias("n"), *drawn)
     hubs = F.struct("component", F.array(*[f"h{k}" for k in range(HUBS)]).alias("hubs"))
     largest = sizes.groupBy("band", "key").agg(F.max_by(hubs, F.struct("n", "component")).alias("largest"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    largest = scratch.staged(largest)
     outside = opened.join(largest, ["band", "key"]).where("component <> largest.component")
     return opened, outside.select("band", "key", F.col("rep").alias("a"), F.col("component").alias("component_a"), "largest.hubs", "total", (F.col("total") - F.col("most")).alias("n_outside"))
 
@@ -267,26 +269,31 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def clusters(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept, one row a document."""
-    sigs = _store.staged(signatures(docs, params), "near-dup-signatures")
+    with _store.Scratch(docs.sparkSession, "near-dup") as scratch:
+        return _store.staged(_clusters(docs, params, scratch), "near-dup-clusters")
+
+
+def _clusters(docs: DataFrame, params: Params, scratch: _store.Scratch) -> DataFrame:
+    sigs = scratch.staged(signatures(docs, params))
     nodes = sigs.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     # partial aggregation folds a large class of copies before anything moves
     least = nodes.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r"))
-    classes = _store.staged(least.select("f1", "f2", "n", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"), F.col("r.sig").alias("sig")), "near-dup-classes")
+    classes = scratch.staged(least.select("f1", "f2", "n", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"), F.col("r.sig").alias("sig")))
 
     rows = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = rows.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").drop("top")
     # written, so that both sides of the join are plain exchanges, whose hot partitions Spark can split
-    buckets = _store.staged(buckets, "near-dup-buckets")
-    members = _store.staged(rows.join(buckets, ["band", "key"]), "near-dup-members")
+    buckets = scratch.staged(buckets)
+    members = scratch.staged(rows.join(buckets, ["band", "key"]))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    packed = _store.staged(_packed(_ids_and_texts(docs).join(wanted, "doc_id", "left_semi")), "near-dup-texts")
+    packed = scratch.staged(_packed(_ids_and_texts(docs).join(wanted, "doc_id", "left_semi")))
 
     star = members.where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
-    links = _store.staged(_linked(_plausible(star, classes, params), packed, params), "near-dup-links")
+    links = scratch.staged(_linked(_plausible(star, classes, params), packed, params))
     for turn in range(TURNS + 1):
-        found = components(links)
+        found = components(links, scratch)
         placed = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        opened, outside = _open(_store.staged(placed, "near-dup-placed"), turn)
+        opened, outside = _open(scratch.staged(placed), turn, scratch)
         if turn < TURNS:
             pairs = outside.select("a", F.explode(F.array_distinct("hubs")).alias("rep"))
         else:
@@ -296,8 +303,8 @@ def clusters(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
         more = _linked(_plausible(pairs, classes, params), packed, params)
         if turn == TURNS:
             more = more.union(_block_links(opened, outside.where(F.col("total") > FEW), packed, params))
-        links = _store.staged(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "near-dup-links")
-    found = components(links)
+        links = scratch.staged(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    found = components(links, scratch)
 
     by_class = classes.select("f1", "f2", "n", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     by_class = by_class.select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))

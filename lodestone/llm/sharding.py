@@ -58,21 +58,26 @@ def _shift(x: Column, by: Column) -> Column:
 
 def assigned(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
     """doc_id, h, bytes, depth and shard (the prefix in binary digits, and a part's number for equal rows) of each row."""
-    rows = _store.staged(hashed(docs), "shard-rows")
+    with _store.Scratch(docs.sparkSession, "shards") as scratch:
+        return _store.staged(_assigned(docs, params, scratch), "shards")
+
+
+def _assigned(docs: DataFrame, params: Params, scratch: _store.Scratch) -> DataFrame:
+    rows = scratch.staged(hashed(docs))
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     fine = min(BITS, params.finer + max(0, math.ceil(math.log2(max(1, total) / params.limit))))
     with_cell = rows.withColumn("cell", _shift(F.col("h"), F.lit(BITS - fine)))
     cells = with_cell.groupBy("cell").agg(F.sum("bytes").alias("bytes"), F.min("h").alias("least"), F.max("h").alias("most"))
-    depths = _depths(_store.staged(cells, "shard-cells"), 0, fine, params)
+    depths = _depths(scratch.staged(cells), 0, fine, params)
     first = with_cell.join(depths, "cell", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-    first = _store.staged(first.drop("cell"), "shard-depths")
+    first = scratch.staged(first.drop("cell"))
     # cells that split on all their bits go on, by their distinct hashes
     on = first.where(F.col("depth") > fine) if fine < BITS else first.where(F.lit(False))
     single = on.groupBy(F.col("h").alias("cell")).agg(F.sum("bytes").alias("bytes")).select("cell", "bytes", F.col("cell").alias("least"), F.col("cell").alias("most"))
     more = _depths(single, min(fine + 1, BITS), BITS, params).withColumnRenamed("depth", "more").withColumnRenamed("cell", "h")
     out = first.join(more, "h", "left").withColumn("depth", F.col("depth") + F.coalesce("more", F.lit(0))).drop("more")
     bits = F.when(F.col("depth") > 0, F.lpad(F.bin(F.col("h")), BITS, "0").substr(F.lit(1), F.col("depth"))).otherwise("")
-    out = _store.staged(out.withColumn("bits", bits), "shard-bits")
+    out = scratch.staged(out.withColumn("bits", bits))
     # equal rows that exceed the limit together
     copies = out.groupBy("bits").agg(F.sum("bytes").alias("b"), F.min("h").alias("x"), F.max("h").alias("y"), F.count("*").alias("n"))
     copies = copies.where((F.col("b") > params.limit) & (F.col("x") == F.col("y")) & (F.col("n") > 1)).select("bits")
@@ -90,6 +95,6 @@ def directory(assigned_rows: DataFrame) -> DataFrame:
 
 def with_totals(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
     """doc_id, n_bytes, depth, shard and shard_bytes of each row."""
-    rows = _store.staged(assigned(docs, params), "shard-assigned")
+    rows = assigned(docs, params)
     totals = directory(rows).select("shard", "shard_bytes")
     return rows.join(totals, "shard").select("doc_id", F.col("bytes").alias("n_bytes"), "depth", "shard", "shard_bytes")

@@ -187,8 +187,12 @@ def id_counts(ids: DataFrame) -> DataFrame:
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
     """Encodes every text and writes ``path``/blocks and ``path``/ranks in the format above."""
-    spark = docs.sparkSession
-    ids = _store.staged(encoded(docs, tokenizer_path, end_id), "token-ids")
+    with _store.Scratch(docs.sparkSession, "token-ids") as scratch:
+        _write(scratch.staged(encoded(docs, tokenizer_path, end_id)), path)
+
+
+def _write(ids: DataFrame, path: str) -> None:
+    spark = ids.sparkSession
     # at most 65,536 rows, by the width of an id: the driver and every task can hold them
     ranks = sorted(((n, -i) for i, n in id_counts(ids).collect()), reverse=True)
     order = [-i for _, i in ranks]
