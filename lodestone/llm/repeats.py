@@ -12,14 +12,15 @@ one phrase, and no phrase holds a window twice.
 
 1. Count the parse by trigger. A trigger that occurs once has windows that occur once. Where all phrases of a
    trigger are equal and there are several, all their windows repeat.
-2. Where a trigger has different phrases, phrases that occur several times repeat as a whole. Of the others,
-   the dictionary's distinct phrases of the trigger, side by side, are put in order by window: a suffix order
-   cut off at ``length`` bytes, as longer agreement isn't asked for. Equal neighbours repeat.
+2. Where a trigger has different phrases, phrases that occur several times repeat as a whole. For the others, the
+   dictionary's distinct phrases of the trigger are laid end to end, and a suffix array puts their windows in
+   order, cut off at ``length`` bytes, as longer agreement isn't asked for. Equal neighbours repeat. With the
+   counts of the parse that is what the corpus order of all suffixes would say, without a sort of the corpus.
 3. A trigger with more than ``GROUP`` different phrases is ordered by an aggregation over its windows
    instead, which no task needs to hold.
 
-Grams, phrases and windows are compared by 64-bit hashes, windows and phrases only among equal triggers, so by
-128 bits.
+Windows of step 2 are compared byte by byte; grams, phrases and the windows of step 3 by 64-bit hashes, phrases
+and windows only among equal triggers, so by 128 bits.
 
 Rows: a null text is empty; texts shorter than ``length`` lose nothing. Repeated rows are copies like any
 others, and each is returned. Rows are told apart by doc_id (the text's hash where it is null) and 24 bits of
@@ -49,8 +50,8 @@ class Params:
 
 PARAMS = Params()
 
-#: Different phrases of one trigger that a task orders at once.
-GROUP = 20_000
+#: Different phrases of one trigger that a task orders at once, and phrases of several triggers.
+GROUP, TOGETHER = 4_000, 2_048
 #: Bytes of a text that are parsed at once; longer texts in sections, whose phrases are cut at the borders.
 SECTION = 8 << 20
 
@@ -190,25 +191,26 @@ def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _windows(batch: pa.RecordBatch | pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of each window of the phrases (columns n and bytes)."""
+def _starts(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The phrases (columns n and bytes) end to end, and row and place of each window."""
     data, at = _bytes.text_buffers(batch.column("bytes"))
     n = batch.column("n").to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(n)), n)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + at[row]
-    return row, _bytes.span_hash(_bytes.prefix_hash(data), start, start + length)
+    return data, row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + at[row]
 
 
 def _ordered(tests: DataFrame, length: int) -> DataFrame:
     """doc, tag, first, n: windows of single phrases that occur again, in runs; from phrases dealt by trigger and sorted."""
 
     def order(rows: pa.Table) -> pa.RecordBatch:
-        row, window = _windows(rows, length)
-        trigger = rows.column("trigger").to_numpy()[row]
+        data, row, start = _starts(rows)
         single = rows.column("single").to_numpy(zero_copy_only=False)[row]
-        at = np.lexsort((window, trigger))
+        # the suffix array of these phrases, by bytes; equal suffixes have equal triggers, so none is missed
+        suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[start]).view(f"S{length}").ravel()
+        at = np.argsort(suffix)
+        suffix = suffix[at]
         same = np.zeros(len(at) + 1, bool)
-        same[1:-1] = (window[at][1:] == window[at][:-1]) & (trigger[at][1:] == trigger[at][:-1])
+        same[1:-1] = suffix[1:] == suffix[:-1]
         twice = np.zeros(len(at), bool)
         twice[at] = same[1:] | same[:-1]
         twice &= single
@@ -238,10 +240,10 @@ def _ordered(tests: DataFrame, length: int) -> DataFrame:
 
 
 def _runs(trigger: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(first, number) of rows that are ordered together: whole triggers, a few thousand rows."""
+    """(first, number) of rows that are ordered together: whole triggers."""
     low = 0
     while low < len(trigger):
-        high = min(low + 8192, len(trigger))
+        high = min(low + TOGETHER, len(trigger))
         if high < len(trigger):
             back = int(np.searchsorted(trigger, trigger[high]))
             high = back if back > low else int(np.searchsorted(trigger, trigger[high], "right"))
@@ -256,7 +258,8 @@ def _aggregated(tests: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for low in range(0, len(batch), 2048):
                 part = batch.slice(low, 2048)
-                row, window = _windows(part, length)
+                data, row, start = _starts(part)
+                window = _bytes.span_hash(_bytes.prefix_hash(data), start, start + length)
                 n = part.column("n").to_numpy().astype(np.int64)
                 first = part.column("first").to_numpy()[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
                 columns = [pa.array(part.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("doc", "tag", "trigger", "single")]
@@ -272,26 +275,27 @@ def removals(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
     length = params.length
     if length > 255 or params.gram >= length:
         raise ValueError("length is at most 255 bytes, and longer than a gram")
-    # the parse is made anew for the count and for the join: it costs less than to keep it
-    triggers = parse(docs, params).groupBy("trigger").agg(F.count("*").alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high"))
-    # written, so that both sides of the join are plain exchanges, whose hot partitions Spark can split
-    triggers = _store.staged(triggers.where("n > 1").select("trigger", (F.col("low") == F.col("high")).alias("alike")), "repeats-triggers")
-    found = _store.staged(parse(docs, params).join(triggers, "trigger"), "repeats")
-    alike, mixed = found.where("alike").select("doc", "span"), found.where("not alike").select("doc", "span", "trigger", "phrase")
-
-    counted = mixed.groupBy("trigger", "phrase").agg(F.count("*").alias("times"), F.min(F.struct("doc", "span")).alias("one"))
-    counted = _store.staged(counted, "repeats-phrases")
-    whole = alike.union(mixed.join(counted.where("times > 1").select("trigger", "phrase"), ["trigger", "phrase"], "left_semi").select("doc", "span"))
-    groups = counted.groupBy("trigger").agg(F.count("*").alias("different"), F.min("times").alias("least")).where("different > 1 and least = 1")
-    groups = _store.staged(groups, "repeats-groups")
-    tests = counted.join(groups, "trigger").select("one.doc", "one.span", "trigger", (F.col("times") == 1).alias("single"), (F.col("different") > GROUP).alias("big"))
-
-    null = {"trigger": F.lit(None).cast("long"), "single": F.lit(None).cast("boolean"), "big": F.lit(None).cast("boolean")}
-    marks = whole.select("doc", "span", F.lit(True).alias("whole"), *[c.alias(k) for k, c in null.items()])
-    marks = marks.union(tests.select("doc", "span", F.lit(False), "trigger", "single", "big"))
-    # as many marks as a text has phrases
-    marks = marks.groupBy("doc", _tag("span").alias("tag")).agg(F.collect_list(F.struct(_first("span").alias("first"), _count("span").cast("int").alias("n"), "whole", "trigger", "single", "big")).alias("marks"))
-    marked = _store.staged(_mark(_packed(docs).join(marks, ["doc", "tag"], "left"), length), "repeats-marked")
+    with _store.Scratch(docs.sparkSession, "repeats") as scratch:
+        # the parse is made anew for the count and for the join: it costs less than to keep it
+        triggers = parse(docs, params).groupBy("trigger").agg(F.count("*").alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high"))
+        # written, so that both sides of the join are plain exchanges, whose hot partitions Spark can split
+        triggers = scratch.staged(triggers.where("n > 1").select("trigger", (F.col("low") == F.col("high")).alias("alike")))
+        found = scratch.staged(parse(docs, params).join(triggers, "trigger"))
+        alike, mixed = found.where("alike").select("doc", "span"), found.where("not alike").select("doc", "span", "trigger", "phrase")
+
+        counted = mixed.groupBy("trigger", "phrase").agg(F.count("*").alias("times"), F.min(F.struct("doc", "span")).alias("one"))
+        counted = scratch.staged(counted)
+        whole = alike.union(mixed.join(counted.where("times > 1").select("trigger", "phrase"), ["trigger", "phrase"], "left_semi").select("doc", "span"))
+        groups = counted.groupBy("trigger").agg(F.count("*").alias("different"), F.min("times").alias("least")).where("different > 1 and least = 1")
+        groups = scratch.staged(groups)
+        tests = counted.join(groups, "trigger").select("one.doc", "one.span", "trigger", (F.col("times") == 1).alias("single"), (F.col("different") > GROUP).alias("big"))
+
+        null = {"trigger": F.lit(None).cast("long"), "single": F.lit(None).cast("boolean"), "big": F.lit(None).cast("boolean")}
+        marks = whole.select("doc", "span", F.lit(True).alias("whole"), *[c.alias(k) for k, c in null.items()])
+        marks = marks.union(tests.select("doc", "span", F.lit(False), "trigger", "single", "big"))
+        # as many marks as a text has phrases
+        marks = marks.groupBy("doc", _tag("span").alias("tag")).agg(F.collect_list(F.struct(_first("span").alias("first"), _count("span").cast("int").alias("n"), "whole", "trigger", "single", "big")).alias("marks"))
+        marked = _store.staged(_mark(_packed(docs).join(marks, ["doc", "tag"], "left"), length), "repeats-marked")
 
     # copies of a row bring the same phrase twice; one is enough, as it is known to be single
     tests = marked.where("size(tests) > 0").select("doc", "tag", F.explode("tests").alias("t")).select("doc", "tag", "t.*")
