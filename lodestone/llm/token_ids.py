@@ -228,8 +228,8 @@ def _write(ids: DataFrame, path: str) -> None:
             yield block()
 
     arrow = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
-    # a range exchange, so that blocks are in order; sampling for the bounds reads only doc_id
-    by_range = ids.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "ids")
+    # a range exchange, so that blocks are in order; the first ids split rows that share a doc_id or have none
+    by_range = ids.repartitionByRange(F.col("doc_id").asc_nulls_last(), F.substring("ids", 1, 16)).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "ids")
     (by_range.withColumn("part", F.spark_partition_id()).select("doc_id", "ids", "n", "part")
      .mapInArrow(_bytes.frugal(run), "part int, seq int, n_ids long, doc_ids array<bigint>, counts array<bigint>, control binary, data binary")
      .write.option("compression", "none").parquet(f"{path}/blocks"))
