@@ -3,10 +3,11 @@
 A text becomes a sequence of template tokens: words without the punctuation at their edges, A-Z folded, where
 numbers become one placeholder, units behind a number another, and runs of capitalised words inside a sentence a
 third. Windows of eight tokens are joined with the benchmark's by hash; a window needs five plain words, so that
-placeholders alone match nothing. Hits line up along diagonals (item, shift). A diagonal counts if its slots are
-consistent: each value of the benchmark stands for one value of the document and the other way round, so a
-question with other numbers or names is found and a chance meeting of templates isn't. A document is
-contaminated if a consistent diagonal has 13 tokens in a row, or half of an item's tokens are matched.
+placeholders alone match nothing. Hits line up along diagonals (item, shift). Of each run of tokens that hits cover on
+a diagonal, the longest piece with consistent slots counts, if it holds a window: each value of the benchmark stands for
+one value of the document and the other way round, so a question with other numbers or names is found and a chance
+meeting of templates isn't. Slots that are equal word for word are consistent. A document is contaminated if such a
+piece has 13 tokens in a row, or half of an item's tokens are matched.
 Items of five to seven tokens are one window each, of plain words or more than half of them; shorter ones
 can't be told from chance and match nothing.
 
@@ -125,6 +126,22 @@ def windows(token: np.ndarray, slot: np.ndarray, first: np.ndarray, size: int, p
     return _bytes.span_hash(total, begin, begin + size), begin
 
 
+def consistent(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Where the longest piece begins and ends in which each value of a stands for one of b, and the other way round."""
+    where = np.flatnonzero(a)
+    best, begin = (0, 0), 0
+    by_a: dict[int, tuple[int, int]] = {}  # the last place of a value, and what stood for it there
+    by_b: dict[int, tuple[int, int]] = {}
+    for k, x, y in zip(where.tolist(), a[where].tolist(), b[where].tolist(), strict=True):
+        (i, other), (j, one) = by_a.get(x, (-1, y)), by_b.get(y, (-1, x))
+        clash = max(i if other != y else -1, j if one != x else -1)
+        if clash >= begin:
+            best = max(best, (begin, k), key=lambda p: p[1] - p[0])
+            begin = clash + 1
+        by_a[x], by_b[y] = (k, y), (k, x)
+    return max(best, (begin, len(a)), key=lambda p: p[1] - p[0])
+
+
 class Index:
     """Windows of benchmark items by hash."""
 
@@ -170,16 +187,17 @@ class Index:
             covered = np.zeros(self.length[item] + 1, bool)
             for o, size in part[3:].T:
                 covered[o : o + size] = True
-            own = np.flatnonzero(covered)
-            a, b = self.slot[self.begin[item] + own], slot[shift + own]
-            a, b = a[a != 0], b[a != 0]
-            pairs = len({*zip(a.tolist(), b.tolist(), strict=True)})
             windows_hit, n_items, run, share = out.get(row, (0, 0, 0, 0.0))
-            if pairs == len({*a.tolist()}) == len({*b.tolist()}):
-                edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0))
-                run = max(run, int((edges[1::2] - edges[::2]).max()))
+            edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0)).tolist()
+            for low, high in zip(edges[::2], edges[1::2], strict=True):
+                at = self.begin[item]
+                a, b = consistent(self.slot[at + low : at + high], slot[shift + low : shift + high])
+                if b - a < min(params.window, self.length[item]):
+                    continue
+                run = max(run, b - a)
                 n_items += (row, item) not in matched
-                both = matched[row, item] = matched.get((row, item), False) | covered
+                both = matched.setdefault((row, item), np.zeros(self.length[item], bool))
+                both[low + a : low + b] = True
                 share = max(share, float(both.sum() / self.length[item]))
             out[row] = (windows_hit + part.shape[1], n_items, run, share)
         return out

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import brute
+import numpy as np
 
 from lodestone.llm import decontamination, queries
 
@@ -28,6 +29,15 @@ def test_copies_and_other_numbers_are_caught(spark):
     assert flags(spark, [changed, crossed], [QUESTION], params=params) == {0}
 
 
+def test_one_altered_place_does_not_hide_the_rest(spark):
+    crossed = QUESTION.replace("Paris", "Rome", 1).replace("300 km", "450 km")
+    equal = QUESTION.replace("300 km", "7 km").replace("10 hours", "7 hours")  # two numbers came out equal
+    mixed = "A train from Rome covers 450 km in 9 hours."  # not a window with more than a chance meeting
+    assert flags(spark, [crossed, equal, mixed], [QUESTION]) == {0, 1}
+    assert decontamination.consistent(np.array([5, 0, 5, 0, 0, 6]), np.array([7, 0, 8, 0, 0, 9])) == (1, 6)
+    assert decontamination.consistent(np.array([5, 0, 0, 6, 0]), np.array([7, 0, 0, 7, 0])) == (1, 5)
+
+
 def test_placeholders_alone_match_nothing(spark):
     assert not flags(spark, ["12 34 56 78 90 12 34 56 78 " * 20, "x John Smith Ann Lee Bob Ray " * 9], ["1 2 3 4 5 6 7 8 9 10", "so Kim Day 5 km Lou Fox 6 km"])
 
