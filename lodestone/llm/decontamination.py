@@ -11,6 +11,10 @@ piece has 13 tokens in a row, or half of an item's tokens are matched.
 Items of five to seven tokens are one window each, of plain words or more than half of them; shorter ones
 can't be told from chance and match nothing.
 
+Beside its template a text is read as its plain words, A-Z folded and without the punctuation at their edges, numbers and
+names too, in windows of eight of any words. So a copy is found whatever its letter case, however it is punctuated
+and however dense in numbers it is. Such hits need no consistency, and count for the same run and share.
+
 The benchmark's windows go to all tasks in blocks of at most ``BLOCK`` windows, with a pass over the documents
 for each, so what a task holds is bounded whatever the benchmark's size. No document is shuffled.
 
@@ -72,8 +76,16 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
-def template(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens of all rows, the value of each slot (0 for plain words), and each row's first token."""
+@dataclass(frozen=True)
+class Tokens:
+    token: np.ndarray
+    slot: np.ndarray  #: the value of each slot, 0 for plain words
+    first: np.ndarray  #: each row's first token, one entry more than rows
+    word: np.ndarray  #: each token's first word, one entry more than tokens
+
+
+def read(data: np.ndarray, at: np.ndarray) -> tuple[Tokens, Tokens]:
+    """Template tokens of all rows, and their words."""
     start, end, first = _bytes.word_spans(data, at)
     solid = _ALNUM[data] & ~_bytes.SPACE[data]
     before = np.zeros(len(data) + 1, np.int64)
@@ -99,6 +111,8 @@ def template(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     name &= ~unit
     token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
     slot = np.where(number | unit | name, value, _U(0))
+    literal = Tokens(value, np.zeros(len(value), _U), np.searchsorted(rows, np.arange(len(at))), np.arange(len(value) + 1))
+    word = literal.word
     # a run of names is one slot
     inner = np.zeros(len(core), bool)
     inner[1:] = name[1:] & name[:-1] & (rows[1:] == rows[:-1])
@@ -106,12 +120,13 @@ def template(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         heads = np.flatnonzero(~inner)
         place = np.arange(len(core)) - np.repeat(heads, np.diff(np.append(heads, len(core))))
         slot = np.add.reduceat(np.where(slot != 0, _bytes.mix(slot + place.astype(_U)), _U(0)), heads)
-        token, rows = token[heads], rows[heads]
-    return token, slot, np.searchsorted(rows, np.arange(len(at)))
+        token, rows, word = token[heads], rows[heads], np.append(heads, len(core))
+    return Tokens(token, slot, np.searchsorted(rows, np.arange(len(at))), word), literal
 
 
-def windows(token: np.ndarray, slot: np.ndarray, first: np.ndarray, size: int, plain: float) -> tuple[np.ndarray, np.ndarray]:
+def windows(text: Tokens, size: int, plain: float) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each window, and where it begins; those with too few plain words or across rows are left out."""
+    token, slot, first = text.token, text.slot, text.first
     n = len(token) - size + 1
     if n <= 0:
         return np.zeros(0, _U), np.zeros(0, np.int64)
@@ -143,29 +158,29 @@ def consistent(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 
 class Index:
-    """Windows of benchmark items by hash."""
+    """Windows of benchmark items by hash, of their templates and of their words."""
 
     def __init__(self, texts: list[str], params: Params) -> None:
-        data, at = _bytes.text_buffers(pa.array(texts, pa.string()))
-        self.token, self.slot, first = template(data, at)
-        self.length, self.begin = np.diff(first), first[:-1]
-        self.by_size: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        for size in range(params.least, params.window + 1):
-            own = self.length >= size if size == params.window else self.length == size
-            key, start = windows(self.token, self.slot, first, size, params.plain)
-            item = np.searchsorted(first, start, "right") - 1
-            key, start, item = (x[own[item]] for x in (key, start, item))
-            if len(key):
-                order = np.argsort(key, kind="stable")
-                sieve = np.zeros(1 << 22, bool)
-                sieve[key >> _U(42)] = True
-                self.by_size.append((size, key[order], item[order], start[order] - self.begin[item[order]], sieve))
-
-    def judge(self, token: np.ndarray, slot: np.ndarray, first: np.ndarray, params: Params) -> dict[int, tuple[int, int, int, float]]:
+        self.kinds = read(*_bytes.text_buffers(pa.array(texts, pa.string())))
+        self.by_size: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for kind, text in enumerate(self.kinds):
+            length = np.diff(text.first)
+            for size in range(params.least, params.window + 1):
+                own = length >= size if size == params.window else length == size
+                key, start = windows(text, size, params.plain)
+                item = np.searchsorted(text.first, start, "right") - 1
+                key, start, item = (x[own[item]] for x in (key, start, item))
+                if len(key):
+                    order = np.argsort(key, kind="stable")
+                    sieve = np.zeros(1 << 22, bool)
+                    sieve[key >> _U(42)] = True
+                    self.by_size.append((kind, size, key[order], item[order], start[order] - text.first[item[order]], sieve))
+
+    def judge(self, texts: tuple[Tokens, Tokens], params: Params) -> dict[int, tuple[int, int, int, float]]:
         """By row with a hit: windows hit, items found, tokens of the longest run, largest share of an item."""
         found: list[np.ndarray] = []
-        for size, keys, item, offset, sieve in self.by_size:
-            key, begin = windows(token, slot, first, size, params.plain)
+        for kind, size, keys, item, offset, sieve in self.by_size:
+            key, begin = windows(texts[kind], size, params.plain)
             maybe = sieve[key >> _U(42)]
             key, begin = key[maybe], begin[maybe]
             low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
@@ -174,33 +189,45 @@ class Index:
                 upto = np.cumsum(n)
                 at = np.repeat(low - (upto - n), n) + np.arange(upto[-1])
                 begins = np.repeat(begin, n)
-                found.append(np.stack([np.searchsorted(first, begins, "right") - 1, item[at], begins - offset[at], offset[at], np.full(len(at), size)]))
+                same = np.ones(len(at), np.int64)
+                found.append(np.stack([np.searchsorted(texts[kind].first, begins, "right") - 1, item[at], kind * same, begins - offset[at], offset[at], size * same]))
         if not found:
             return {}
         hits = np.concatenate(found, axis=1)
         hits = hits[:, np.lexsort(hits[::-1])]
-        cut = np.flatnonzero((hits[:3, 1:] != hits[:3, :-1]).any(axis=0)) + 1
-        matched: dict[tuple[int, int], np.ndarray] = {}
+        cut = np.flatnonzero((hits[:4, 1:] != hits[:4, :-1]).any(axis=0)) + 1
+        matched: dict[tuple[int, int], list[np.ndarray]] = {}
         out: dict[int, tuple[int, int, int, float]] = {}
         for part in np.split(hits, cut, axis=1):
-            row, item, shift = (int(x) for x in part[:3, 0])
-            covered = np.zeros(self.length[item] + 1, bool)
-            for o, size in part[3:].T:
+            row, item, kind, shift = (int(x) for x in part[:4, 0])
+            own, text = self.kinds[kind], texts[kind]
+            start, end = (int(x) for x in own.first[item : item + 2])
+            covered = np.zeros(end - start + 1, bool)
+            for o, size in part[4:].T:
                 covered[o : o + size] = True
-            windows_hit, n_items, run, share = out.get(row, (0, 0, 0, 0.0))
+            _, n_items, run, share = out.get(row, (0, 0, 0, 0.0))
             edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0)).tolist()
             for low, high in zip(edges[::2], edges[1::2], strict=True):
-                at = self.begin[item]
-                a, b = consistent(self.slot[at + low : at + high], slot[shift + low : shift + high])
-                if b - a < min(params.window, self.length[item]):
+                a, b = consistent(own.slot[start + low : start + high], text.slot[shift + low : shift + high])
+                if b - a < min(params.window, end - start):
                     continue
                 run = max(run, b - a)
                 n_items += (row, item) not in matched
-                both = matched.setdefault((row, item), np.zeros(self.length[item], bool))
-                both[low + a : low + b] = True
-                share = max(share, float(both.sum() / self.length[item]))
-            out[row] = (windows_hit + part.shape[1], n_items, run, share)
-        return out
+                # of the item's template tokens, and of its words
+                both = matched.setdefault((row, item), [np.zeros(int(k.first[item + 1] - k.first[item]), bool) for k in self.kinds])
+                words, first = own.word[[start + low + a, start + low + b]], self.kinds[1].first[item]
+                both[1][words[0] - first : words[1] - first] = True
+                if kind == 0:
+                    both[0][low + a : low + b] = True
+                share = max(share, *(float(x.mean()) for x in both))
+            out[row] = (0, n_items, run, share)
+        # places, in words, at which both kinds hit an item count once
+        first, plain = hits[2] == 0, self.kinds[0]
+        ours, theirs = hits[4] + np.where(first, plain.first[hits[1]], self.kinds[1].first[hits[1]]), hits[3] + hits[4]
+        ours, theirs = (np.where(first, word[np.where(first, k, 0)], k) for word, k in ((plain.word, ours), (texts[0].word, theirs)))
+        places = np.unique(np.stack([hits[0], hits[1], ours, theirs]), axis=1)
+        rows, n = np.unique(places[0], return_counts=True)
+        return {row: (k, *out[row][1:]) for row, k in zip(rows.tolist(), n.tolist(), strict=True)}
 
 
 _FOUND = T.StructType([T.StructField("n_windows", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("longest_run", T.LongType()), T.StructField("item_share", T.DoubleType())])
@@ -220,7 +247,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, params: Params = PARAMS, block
                 for low, high, data, at in _bytes.slices(batch.column(text_at)):
                     piece, kinds = batch.slice(low, high - low), (pa.int64(), pa.int64(), pa.int64(), pa.float64())
                     columns = list(piece.columns[n:])
-                    if found := index.value.judge(*template(data, at), params):
+                    if found := index.value.judge(read(data, at), params):
                         lists = [c.to_pylist() for c in columns]
                         for k, (w, i, r, s) in found.items():
                             lists[0][k] += w
@@ -241,7 +268,7 @@ def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[str]]:
     size = 0
     for row in benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null").toLocalIterator():
         held.append(row["text"])
-        size += row["text"].count(" ") + 1
+        size += 2 * (row["text"].count(" ") + 1)  # of both kinds
         if size >= block:
             yield held
             held, size = [], 0

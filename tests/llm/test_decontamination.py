@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import brute
 import numpy as np
 
@@ -38,6 +40,18 @@ def test_one_altered_place_does_not_hide_the_rest(spark):
     assert decontamination.consistent(np.array([5, 0, 0, 6, 0]), np.array([7, 0, 0, 7, 0])) == (1, 5)
 
 
+def test_exact_copies_in_other_case_without_punctuation_or_dense_in_numbers(spark):
+    names = "Later Ann Lee met Bob Ray in Rome. Kim Day saw Lou Fox there: Tom Orr went with Jim Poe to Bonn, and Sue May came by."
+    numbers = "12 + 7 = 19, 30 - 4 = 26, 8 * 9 = 72, 45 / 5 = 9, 61 + 20 = 81, 3 * 33 = 99"
+    items = [QUESTION, names, numbers]
+    docs = [f"here {c(t)} there" for t in items for c in (str.upper, str.lower, str.title, lambda t: re.sub("[.,:?]", "", t), str)]
+    others = ["here 12 + 8 = 20, 31 - 4 = 27, 8 * 7 = 56, 45 / 9 = 5, 60 + 20 = 80", "LATER ANN MET NOBODY IN ROME AND WENT AWAY"]
+    assert flags(spark, docs + others, items) == set(range(len(docs)))
+    d = spark.createDataFrame([(1, QUESTION)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, QUESTION)], "item_id int, text string")
+    assert decontamination.judged(d, b).first().item_share == 1.0
+
+
 def test_placeholders_alone_match_nothing(spark):
     assert not flags(spark, ["12 34 56 78 90 12 34 56 78 " * 20, "x John Smith Ann Lee Bob Ray " * 9], ["1 2 3 4 5 6 7 8 9 10", "so Kim Day 5 km Lou Fox 6 km"])
 
