@@ -44,7 +44,7 @@ PATTERNS = (
     Pattern("block", ("casino",), r"\bcasino\b"),
     Pattern("block", ("free", "download"), r"\bfree-([a-z0-9]+-)*download\b"),
     Pattern("block", ("adult",), r"://([a-z0-9-]+\.)*adult(-[a-z0-9-]+)?\."),
-    Pattern("block", ("redirect", "url", "http"), r"/redirect\?(.*&)?url=http"),
+    Pattern("block", ("redirect", "url"), r"/redirect\?(.*&)?url=http"),
     Pattern("block", ("utm", "source", "ref", "affiliate"), r"[?&]utm_source=[^&#]*&ref=affiliate\b"),
     Pattern("block", ("exe",), r"\.exe([?#]|$)"),
     Pattern("block", ("wp", "login", "php"), r"/wp-login\.php\b"),

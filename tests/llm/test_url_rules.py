@@ -47,6 +47,13 @@ def test_rules_are_filed_under_their_rarest_token():
     assert rules.by_pattern("http://x.org/often/seldom") == "block" and rules.by_pattern("http://x.org/often") == "allow"
 
 
+def test_redirects_to_https_in_a_table_without_http(spark):
+    every = ["https://x.org/redirect?url=https://y.org", "https://x.org/redirect?a=1&url=httpx", "https://x.org/redirect/url", "https://x.org/?url=https://y.org"]
+    df = spark.createDataFrame(list(enumerate(every)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judged(df).collect()}
+    assert got == {k: brute(u)[3] for k, u in enumerate(every)} == {0: "block", 1: "block", 2: "allow", 3: "allow"}
+
+
 def test_literal_tokens_are_in_all_that_fits():
     for p in url_rules.PATTERNS:
         for u in urls():
