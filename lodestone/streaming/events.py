@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 
 def source(spark: SparkSession, folder: str, schema, files: str = "*") -> DataFrame:
-    """Parquet files of a folder whose names fit, as a stream, with event times that watermarks accept."""
+    """Parquet files of a folder, or of all paths that a glob has, whose names fit, as a stream, with event times that watermarks accept."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).option("pathGlobFilter", files).parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def deduplicated(rows: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
-    """The first row of each key within the watermark; state older than that is dropped."""
+def deduplicated(rows: DataFrame, key: str, late: str | None = "1 hour") -> DataFrame:
+    """The first row of each key within the watermark; state older than that is dropped, and so are rows that come later.
+
+    Without a watermark (None) no row is late, in whatever order files are read, and state holds each key once: for what is bounded.
+    """
+    if late is None:
+        return rows.dropDuplicates([key])
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 

@@ -271,6 +271,14 @@ def test_stream_of_events(spark, tmp_path):
     assert sorted(counts) == [("click", 1), ("view", 2)]
 
 
+def test_stream_of_a_folder_of_files_out_of_order(spark, tmp_path):
+    made = ["id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(CAST((id * 7) % 20 AS INT)) AS ts", "7L AS user_id", "'view' AS event_type", "1.0D AS value"]
+    for k in (13, 2, 19, 0, 7, 16, 5, 11, 1, 18, 9, 4, 15, 3, 12, 8, 17, 6, 14, 10):  # a file each, over 20 days
+        spark.range(k, k + 1, 1, 1).selectExpr(*made).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = [r.event_id for r in catalog.queries()["q60_stream_without_duplicates"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == list(range(20))
+
+
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_queries_against_oracles(spark, name):
     import duckdb
