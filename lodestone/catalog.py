@@ -692,17 +692,12 @@ def q59_suspicious_text(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id FROM events")
 def q60_stream_without_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """The events table read as a stream, drained through a deduplication into a table of the session's folder."""
-    import tempfile
     import uuid
 
+    from lodestone.shared import shared_folder
     from lodestone.streaming import events
 
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="lodestone-")
-    out = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     # a glob of one name, as a stream takes a plain path for a folder, and a table may be one file
     rows = events.source(spark, f"{d}/events.parque[t]", table(spark, d, "events").schema)
     # a batch that is done again after a failure replaces itself

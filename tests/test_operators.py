@@ -296,3 +296,19 @@ def test_queries_against_oracles(spark, name):
     assert columns == sorted(want.columns)
     plain = [sorted(map(tuple, x[columns].astype(object).where(x[columns].notna(), None).values.tolist()), key=str) for x in (rows, want)]
     assert plain[0] == plain[1]
+
+
+def test_shared_folder_is_the_sessions_or_one_of_our_own(monkeypatch):
+    from types import SimpleNamespace
+
+    from lodestone.shared import shared_folder
+
+    def session(folder, master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master, applicationId="test"))
+
+    assert shared_folder(session("hdfs://x/y/", "yarn")) == "hdfs://x/y"
+    own = shared_folder(session(None, "local[4]"))
+    assert own.startswith("file://") and own == shared_folder(session("", "local"))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(RuntimeError):
+            shared_folder(session(None, master))
