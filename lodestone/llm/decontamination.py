@@ -15,11 +15,17 @@ Beside its template a text is read as its plain words, A-Z folded and without th
 names too, in windows of eight of any words. So a copy is found whatever its letter case, however it is punctuated
 and however dense in numbers it is. Such hits need no consistency, and count for the same run and share.
 
-The benchmark's windows go to all tasks in blocks of at most ``BLOCK`` windows, with a pass over the documents
-for each, so what a task holds is bounded whatever the benchmark's size. No document is shuffled.
+Items whose templates are equal word for word, with slots that repeat alike, are one class, as consistency can't tell
+them apart: however many items a template has, a text meets it once. Words match those of any item of the class.
+
+The join: the benchmark's windows are a table, distinct by class. The documents' windows pass a sieve first, a bit array
+of the benchmark's window hashes of at most 2 bytes for each of ``block`` windows, and those left are joined with the
+table by hash; Spark broadcasts it only where its written size is below the session's threshold. Hits are then grouped by
+text, class and diagonal, a group being no longer than an item. Equal texts fold into one on the way. Texts go by their
+md5, and only verdicts of texts with hits are joined back.
 
 Every row gives one result, whatever its doc_id. Null texts, in either table, are empty and match nothing; null or
-repeated item_ids are separate items all the same. Extra columns don't matter. With an empty benchmark nothing
+repeated item_ids don't matter, as items count by their class. Extra columns don't matter. With an empty benchmark nothing
 is contaminated.
 """
 
@@ -30,11 +36,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm import _bytes
+from lodestone.llm import _bytes, _store
 
 
 @dataclass(frozen=True)
@@ -48,8 +54,8 @@ class Params:
 
 PARAMS = Params()
 
-#: Windows of the benchmark that a task holds at once (about 40 bytes each).
-BLOCK = 2_000_000
+#: Windows of the benchmark up to which the sieve grows; with more of them it lets more through, at no loss.
+BLOCK = 8_000_000
 
 # Names of units, as they stand behind a number.
 UNITS = """% percent kg g mg lb lbs oz ton tons tonnes km m cm mm mi mile miles ft feet foot in inch inches yd yards
@@ -157,126 +163,192 @@ def consistent(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return max(best, (begin, len(a)), key=lambda p: p[1] - p[0])
 
 
-class Index:
-    """Windows of benchmark items by hash, of their templates and of their words."""
-
-    def __init__(self, texts: list[str], params: Params) -> None:
-        self.kinds = read(*_bytes.text_buffers(pa.array(texts, pa.string())))
-        self.by_size: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        for kind, text in enumerate(self.kinds):
-            length = np.diff(text.first)
-            for size in range(params.least, params.window + 1):
-                own = length >= size if size == params.window else length == size
-                key, start = windows(text, size, params.plain)
-                item = np.searchsorted(text.first, start, "right") - 1
-                key, start, item = (x[own[item]] for x in (key, start, item))
-                if len(key):
-                    order = np.argsort(key, kind="stable")
-                    sieve = np.zeros(1 << 22, bool)
-                    sieve[key >> _U(42)] = True
-                    self.by_size.append((kind, size, key[order], item[order], start[order] - text.first[item[order]], sieve))
-
-    def judge(self, texts: tuple[Tokens, Tokens], params: Params) -> dict[int, tuple[int, int, int, float]]:
-        """By row with a hit: windows hit, items found, tokens of the longest run, largest share of an item."""
-        found: list[np.ndarray] = []
-        for kind, size, keys, item, offset, sieve in self.by_size:
-            key, begin = windows(texts[kind], size, params.plain)
-            maybe = sieve[key >> _U(42)]
-            key, begin = key[maybe], begin[maybe]
-            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            n = high - low
-            if n.sum():
-                upto = np.cumsum(n)
-                at = np.repeat(low - (upto - n), n) + np.arange(upto[-1])
-                begins = np.repeat(begin, n)
-                same = np.ones(len(at), np.int64)
-                found.append(np.stack([np.searchsorted(texts[kind].first, begins, "right") - 1, item[at], kind * same, begins - offset[at], offset[at], size * same]))
-        if not found:
-            return {}
-        hits = np.concatenate(found, axis=1)
-        hits = hits[:, np.lexsort(hits[::-1])]
-        cut = np.flatnonzero((hits[:4, 1:] != hits[:4, :-1]).any(axis=0)) + 1
-        matched: dict[tuple[int, int], list[np.ndarray]] = {}
-        out: dict[int, tuple[int, int, int, float]] = {}
-        for part in np.split(hits, cut, axis=1):
-            row, item, kind, shift = (int(x) for x in part[:4, 0])
-            own, text = self.kinds[kind], texts[kind]
-            start, end = (int(x) for x in own.first[item : item + 2])
-            covered = np.zeros(end - start + 1, bool)
-            for o, size in part[4:].T:
-                covered[o : o + size] = True
-            _, n_items, run, share = out.get(row, (0, 0, 0, 0.0))
-            edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0)).tolist()
-            for low, high in zip(edges[::2], edges[1::2], strict=True):
-                a, b = consistent(own.slot[start + low : start + high], text.slot[shift + low : shift + high])
-                if b - a < min(params.window, end - start):
-                    continue
-                run = max(run, b - a)
-                n_items += (row, item) not in matched
-                # of the item's template tokens, and of its words
-                both = matched.setdefault((row, item), [np.zeros(int(k.first[item + 1] - k.first[item]), bool) for k in self.kinds])
-                words, first = own.word[[start + low + a, start + low + b]], self.kinds[1].first[item]
-                both[1][words[0] - first : words[1] - first] = True
-                if kind == 0:
-                    both[0][low + a : low + b] = True
-                share = max(share, *(float(x.mean()) for x in both))
-            out[row] = (0, n_items, run, share)
-        # places, in words, at which both kinds hit an item count once
-        first, plain = hits[2] == 0, self.kinds[0]
-        ours, theirs = hits[4] + np.where(first, plain.first[hits[1]], self.kinds[1].first[hits[1]]), hits[3] + hits[4]
-        ours, theirs = (np.where(first, word[np.where(first, k, 0)], k) for word, k in ((plain.word, ours), (texts[0].word, theirs)))
-        places = np.unique(np.stack([hits[0], hits[1], ours, theirs]), axis=1)
-        rows, n = np.unique(places[0], return_counts=True)
-        return {row: (k, *out[row][1:]) for row, k in zip(rows.tolist(), n.tolist(), strict=True)}
-
-
-_FOUND = T.StructType([T.StructField("n_windows", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("longest_run", T.LongType()), T.StructField("item_share", T.DoubleType())])
+def _classes(text: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each slot's value in its row, by first occurrence (0 for plain words), and a hash of each row's class."""
+    number = np.zeros(len(text.token), np.int64)
+    for a, b in zip(text.first[:-1].tolist(), text.first[1:].tolist(), strict=True):
+        known: dict[int, int] = {0: 0}
+        number[a:b] = [known.setdefault(x, len(known)) for x in text.slot[a:b].tolist()]
+    part = _bytes.mix(_bytes.mix(text.token + number.astype(_U)) + np.diff(text.word).astype(_U))
+    total = np.zeros(len(part) + 1, _U)
+    np.cumsum(part * _bytes.powers(len(part))[0][: len(part)], out=total[1:])
+    return number, _bytes.span_hash(total, text.first[:-1], text.first[1:])
+
+
+def _keys(text: Tokens, kind: int, size: int, plain: float) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys and starts of the windows of a kind (0 templates, 1 words) and size."""
+    key, start = windows(text, size, plain)
+    return _bytes.mix(key ^ _U(kind << 8 | size)), start
+
+
+def _pieces(values: np.ndarray, start: np.ndarray, size: int) -> pa.Array:
+    """The bytes of values[start : start + size] for each start."""
+    rows = values[start[:, None] + np.arange(size)] if len(start) else np.zeros((0, size), values.dtype)
+    return pa.array([r.tobytes() for r in np.ascontiguousarray(rows)], pa.binary())
+
+
+def item_windows(benchmark: DataFrame, params: Params = PARAMS) -> DataFrame:
+    """The benchmark's windows, distinct by class: klass, kind, size, key, place, n_tokens, n_words, numbers and words (of templates)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, at in _bytes.slices(batch.column(0)):
+                kinds = read(data, at)
+                number, klass = _classes(kinds[0])
+                lengths = [np.diff(k.first) for k in kinds]
+                for kind, text in enumerate(kinds):
+                    for size in range(params.least, params.window + 1):
+                        own = lengths[kind] >= size if size == params.window else lengths[kind] == size
+                        key, start = _keys(text, kind, size, params.plain)
+                        item = np.searchsorted(text.first, start, "right") - 1
+                        key, start, item = (x[own[item]] for x in (key, start, item))
+                        place, same = start - text.first[item], np.ones(len(item), np.int32)
+                        none = pa.array([b""] * len(item), pa.binary())
+                        words = (text.word[start[:, None] + np.arange(size + 1)] - text.word[text.first[item]][:, None]).astype(np.int64)
+                        columns = [klass[item].view(np.int64), kind * same, size * same, key.view(np.int64), place, *(n[item] for n in lengths)]
+                        columns = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4), strict=True)]
+                        columns += [none, none] if kind else [_pieces(number, start, size), pa.array([w.tobytes() for w in words], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, ["klass", "kind", "size", "key", "place", "n_tokens", "n_words", "numbers", "words"])
+
+    texts = benchmark.select(F.col("text").cast("string").alias("text"))
+    schema = "klass long, kind int, size int, key long, place long, n_tokens long, n_words long, numbers binary, words binary"
+    return texts.mapInArrow(_bytes.frugal(run), schema).dropDuplicates(["klass", "kind", "size", "key", "place"])
+
+
+def _sieve(items: DataFrame, bits: int) -> bytes:
+    """A bit for each of the keys' first ``bits`` bits that some key has; as many bits whatever the benchmark's size."""
+    place = F.shiftrightunsigned("key", 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = items.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("word")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64)
+    return out.tobytes()
+
+
+def _found(docs: DataFrame, items: DataFrame, params: Params, block: int) -> DataFrame:
+    """doc (md5 of the text), kind, size, key, begin and slots of the documents' windows that the sieve lets through."""
+    # at most as many rows as kinds and sizes of windows
+    shapes = sorted((r["kind"], r["size"], r["n"]) for r in items.groupBy("kind", "size").agg(F.count("*").alias("n")).collect())
+    bits = min(max(1, sum(n for _, _, n in shapes)), block).bit_length() + 4
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(items, max(10, bits)))
+    down = _U(64 - max(10, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            for low, _, data, at in _bytes.slices(batch.column(1)):
+                kinds = read(data, at)
+                for kind, size, _ in shapes:
+                    text = kinds[kind]
+                    key, begin = _keys(text, kind, size, params.plain)
+                    place = key >> down
+                    maybe = np.flatnonzero(sieve[place >> _U(3)] >> (place & _U(7)).astype(np.uint8) & 1)
+                    if not len(maybe):
+                        continue
+                    key, begin = key[maybe], begin[maybe]
+                    row = np.searchsorted(text.first, begin, "right") - 1
+                    slots = pa.array([b""] * len(row), pa.binary()) if kind else _pieces(text.slot, begin, size)
+                    columns = [batch.column(0).take(pa.array(low + row)), pa.array(np.full(len(row), kind), pa.int32()), pa.array(np.full(len(row), size), pa.int32())]
+                    columns += [pa.array(key.view(np.int64)), pa.array(begin - text.first[row]), slots]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc", "kind", "size", "key", "begin", "slots"])
+
+    texts = docs.select(_digest(F.col("text")).alias("doc"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(_bytes.frugal(run), "doc string, kind int, size int, key long, begin long, slots binary")
+
+
+def _digest(text: Column) -> Column:
+    return F.md5(text.cast("string").cast("binary"))
+
+
+def _consistent_pieces(diagonals: DataFrame, params: Params) -> DataFrame:
+    """doc, klass, unit (0 template tokens, 1 words), low, high, total and run: what counts of each diagonal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), 1024):
+                out: list[tuple] = []
+                for doc, klass, kind, n_tokens, n_words, hits in zip(*(c.to_pylist() for c in batch.slice(first, 1024).columns), strict=True):
+                    base = min(h["place"] for h in hits)
+                    n = max(h["place"] + h["size"] for h in hits) - base
+                    covered, ours, theirs, words = np.zeros(n + 1, bool), np.zeros(n, np.int64), np.zeros(n, _U), np.zeros(n + 1, np.int64)
+                    for h in hits:
+                        at, size = h["place"] - base, h["size"]
+                        covered[at : at + size] = True
+                        if kind == 0:
+                            ours[at : at + size] = np.frombuffer(h["numbers"], np.int64)
+                            theirs[at : at + size] = np.frombuffer(h["slots"], _U)
+                            words[at : at + size + 1] = np.frombuffer(h["words"], np.int64)
+                    edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0)).tolist()
+                    for low, high in zip(edges[::2], edges[1::2], strict=True):
+                        a, b = consistent(ours[low:high], theirs[low:high]) if kind == 0 else (0, high - low)
+                        if b - a < min(params.window, n_words if kind else n_tokens):
+                            continue
+                        if kind == 0:
+                            out.append((doc, klass, 0, base + low + a, base + low + b, n_tokens, b - a))
+                            out.append((doc, klass, 1, int(words[low + a]), int(words[low + b]), n_words, b - a))
+                        else:
+                            out.append((doc, klass, 1, base + low, base + high, n_words, b - a))
+                types = (pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["doc", "klass", "unit", "low", "high", "total", "run"])
+
+    narrow = diagonals.select("doc", "klass", "kind", "n_tokens", "n_words", "hits")
+    return narrow.mapInArrow(_bytes.frugal(run), "doc string, klass long, unit int, low long, high long, total long, run long")
+
+
+def _union_length(ranges: str) -> Column:
+    """How many places sorted [low, high) ranges cover."""
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def add(done: Column, x: Column) -> Column:
+        new = F.greatest(F.lit(0), x["high"] - F.greatest(x["low"], done["end"]))
+        return F.struct(F.greatest(done["end"], x["high"]).cast("long").alias("end"), (done["n"] + new).cast("long").alias("n"))
+
+    return F.aggregate(ranges, start, add)["n"]
+
+
+_FOUND = T.StructType([T.StructField("n_items", T.LongType()), T.StructField("longest_run", T.LongType()), T.StructField("item_share", T.DoubleType())])
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, params: Params = PARAMS, block: int = BLOCK) -> DataFrame:
+    """doc (md5 of the text), n_items (classes), longest_run and item_share of the distinct texts in which something counts."""
+    with _store.Scratch(docs.sparkSession, "leaks") as scratch:
+        # written, so that Spark knows its size when it chooses the join
+        items = scratch.staged(item_windows(benchmark, params))
+        hits = _found(docs, items, params, block).join(items, ["key", "kind", "size"])
+        # on a diagonal an item's place has one window of the text, so a set is no longer than an item; copies of a text fold
+        window = F.struct("place", "size", "slots", "numbers", "words")
+        by = ["doc", "klass", "kind", (F.col("begin") - F.col("place")).alias("shift"), "n_tokens", "n_words"]
+        pieces = _consistent_pieces(hits.groupBy(*by).agg(F.collect_set(window).alias("hits")), params)
+        covered = pieces.groupBy("doc", "klass", "unit", "total").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("ranges"), F.max("run").alias("run"))
+        covered = covered.select("doc", "klass", "run", (_union_length("ranges") / F.col("total")).alias("share"))
+        by_class = covered.groupBy("doc", "klass").agg(F.max("run").alias("run"), F.max("share").alias("share"))
+        by_text = by_class.groupBy("doc").agg(F.count("*").alias("n_items"), F.max("run").alias("longest_run"), F.max("share").alias("item_share"))
+        return _store.staged(by_text, "leaks-found")
+
+
+def _free_name(docs: DataFrame) -> str:
+    name, taken = "_doc", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def contaminated(params: Params = PARAMS) -> Column:
+    return (F.col("longest_run") >= params.run) | (F.col("item_share") >= params.share)
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, params: Params = PARAMS, block: int = BLOCK) -> DataFrame:
-    """docs with n_windows, n_items, longest_run, item_share and contaminated; columns of docs named like those are left out."""
-    spark, docs = docs.sparkSession, docs.drop(*[f.name for f in _FOUND], "contaminated")
-    text = next(c for c in docs.columns if c.lower() == "text")
-    out = docs.select("*", *[F.lit(0).cast(f.dataType).alias(f.name) for f in _FOUND])
-    schema, n, text_at = out.schema, len(docs.columns), docs.columns.index(text)
-    for texts in _blocks(benchmark, block):
-        index = spark.sparkContext.broadcast(Index(texts, params))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for low, high, data, at in _bytes.slices(batch.column(text_at)):
-                    piece, kinds = batch.slice(low, high - low), (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-                    columns = list(piece.columns[n:])
-                    if found := index.value.judge(read(data, at), params):
-                        lists = [c.to_pylist() for c in columns]
-                        for k, (w, i, r, s) in found.items():
-                            lists[0][k] += w
-                            lists[1][k] += i
-                            lists[2][k] = max(lists[2][k], r)
-                            lists[3][k] = max(lists[3][k], s)
-                        columns = [pa.array(c, k) for c, k in zip(lists, kinds, strict=True)]
-                    # by names alone, so that all batches have one schema
-                    yield pa.RecordBatch.from_arrays([*piece.columns[:n], *columns], piece.schema.names)
-
-        out = out.mapInArrow(_bytes.frugal(run), schema)
-    return out.withColumn("contaminated", (F.col("longest_run") >= params.run) | (F.col("item_share") >= params.share))
-
-
-def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[str]]:
-    """The benchmark's texts, read as a stream on the driver, in lists of about ``block`` windows."""
-    held: list[str] = []
-    size = 0
-    for row in benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null").toLocalIterator():
-        held.append(row["text"])
-        size += 2 * (row["text"].count(" ") + 1)  # of both kinds
-        if size >= block:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    """docs with n_items, longest_run, item_share and contaminated; columns of docs named like those are left out."""
+    docs = docs.drop(*[f.name for f in _FOUND], "contaminated")
+    name = _free_name(docs)
+    found = matches(docs, benchmark, params, block).withColumnRenamed("doc", name)
+    out = docs.withColumn(name, _digest(F.col("text"))).join(found, name, "left").drop(name)
+    out = out.select(*docs.columns, *[F.coalesce(f.name, F.lit(0).cast(f.dataType)).alias(f.name) for f in _FOUND])
+    return out.withColumn("contaminated", contaminated(params))
 
 
 def kept(docs: DataFrame, benchmark: DataFrame, params: Params = PARAMS) -> DataFrame:
     """The rows of docs without benchmark passages, with the columns of docs."""
-    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
-    return judged(own, benchmark, params).where("not contaminated").select("_row.*")
+    name = _free_name(docs)
+    gone = matches(docs, benchmark, params).where(contaminated(params)).select(F.col("doc").alias(name))
+    return docs.withColumn(name, _digest(F.col("text"))).join(gone, name, "left_anti").select(*docs.columns)

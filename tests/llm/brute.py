@@ -91,3 +91,76 @@ def has_run(doc: str | None, items: list[str], n: int = 13) -> bool:
         if hit and 2 * len(hit) >= len(w):
             return True
     return False
+
+
+def template(text: str | None, units: set[str]) -> list[tuple[str, object, int, int]]:
+    """(token, slot value or None, first word, word after) of a text's template, and words are those with a letter or digit."""
+    raw = WORD.findall(text or "")
+    out, opens, number_before, n = [], 1, False, 0
+    for k, w in enumerate(raw):
+        if k == 0 or raw[k - 1][-1] in ".!?:":
+            opens = 3  # passes over two marks that stand alone
+        core = re.sub(r"^[^A-Za-z0-9\x80-\U0010ffff]+|[^A-Za-z0-9\x80-\U0010ffff]+$", "", w)
+        if not core:
+            opens = max(0, opens - 1)
+            continue
+        low = fold(core)
+        if core[0] in "0123456789":
+            token = "<number>"
+        elif number_before and low in units:
+            token = "<unit>"
+        elif core[0] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" and not opens:
+            token = "<name>"
+        else:
+            token = low
+        if token == "<name>" and out and out[-1][0] == "<name>":
+            out[-1] = (token, out[-1][1] + (low,), out[-1][2], n + 1)
+        else:
+            out.append((token, None if token == low else (low,), n, n + 1))
+        number_before, opens, n = token == "<number>", 0, n + 1
+    return out
+
+
+def decontaminate(doc: str | None, items: list[str], units: set[str], window=8, least=5, plain=0.6) -> tuple[int, float]:
+    """(longest run, largest share of an item) by comparing every diagonal; each item's template is its own."""
+
+    def consistent(pairs):
+        return len({*pairs}) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+    best_run, best_share = 0, 0.0
+    kinds = [template(doc, units), [(w, None, k, k + 1) for k, w in enumerate(_core_words(doc))]]
+    for item in items:
+        own = [template(item, units), [(w, None, k, k + 1) for k, w in enumerate(_core_words(item))]]
+        matched = [set(), set()]
+        for kind in (0, 1):
+            a, b = own[kind], kinds[kind]
+            size = min(window, len(a))
+            if size < least:
+                continue
+            for shift in range(-len(a), len(b)):
+                covered = set()
+                for i in range(len(a) - size + 1):
+                    if 0 <= i + shift and i + shift + size <= len(b):
+                        x, y = a[i : i + size], b[i + shift : i + shift + size]
+                        if all(p[0] == q[0] for p, q in zip(x, y, strict=True)) and sum(p[1] is None for p in x) >= plain * size:
+                            covered |= set(range(i, i + size))
+                for i in sorted(covered):
+                    if i - 1 in covered:
+                        continue
+                    j = i
+                    while j in covered:
+                        j += 1
+                    pieces = [(q - p, -p, p, q) for p in range(i, j) for q in range(p + 1, j + 1) if consistent([(a[k][1], b[k + shift][1]) for k in range(p, q) if a[k][1] is not None])]
+                    n, _, p, q = max(pieces)
+                    if n >= size:
+                        best_run = max(best_run, n)
+                        matched[1] |= set(range(a[p][2], a[q - 1][3]))
+                        if kind == 0:
+                            matched[0] |= set(range(p, q))
+        best_share = max([best_share, *(len(m) / len(o) for m, o in zip(matched, own, strict=True) if o)])
+    return best_run, best_share
+
+
+def _core_words(text: str | None) -> list[str]:
+    out = [re.sub(r"^[^a-z0-9\x80-\U0010ffff]+|[^a-z0-9\x80-\U0010ffff]+$", "", w) for w in WORD.findall(fold(text or ""))]
+    return [w for w in out if w]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import brute
@@ -79,3 +80,57 @@ def test_query_on_documents(spark):
     rows = queries.op9_decontamination(spark, d).collect()
     assert sorted(r.doc_id for r in rows) == sorted(docs)
     assert {r.doc_id for r in rows if r.contaminated} == {k for k, t in docs.items() if brute.has_run(t, items)}
+
+
+def test_against_all_diagonals(spark):
+    r = random.Random(8)
+    words = [*"the baker sold some bread to that old man and his dog".split(), "Ann", "Rome", "Bob", "12", "7", "40", "km", "hours", "-", "(Rome)", "man.", "dog?", "é"]
+    items = [" ".join(r.choice(words) for _ in range(r.randint(3, 30))) for _ in range(12)]
+    docs: list[str | None] = [None, ""]
+    for _ in range(60):
+        w = [r.choice(words) for _ in range(r.randint(0, 10))]
+        for _ in range(r.randint(1, 2)):
+            own = r.choice(items).split()
+            for _ in range(r.randint(0, 3)):
+                own[r.randrange(len(own))] = r.choice(words)
+            w += [*own, r.choice(words)]
+        docs.append(" ".join(w))
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(docs)], "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(1, t) for t in items], "item_id int, text string")
+    got = {x.doc_id: (x.longest_run, round(x.item_share, 9)) for x in decontamination.judged(d, b).collect()}
+    want = {k: brute.decontaminate(t, items, set(decontamination.UNITS)) for k, t in enumerate(docs)}
+    assert got == {k: (run, round(share, 9)) for k, (run, share) in want.items()}
+    assert sum(run >= 13 for run, _ in got.values()) > 5
+
+
+def test_many_items_of_one_template_are_one_class(spark):
+    names = [a + b for a in "BCDFGHJKLM" for b in ("ann", "ella", "ono", "ara", "ix")]
+    items = [f"A train from {names[k % 50]} covers {k} km in {k % 7 + 2} hours. How far will the same train from {names[k % 50]} go in {k + 9} hours?" for k in range(10_000)]
+    docs = [items[5000], "so " + items[3].replace("covers 3 km", "covers 7777 km"), "A train from Bann covers 1 km in 3 hours. How far will the same train from Cann go in 10 hours?"] * 40
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id int, text string")
+    table = decontamination.item_windows(b)
+    assert table.select("klass").distinct().count() <= 3  # some have equal numbers
+    assert table.where("kind = 0").count() <= 3 * 40
+    rows = decontamination.judged(d, b).collect()
+    assert all(x.n_items <= 3 for x in rows) and [x.contaminated for x in rows if x.doc_id % 3 < 2] == [True] * 80
+
+
+def test_rows_without_id_repeated_rows_and_long_texts(spark):
+    long = "word " * 400_000 + QUESTION
+    rows = [(None, QUESTION), (None, QUESTION), (3, QUESTION), (3, "none of it"), (4, None), (5, long), (6, "go " * 20_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(None, QUESTION), (None, QUESTION), (1, None), (1, "go " * 40)], "item_id int, text string")
+    got = sorted(((x.doc_id, x.contaminated) for x in decontamination.judged(d, b).collect()), key=str)
+    assert got == sorted([(None, True), (None, True), (3, True), (3, False), (4, False), (5, True), (6, True)], key=str)
+    assert sorted(x.doc_id for x in decontamination.kept(d, b).collect()) == [3, 4]
+
+
+def test_one_plan_whatever_the_size_of_the_benchmark(spark):
+    d = spark.createDataFrame([(1, OTHER)], "doc_id long, text string")
+    plans = []
+    for n in (1, 60):
+        b = spark.createDataFrame([(k, OTHER + f" w{k} and more") for k in range(n)], "item_id int, text string")
+        out = decontamination.judged(d, b, block=100)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+    assert plans == [0, 0]  # verdicts are a written table
