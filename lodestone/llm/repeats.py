@@ -16,15 +16,20 @@ one phrase, and no phrase holds a window twice.
    dictionary's distinct phrases of the trigger are laid end to end, and a suffix array puts their windows in
    order, cut off at ``length`` bytes, as longer agreement isn't asked for. Equal neighbours repeat. With the
    counts of the parse that is what the corpus order of all suffixes would say, without a sort of the corpus.
-3. A trigger with more than ``GROUP`` different phrases is ordered by an aggregation over its windows
-   instead, which no task needs to hold.
+3. A trigger with more than ``GROUP`` different phrases is ordered by Spark, which groups its windows by their
+   bytes over many tasks. The result is the same; a task then holds no more than ``GROUP`` phrases of a trigger.
 
-Windows of step 2 are compared byte by byte; grams, phrases and the windows of step 3 by 64-bit hashes, phrases
-and windows only among equal triggers, so by 128 bits.
+Windows of steps 2 and 3 are compared byte by byte; grams and phrases by 64-bit hashes, phrases only among equal
+triggers, so by 128 bits.
+
+Corpus order: phrases overlap by a window less a byte, so two suffixes that agree on ``length`` bytes do so inside
+their phrases, and the order of the parse, which would tell apart suffixes that agree beyond a phrase's end, is never
+asked. So no suffix array of the parse is made; it comes in by its counts.
 
 Rows: a null text is empty; texts shorter than ``length`` lose nothing. Repeated rows are copies like any
-others, and each is returned. Rows are told apart by doc_id (the text's hash where it is null) and 24 bits of
-the text's hash. Extra columns are ignored; an empty table gives an empty result.
+others, and each is returned. Texts are known by 88 bits of two hashes of theirs and worked on once, however many
+rows have them and whatever their doc_ids; the rows meet the result at the end. Extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,7 +56,7 @@ class Params:
 PARAMS = Params()
 
 #: Different phrases of one trigger that a task orders at once, and phrases of several triggers.
-GROUP, TOGETHER = 4_000, 2_048
+GROUP, TOGETHER = 512, 2_048
 #: Bytes of a text that are parsed at once; longer texts in sections, whose phrases are cut at the borders.
 SECTION = 8 << 20
 
@@ -104,9 +109,9 @@ def _parse(data: np.ndarray, at: np.ndarray, params: Params) -> tuple[np.ndarray
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, doc and tag (24 bits), which tell rows apart, and text."""
+    """doc_id, doc and tag (64 and 24 bits of the text's hashes), which name the text, and text."""
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return out.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFF)).alias("tag"), "text")
+    return out.select("doc_id", F.xxhash64("text").alias("doc"), F.xxhash64(F.lit("tag"), "text").bitwiseAND(F.lit(0xFFFFFF)).alias("tag"), "text")
 
 
 def parse(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
@@ -137,20 +142,21 @@ def _tag(span):
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, doc, tag and the compressed text."""
+    """doc, tag and the compressed text of each distinct text; copies fold before anything moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            data, at = _bytes.text_buffers(batch.column(3))
+            data, at = _bytes.text_buffers(batch.column(2))
             raw = memoryview(np.ascontiguousarray(data))
             packed = pa.array([press.compress(raw[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], ["doc_id", "doc", "tag", "packed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed], ["doc", "tag", "packed"])
 
-    return _rows(docs).mapInArrow(_bytes.frugal(run), "doc_id long, doc long, tag long, packed binary")
+    packed = _rows(docs).select("doc", "tag", "text").mapInArrow(_bytes.frugal(run), "doc long, tag long, packed binary")
+    return packed.groupBy("doc", "tag").agg(F.first("packed").alias("packed"))
 
 
-_MARKED = "doc_id long, doc long, tag long, n_bytes long, sha string, packed binary, runs array<struct<low: long, high: long>>, tests array<struct<trigger: long, single: boolean, big: boolean, first: long, n: int, bytes: binary>>"
+_MARKED = "doc long, tag long, n_bytes long, sha string, packed binary, runs array<struct<low: long, high: long>>, tests array<struct<trigger: long, single: boolean, big: boolean, first: long, n: int, bytes: binary>>"
 
 
 def _mark(joined: DataFrame, length: int) -> DataFrame:
@@ -161,9 +167,9 @@ def _mark(joined: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for low in range(0, len(batch), 256):
                 out: list[dict] = []
-                for doc_id, doc, tag, packed, marks in zip(*(c.to_pylist() for c in batch.slice(low, 256).columns), strict=True):
+                for doc, tag, packed, marks in zip(*(c.to_pylist() for c in batch.slice(low, 256).columns), strict=True):
                     text = press.decompress(packed)
-                    row = {"doc_id": doc_id, "doc": doc, "tag": tag, "n_bytes": len(text), "sha": None, "packed": None, "runs": [], "tests": []}
+                    row = {"doc": doc, "tag": tag, "n_bytes": len(text), "sha": None, "packed": None, "runs": [], "tests": []}
                     if marks:
                         whole = sorted((m["first"], m["first"] + m["n"] - 1 + length) for m in marks if m["whole"])
                         row["runs"] = [{"low": a, "high": b} for a, b in _merged(whole)]
@@ -176,8 +182,8 @@ def _mark(joined: DataFrame, length: int) -> DataFrame:
 
     run_type = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
     test_type = pa.list_(pa.struct([("trigger", pa.int64()), ("single", pa.bool_()), ("big", pa.bool_()), ("first", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("packed", pa.binary()), ("runs", run_type), ("tests", test_type)])
-    return joined.select("doc_id", "doc", "tag", "packed", "marks").mapInArrow(_bytes.frugal(run), _MARKED)
+    schema = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("packed", pa.binary()), ("runs", run_type), ("tests", test_type)])
+    return joined.select("doc", "tag", "packed", "marks").mapInArrow(_bytes.frugal(run), _MARKED)
 
 
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -256,22 +262,24 @@ def _aggregated(tests: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, len(batch), 2048):
-                part = batch.slice(low, 2048)
+            for low in range(0, len(batch), 256):
+                part = batch.slice(low, 256)
                 data, row, start = _starts(part)
-                window = _bytes.span_hash(_bytes.prefix_hash(data), start, start + length)
+                windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[start])
+                ends = np.arange(len(start) + 1, dtype=np.int32) * length
+                window = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(windows)])
                 n = part.column("n").to_numpy().astype(np.int64)
                 first = part.column("first").to_numpy()[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
                 columns = [pa.array(part.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("doc", "tag", "trigger", "single")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(first), pa.array(window.view(np.int64))], ["doc", "tag", "trigger", "single", "first", "window"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(first), window], ["doc", "tag", "trigger", "single", "first", "window"])
 
-    each = tests.mapInArrow(_bytes.frugal(run), "doc long, tag long, trigger long, single boolean, first long, window long")
+    each = tests.mapInArrow(_bytes.frugal(run), "doc long, tag long, trigger long, single boolean, first long, window binary")
     twice = each.groupBy("trigger", "window").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("times")).where("times > 1")
     return each.where("single").join(twice, ["trigger", "window"]).select("doc", "tag", "first", F.lit(1).cast("long").alias("n"))
 
 
 def removals(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
-    """doc_id, n_bytes, kept (the remaining bytes; null where nothing goes), sha (of the whole text there) and runs (removed)."""
+    """doc_id, n_bytes, kept (the remaining bytes; null where nothing goes), sha (of the remaining bytes) and runs (removed)."""
     length = params.length
     if length > 255 or params.gram >= length:
         raise ValueError("length is at most 255 bytes, and longer than a gram")
@@ -293,38 +301,40 @@ def removals(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
         null = {"trigger": F.lit(None).cast("long"), "single": F.lit(None).cast("boolean"), "big": F.lit(None).cast("boolean")}
         marks = whole.select("doc", "span", F.lit(True).alias("whole"), *[c.alias(k) for k, c in null.items()])
         marks = marks.union(tests.select("doc", "span", F.lit(False), "trigger", "single", "big"))
-        # as many marks as a text has phrases
-        marks = marks.groupBy("doc", _tag("span").alias("tag")).agg(F.collect_list(F.struct(_first("span").alias("first"), _count("span").cast("int").alias("n"), "whole", "trigger", "single", "big")).alias("marks"))
+        # at most two marks for each phrase of a text, however many rows have it: its copies' marks are equal
+        marks = marks.groupBy("doc", _tag("span").alias("tag")).agg(F.collect_set(F.struct(_first("span").alias("first"), _count("span").cast("int").alias("n"), "whole", "trigger", "single", "big")).alias("marks"))
         marked = _store.staged(_mark(_packed(docs).join(marks, ["doc", "tag"], "left"), length), "repeats-marked")
 
-    # copies of a row bring the same phrase twice; one is enough, as it is known to be single
     tests = marked.where("size(tests) > 0").select("doc", "tag", F.explode("tests").alias("t")).select("doc", "tag", "t.*")
     again = _ordered(tests.where("not big").drop("big"), length).union(_aggregated(tests.where("big").drop("big"), length))
+    # no more runs than the text has windows that begin one
     again = again.groupBy("doc", "tag").agg(F.collect_list(F.struct(F.col("first").alias("low"), (F.col("first") + F.col("n") - 1 + length).alias("high"))).alias("more"))
-    flagged = marked.where("packed is not null").select("doc_id", "doc", "tag", "n_bytes", "packed", "runs").join(again, ["doc", "tag"], "left")
+    flagged = marked.where("packed is not null").select("doc", "tag", "n_bytes", "packed", "runs").join(again, ["doc", "tag"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             for low in range(0, len(batch), 256):
                 out = []
-                for doc_id, n_bytes, packed, runs, more in zip(*(c.to_pylist() for c in batch.slice(low, 256).columns), strict=True):
+                for doc, tag, n_bytes, packed, runs, more in zip(*(c.to_pylist() for c in batch.slice(low, 256).columns), strict=True):
                     merged = _merged(sorted((r["low"], r["high"]) for r in [*runs, *(more or [])]))
-                    text, kept, at = press.decompress(packed), [], 0
+                    text, parts, at = press.decompress(packed), [], 0
                     for a, b in merged:
-                        kept.append(text[at:a])
+                        parts.append(text[at:a])
                         at = b
-                    out.append({"doc_id": doc_id, "n_bytes": n_bytes, "kept": b"".join([*kept, text[at:]]), "sha": None, "runs": [{"low": a, "high": b} for a, b in merged]})
+                    kept = b"".join([*parts, text[at:]])
+                    out.append({"doc": doc, "tag": tag, "n_bytes": n_bytes, "kept": kept, "sha": hashlib.sha256(kept).hexdigest(), "runs": [{"low": a, "high": b} for a, b in merged]})
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     run_type = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("sha", pa.string()), ("runs", run_type)])
-    done = flagged.select("doc_id", "n_bytes", "packed", "runs", "more").mapInArrow(_bytes.frugal(cut), "doc_id long, n_bytes long, kept binary, sha string, runs array<struct<low: long, high: long>>")
-    return done.union(marked.where("packed is null").select("doc_id", "n_bytes", F.lit(None).cast("binary"), "sha", "runs"))
+    schema = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("sha", pa.string()), ("runs", run_type)])
+    done = flagged.select("doc", "tag", "n_bytes", "packed", "runs", "more").mapInArrow(_bytes.frugal(cut), "doc long, tag long, n_bytes long, kept binary, sha string, runs array<struct<low: long, high: long>>")
+    texts = done.union(marked.where("packed is null").select("doc", "tag", "n_bytes", F.lit(None).cast("binary"), "sha", "runs"))
+    return _rows(docs).select("doc_id", "doc", "tag").join(texts, ["doc", "tag"]).select("doc_id", "n_bytes", "kept", "sha", "runs")
 
 
 def digests(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
     out = removals(docs, params)
     removed = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["high"] - r["low"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.coalesce("sha", F.sha2("kept", 256)).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from lodestone.llm import queries, repeats
@@ -48,6 +49,28 @@ def test_rows_that_share_a_doc_id_or_have_none(spark):
     check(spark, texts, repeats.Params(length=20, gram=6), [1, 1, None, None, None, None, 5])
 
 
+def test_many_texts_under_one_doc_id(spark):
+    r = random.Random(4)
+    check(spark, [*planted(r), *planted(r)], repeats.Params(length=20, gram=6), [7] * 96)
+    check(spark, planted(r), repeats.Params(length=20, gram=6), [None] * 48)
+
+
+def test_many_equal_rows(spark):
+    text = "".join(random.Random(6).choice("abcdefgh ") for _ in range(3000))
+    other = text[:1000] + "#" + text[1000:1100]
+    df = spark.createDataFrame([(k % 3, text if k else other) for k in range(20_000)], "doc_id long, text string").repartition(7)
+    rows = repeats.digests(df).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+    assert sorted(map(tuple, rows)) == [(1101, 1000, 1, 1), (3000, 3000, 1, 19_999)]
+
+
+def test_very_long_text(spark):
+    r = np.random.default_rng(9)
+    text = r.integers(97, 123, 20_000_000, dtype=np.uint8).tobytes().decode()
+    texts = [text, "#" + text[9_000_000:9_000_300] + "#", "#" + text[:150]]
+    rows = repeats.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans) for x in rows) == [(0, 20_000_000, 300, 1), (1, 302, 300, 1), (2, 151, 0, 0)]
+
+
 def test_empty_table(spark):
     assert repeats.digests(spark.createDataFrame([], SCHEMA)).count() == 0
 
