@@ -1,13 +1,11 @@
 """Near-duplicate documents by min-max hashing, banding and a check on full sets.
 
-A text's set holds its distinct word shingles (two words by default; A-Z folded; a text of fewer words gives
+A text's set holds its distinct word shingles (five words by default; A-Z folded; a text of fewer words gives
 one shingle of all of them; a text without words an empty set, which links with nothing). Each permutation of
 the hashes gives two signature values, the minimum and the maximum, so 64 permutations give 128 values; both
 agree between two sets with probability equal to their Jaccard similarity. 32 bands of four values each, mins
 and maxes apart, miss a pair of similarity 0.8 with probability (1 - 0.8**4)**32, about 5e-8.
 
-Nothing here grows with the square of a group:
-
 1. Equal sets become one class, kept by the smallest doc_id; only classes are banded.
 2. In each bucket every class is compared with the smallest one (the star). Links that hold on full sets give
    components.
@@ -15,16 +13,21 @@ Nothing here grows with the square of a group:
    drawn from that. Copies that drifted from the smallest class mostly link here.
 4. Where a bucket holds several components even then, every class outside the largest is compared with all of
    other components there. In small buckets those pairs are rows; in large ones blocks of either side are
-   compared at once, so that near misses of a large group don't become rows. Pairs inside a component can't change
-   the result. So no link between components is lost, whatever the size of a bucket.
+   compared at once. Pairs inside a component can't change the result. So no link between components is lost,
+   whatever the size of a bucket.
+
+What grows how: copies, equal or linked with a group's core, cost rows in proportion. Only classes that lie in one
+bucket with many others and yet outside its largest component, near misses at similarities of about 0.6 to 0.8, cost
+more: with m of those in a bucket of n classes, step 4 moves m * n / (BLOCK / 2) rows and compares m * n pairs, as none
+may be missed.
 
 Pairs whose signatures agree in fewer than 60% of the values (similarity 0.8 is more than five standard
 deviations above) or whose set sizes exclude the threshold are not read in full; all others are compared on whole sets.
 Shingles are compared by 64-bit hashes.
 
 Rows: a null text is empty. A row without a doc_id is linked with nothing and kept. Rows that share a doc_id
-count as one document that links wherever one of its texts does; each row is returned. Extra columns are
-ignored; an empty table gives an empty result.
+count as one document that links wherever one of its texts does; ``clusters`` returns each row, ``kept`` one row of
+each document that stays. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ from lodestone.llm.graph import components
 
 @dataclass(frozen=True)
 class Params:
-    shingle: int = 2
+    shingle: int = 5
     percent: int = 80  #: of the union's size that the intersection has at least
     permutations: int = 64
     band_rows: int = 4
@@ -104,8 +107,13 @@ def _signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([low, high])
 
 
+def _sieve_bytes(values: np.ndarray) -> np.ndarray:
+    """A byte of each value, mixed first, as minima of large sets share their high bits: unequal values agree once in 256."""
+    return (_bytes.mix(values.astype(_U)) >> _U(32)).astype(np.uint8)
+
+
 def signatures(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
-    """doc_id, n (set size), f1 and f2 (128 bits of the set), bands (a key each), sig (the values' low bytes)."""
+    """doc_id, n (set size), f1 and f2 (128 bits of the set), bands (a key each), sig (a byte of each value, mixed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _permutations(params.permutations)
@@ -118,7 +126,7 @@ def signatures(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
                 f1 = np.array([_bytes.mix(s).sum(dtype=_U) for s in sets], _U)
                 f2 = np.array([_bytes.mix(s ^ _SINGLE).sum(dtype=_U) for s in sets], _U)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                sig = pa.array([v.tobytes() for v in (values >> np.uint32(24)).astype(np.uint8)], pa.binary())
+                sig = pa.array([v.tobytes() for v in _sieve_bytes(values)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, sig], ["doc_id", "n", "f1", "f2", "bands", "sig"])
 
     return _ids_and_texts(docs).mapInArrow(_bytes.frugal(run), "doc_id long, n long, f1 long, f2 long, bands array<bigint>, sig binary")
@@ -304,6 +312,11 @@ def _clusters(docs: DataFrame, params: Params, scratch: _store.Scratch) -> DataF
         if turn == TURNS:
             more = more.union(_block_links(opened, outside.where(F.col("total") > FEW), packed, params))
         links = scratch.staged(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    # rows of one doc_id with different texts
+    several = nodes.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n")).alias("low"), F.max(F.struct("f1", "f2", "n")).alias("high")).where("low <> high").select("doc_id")
+    own = nodes.join(scratch.staged(several), "doc_id").join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).select("doc_id", "rep").distinct()
+    own = scratch.staged(own)
+    links = links.union(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id").select(F.col("rep").alias("u"), F.col("least").alias("v")))
     found = components(links, scratch)
 
     by_class = classes.select("f1", "f2", "n", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -316,5 +329,14 @@ def _clusters(docs: DataFrame, params: Params, scratch: _store.Scratch) -> DataF
 
 def kept(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
     """The rows of docs that stay: one document of each component, and rows without a doc_id."""
-    gone = clusters(docs, params).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    found = clusters(docs, params)
+    name = "_gone"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    own = F.col("doc_id").cast("long")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    stay = docs.withColumn(name, own).join(gone, name, "left_anti")
+    # of rows that share a surviving doc_id the one of least hash stays; such doc_ids are written, so that Spark knows how few they are
+    often = _store.staged(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name), "near-dup-repeated")
+    one = stay.join(often, name, "left_semi").groupBy(name).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("_row"))
+    return stay.join(often, name, "left_anti").select(*docs.columns).union(one.select("_row.*"))

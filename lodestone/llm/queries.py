@@ -31,7 +31,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.clusters(table(spark, sf_dir, "documents"))
+    return near_dup.clusters(table(spark, sf_dir, "documents"), near_dup.Params(shingle=2))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

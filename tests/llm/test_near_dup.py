@@ -16,9 +16,9 @@ def frame(spark, texts, ids=None):
     return spark.createDataFrame([(d, t, None, 1, "clash") for d, t in zip(ids or range(len(texts)), texts, strict=True)], SCHEMA)
 
 
-def check(spark, texts):
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.clusters(frame(spark, texts).repartition(3)).collect()}
-    want = {d: (n, c, c == d) for d, (n, c) in brute.near_dup(list(enumerate(texts))).items()}
+def check(spark, texts, size=2):
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.clusters(frame(spark, texts).repartition(3), near_dup.Params(shingle=size)).collect()}
+    want = {d: (n, c, c == d) for d, (n, c) in brute.near_dup(list(enumerate(texts)), size).items()}
     assert got == want
 
 
@@ -43,6 +43,28 @@ def test_against_all_pairs(spark, monkeypatch, few, block, hubs):
     check(spark, families(few + block))
 
 
+def test_five_words_are_the_default(spark):
+    assert near_dup.PARAMS.shingle == 5
+    check(spark, families(5), 5)
+
+
+def test_rows_of_one_doc_id_join_what_either_is_linked_with(spark):
+    a, b = "the first of two quite different texts under one number", "nothing that stands here is in the other one of them"
+    df = frame(spark, [a, a, b, b, b], [1, 5, 5, 9, 9])
+    assert {(r.doc_id, r.component_id) for r in near_dup.clusters(df).collect()} == {(1, 1), (5, 1), (9, 1)}
+    assert [r.doc_id for r in near_dup.kept(df).collect()] == [1]
+    twice = frame(spark, [a, a, b, None, None], [5, 5, 5, None, None])
+    assert sorted((r.doc_id for r in near_dup.kept(twice).collect()), key=str) == [5, None, None]
+
+
+def test_sieve_tells_large_sets_apart():
+    r = np.random.default_rng(7)
+    a, b = near_dup._permutations(64)
+    for n in (50, 1000, 5000):
+        x, y = (near_dup._sieve_bytes(near_dup._signature(np.sort(r.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2)), a, b)) for _ in range(2))
+        assert (x == y).mean() < 0.1
+
+
 def test_rows_without_id_and_repeated_ids(spark):
     text = "a text of some words that stands here twice or more"
     df = frame(spark, [text, text, text + " x", None, "else where at all"], [None, 4, 4, 4, None])

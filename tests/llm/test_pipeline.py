@@ -24,7 +24,7 @@ def test_stages_one_after_the_other(spark):
 
     verdicts = {r.doc_id: r.kept for r in quality.judged(docs.select("doc_id", "text", "lang")).collect()}
     assert set(rows[1]) == {d for d, ok in verdicts.items() if ok}
-    groups = brute.near_dup([(d, r.text) for d, r in rows[1].items()])
+    groups = brute.near_dup([(d, r.text) for d, r in rows[1].items()], size=5)
     assert set(rows[2]) == {d for d, (_, c) in groups.items() if c == d}
     items = [r.text for r in table(spark, D, "benchmark").collect()]
     assert set(rows[3]) == {d for d, r in rows[2].items() if not brute.has_run(r.text, items)}
