@@ -4,8 +4,8 @@ The rules' expressions are compiled by subset construction and minimised into on
 read once, a byte at a time in all of its segments together. Segments end at row borders and at bytes that lead
 the automaton to its start from every state (line breaks, commas and such), so no match crosses their borders.
 The exact expressions then run on those segments alone whose rules have ended, for the spans: leftmost,
-not overlapping, and without matches that fail the rule's length. A segment of more than ``LONG`` bytes, a text
-without such bytes, goes to the expressions directly.
+not overlapping, and without matches that fail the rule's length. A segment of more than ``LONG`` bytes, of a text
+without such bytes, is read by the same automaton on its own, as it would hold up the others.
 
 Kinds: assign, access and hex, as the op6 contract has them, then private_key, jwt and slack, which the method adds.
 Spans are in code points, end exclusive.
@@ -50,7 +50,7 @@ RULES = (
     Rule("access", "AKIA[A-Z0-9]{4,}", "AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", "[0-9a-f]{14,}", "[0-9a-f]+", 0, 24),
     Rule("private_key", r"-----BEGIN\x20([A-Z]+\x20)?PRIVATE\x20KEY-----", r"-----BEGIN\x20(?:[A-Z]+\x20)?PRIVATE\x20KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    Rule("jwt", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     Rule("slack", r"xox[abprs]-[0-9A-Za-z\-]", r"xox[abprs]-[0-9A-Za-z-]+", 0, 20),
 )
 #: How many of the rules, from the first, are the contract's.
@@ -86,8 +86,10 @@ class Scanner:
         start = start[start < len(data)]
         end = np.append(start[1:], len(data))
         long = end - start > LONG
-        hit = np.full(len(start), (1 << len(self.rules)) - 1, np.uint16)
+        hit = np.zeros(len(start), np.uint16)
         hit[~long] = self.automaton.scan(data, start[~long], end[~long])
+        for k in np.flatnonzero(long):
+            hit[k] = self.automaton.scan_one(data[start[k] : end[k]])
         where = np.flatnonzero(hit)
         if not len(where):
             return {}

@@ -75,10 +75,10 @@ def url_rules() -> str:
 WITH hosts(verdict, h, p) AS (VALUES {hosts}), patterns(k, verdict, e) AS (VALUES {patterns}),
 u AS (SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url FROM pages),
 c AS (SELECT *, instr(url, '://') AS p0, regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)([^?#]*)', ['a', 'b']) AS x FROM u),
-s AS (SELECT r, page_id, url, CASE WHEN p0 > 0 THEN lower(x['a']) ELSE '' END AS host, CASE WHEN p0 > 0 THEN x['b'] ELSE '' END AS path FROM c),
+s AS (SELECT r, page_id, url, CASE WHEN p0 > 0 THEN translate(x['a'], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host, CASE WHEN p0 > 0 THEN x['b'] ELSE '' END AS path FROM c),
 fits AS (SELECT r, arg_max(v.h || v.p, length(v.h || v.p)) AS rule, arg_max(verdict, length(v.h || v.p)) AS verdict
   FROM s JOIN hosts v ON (s.host = v.h OR ends_with(s.host, '.' || v.h)) AND starts_with(s.path, v.p) GROUP BY r),
-more AS (SELECT r, arg_min(verdict, k) AS verdict FROM s JOIN patterns ON regexp_matches(lower(url), e) GROUP BY r)
+more AS (SELECT r, arg_min(verdict, k) AS verdict FROM s JOIN patterns ON regexp_matches(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), e) GROUP BY r)
 SELECT page_id, host, path, rule, coalesce(fits.verdict, more.verdict, 'allow') AS verdict
 FROM s LEFT JOIN fits USING (r) LEFT JOIN more USING (r)
 """

@@ -6,8 +6,8 @@ falls with the gradients it has seen, and the L1 term keeps most weights at zero
 places and weights that every task can hold; the list's length is bounded by the places and, in practice, by
 the sample.
 
-Training takes the labelled rows of least hash, at most ``max_toxic`` and ``max_clean`` rows of either kind and
-``max_features`` features, a bound that makes the fit a single task's work whatever the table's size; each pass
+Training takes the labelled rows of least hash, at most ``max_toxic`` and ``max_clean`` rows of either kind (a doc_id
+that stands in many rows counts for each) and ``max_features`` features, a bound that makes the fit a single task's work whatever the table's size; each pass
 reads them in the same order, so reruns agree. Both kinds weigh alike. Scoring reads every whole text.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 3 is not 1. Where a doc_id has several labels
@@ -121,8 +121,11 @@ def teachers(docs: DataFrame, labels: DataFrame, label: str, params: Params) ->
     turn = F.xxhash64(F.lit("turn"), "doc_id")
     known = known.withColumn("turn", turn)
     toxic, clean = (known.where(test).orderBy("turn", "doc_id").limit(most) for test, most in (("toxic > 0", params.max_toxic), ("toxic <= 0", params.max_clean)))
-    known = toxic.union(clean)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id").select("turn", "toxic", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(toxic.union(clean), "doc_id")
+    # again, as a doc_id may stand in many rows
+    order = ["turn", "doc_id", F.xxhash64("text")]
+    toxic, clean = (rows.where(test).orderBy(*order).limit(most) for test, most in (("toxic > 0", params.max_toxic), ("toxic <= 0", params.max_clean)))
+    return toxic.union(clean).select("turn", "toxic", "text")
 
 
 def trained(docs: DataFrame, labels: DataFrame, params: Params = PARAMS, label: str = "toxic") -> Model:
@@ -141,10 +144,10 @@ def trained(docs: DataFrame, labels: DataFrame, params: Params = PARAMS, label:
         for batch in batches:
             for toxic, places in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 own = places.values.to_numpy(zero_copy_only=False)
-                if held + len(own) <= params.max_features:
+                if held + max(1, len(own)) <= params.max_features:
                     rows.append(own.copy())
                     labels.append(toxic > 0)
-                    held += len(own)
+                    held += max(1, len(own))
         model = fit(rows, np.array(labels, bool), params)
         yield pa.RecordBatch.from_arrays([pa.array([*model.place.tolist(), -1], pa.int32()), pa.array([*model.weight.tolist(), model.bias], pa.float64())], ["place", "weight"])
 

@@ -34,7 +34,7 @@ HOST_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 class Pattern:
     verdict: str
     tokens: tuple[str, ...]  #: literal tokens that every fitting url has
-    expression: str  #: searched in the lower-cased url
+    expression: str  #: searched in the url, A-Z folded; letters are ASCII ones, and $ is the end of the url alone
 
 
 PATTERNS = (
@@ -89,7 +89,7 @@ class Rules:
             if not p.tokens:
                 raise ValueError(f"{p.expression} has no literal token")
             rarest = min(p.tokens, key=lambda t: (counts.get(t, 0), t))
-            self.filed.setdefault(rarest, []).append((k, re.compile(p.expression), p.verdict))
+            self.filed.setdefault(rarest, []).append((k, re.compile(p.expression.replace("$", r"\Z"), re.A), p.verdict))
 
     def by_host(self, host: str, path: str) -> tuple[str, str] | None:
         found, at = [], 0

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -58,9 +59,19 @@ def test_automaton_ends_where_expressions_do():
         text = "".join(r.choice("abcdxy019q :=") for _ in range(r.randint(0, 12))).encode()
         data = np.frombuffer(text, np.uint8)
         (got,) = automaton.scan(data, np.array([0]), np.array([len(data)]))
+        assert automaton.scan_one(data) == got
         assert got == sum((re.search(e.encode(), text) is not None) << k for k, e in enumerate(rules)), text
 
 
+def test_long_texts_without_breaks_take_linear_time():
+    scanner = secrets.Scanner(secrets.compiled())
+    for text in ("eyJ" * 700_000, "token" + " " * 2_000_000 + "=abcdef1", "a" * 2_000_000, "AKIA" * 500_000):
+        data, at = _bytes.text_buffers(pa.array([text]))
+        began = time.process_time()
+        assert len(scanner.spans(data, at).get(0, [])) == (0 if "eyJ" in text else 1)
+        assert time.process_time() - began < 20
+
+
 def test_query_rows(spark):
     every = texts()
     df = spark.createDataFrame([(k // 2 if k else None, t, "clash") for k, t in enumerate(every)], SCHEMA)

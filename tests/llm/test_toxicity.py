@@ -78,3 +78,40 @@ def test_held_out_accuracy_on_documents(spark):
     assert sum(clean) <= 0.005 * len(clean)
     a, b = (np.array([s for s, _, t in held if t == k]) for k in (1, 0))
     assert (a[:, None] > b[None, :]).mean() > 0.93
+
+
+def test_fit_against_the_plain_algorithm():
+    r = random.Random(3)
+    params = toxicity.Params(bits=10, l1=0.4, passes=3)
+    rows = [np.array(sorted(r.sample(range(40), r.randint(0, 8))), np.int32) for _ in range(60)]
+    labels = np.array([bool(len(x) and x[0] < 9) for x in rows])
+    model = toxicity.fit(rows, labels, params)
+
+    z, n, bias, bias_n = {}, {}, 0.0, 0.0
+    share = labels.mean()
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= params.l1:
+            return 0.0
+        return (np.sign(z[i]) * params.l1 - z[i]) / ((params.beta + n[i] ** 0.5) / params.alpha + params.l2)
+
+    for _ in range(params.passes):
+        for x, y in zip(rows, labels, strict=True):
+            w = {int(i): weight(int(i)) for i in x}
+            g = (min(10.0, 0.5 / share) if y else min(1.0, 0.5 / (1 - share))) * (1 / (1 + np.exp(-(sum(w.values()) + bias))) - y)
+            for i in w:
+                grown = n.get(i, 0.0) + g * g
+                z[i] = z.get(i, 0.0) + g - (grown**0.5 - n.get(i, 0.0) ** 0.5) / params.alpha * w[i]
+                n[i] = grown
+            bias_n += g * g
+            bias -= params.alpha / (params.beta + bias_n**0.5) * g
+    want = {i: weight(i) for i in z if weight(i)}
+    assert 5 < len(want) < len(z)
+    assert model.place.tolist() == sorted(want) and np.allclose(model.weight, [want[i] for i in sorted(want)], atol=1e-6) and np.isclose(model.bias, bias)
+
+
+def test_a_doc_id_of_many_rows_stays_within_the_bound(spark):
+    docs = spark.createDataFrame([(k % 4, f"text {k}") for k in range(400)], "doc_id long, text string")
+    known = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, toxic int")
+    taught = toxicity.teachers(docs, known, "toxic", toxicity.Params(max_toxic=7, max_clean=5))
+    assert taught.where("toxic > 0").count() <= 7 and taught.where("toxic <= 0").count() <= 5
