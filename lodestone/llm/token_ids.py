@@ -11,12 +11,17 @@ A value is the rank of an id by how often the whole corpus has it, so that frequ
 ranks are a table beside the blocks. A reader looks the control bytes up in a 256-row table of lengths and
 gathers all values of a block at once with numpy.
 
+Encoding: where the tokenizer's own file says that it splits texts by the one pattern whose cuts ``_piece_starts`` knows,
+texts are cut there and a worker sends each distinct piece through the library once, known by 64 bits of its hash; any
+other tokenizer gets whole texts. Ids are 16 bits wide between the steps, or 32 where the vocabulary needs them.
+
 Rows: a null text is empty; every row is written, so a repeated doc_id gives as many entries, in the order
-of their texts' ids. A null doc_id comes last. Extra columns are ignored. An empty table gives empty files.
+of their first ids, then of a hash of all. A null doc_id comes last. Extra columns are ignored. An empty table gives empty files.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -35,6 +40,9 @@ END_ID = 2
 #: Ids of one block, about.
 BLOCK_IDS = 1 << 20
 
+#: Bytes of ids in a task of the sorted exchange, about; smaller tables keep the session's number of partitions.
+PART_BYTES = 32 << 20
+
 #: Distinct pieces that a worker remembers before it starts anew.
 REMEMBERED = 3 << 19
 
@@ -77,6 +85,27 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def id_type(path: str, end_id: int) -> str:
+    """The numpy type that holds all ids of the tokenizer."""
+    return "<u2" if max(_tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+@lru_cache(maxsize=2)
+def splits_as_known(path: str) -> bool:
+    """Whether the tokenizer's file has no step by which a cut of ``_piece_starts`` could change ids."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    own = made.get("pre_tokenizer") or {}
+    plain = own.get("type") == "ByteLevel" and own.get("use_regex", True) and not own.get("add_prefix_space", True)
+    model = made.get("model") or {}
+    plain = plain and model.get("type") == "BPE" and not model.get("dropout") and not any(made.get(k) for k in ("normalizer", "truncation", "padding", "post_processor"))
+    for token in made.get("added_tokens") or ():
+        raw = np.frombuffer(token["content"].encode(), np.uint8)
+        plain = plain and not (token["lstrip"] or token["rstrip"] or token["single_word"] or token["normalized"])
+        plain = plain and len(_piece_starts(raw, np.array([0, len(raw)]))) == 1
+    return bool(plain)
+
+
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
     return Encoder(path)  # a worker's later tasks know the pieces of its earlier ones
@@ -103,39 +132,45 @@ def _piece_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes many texts with the tokenizers library; each distinct piece goes through the library once."""
+    """Encodes many texts with the tokenizers library; each distinct piece goes through the library once, where texts can be cut."""
 
     def __init__(self, path: str) -> None:
-        self.path = path
+        self.path, self.type, self.cuts = path, id_type(path, 0), splits_as_known(path)
         self._forget()
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted
         self.rows = np.zeros(0, np.int64)
         self.starts = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint16)
+        self.ids = np.zeros(0, self.type)
 
     def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> None:
-        raw = data.tobytes()
-        texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-        tokenizer, found = _tokenizer(self.path), []
-        for k in range(0, len(texts), 1 << 14):
-            found += [e.ids for e in tokenizer.encode_batch_fast(texts[k : k + (1 << 14)], add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum()))
-        if len(flat) and flat.max() > 0xFFFF:
-            raise ValueError("this coder keeps ids of 16 bits")
+        flat, counts = self._through_library(data, start, end, 1 << 14)
         rows = np.arange(len(keys)) + len(self.starts) - 1
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
-        self.ids = np.concatenate([self.ids, flat.astype(np.uint16)])
+        self.ids = np.concatenate([self.ids, flat])
         keys, rows = np.concatenate([self.keys, keys]), np.concatenate([self.rows, rows])
         order = np.argsort(keys)
         self.keys, self.rows = keys[order], rows[order]
 
+    def _through_library(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, at_once: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings data[start:end] one after the other, and how many each has."""
+        raw, tokenizer = data.tobytes(), _tokenizer(self.path)
+        flat, counts = [np.zeros(0, self.type)], [np.zeros(0, np.int64)]
+        for k in range(0, len(start), at_once):
+            texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[k : k + at_once].tolist(), end[k : k + at_once].tolist(), strict=True)]
+            found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter((i for x in found for i in x), np.uint32, int(counts[-1].sum())).astype(self.type))
+        return np.concatenate(flat), np.concatenate(counts)
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and for each text the index of its first id (one entry more than texts)."""
         if not len(data):
-            return np.zeros(0, np.uint16), np.zeros(len(at), np.int64)
+            return np.zeros(0, self.type), np.zeros(len(at), np.int64)
+        if not self.cuts:
+            ids, counts = self._through_library(data, at[:-1], at[1:], 64)
+            return ids, np.append(0, np.cumsum(counts))
         start = _piece_starts(data, at)
         end = np.append(start[1:], len(data))
         keys = _bytes.span_hash(_bytes.prefix_hash(data), start, end)
@@ -158,27 +193,29 @@ class Encoder:
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (16-bit little-endian, with the end id) and their number."""
+    """doc_id, ids (little-endian, of the type that ``id_type`` gives, with the end id) and their number."""
+    kind = id_type(tokenizer_path, end_id)
+    end = np.array([end_id], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         for batch in batches:
             for low, high, data, at in _bytes.slices(batch.column(1), 4 << 20):
                 ids, first = encoder.encode(data, at)
-                rows = [ids[a:b].astype("<u2").tobytes() + end_id.to_bytes(2, "little") for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                rows = [ids[a:b].astype(kind).tobytes() + end for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(rows, pa.binary()), pa.array(np.diff(first) + 1, pa.int64())], ["doc_id", "ids", "n"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_bytes.frugal(run), "doc_id long, ids binary, n long")
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
-    """id, n: how often the corpus has each id. Each task adds up before anything moves; at most 65,536 rows result."""
+def id_counts(ids: DataFrame, kind: str, most: int) -> DataFrame:
+    """id, n: how often the corpus has each id below ``most``. Each task adds up before anything moves; no more rows than ids result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(most, np.int64)
         for batch in batches:
             data, _ = _bytes.text_buffers(batch.column(0))
-            total += np.bincount(data.view("<u2"), minlength=1 << 16)
+            total += np.bincount(data.view(kind), minlength=most)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
@@ -188,16 +225,17 @@ def id_counts(ids: DataFrame) -> DataFrame:
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
     """Encodes every text and writes ``path``/blocks and ``path``/ranks in the format above."""
     with _store.Scratch(docs.sparkSession, "token-ids") as scratch:
-        _write(scratch.staged(encoded(docs, tokenizer_path, end_id)), path)
+        most = max(_tokenizer(tokenizer_path).get_vocab_size(), end_id + 1)
+        _write(scratch.staged(encoded(docs, tokenizer_path, end_id)), path, id_type(tokenizer_path, end_id), most)
 
 
-def _write(ids: DataFrame, path: str) -> None:
+def _write(ids: DataFrame, path: str, kind: str, most: int) -> None:
     spark = ids.sparkSession
-    # at most 65,536 rows, by the width of an id: the driver and every task can hold them
-    ranks = sorted(((n, -i) for i, n in id_counts(ids).collect()), reverse=True)
+    # no more rows than the vocabulary has: the driver and every task can hold them
+    ranks = sorted(((n, -i) for i, n in id_counts(ids, kind, most).collect()), reverse=True)
     order = [-i for _, i in ranks]
     spark.createDataFrame([(r, i) for r, i in enumerate(order)], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
-    rank_of = np.zeros(1 << 16, np.uint32)
+    rank_of = np.zeros(most, np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)
 
@@ -208,7 +246,7 @@ def _write(ids: DataFrame, path: str) -> None:
         held, part, seq = 0, None, 0
 
         def block() -> pa.RecordBatch:
-            values = shared.value[np.frombuffer(b"".join(parts), "<u2")]
+            values = shared.value[np.frombuffer(b"".join(parts), kind)]
             control, data = encode_values(values)
             row = {"part": [part], "seq": [seq], "n_ids": [len(values)], "doc_ids": [list(doc_ids)], "counts": [list(counts)], "control": [control], "data": [data]}
             doc_ids.clear(), counts.clear(), parts.clear()
@@ -228,8 +266,13 @@ def _write(ids: DataFrame, path: str) -> None:
             yield block()
 
     arrow = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
-    # a range exchange, so that blocks are in order; the first ids split rows that share a doc_id or have none
-    by_range = ids.repartitionByRange(F.col("doc_id").asc_nulls_last(), F.substring("ids", 1, 16)).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "ids")
+    # a range exchange, so that blocks are in order; rows that share a doc_id or have none are split by their ids, and equal
+    # rows, which may change places, by their number
+    order = [F.col("doc_id").asc_nulls_last(), F.col("first"), F.col("hash"), F.col("row")]
+    keyed = ids.withColumns({"first": F.substring("ids", 1, 16), "hash": F.xxhash64("ids"), "row": F.monotonically_increasing_id()})
+    parts = -(-sum(n for n, _ in ranks) * np.dtype(kind).itemsize // PART_BYTES)
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_range = (keyed.repartitionByRange(parts, *order) if parts > usual else keyed.repartitionByRange(*order)).sortWithinPartitions(*order)
     (by_range.withColumn("part", F.spark_partition_id()).select("doc_id", "ids", "n", "part")
      .mapInArrow(_bytes.frugal(run), "part int, seq int, n_ids long, doc_ids array<bigint>, counts array<bigint>, control binary, data binary")
      .write.option("compression", "none").parquet(f"{path}/blocks"))
@@ -239,7 +282,7 @@ def _write(ids: DataFrame, path: str) -> None:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the files alone."""
     blocks = spark.read.parquet(f"{path}/blocks")
-    ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()  # at most 65,536 rows
+    ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()  # no more rows than the vocabulary has
     id_of = spark.sparkContext.broadcast(np.array([r["id"] for r in ranks] or [0], "<u4"))
     # one row a partition, then one row a block of a partition: no window sees a document
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("total"))

@@ -41,6 +41,42 @@ def test_pieces_give_the_ids_of_whole_texts():
             assert ids[first[k] : first[k + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_only_a_known_split_is_cut(tmp_path):
+    import json
+
+    path = queries.tokenizer_path()
+    assert token_ids.splits_as_known(path)
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    changes = [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"added_tokens": [made["added_tokens"][0] | {"id": 50257, "content": "two words"}, *made["added_tokens"]]}]
+    texts = ["Two  words, TWO words two words", "", " x"]
+    for k, change in enumerate(changes):
+        other = str(tmp_path / f"{k}.json")
+        with open(other, "w", encoding="utf-8") as f:
+            json.dump(made | change, f)
+        assert not token_ids.splits_as_known(other)
+        encoder, tokenizer = token_ids.Encoder(other), token_ids._tokenizer(other)
+        for _, _, data, at in _bytes.slices(pa.array(texts)):
+            ids, first = encoder.encode(data, at)
+            assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_wide_ids(spark, monkeypatch):
+    monkeypatch.setattr(token_ids, "id_type", lambda path, end_id: "<u4")
+    rows = [(k, f"text number {k} of these") for k in range(20)]
+    got = token_ids.write_and_read(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path())
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_very_long_text_and_many_rows_of_one_doc_id(spark, monkeypatch):
+    monkeypatch.setattr(token_ids, "PART_BYTES", 4000)
+    rows = [(5, "a word or two " * 200_000), *((9, f"text {k % 7}") for k in range(900)), (2, "x" * 100_000)]
+    got = sorted(map(tuple, token_ids.write_and_read(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), queries.tokenizer_path()).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted(d for d, _ in rows)
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()]
+    assert sorted(r[2:] for r in got) == sorted(r[2:] for r in brute(rows))
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 4099])
 def test_coding_round_trip(n):
     r = np.random.default_rng(n)
