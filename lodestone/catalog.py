@@ -10,12 +10,12 @@ import json
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
 from lodestone.functions import text as T
-from lodestone.operators import answers, calculation, chunking, history, invariants, quality, search, tables
+from lodestone.operators import answers, calculation, chunking, history, invariants, quality, search, sections, tables
 from lodestone.plans import question
 from lodestone.sources import files, markup
 from lodestone.tables import table
@@ -269,18 +269,7 @@ def q18_section_path_recursive(spark: SparkSession, d: str) -> DataFrame:
     region = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("title"))
     nation = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), "n_name")
     supplier = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey"), "s_name")
-    return section_paths(region.union(nation).union(supplier), depth=4)
-
-
-def section_paths(nodes: DataFrame, depth: int, glue: str = " > ") -> DataFrame:
-    """id, path and level of a forest (id, parent, title) that is at most ``depth`` levels deep: a join for each level."""
-    level = nodes.where("parent is null").select("id", F.col("title").alias("path"), F.lit(1).alias("level"))
-    out = level
-    for k in range(2, depth + 1):
-        up = level.select(F.col("id").alias("parent"), F.col("path").alias("above"))
-        level = nodes.join(up, "parent").select("id", F.when(F.trim("title") == "", F.col("above")).otherwise(F.concat("above", F.lit(glue), "title")).alias("path"), F.lit(k).alias("level"))
-        out = out.union(level)
-    return out
+    return sections.paths(region.union(nation).union(supplier)).select("id", "path", "level")
 
 
 # ---- filings in HTML ------------------------------------------------------------------------------------------------
@@ -563,10 +552,14 @@ def q46_readiness(spark: SparkSession, d: str) -> DataFrame:
     return answers.readiness(facts_of(spark, d), "filing", REQUIRED)
 
 
-@query("SELECT string_agg(format('[{}] receipt_no={} | report_name={}' || chr(10) || '{}', p_size, p_partkey, p_name, p_type), chr(10) ORDER BY p_size, p_partkey) AS retrieved_contexts, count(*) AS n_contexts FROM (SELECT * FROM part WHERE p_partkey <= 5)")
+@query(f"""SELECT string_agg(format('[{{}}] receipt_no={{}} | report_name={{}}' || chr(10) || '{{}}', n, p_partkey, p_name, p_type), chr(10) ORDER BY n) AS retrieved_contexts, count(*) AS n_contexts
+FROM (SELECT *, row_number() OVER (ORDER BY title_score DESC, p_size DESC, p_partkey) AS n FROM (SELECT *, {_TITLE_SCORE} AS title_score FROM part WHERE {_TITLE_FILTER}) ORDER BY n LIMIT 20)""")
 def q49_response_text(spark: SparkSession, d: str) -> DataFrame:
-    hits = table(spark, d, "part").where("p_partkey <= 5")
-    return answers.response(hits, "p_size", "p_partkey", "p_name", "p_type")
+    """The contexts of a ranked search, numbered in its order."""
+    order = (F.col("p_size").desc(), F.col("p_partkey"))
+    hits = search.metadata_search(table(spark, d, "part"), table(spark, d, "lineitem").select("l_partkey"), "l_partkey", PART, TITLES, order)
+    numbered = hits.withColumn("n", F.row_number().over(Window.orderBy(F.col("title_score").desc(), *order)))  # at most 20 rows
+    return answers.response(numbered, "n", "p_partkey", "p_name", "p_type")
 
 
 @query(f"""WITH {FACTS_SQL} SELECT filing, count(*) AS n_facts FROM facts WHERE verified AND fact_key IN ('amount', 'equity', 'start')
@@ -703,3 +696,6 @@ def q60_stream_without_duplicates(spark: SparkSession, d: str) -> DataFrame:
     # a batch that is done again after a failure replaces itself
     events.drained(events.deduplicated(rows, "event_id", late=None), f"{out}/state", lambda df, n: df.select("event_id").write.mode("overwrite").parquet(f"{out}/rows/batch={n}"))
     return spark.read.parquet(f"{out}/rows").select("event_id")
+
+
+import lodestone.catalog_filings  # noqa: E402, F401  registers the queries of whole filings

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -135,6 +135,14 @@ def text_chunks(blocks: DataFrame, sizes: Sizes = TEXT_SIZES) -> DataFrame:
     return gathered.mapInPandas(run, "doc_id long, sequence_no int, headings array<string>, body string, first_block long, last_block long")
 
 
+def chunking_target() -> Column:
+    """Documents (content_format, parse_status, parser_name, chunk_status, source_group) that are parsed, in a format that is chunked, and not chunked yet."""
+    form, group = F.col("content_format"), F.col("source_group")
+    partial = (form == "PDF") & (F.col("parse_status") == "PARTIAL") & F.coalesce(F.col("parser_name") == "PdfTextDisclosureParser", F.lit(False))
+    fits = (form == "DART_XML") | (form == "PDF") & (group == "PERIODIC") | (form == "HTML") & (group == "EXCHANGE")
+    return ((F.col("parse_status") == "COMPLETED") | partial) & (F.col("chunk_status") == "PENDING") & fits
+
+
 def sentence_chunks(documents: DataFrame, sizes: Sizes = TEXT_SIZES) -> DataFrame:
     """doc_id, sequence_no, body: whole texts cut by sentences and packed to size."""
 

@@ -171,6 +171,64 @@ def chunk_search(chunks: DataFrame, c: ChunkColumns, cond: ChunkCondition, order
     return scored.orderBy(F.col("final_score").desc(), *order).limit(cond.top_k)
 
 
+class ScopeError(ValueError):
+    """Names filings or documents that were asked for and aren't there."""
+
+
+@dataclass(frozen=True)
+class ChunkScope:
+    """Where to look for chunks; empty sets don't restrict."""
+
+    provider: str = "CONTEST"
+    disclosure_ids: tuple[int, ...] = ()
+    document_ids: tuple[int, ...] = ()
+
+
+def missing_scope(scope: ChunkScope, documents: DataFrame, disclosures: DataFrame) -> DataFrame:
+    """kind and id of what the scope names but the provider doesn't have; documents must belong to the filings named."""
+    spark = documents.sparkSession
+
+    def asked(ids: tuple[int, ...], kind: str) -> DataFrame:
+        return spark.createDataFrame([(i, kind) for i in ids], "id long, kind string")
+
+    own = disclosures.where(F.col("provider") == scope.provider)
+    if scope.disclosure_ids:
+        own = own.where(F.col("disclosure_id").isin(*scope.disclosure_ids))
+    gone = asked(scope.disclosure_ids, "DISCLOSURE").join(own.select(F.col("disclosure_id").alias("id")), "id", "left_anti")
+    within = documents.join(own.select("disclosure_id"), "disclosure_id", "left_semi")
+    return gone.union(asked(scope.document_ids, "DOCUMENT").join(within.select(F.col("document_id").alias("id")), "id", "left_anti"))
+
+
+def checked(scope: ChunkScope, documents: DataFrame, disclosures: DataFrame) -> ChunkScope:
+    """The scope, or a ScopeError; as many rows come to the driver as the scope names."""
+    if scope.disclosure_ids or scope.document_ids:
+        gone = sorted(f"{r['kind']} {r['id']}" for r in missing_scope(scope, documents, disclosures).collect())
+        if gone:
+            raise ScopeError("not found: " + ", ".join(gone))
+    return scope
+
+
+def scoped_chunks(chunks: DataFrame, documents: DataFrame, disclosures: DataFrame, scope: ChunkScope) -> DataFrame:
+    """Chunks with their document and filing (document_id, disclosure_id, company_id, provider), within the scope."""
+    filings = disclosures.where(F.col("provider") == scope.provider)
+    if scope.disclosure_ids:
+        filings = filings.where(F.col("disclosure_id").isin(*scope.disclosure_ids))
+    if scope.document_ids:
+        documents = documents.where(F.col("document_id").isin(*scope.document_ids))
+    return chunks.join(documents, "document_id").join(filings, "disclosure_id")
+
+
+def scoped_search(chunks: DataFrame, documents: DataFrame, disclosures: DataFrame, companies: DataFrame, c: ChunkColumns, cond: ChunkCondition, order: tuple[Column, ...], scope: ChunkScope | None = None) -> tuple[DataFrame, DataFrame]:
+    """The best chunks with their company, and the one-row summary of all candidates.
+
+    Companies are looked up for the hits alone, so neither the count nor the ranking reads them.
+    """
+    found = scoped_chunks(chunks, documents, disclosures, checked(scope or ChunkScope(), documents, disclosures))
+    hits = chunk_search(found, c, cond, order)
+    summary = candidate_summary(found.where(chunk_predicate(c, cond)), cond.top_k)
+    return hits.join(companies, "company_id"), summary
+
+
 def matched_terms(columns: tuple[str, ...], terms: tuple[str, ...]) -> Column:
     """Those terms that stand in any of the columns, in the order given."""
     text = F.lower(F.concat_ws("\n", *columns))

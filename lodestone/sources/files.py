@@ -52,6 +52,22 @@ def company_problem() -> Column:
     return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()])
 
 
+def duplicate_codes(rows: DataFrame, *keys: str) -> DataFrame:
+    """key, value and n of codes or numbers that more than one row has, for each of the keys on its own."""
+    each = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])
+    pairs = rows.select(F.explode(each).alias("x")).select("x.*").where("value is not null")
+    return pairs.groupBy("key", "value").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def read_table(spark: SparkSession, url: str, name: str, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """A table over JDBC; with a partition (column, low, high, number) it is read by as many tasks, in ranges."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options)
+    if partition:
+        column, low, high, number = partition
+        reader = reader.option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", number)
+    return reader.load()
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Filings from JSON lines, with the date typed and the first broken rule of each as problem."""
     rows = spark.read.schema(MANIFEST_SCHEMA).option("mode", "PERMISSIVE").json(path)

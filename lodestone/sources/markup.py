@@ -39,7 +39,7 @@ class _HtmlBlocks(HTMLParser):
         self.kind = "PARAGRAPH"
         self.hidden: list[str] = []
         self.tables: list[dict] = []
-        self.depth = self.deepest = 0
+        self.depth = self.deepest = self.nested = 0
         self.href: str | None = None
         self.label: list[str] = []
 
@@ -66,6 +66,7 @@ class _HtmlBlocks(HTMLParser):
         elif tag == "table":
             if not self.tables:
                 self.flush()
+            self.nested += bool(self.tables)
             self.tables.append({"rows": []})
         elif self.tables and tag == "tr":
             self.tables[-1]["rows"].append({"cells": []})
@@ -276,6 +277,69 @@ def html_profile(documents: DataFrame, tags: tuple[str, ...]) -> DataFrame:
     return documents.select("doc_id", *counts)
 
 
+class _XmlProfile(ContentHandler):
+    """Counts of what an XML filing is made of, without its tree."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.tags: Counter[str] = Counter()
+        self.depth = self.deepest = self.inside = self.nested = 0
+
+    def startElement(self, name: str, attrs) -> None:  # noqa: N802
+        self.tags[name] += 1
+        self.depth += 1
+        self.deepest = max(self.deepest, self.depth)
+        if name == "TABLE":
+            self.nested += self.inside > 0
+            self.inside += 1
+
+    def endElement(self, name: str) -> None:  # noqa: N802
+        self.depth -= 1
+        self.inside -= name == "TABLE"
+
+
+_PROFILE_SCHEMA = "doc_id long, tags map<string, long>, max_depth int, n_nested_tables int, n_repairs int, status string, error string"
+
+
+def structure_profile(documents: DataFrame, kind: str) -> DataFrame:
+    """doc_id, how often each tag opens, the depth, nested tables and repairs of documents (doc_id, source) of kind html or xml."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, source in zip(batch.doc_id, batch.source, strict=True):
+                try:
+                    if kind == "html":
+                        found = parsed_html(source or "")
+                        rows.append((doc, dict(found.tags), found.deepest, found.nested, 0, "COMPLETED", None))
+                    else:
+                        fixed, repairs = repaired_xml(source or "")
+                        handler, parser = _XmlProfile(), make_parser()
+                        parser.setFeature(feature_external_ges, False)
+                        parser.setContentHandler(handler)
+                        parser.feed(fixed)
+                        parser.close()
+                        rows.append((doc, dict(handler.tags), handler.deepest, handler.nested, repairs, "COMPLETED", None))
+                except (ValueError, SAXException) as e:
+                    rows.append((doc, {}, 0, 0, 0, "FAILED", str(e)[:2000]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PROFILE_SCHEMA.replace("<string, long>", "").split(", ")])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source").mapInPandas(run, _PROFILE_SCHEMA)
+
+
+def section_levels(profile: DataFrame) -> DataFrame:
+    """doc_id, level and n: how many sections of each level a profiled XML filing has."""
+    each = profile.select("doc_id", F.explode("tags").alias("tag", "n")).where(F.col("tag").rlike(r"^SECTION-\d$"))
+    return each.select("doc_id", F.substring("tag", 9, 1).cast("int").alias("level"), "n")
+
+
+def reconciled(profile: DataFrame, parsed: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """doc_id, metric, profiled, parsed and agrees for each check: a count of the profile against one of the parse's metrics."""
+    both = profile.join(tree_metrics(parsed).drop("status"), "doc_id", "left")
+    pairs = F.array(*[F.struct(F.lit(k).alias("metric"), F.coalesce(a, F.lit(0)).cast("long").alias("profiled"), F.coalesce(b, F.lit(0)).cast("long").alias("parsed")) for k, (a, b) in checks.items()])
+    return both.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.*", (F.col("x.profiled") == F.col("x.parsed")).alias("agrees"))
+
+
 def html_links(documents: DataFrame) -> DataFrame:
     """doc_id, position and href of the anchors, in order."""
     hrefs = F.regexp_extract_all("source", F.lit(r"<a\s[^>]*href=\"([^\"]*)\""), F.lit(1))
