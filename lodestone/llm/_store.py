@@ -1,45 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables of the operators, in the folder that driver and executors share."""
 
-from __future__ import annotations
+from lodestone.shared import Scratch, new_path, remove, shared_folder, staged
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from lodestone.shared import shared_folder
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: lineage is cut, and lost executors lose nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Intermediate tables that go when the block ends. What leaves the block must be staged outside before."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.path, self.n = spark, new_path(spark, name), 0
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def staged(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.path}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def __exit__(self, *_) -> None:
-        remove(self.spark, self.path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder on whatever store it lies."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+__all__ = ["Scratch", "new_path", "remove", "shared_folder", "staged"]

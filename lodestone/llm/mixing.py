@@ -46,6 +46,8 @@ class Params:
 PARAMS = Params()
 #: Parts into which each source is dealt, so that no window holds a whole source.
 PARTS = 1024
+#: Shards whose draws are summed in one window.
+BLOCK_OF = 4096
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -119,17 +121,21 @@ def plan(quotas: DataFrame, params: Params = PARAMS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), shard)), pa.array(numbers[own]), pa.array(drawn[own])], ["shard", "src", "n"])
 
     drawn = spark.range(0, -(-total // params.shard)).mapInArrow(_bytes.frugal(draw), "shard long, src long, n long")
-    drawn = drawn.withColumn("first", F.sum("n").over(Window.partitionBy("src").orderBy("shard")) - F.col("n"))
-    drawn = _store.staged(drawn, "mix-draws")
+    drawn = _store.staged(_running(_store.staged(drawn, "mix-drawn"), ["src"], "shard", "n", "first"), "mix-draws")
     limits = quotas.select("src", "quota", "blocks")
     held = drawn.join(limits, "src").withColumn("fit", F.least("n", F.greatest(F.col("quota") - F.col("first"), F.lit(0))))
     # slots beyond quotas, about the root of all, take the places that other quotas still have
-    over = held.where("fit < n").select("shard", "src", F.explode(F.sequence(F.col("fit"), F.col("n") - 1)).alias("k"))
-    over = over.select("shard", F.row_number().over(Window.orderBy("shard", "src", "k")).alias("rank"))
+    over = held.where("fit < n").select("shard", "src", (F.col("n") - F.col("fit")).alias("extra"))
+    by_shard = _running(over.groupBy("shard").agg(F.sum("extra").alias("extra")), [], "shard", "extra", "before").drop("extra")
+    within = F.sum("extra").over(Window.partitionBy("shard").orderBy("src")) - F.col("extra")
+    over = over.withColumn("within", within).join(by_shard, "shard")
+    over = over.select("shard", F.explode(F.sequence(F.col("before") + F.col("within"), F.col("before") + F.col("within") + F.col("extra") - 1)).alias("rank"))
     got = drawn.groupBy("src").agg(F.sum("n").alias("got"))
     short = limits.join(got, "src", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < quota")
-    short = short.select("src", "blocks", F.explode(F.sequence(F.col("got"), F.col("quota") - 1)).alias("first"))
-    short = short.withColumn("rank", F.row_number().over(Window.orderBy("src", "first")))
+    # one row a source
+    short = short.withColumn("before", F.sum(F.col("quota") - F.col("got")).over(Window.orderBy("src")) - (F.col("quota") - F.col("got")))
+    short = short.select("src", "blocks", "before", "got", F.explode(F.sequence(F.col("got"), F.col("quota") - 1)).alias("first"))
+    short = short.select("src", "blocks", "first", (F.col("before") + F.col("first") - F.col("got")).alias("rank"))
     runs = held.where("fit > 0").select("shard", "src", "first", F.col("fit").alias("n"), "blocks")
     runs = runs.union(over.join(short, "rank").select("shard", "src", "first", F.lit(1).cast("long"), "blocks"))
 
@@ -143,6 +149,18 @@ def plan(quotas: DataFrame, params: Params = PARAMS) -> DataFrame:
     return runs.select("shard", F.col("src").cast("long").alias("src"), "first", "n", "blocks").mapInArrow(_bytes.frugal(permute), "shard long, src long, slot long, block long, pass long")
 
 
+def _running(rows: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """rows with the sum of value over the rows before them in order (a number from 0), by keys.
+
+    In two steps, so that no window holds more than BLOCK_OF rows of order, or the sums of as many.
+    """
+    rows = rows.withColumn("_b", F.floor(F.col(order) / BLOCK_OF))
+    sums = rows.groupBy(*keys, "_b").agg(F.sum(value).alias("_s"))
+    sums = sums.select(*keys, "_b", (F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_s")).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy(*keys, "_b").orderBy(order)) - F.col(value)
+    return rows.withColumn("_inside", inside).join(sums, [*keys, "_b"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_b", "_before", "_inside")
+
+
 def permuted(index: np.ndarray, n: int, key: list[int]) -> np.ndarray:
     """A pseudorandom permutation of range(n) at the given indices: a Feistel network, walked until it stays below n."""
     if n < 2:

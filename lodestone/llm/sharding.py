@@ -81,11 +81,20 @@ def _assigned(docs: DataFrame, params: Params, scratch: _store.Scratch) -> DataF
     # equal rows that exceed the limit together
     copies = out.groupBy("bits").agg(F.sum("bytes").alias("b"), F.min("h").alias("x"), F.max("h").alias("y"), F.count("*").alias("n"))
     copies = copies.where((F.col("b") > params.limit) & (F.col("x") == F.col("y")) & (F.col("n") > 1)).select("bits")
-    number = F.row_number().over(Window.partitionBy("h").orderBy("doc_id"))
     each = F.greatest(F.floor(F.lit(params.limit) / F.greatest("bytes", F.lit(1))), F.lit(1))
-    parts = out.join(copies, "bits", "left_semi").withColumn("shard", F.concat("bits", F.lit("."), F.floor((number - 1) / each).cast("string")))
+    numbered = _numbered(scratch.staged(out.withColumn("at", F.spark_partition_id()).join(copies, "bits", "left_semi")))
+    parts = numbered.withColumn("shard", F.concat("bits", F.lit("."), F.floor(F.col("number") / each).cast("string")))
     rest = out.join(copies, "bits", "left_anti").withColumn("shard", F.col("bits"))
-    return rest.unionByName(parts).select("doc_id", "h", "bytes", "depth", "shard")
+    columns = ["doc_id", "h", "bytes", "depth", "shard"]
+    return rest.select(columns).union(parts.select(columns))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with a number from 0 among those of equal h, which may change places: first by the partition they came from (at), then in it."""
+    counts = rows.groupBy("h", "at").agg(F.count("*").alias("n"))
+    before = counts.select("h", "at", (F.sum("n").over(Window.partitionBy("h").orderBy("at")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("h", "at").orderBy("doc_id")) - 1
+    return rows.withColumn("inside", inside).join(before, ["h", "at"]).withColumn("number", F.col("before") + F.col("inside"))
 
 
 def directory(assigned_rows: DataFrame) -> DataFrame:

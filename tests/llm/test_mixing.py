@@ -101,3 +101,31 @@ def test_documents(spark):
         assert r.target == pytest.approx(want[r.source]) and r.taken <= 2 * r.size
         taken[r.source] += r.taken
     assert all(abs(taken[s] - t) <= 0.03 * t for s, t in want.items())
+
+
+def test_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_OF", 3)
+    rows = [(s, k, (k * 7 + s) % 5) for s in range(3) for k in range(20) if (k + s) % 4]
+    for keys in (["src"], []):
+        made = rows if keys else [(0, k, v) for k, v in {k: v for _, k, v in rows}.items()]
+        got = {(r.src, r.shard): r.first for r in mixing._running(spark.createDataFrame(made, "src int, shard long, n long"), keys, "shard", "n", "first").collect()}
+        assert got == {(s, k): sum(v for s2, k2, v in made if s2 == s and k2 < k) for s, k, _ in made}
+
+
+def test_taken_against_the_plan(spark):
+    """Each document's words are those of the slots whose blocks it lies in, slot by slot."""
+    docs = spark.createDataFrame([(k, "w " * (k % 37), "abc"[k % 3]) for k in range(120)], "doc_id long, text string, source string")
+    params = mixing.Params(block=16, shard=8)
+    sizes = mixing.sized(docs)
+    found = mixing._quotas(mixing.targets(sizes, params), params)
+    slots = [(r.src, r.block, r["pass"]) for r in mixing.plan(found, params).collect()]
+    assert len(slots) == len(set(slots)) == sum(r.quota for r in found.collect())
+    want: dict[int, int] = {}
+    own = {r.row_id: r for r in sizes.collect()}
+    first: dict[int, tuple[int, int]] = {r.row_id: (r.src, r.first) for r in mixing.placed(sizes, found, params).collect()}
+    for src, block, _ in slots:
+        for row, (s, low) in first.items():
+            if s == src:
+                want[row] = want.get(row, 0) + max(0, min(low + own[row].size, (block + 1) * 16) - max(low, block * 16))
+    got = sorted((r.doc_id, r.taken) for r in mixing.amounts(docs, params).collect())
+    assert got == sorted((r.doc_id, want.get(k, 0)) for k, r in own.items())
