@@ -14,7 +14,8 @@ one phrase, and no phrase holds a window twice.
    trigger are equal and there are several, all their windows repeat.
 2. Where a trigger has different phrases, phrases that occur several times repeat as a whole. For the others, the
    dictionary's distinct phrases of the trigger are laid end to end, and a suffix array puts their windows in
-   order, cut off at ``length`` bytes, as longer agreement isn't asked for. Equal neighbours repeat. With the
+   order, cut off at ``length`` bytes, as longer agreement isn't asked for. Equal windows have their trigger at the
+   same place, so the order is made place by place where there are many. Equal neighbours repeat. With the
    counts of the parse that is what the corpus order of all suffixes would say, without a sort of the corpus.
 3. A trigger with more than ``GROUP`` different phrases is ordered by Spark, which groups its windows by their
    bytes over many tasks. The result is the same; a task then holds no more than ``GROUP`` phrases of a trigger.
@@ -57,6 +58,8 @@ PARAMS = Params()
 
 #: Different phrases of one trigger that a task orders at once, and phrases of several triggers.
 GROUP, TOGETHER = 4_000, 2_048
+#: Windows whose bytes are ordered at once, about.
+AT_ONCE = 1 << 15
 #: Bytes of a text that are parsed at once; longer texts in sections, whose phrases are cut at the borders.
 SECTION = 8 << 20
 
@@ -205,20 +208,38 @@ def _starts(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, n
     return data, row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + at[row]
 
 
-def _ordered(tests: DataFrame, length: int) -> DataFrame:
+def _places(data: np.ndarray, at: np.ndarray, params: Params) -> np.ndarray:
+    """Where each phrase's trigger stands: the gram of least hash of its first window, the first of those."""
+    prefix, span, out = _bytes.prefix_hash(data), np.arange(params.length - params.gram + 1), []
+    for k in range(0, len(at) - 1, 1024):
+        start = at[k : min(k + 1024, len(at) - 1), None] + span
+        out.append(np.argmin(_bytes.span_hash(prefix, start, start + params.gram) & ~_LOW, axis=1))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _ordered(tests: DataFrame, params: Params) -> DataFrame:
     """doc, tag, first, n: windows of single phrases that occur again, in runs; from phrases dealt by trigger and sorted."""
 
+    length = params.length
+
     def order(rows: pa.Table) -> pa.RecordBatch:
         data, row, start = _starts(rows)
         single = rows.column("single").to_numpy(zero_copy_only=False)[row]
-        # the suffix array of these phrases, by bytes; equal suffixes have equal triggers, so none is missed
-        suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[start]).view(f"S{length}").ravel()
-        at = np.argsort(suffix)
-        suffix = suffix[at]
-        same = np.zeros(len(at) + 1, bool)
-        same[1:-1] = suffix[1:] == suffix[:-1]
-        twice = np.zeros(len(at), bool)
-        twice[at] = same[1:] | same[:-1]
+        _, begin = _bytes.text_buffers(rows.column("bytes"))
+        place = (_places(data, begin, params) + begin[:-1])[row] - start  # of the trigger in each window
+        parts = -(-len(row) // AT_ONCE)
+        part = place * parts // (length - params.gram + 1)
+        windows = np.lib.stride_tricks.sliding_window_view(data, length)
+        twice = np.zeros(len(row), bool)
+        for k in range(parts):
+            own = np.flatnonzero(part == k) if parts > 1 else np.arange(len(row))
+            # the suffix array of these windows, by bytes
+            suffix = np.ascontiguousarray(windows[start[own]]).view(f"S{length}").ravel()
+            at = np.argsort(suffix)
+            suffix = suffix[at]
+            same = np.zeros(len(at) + 1, bool)
+            same[1:-1] = suffix[1:] == suffix[:-1]
+            twice[own[at]] = same[1:] | same[:-1]
         twice &= single
         edge = twice.copy()
         edge[1:] &= ~twice[:-1] | (row[1:] != row[:-1])
@@ -306,7 +327,7 @@ def removals(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
         marked = _store.staged(_mark(_packed(docs).join(marks, ["doc", "tag"], "left"), length), "repeats-marked")
 
     tests = marked.where("size(tests) > 0").select("doc", "tag", F.explode("tests").alias("t")).select("doc", "tag", "t.*")
-    again = _ordered(tests.where("not big").drop("big"), length).union(_aggregated(tests.where("big").drop("big"), length))
+    again = _ordered(tests.where("not big").drop("big"), params).union(_aggregated(tests.where("big").drop("big"), length))
     # no more runs than the text has windows that begin one
     again = again.groupBy("doc", "tag").agg(F.collect_list(F.struct(F.col("first").alias("low"), (F.col("first") + F.col("n") - 1 + length).alias("high"))).alias("more"))
     flagged = marked.where("packed is not null").select("doc", "tag", "n_bytes", "packed", "runs").join(again, ["doc", "tag"], "left")

@@ -43,6 +43,11 @@ def test_sections_and_large_groups(spark, monkeypatch):
     check(spark, planted(random.Random(7)), repeats.Params(length=20, gram=6))
 
 
+def test_windows_ordered_place_by_place(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "AT_ONCE", 40)
+    check(spark, planted(random.Random(11)), repeats.Params(length=20, gram=6))
+
+
 def test_rows_that_share_a_doc_id_or_have_none(spark):
     line = "one and the same passage of more than twenty bytes"
     texts = [line + " x", line + " yy", None, "short", line, line, "other text that no row repeats at all"]
