@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import _bytes
+from lodestone.llm import _bytes, _store
 
 
 @dataclass(frozen=True)
@@ -122,7 +122,8 @@ def teachers(docs: DataFrame, labels: DataFrame, label: str, params: Params) ->
     known = known.withColumn("turn", turn)
     toxic, clean = (known.where(test).orderBy("turn", "doc_id").limit(most) for test, most in (("toxic > 0", params.max_toxic), ("toxic <= 0", params.max_clean)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(toxic.union(clean), "doc_id")
-    # again, as a doc_id may stand in many rows
+    # written, as both kinds are read from it; bounded again, as a doc_id may stand in many rows
+    rows = _store.staged(rows, "toxicity-teachers")
     order = ["turn", "doc_id", F.xxhash64("text")]
     toxic, clean = (rows.where(test).orderBy(*order).limit(most) for test, most in (("toxic > 0", params.max_toxic), ("toxic <= 0", params.max_clean)))
     return toxic.union(clean).select("turn", "toxic", "text")
