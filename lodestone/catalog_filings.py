@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone import shared
 from lodestone.catalog import query
-from lodestone.operators import chunking, facts, invariants, quality, search, sections, tables
+from lodestone.operators import answers, chunking, facts, invariants, quality, search, sections, tables
 from lodestone.plans import question, tools
 from lodestone.sources import files, markup
 from lodestone.tables import table
@@ -363,3 +363,18 @@ def q68b_plan_evidence(spark: SparkSession, d: str) -> DataFrame:
 WHERE o_orderdate <= DATE '1996-06-30' AND o_custkey IN (SELECT c_custkey FROM ({_HITS}))) WHERE r = 1""")
 def q68c_plan_history(spark: SparkSession, d: str) -> DataFrame:
     return _plan(spark, d)["past"].select("o_custkey", "o_orderkey")
+
+
+# ---- what answers mention -------------------------------------------------------------------------------------------
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 900 + 1 AS a, o_orderkey % 70 AS b, o_orderdate FROM orders) SELECT o_orderkey, 'money' AS kind, (a * 100000000 + b * 10000)::BIGINT::VARCHAR AS value FROM o
+UNION ALL SELECT o_orderkey, 'date', strftime(o_orderdate, '%Y-%m-%d') FROM o UNION ALL SELECT o_orderkey, 'month', '2024-03' FROM o UNION ALL SELECT o_orderkey, 'ratio', a::VARCHAR || '.5' FROM o WHERE a <> 7""")
+def q69_korean_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions of answers that no fact supports: all but the ratio 7.5, which is allowed."""
+    a, b = (F.col("o_orderkey") % 900 + 1).cast("string"), (F.col("o_orderkey") % 70).cast("string")
+    day = F.date_format("o_orderdate", "yyyy년 M월 d일")
+    said = F.concat(F.lit("금액은 "), a, F.lit("억 "), b, F.lit("만원, 기준일 "), day, F.lit(", 완료는 2024년 3월, 비율 "), a, F.lit(".5%"))
+    rows = table(spark, d, "orders").select("o_orderkey", said.alias("text"))
+    allowed = rows.select("o_orderkey", F.lit("ratio").alias("kind"), F.lit("7.5").alias("value"))
+    return answers.unsupported_mentions(rows, "o_orderkey", "text", allowed)

@@ -6,6 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import normalize
 from lodestone.operators import calculation, facts, invariants, search, sections, tables
 from lodestone.plans import question, tools
 from lodestone.sources import files, markup
@@ -118,3 +119,19 @@ def test_profiles(spark):
     profile = markup.structure_profile(xml, "xml")
     assert {(r.doc_id, r.level, r.n) for r in markup.section_levels(profile).collect()} == {(1, 1, 1), (1, 2, 2)}
     assert {r.doc_id: r.status for r in profile.collect()} == {1: "COMPLETED", 2: "FAILED", 3: "FAILED"}
+
+
+def test_mentions(spark):
+    texts = ["1조 2,345억 6만 7원과 1,200 원, 3.5억원", "2024년 1월 5일, 2024.1.5, 2024/01/06, 2024년 12월, 12024-01-01x", "9.9%와 12 퍼센트", "숫자 없음", None, "0원"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").select("k", normalize.mentions(F.col("text")).alias("m")).collect()
+    got = {r.k: r.m and [tuple(x) for x in r.m] for r in rows}
+    assert got[0] == [("money", "1234500060007"), ("money", "1200"), ("money", "350000000")]
+    assert got[1] == [("date", "2024-01-05"), ("date", "2024-01-05"), ("date", "2024-01-06"), ("month", "2024-12")]
+    assert got[2] == [("ratio", "9.9"), ("ratio", "12")]
+    assert got[3] == [] and got[4] is None and got[5] == [("money", "0")]
+
+
+def test_same_period_and_decimals(spark):
+    rows = spark.createDataFrame([(1, date(2024, 1, 1), None, date(2024, 1, 1), None, "9.90"), (2, date(2024, 1, 1), None, None, None, "12")], "k int, a_from date, a_to date, b_from date, b_to date, raw string")
+    got = [tuple(r) for r in rows.orderBy("k").select(calculation.same_period("a", "b"), calculation.decimals(F.col("raw"))).collect()]
+    assert got == [(True, 2), (False, 0)]
