@@ -60,3 +60,18 @@ def test_literal_tokens_are_in_all_that_fits():
             low = (u or "").lower()
             if re.search(p.expression, low):
                 assert set(p.tokens) <= url_rules.tokens(low)
+
+
+def test_oracle_and_operator_agree_outside_ascii(spark):
+    import duckdb
+
+    from lodestone.llm import sql
+
+    urls = ["HTTP://CAFÉ.com/É", "http://x/écasino", "http://x/é-casino/", "http://x/casinoé", "http://x/CASİNO", "http://x/a.exe\n", "http://x/a.exe", "http://x/ſpam-farm", "http://x/spam-farm", "http://ADULT.é/", "http://x.net/es/İ", None, "", "://", "a://b://c", "http://www.EXAMPLE.com/en/", "http://example.com/en/x", "http://x/K", "http://ÀB.COM/?q"]
+    rows = list(enumerate(urls))
+    got = sorted(tuple(r) for r in url_rules.judged(spark.createDataFrame(rows, "page_id long, url string")).collect())
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", rows)
+    want = con.execute("select page_id, host, path, rule, verdict from (" + sql.url_rules() + ") order by page_id").fetchall()
+    assert got == want
