@@ -62,6 +62,9 @@ PARAMS = Params()
 TURNS, HUBS = 1, 8
 #: Members up to which a bucket's pairs are rows, and members of a block of larger buckets.
 FEW, BLOCK = 12, 1024
+#: A bucket is dealt into parts of about PART rows, or of the HOT_BUCKETS-th of all rows where that is more, so that no
+#: more than HOT_BUCKETS buckets have several parts. PART is FEW at least: buckets of few members have one part.
+PART, HOT_BUCKETS = 512, 10_000
 
 _U = np.uint64
 _SINGLE = _U(0x5851F42D4C957F2D)
@@ -188,18 +191,34 @@ def _linked(pairs: DataFrame, packed: DataFrame, params: Params) -> DataFrame:
     return pairs.join(v, "v").join(u, "u").select("u", "v", "packed_u", "packed_v").mapInArrow(_bytes.frugal(run), "u long, v long").distinct()
 
 
+def _parted(buckets: DataFrame) -> DataFrame:
+    """A table of one row for each bucket, once for each of the bucket's parts. Joins with members name the part too."""
+    return buckets.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+
+def _members(rows: DataFrame, buckets: DataFrame, scratch: _store.Scratch) -> DataFrame:
+    """The rows (rep, band, key) that lie in buckets (band, key, hub, n), with hub, parts and the part each is dealt to."""
+    total = buckets.agg(F.sum("n")).first()[0] or 0
+    buckets = buckets.withColumn("parts", F.ceil(F.col("n") / max(PART, -(-total // HOT_BUCKETS))).cast("int")).drop("n")
+    # at most HOT_BUCKETS rows, so every task may hold them
+    hot = F.broadcast(scratch.staged(buckets.where("parts > 1").select("band", "key", F.col("parts").alias("several"))))
+    part = F.pmod(F.xxhash64(F.lit(6), "rep"), F.coalesce("several", F.lit(1))).cast("int")
+    dealt = rows.join(hot, ["band", "key"], "left").select("rep", "band", "key", part.alias("part"))
+    return dealt.join(_parted(buckets), ["band", "key", "part"])
+
+
 def _open(placed: DataFrame, turn: int, scratch: _store.Scratch) -> tuple[DataFrame, DataFrame]:
     """The members of buckets with several components; and those outside the largest, as a, with some hubs from inside it."""
-    several = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
+    several = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("parts").alias("parts")).where("low < high").select("band", "key", "parts")
     several = scratch.staged(several)
-    opened = scratch.staged(placed.join(several, ["band", "key"], "left_semi"))
+    opened = scratch.staged(placed.join(_parted(several), ["band", "key", "part"], "left_semi"))
     drawn = [F.min_by("rep", F.xxhash64("rep", F.lit(turn * HUBS + k))).alias(f"h{k}") for k in range(HUBS)]
-    sizes = opened.groupBy("band", "key", "component").agg(F.count("*").alias("n"), *drawn)
+    sizes = opened.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.first("parts").alias("parts"), *drawn)
     hubs = F.struct("component", F.array(*[f"h{k}" for k in range(HUBS)]).alias("hubs"))
-    largest = sizes.groupBy("band", "key").agg(F.max_by(hubs, F.struct("n", "component")).alias("largest"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    largest = sizes.groupBy("band", "key").agg(F.max_by(hubs, F.struct("n", "component")).alias("largest"), F.sum("n").alias("total"), F.max("n").alias("most"), F.first("parts").alias("parts"))
     largest = scratch.staged(largest)
-    outside = opened.join(largest, ["band", "key"]).where("component <> largest.component")
-    return opened, outside.select("band", "key", F.col("rep").alias("a"), F.col("component").alias("component_a"), "largest.hubs", "total", (F.col("total") - F.col("most")).alias("n_outside"))
+    outside = opened.drop("parts").join(_parted(largest), ["band", "key", "part"]).where("component <> largest.component")
+    return opened, outside.select("band", "key", "parts", F.col("rep").alias("a"), F.col("component").alias("component_a"), "largest.hubs", "total", (F.col("total") - F.col("most")).alias("n_outside"))
 
 
 def _block_links(opened: DataFrame, outside: DataFrame, packed: DataFrame, params: Params) -> DataFrame:
@@ -215,11 +234,11 @@ def _block_links(opened: DataFrame, outside: DataFrame, packed: DataFrame, param
     def numbers(n):
         return F.explode(F.sequence(F.lit(0), blocks(n) - 1))
 
-    sizes = outside.groupBy("band", "key").agg(F.first("total").alias("total"), F.first("n_outside").alias("n_outside"))
+    sizes = outside.groupBy("band", "key").agg(F.first("total").alias("total"), F.first("n_outside").alias("n_outside"), F.first("parts").alias("parts"))
     place = F.xxhash64(F.lit(3), "rep")
     left = outside.select("band", "key", F.col("a").alias("rep"), F.col("component_a").alias("component"), "total", "n_outside")
     left = left.select("band", "key", F.pmod(place, blocks(F.col("n_outside"))).cast("int").alias("x"), numbers(F.col("total")).alias("y"), F.lit(0).alias("side"), "rep", "component")
-    right = opened.join(sizes, ["band", "key"]).withColumn("y", F.pmod(place, blocks(F.col("total"))).cast("int"))
+    right = opened.drop("parts").join(_parted(sizes), ["band", "key", "part"]).withColumn("y", F.pmod(place, blocks(F.col("total"))).cast("int"))
     right = right.select("band", "key", numbers(F.col("n_outside")).alias("x"), "y", F.lit(1).alias("side"), "rep", "component")
     rows = left.union(right).join(packed.withColumnRenamed("doc_id", "rep"), "rep").select("band", "key", "x", "y", "side", "rep", "component", "packed")
 
@@ -289,10 +308,8 @@ def _clusters(docs: DataFrame, params: Params, scratch: _store.Scratch) -> DataF
     classes = scratch.staged(least.select("f1", "f2", "n", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"), F.col("r.sig").alias("sig")))
 
     rows = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = rows.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").drop("top")
-    # written, so that both sides of the join are plain exchanges, whose hot partitions Spark can split
-    buckets = scratch.staged(buckets)
-    members = scratch.staged(rows.join(buckets, ["band", "key"]))
+    buckets = rows.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count("*").alias("n")).where("hub < top").drop("top")
+    members = scratch.staged(_members(rows, scratch.staged(buckets), scratch))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     packed = scratch.staged(_packed(_ids_and_texts(docs).join(wanted, "doc_id", "left_semi")))
 
@@ -306,7 +323,7 @@ def _clusters(docs: DataFrame, params: Params, scratch: _store.Scratch) -> DataF
             pairs = outside.select("a", F.explode(F.array_distinct("hubs")).alias("rep"))
         else:
             few = outside.where(F.col("total") <= FEW).select("band", "key", "a", "component_a")
-            pairs = few.join(opened, ["band", "key"]).where("component_a <> component and a <> hub and rep <> hub").select("a", "rep")
+            pairs = few.join(opened.where("parts = 1"), ["band", "key"]).where("component_a <> component and a <> hub and rep <> hub").select("a", "rep")
         pairs = pairs.select(F.least("a", "rep").alias("u"), F.greatest("a", "rep").alias("v")).distinct()
         more = _linked(_plausible(pairs, classes, params), packed, params)
         if turn == TURNS:

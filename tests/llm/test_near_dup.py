@@ -43,6 +43,13 @@ def test_against_all_pairs(spark, monkeypatch, few, block, hubs):
     check(spark, families(few + block))
 
 
+def test_buckets_of_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "FEW", 2)
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "PART", 3)
+    check(spark, families(11))
+
+
 def test_five_words_are_the_default(spark):
     assert near_dup.PARAMS.shingle == 5
     check(spark, families(5), 5)
