@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, mixing, near_dup, quality, repeats, secrets, sharding, sql, token_ids, toxicity, url_rules
+from lodestone.llm import decontamination, fill_middle, mixing, near_dup, quality, repeats, secrets, sharding, sql, token_ids, toxicity, url_rules
 from lodestone.tables import table
 
 
@@ -59,6 +59,10 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -71,8 +75,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_rules": op8_url_rules,
         "op9_decontamination": op9_decontamination,
         "op10_token_ids": op10_token_ids,
+        "op12_fill_middle": op12_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sql.sharding(), "op3_quality_rules": sql.quality_rules(), "op8_url_rules": sql.url_rules()}
+    return {"op2_sharding": sql.sharding(), "op3_quality_rules": sql.quality_rules(), "op8_url_rules": sql.url_rules(), "op12_fill_middle": sql.fill_middle_digests()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import quality
+from lodestone.llm import fill_middle, quality
 from lodestone.llm import sharding as sharding_op
 from lodestone.llm import url_rules as url_rules_op
 
@@ -82,3 +82,19 @@ more AS (SELECT r, arg_min(verdict, k) AS verdict FROM s JOIN patterns ON regexp
 SELECT page_id, host, path, rule, coalesce(fits.verdict, more.verdict, 'allow') AS verdict
 FROM s LEFT JOIN fits USING (r) LEFT JOIN more USING (r)
 """
+
+
+def fill_middle_digests(params: fill_middle.Params = fill_middle.PARAMS) -> str:
+    p, s, m = (f"'{x}'" for x in params.sentinels)
+    before, after, rest = "t[:a]", "t[b + 1:]", "t[a + 1:b]"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{params.seed}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, [('0x' || h[8 * k + 1:8 * k + 8])::BIGINT FOR k IN range(4)] AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, {p}) OR contains(t, {s}) OR contains(t, {m}) OR h[3] % 100 >= {100 - params.plain_percent} THEN 'plain'
+    WHEN h[4] % 100 < {params.spm_percent} THEN 'spm' ELSE 'psm' END AS form FROM n)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN {p} || {before} || {s} || {after} || {m} || {rest} ELSE {s} || {after} || {p} || {before} || {m} || {rest} END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c
+"""
