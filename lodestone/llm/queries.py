@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, fill_middle, mixing, near_dup, quality, repeats, secrets, sharding, sql, token_ids, toxicity, url_rules
+from lodestone.llm import centroids, decontamination, fill_middle, mixing, near_dup, quality, repeats, secrets, sharding, sql, token_ids, toxicity, url_rules
 from lodestone.tables import table
 
 
@@ -63,6 +63,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -76,8 +80,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": op9_decontamination,
         "op10_token_ids": op10_token_ids,
         "op12_fill_middle": op12_fill_middle,
+        "op13_centroids": op13_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sql.sharding(), "op3_quality_rules": sql.quality_rules(), "op8_url_rules": sql.url_rules(), "op12_fill_middle": sql.fill_middle_digests()}
+    return {
+        "op2_sharding": sql.sharding(),
+        "op3_quality_rules": sql.quality_rules(),
+        "op8_url_rules": sql.url_rules(),
+        "op12_fill_middle": sql.fill_middle_digests(),
+        "op13_centroids": sql.clusters(),
+    }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import fill_middle, quality
+from lodestone.llm import centroids, fill_middle, quality
 from lodestone.llm import sharding as sharding_op
 from lodestone.llm import url_rules as url_rules_op
 
@@ -98,3 +98,26 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGIN
   sha256(t) AS restored_sha256
 FROM c
 """
+
+
+def clusters(params: centroids.Params = centroids.PARAMS) -> str:
+    d, most = params.dimensions, centroids.LARGEST
+    square = f"list_sum([(v.x[j] - c.x[j]) * (v.x[j] - c.x[j]) FOR j IN range(1, {d + 1})])::BIGINT"
+    steps = []
+    for t in range(params.rounds + 1):
+        steps.append(f"p{t} AS (SELECT v.r, c.c, {square} AS d FROM v, c{t} AS c)")
+        steps.append(f"a{t} AS MATERIALIZED (SELECT r, min({{'d': d, 'c': c}}) AS best FROM p{t} GROUP BY r)")
+        if t < params.rounds:
+            steps.append(f"""s{t} AS (SELECT best.c AS c, j, sum(x[j]) AS s, count(*) AS n FROM a{t} JOIN v USING (r), unnest(range(1, {d + 1})) AS u(j) GROUP BY ALL),
+m{t} AS (SELECT c, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY j) AS x FROM s{t} GROUP BY c),
+c{t + 1} AS MATERIALIZED (SELECT c, coalesce(m.x, o.x) AS x FROM c{t} o LEFT JOIN m{t} m USING (c))""")
+    t = params.rounds
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [least(greatest(floor({params.scale} * e::DOUBLE), -{most}), {most})::BIGINT FOR e IN embedding] AS x
+  FROM embeddings WHERE len(embedding) = {d} AND len(list_filter(embedding, lambda e: isfinite(e))) = {d}),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('{params.seed}:' || vec_id::VARCHAR)) - 1)::INT AS c, x FROM v QUALIFY c < {params.k}),
+{", ".join(steps)}
+SELECT vec_id, best.c AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+  (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{t} JOIN v USING (r) JOIN c{t} c ON c.c = best.c
+"""
