@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import centroids, decontamination, fill_middle, mixing, near_dup, quality, repeats, secrets, sharding, sql, token_ids, toxicity, url_rules
+from lodestone.llm import centroids, decontamination, fill_middle, mixing, near_dup, quality, quality_classifier, repeats, secrets, sharding, sql, token_ids, toxicity, url_rules
 from lodestone.tables import table
 
 
@@ -59,6 +59,11 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.scored(docs, quality_classifier.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_rules": op8_url_rules,
         "op9_decontamination": op9_decontamination,
         "op10_token_ids": op10_token_ids,
+        "op11_quality_classifier": op11_quality_classifier,
         "op12_fill_middle": op12_fill_middle,
         "op13_centroids": op13_centroids,
     }
