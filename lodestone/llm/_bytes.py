@@ -17,33 +17,61 @@ import pyarrow as pa
 SLICE = 1 << 20
 
 _U = np.uint64
-_RADIX = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-_RADIX_INVERSE = pow(_RADIX, -1, 1 << 64)
+#: Hashes are polynomials modulo this prime, at one place. (Modulo 2**64 some strings collide whatever the place is, such as
+#: Thue-Morse words of 1,024 letters.)
+PRIME = (1 << 61) - 1
+_P, _LOW30, _LOW31 = _U(PRIME), _U((1 << 30) - 1), _U((1 << 31) - 1)
+_PLACE = 0x1E3779B97F4A7C15 % PRIME
+_PLACES = (_PLACE, pow(_PLACE, -1, PRIME))
+
+#: Bytes that are summed up at once, so that what is at hand stays in the processor's cache.
+_STEP = 1 << 15
 
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 
-def _codes(seed: int, fold: bool) -> np.ndarray:
-    codes = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+def _codes(fold: bool) -> np.ndarray:
+    codes = np.arange(1, 257, dtype=_U)  # no byte is 0, so strings of different lengths differ
     if fold:
         codes[65:91] = codes[97:123]
     return codes
 
 
-CODES, FOLDED = _codes(11, False), _codes(11, True)
+CODES, FOLDED = _codes(False), _codes(True)
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, or up to 7 more."""
+    return (x & _P) + (x >> _U(61))
+
+
+def _least(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME; x is below twice that."""
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of what is at most 7 above it."""
+    high_a, low_a, high_b, low_b = a >> _U(31), a & _LOW31, b >> _U(31), b & _LOW31
+    middle = high_a * low_b + low_a * high_b
+    return _least(_reduced(_U(2) * high_a * high_b + (middle >> _U(30)) + ((middle & _LOW30) << _U(31)) + low_a * low_b))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """radix**i and radix**-i modulo 2**64 for i up to n."""
+    """The place's powers, and their inverses, for exponents up to n."""
     if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        for k, base in enumerate((_RADIX, _RADIX_INVERSE)):
-            steps = np.full(size, base, _U)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
+        size = 1 << max(16, n.bit_length())
+        for k, base in enumerate(_PLACES):
+            out = np.ones(size, _U)
+            have = len(_powers[k])
+            out[:have] = _powers[k]
+            while have < size:
+                out[have : 2 * have] = times(out[:have], np.full(1, pow(base, have, PRIME), _U))
+                have *= 2
+            _powers[k] = out
     return _powers[0], _powers[1]
 
 
@@ -57,18 +85,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _summed(n: int, parts: Callable[[int, int], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sums of n terms modulo PRIME from the first on, one value more than terms. parts gives terms[low:high] as
+    high * 2**31 + low, both below 2**48."""
+    out, carry = np.zeros(n + 1, _U), _U(0)
+    for low in range(0, n, _STEP):
+        high = min(low + _STEP, n)
+        upper, lower = (np.cumsum(x) for x in parts(low, high))
+        out[low + 1 : high + 1] = _reduced(((upper & _LOW30) << _U(31)) + (upper >> _U(30)) + lower + carry)
+        carry = out[high]
+    return out
+
+
 def prefix_hash(data: np.ndarray, codes: np.ndarray = CODES) -> np.ndarray:
     """One value more than bytes; see span_hash."""
-    out = np.zeros(len(data) + 1, _U)
-    terms = codes[data]
-    terms *= powers(len(data))[0][: len(data)]
-    np.cumsum(terms, out=out[1:])
-    return out
+    up = powers(len(data))[0]
+
+    def parts(low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        own, power = codes[data[low:high]], up[low:high]
+        return own * (power >> _U(31)), own * (power & _LOW31)
+
+    return _summed(len(data), parts)
+
+
+def prefix_of_values(values: np.ndarray) -> np.ndarray:
+    """As prefix_hash, for 64-bit values in place of bytes."""
+    up = powers(len(values))[0]
+
+    def parts(low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        terms = times(_reduced(values[low:high]), up[low:high])
+        return terms >> _U(31), terms & _LOW31
+
+    return _summed(len(values), parts)
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand."""
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start])
+    """Hashes of data[start:end], equal for equal bytes wherever they stand; 61 bits, spread over 64."""
+    return mix(times(_reduced(prefix[end] + _U(2 * PRIME) - prefix[start]), powers(len(prefix))[1][start]))
+
+
+def gram_hash(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each data[k : k + size], by doubling: for short grams, where two that share one only cost time."""
+    n, width = max(0, len(data) - size + 1), 1
+    out = mix(CODES[data])
+    while 2 * width <= size:
+        out = out[:-width] * _U(0x9E3779B97F4A7C15) + out[width:]
+        out ^= out >> _U(29)
+        width *= 2
+    if width < size:
+        out = out[:n] * _U(0xC2B2AE3D27D4EB4F) + out[size - width : size - width + n]
+    return mix(out)
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:

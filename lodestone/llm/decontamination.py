@@ -136,8 +136,7 @@ def windows(text: Tokens, size: int, plain: float) -> tuple[np.ndarray, np.ndarr
     n = len(token) - size + 1
     if n <= 0:
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    total = np.zeros(len(token) + 1, _U)
-    np.cumsum(token * _bytes.powers(len(token))[0][: len(token)], out=total[1:])
+    total = _bytes.prefix_of_values(token)
     words = np.zeros(len(token) + 1, np.int64)
     np.cumsum(slot == 0, out=words[1:])
     good = words[size:] - words[:-size] >= plain * size
@@ -170,9 +169,7 @@ def _classes(text: Tokens) -> tuple[np.ndarray, np.ndarray]:
         known: dict[int, int] = {0: 0}
         number[a:b] = [known.setdefault(x, len(known)) for x in text.slot[a:b].tolist()]
     part = _bytes.mix(_bytes.mix(text.token + number.astype(_U)) + np.diff(text.word).astype(_U))
-    total = np.zeros(len(part) + 1, _U)
-    np.cumsum(part * _bytes.powers(len(part))[0][: len(part)], out=total[1:])
-    return number, _bytes.span_hash(total, text.first[:-1], text.first[1:])
+    return number, _bytes.span_hash(_bytes.prefix_of_values(part), text.first[:-1], text.first[1:])
 
 
 def _keys(text: Tokens, kind: int, size: int, plain: float) -> tuple[np.ndarray, np.ndarray]:

@@ -88,9 +88,8 @@ def _parse(data: np.ndarray, at: np.ndarray, params: Params) -> tuple[np.ndarray
     if n <= 0 or not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U)
     prefix = _bytes.prefix_hash(data)
-    start = np.arange(len(data) - gram + 1)
-    key = _bytes.span_hash(prefix, start, start + gram)
-    least = (key & ~_LOW) | start.astype(_U)  # the hash, then the place, so the first of equal ones
+    key = _bytes.gram_hash(data, gram)
+    least = (key & ~_LOW) | np.arange(len(key), dtype=_U)  # the hash, then the place, so the first of equal ones
     span, size = length - gram + 1, 1
     while size * 2 <= span:
         least = np.minimum(least[:-size], least[size:])
@@ -210,10 +209,10 @@ def _starts(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, n
 
 def _places(data: np.ndarray, at: np.ndarray, params: Params) -> np.ndarray:
     """Where each phrase's trigger stands: the gram of least hash of its first window, the first of those."""
-    prefix, span, out = _bytes.prefix_hash(data), np.arange(params.length - params.gram + 1), []
+    key, span, out = _bytes.gram_hash(data, params.gram), np.arange(params.length - params.gram + 1), []
     for k in range(0, len(at) - 1, 1024):
         start = at[k : min(k + 1024, len(at) - 1), None] + span
-        out.append(np.argmin(_bytes.span_hash(prefix, start, start + params.gram) & ~_LOW, axis=1))
+        out.append(np.argmin(key[start] & ~_LOW, axis=1))
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 

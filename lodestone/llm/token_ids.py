@@ -12,8 +12,9 @@ ranks are a table beside the blocks. A reader looks the control bytes up in a 25
 gathers all values of a block at once with numpy.
 
 Encoding: where the tokenizer's own file says that it splits texts by the one pattern whose cuts ``_piece_starts`` knows,
-texts are cut there and a worker sends each distinct piece through the library once, known by 64 bits of its hash; any
-other tokenizer gets whole texts. Ids are 16 bits wide between the steps, or 32 where the vocabulary needs them.
+texts are cut there and a worker sends each distinct piece through the library once. Pieces are looked up by a hash and then
+compared byte by byte; one that isn't the piece its hash is known for goes through the library itself. Any other tokenizer
+gets whole texts. Ids are 16 bits wide between the steps, or 32 where the vocabulary needs them.
 
 Rows: a null text is empty; every row is written, so a repeated doc_id gives as many entries, in the order
 of their first ids, then of a hash of all. A null doc_id comes last. Extra columns are ignored. An empty table gives empty files.
@@ -131,6 +132,12 @@ def _piece_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ... of count[k] numbers, for all k one after the other."""
+    upto = np.cumsum(count)
+    return np.repeat(first - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)
+
+
 class Encoder:
     """Encodes many texts with the tokenizers library; each distinct piece goes through the library once, where texts can be cut."""
 
@@ -143,12 +150,16 @@ class Encoder:
         self.rows = np.zeros(0, np.int64)
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, self.type)
+        self.own_starts = np.zeros(1, np.int64)
+        self.own = np.zeros(0, np.uint8)  # the pieces' bytes
 
     def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> None:
         flat, counts = self._through_library(data, start, end, 1 << 14)
         rows = np.arange(len(keys)) + len(self.starts) - 1
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
         self.ids = np.concatenate([self.ids, flat])
+        self.own_starts = np.concatenate([self.own_starts, self.own_starts[-1] + np.cumsum(end - start)])
+        self.own = np.concatenate([self.own, data[_spread(start, end - start)]])
         keys, rows = np.concatenate([self.keys, keys]), np.concatenate([self.rows, rows])
         order = np.argsort(keys)
         self.keys, self.rows = keys[order], rows[order]
@@ -185,11 +196,24 @@ class Encoder:
             self._learn(data, start[new], end[new], distinct[~known])
             place = np.searchsorted(self.keys, distinct)
         row = self.rows[place][inverse]
-        first, count = self.starts[row], self.starts[row + 1] - self.starts[row]
-        upto = np.cumsum(count)
-        ids = self.ids[np.repeat(first - (upto - count), count) + np.arange(upto[-1])]
+        first, count, ids = self.starts[row], self.starts[row + 1] - self.starts[row], self.ids
+        other = self._others(data, start, end, row)
+        if len(other):  # rare: their ids stand behind the known ones
+            flat, counts = self._through_library(data, start[other], end[other], 1 << 14)
+            first[other], count[other], ids = len(ids) + np.cumsum(counts) - counts, counts, np.concatenate([ids, flat])
         pieces = np.searchsorted(start, at)
-        return ids, np.append(0, upto)[pieces]
+        return ids[_spread(first, count)], np.append(0, np.cumsum(count))[pieces]
+
+    def _others(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Which pieces data[start:end], that lie end to end, aren't byte by byte what is remembered in their rows."""
+        first, size = self.own_starts[row], self.own_starts[row + 1] - self.own_starts[row]
+        differs = size != end - start
+        if differs.any():
+            size = np.where(differs, 0, size)
+        unlike = np.zeros(int(size.sum()) + 1, np.int32)
+        np.cumsum(self.own[_spread(first, size)] != (data[_spread(start, size)] if differs.any() else data), out=unlike[1:])
+        upto = np.cumsum(size)
+        return np.flatnonzero(differs | (unlike[upto] != unlike[upto - size]))
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:

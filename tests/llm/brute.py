@@ -164,3 +164,9 @@ def decontaminate(doc: str | None, items: list[str], units: set[str], window=8,
 def _core_words(text: str | None) -> list[str]:
     out = [re.sub(r"^[^a-z0-9\x80-\U0010ffff]+|[^a-z0-9\x80-\U0010ffff]+$", "", w) for w in WORD.findall(fold(text or ""))]
     return [w for w in out if w]
+
+
+def colliding_words(letters: str = "ab", n: int = 1024) -> tuple[str, str]:
+    """Two words that any polynomial hash modulo 2**64 takes for one: the Thue-Morse word and its complement."""
+    bits = [k.bit_count() % 2 for k in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)

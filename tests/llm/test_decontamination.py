@@ -57,6 +57,15 @@ def test_placeholders_alone_match_nothing(spark):
     assert not flags(spark, ["12 34 56 78 90 12 34 56 78 " * 20, "x John Smith Ann Lee Bob Ray " * 9], ["1 2 3 4 5 6 7 8 9 10", "so Kim Day 5 km Lou Fox 6 km"])
 
 
+def test_words_made_to_collide(spark):
+    a, b = brute.colliding_words()
+    assert flags(spark, [f"so {a} and {b} {a} or {a} {b} but {b} {b} too", f"so {b} and {a} {b} or {b} {a} but {a} {a} too"], [f"{a} and {b} {a} or {a} {b} but {b} {b}"]) == {0}
+    # whole items of 1,024 words, that are one class only if their templates are equal
+    long, other = (" ".join({"a": "one", "b": "two"}[c] for c in x) for x in (a, b))
+    items = spark.createDataFrame([(1, long), (2, other)], "item_id int, text string")
+    assert decontamination.item_windows(items).select("klass").distinct().count() == 2
+
+
 def test_short_items_and_blocks(spark):
     docs = ["well the quick brown fox jumps here", "a quick brown", OTHER, QUESTION]
     assert flags(spark, docs, ["the quick brown fox jumps", "a quick brown", OTHER, QUESTION], block=10) == {0, 2, 3}

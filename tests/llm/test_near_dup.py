@@ -43,6 +43,12 @@ def test_against_all_pairs(spark, monkeypatch, few, block, hubs):
     check(spark, families(few + block))
 
 
+@pytest.mark.parametrize("letters", ["ab", "xQ"])
+def test_words_made_to_collide(spark, letters):
+    a, b = brute.colliding_words(letters)
+    check(spark, [f"{a} {a}", f"{b} {b}", f"{a} {b} {a}", f"{b} {a} {b}", f"{a} {a}", a, b])
+
+
 def test_buckets_of_several_parts(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "FEW", 2)
     monkeypatch.setattr(near_dup, "BLOCK", 8)

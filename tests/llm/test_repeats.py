@@ -76,6 +76,12 @@ def test_very_long_text(spark):
     assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans) for x in rows) == [(0, 20_000_000, 300, 1), (1, 302, 300, 1), (2, 151, 0, 0)]
 
 
+def test_phrases_made_to_collide(spark):
+    a, b = brute.colliding_words()
+    check(spark, [a, b, a + "#" + b, b + "." + a], repeats.Params(length=250, gram=40))
+    check(spark, [f"{'-' * 300}{x}{'-' * 300}" for x in (a, b)], repeats.Params(length=200, gram=64))
+
+
 def test_empty_table(spark):
     assert repeats.digests(spark.createDataFrame([], SCHEMA)).count() == 0
 

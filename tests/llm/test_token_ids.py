@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import zlib
 
+import brute as brute_words
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -41,6 +42,28 @@ def test_pieces_give_the_ids_of_whole_texts():
             assert ids[first[k] : first[k + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def same_as_library(texts):
+    encoder, tokenizer = token_ids.Encoder(queries.tokenizer_path()), token_ids._tokenizer(queries.tokenizer_path())
+    for low, high, data, at in _bytes.slices(pa.array(texts), 3000):
+        ids, first = encoder.encode(data, at)
+        for k, text in enumerate(texts[low:high]):
+            assert ids[first[k] : first[k + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_words_made_to_collide():
+    a, b = brute_words.colliding_words()
+    assert a != b
+    same_as_library([f"x {a} y {b}", f"{b} {a}", "", b, a * 3, f"{b} and {a}{b}"])
+
+
+@pytest.mark.parametrize("different", [1, 3])
+def test_pieces_that_share_a_hash_are_told_apart(monkeypatch, different):
+    own = _bytes.span_hash
+    monkeypatch.setattr(_bytes, "span_hash", lambda *x: own(*x) % np.uint64(different))
+    r = random.Random(6)
+    same_as_library(["", *(" ".join(r.choice(["one", "two", "owt", "three", "a,", "é", "中"]) for _ in range(r.randint(0, 30))) for _ in range(400))])
+
+
 def test_only_a_known_split_is_cut(tmp_path):
     import json
 
