@@ -18,24 +18,35 @@ _WORDS = ("신설", "증설", "교체", "증설 및 이전", "없음")
 
 
 def _grids(spark: SparkSession, d: str) -> DataFrame:
-    """An investment's table for each order: a kind, amounts with and without unit, equity once or twice, a date, a note; then corrections."""
+    """An investment's table for each order: a kind, amounts with and without unit, equity once or twice, a date, a note; then corrections.
+
+    Every fourth order's amount has a label that spans two rows, the second with a remark; every sixth date's value does.
+    """
     k, price = F.col("o_orderkey"), F.col("o_totalprice").cast("long").cast("string")
 
-    def row(*texts):
-        return F.struct(F.array(*[F.struct(F.lit("DATA").alias("type"), (F.lit(t) if isinstance(t, str) else t).alias("text")) for t in texts]).alias("cells"))
+    def row(*texts, spans=()):
+        """A row of data cells; spans are the rows that each cell covers, one if not said."""
+        covered = [*spans, *[F.lit(1)] * (len(texts) - len(spans))]
+        cells = [F.struct(F.lit("DATA").alias("type"), n.alias("rowSpan"), (F.lit(t) if isinstance(t, str) else t).alias("text")) for t, n in zip(texts, covered, strict=True)]
+        return F.struct(F.array(*cells).alias("cells"))
+
+    def only_if(test, one):
+        return F.when(test, F.array(one)).otherwise(F.slice(F.array(one), 1, 0))
 
     equity = row("자기자본(백만원)", k.cast("string"))
     day = F.when(k % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 3 == 1, F.date_format("o_orderdate", "yyyy년 M월 d일")).otherwise("soon")
     note = F.when(k % 2 == 0, F.concat(F.lit("- 투자금액은 USD "), k.cast("string"), F.lit(" 이며 환율 1,300.5 KRW/USD"))).otherwise("- 없음")
-    rows = [
-        row("1. 투자구분", F.element_at(F.array(*map(F.lit, _WORDS)), (k % 5 + 1).cast("int"))),
-        row(F.when(k % 7 == 0, "투자금액").otherwise("2. 투자금액(원)"), price),
-        row("이사회결의일(결정일)", day),
-        row("기타 투자판단과 관련한 중요사항", note),
-        row("정정항목", "정정전", "정정후"),
-        row("2. 투자내역 - 투자금액(원)", k.cast("string"), price),
+    two_rows, long_day = F.when(k % 4 == 1, 2).otherwise(1), F.when(k % 6 == 5, 2).otherwise(1)
+    parts = [
+        F.array(equity),
+        only_if(k % 11 == 0, equity),
+        F.array(row("1. 투자구분", F.element_at(F.array(*map(F.lit, _WORDS)), (k % 5 + 1).cast("int"))), row(F.when(k % 7 == 0, "투자금액").otherwise("2. 투자금액(원)"), price, spans=(two_rows,))),
+        only_if(k % 4 == 1, row("비고", "없음")),
+        F.array(row("이사회결의일(결정일)", day, spans=(F.lit(1), long_day))),
+        only_if(k % 6 == 5, row("참고")),
+        F.array(row("기타 투자판단과 관련한 중요사항", note), row("정정항목", "정정전", "정정후"), row("2. 투자내역 - 투자금액(원)", k.cast("string"), price)),
     ]
-    all_rows = F.concat(F.array(equity), F.when(k % 11 == 0, F.array(equity)).otherwise(F.slice(F.array(equity), 1, 0)), F.array(*rows))
+    all_rows = F.concat(*parts)
     return table(spark, d, "orders").select(k.alias("table_id"), F.to_json(F.struct(all_rows.alias("rows"))).alias("table_json"))
 
 

@@ -32,6 +32,23 @@ def test_each_definition_gets_one_verdict(spark):
     assert got["correction.end_date.after"] == "NO_CANDIDATE"
 
 
+def test_labels_that_span_rows_count_where_they_begin(spark):
+    cells = [[("투자금액(원)", 2), ("100", 1)], [("비고", 1), ("없음", 1)], [("투자목적", 1), ("확대", 3)], [("투자대상", 1)], [("자기자본(원)", 1), ("7", 1)]]
+    made = {"rows": [{"cells": [{"type": "DATA", "text": t, "rowSpan": n} for t, n in row]} for row in cells]}
+    table = spark.createDataFrame([(1, json.dumps(made, ensure_ascii=False))], "table_id long, table_json string")
+    found = facts.candidates(tables.grid(table))
+    assert {(r.fact_key, r.raw_value, r.row_index) for r in found.collect()} == {("facility.amount", "100", 0), ("facility.purpose", "확대", 2), ("facility.equity_amount", "7", 4)}
+    got = {r.fact_key: (r.verdict, r.typed and r.typed.value) for r in facts.gated(table, found).collect()}
+    assert got["facility.amount"] == ("VERIFIED", "100") and got["facility.target"] == ("NO_CANDIDATE", None)
+
+
+def test_values_read_as_another_type_are_no_facts(spark):
+    made = grid_of(spark, ("투자금액(원)", "100"), ("투자목적", "확대"))
+    other = [(k, "TEXT" if k == "facility.amount" else kind, *rest) for k, kind, *rest in facts.DEFINITIONS]
+    got = {r.fact_key: r.verdict for r in facts.gated(made, facts.candidates(tables.grid(made)), other).collect()}
+    assert got["facility.amount"] == "OTHER_TYPE" and got["facility.purpose"] == "VERIFIED"
+
+
 def test_facts_of_notes_and_corrections(spark):
     made = verdicts(spark, ("기타 투자판단과 관련한 중요사항", "- 투자금액 USD 1,118,534,000 (환율 1,263.1 KRW/USD)"), ("정정항목", "정정전", "정정후"), ("종료일", "2025-01-01", "2025년 6월 30일"))
     rows = {r.fact_key: r for r in facts.generated(made, spark.createDataFrame([(1, "20240102000001")], "table_id long, receipt_no string")).collect()}
