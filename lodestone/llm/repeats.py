@@ -17,11 +17,15 @@ one phrase, and no phrase holds a window twice.
    order, cut off at ``length`` bytes, as longer agreement isn't asked for. Equal windows have their trigger at the
    same place, so the order is made place by place where there are many. Equal neighbours repeat. With the
    counts of the parse that is what the corpus order of all suffixes would say, without a sort of the corpus.
-3. A trigger with more than ``GROUP`` different phrases is ordered by Spark, which groups its windows by their
-   bytes over many tasks. The result is the same; a task then holds no more than ``GROUP`` phrases of a trigger.
+3. A trigger with more than ``GROUP`` different phrases is split before anything is ordered. A window's place is where its
+   trigger stands in it. Phrases are cut into the windows of a quarter of the places; all windows of a quarter share the
+   bytes around the trigger that each of them holds, so equal ones have equal such bytes, and those are the key of a
+   smaller group. Cut phrases that are equal as a whole are counted as in step 2, and one of them goes on. Groups that
+   are still too large are cut again, down to single windows, whose key is all of the window. So no task holds more than
+   ``GROUP`` different phrases of a group, copies of a passage cost a few rows each, and there is but one form of phrase.
 
-Windows of steps 2 and 3 are compared byte by byte; grams and phrases by 64-bit hashes, phrases only among equal
-triggers, so by 128 bits.
+Windows are compared byte by byte; grams, phrases and the keys of groups by 61-bit hashes, phrases only among equal
+keys, so by 122 bits.
 
 Corpus order: phrases overlap by a window less a byte, so two suffixes that agree on ``length`` bytes do so inside
 their phrases, and the order of the parse, which would tell apart suffixes that agree beyond a phrase's end, is never
@@ -56,8 +60,10 @@ class Params:
 
 PARAMS = Params()
 
-#: Different phrases of one trigger that a task orders at once, and phrases of several triggers.
-GROUP, TOGETHER = 4_000, 2_048
+#: Different phrases of one group that a task orders at once, and phrases of several groups.
+GROUP, TOGETHER = 512, 2_048
+#: Ranges of places into which the windows of too large a group are dealt.
+RANGES = 4
 #: Windows whose bytes are ordered at once, about.
 AT_ONCE = 1 << 15
 #: Bytes of a text that are parsed at once; longer texts in sections, whose phrases are cut at the borders.
@@ -277,25 +283,75 @@ def _runs(trigger: np.ndarray) -> Iterator[tuple[int, int]]:
         low = high
 
 
-def _aggregated(tests: DataFrame, length: int) -> DataFrame:
-    """The same for triggers with very many phrases, without bringing them together."""
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ... of count[k] numbers, for all k one after the other."""
+    upto = np.cumsum(count)
+    return np.repeat(first - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)
+
+
+_PARTS = "doc long, tag long, trigger long, single boolean, first long, n int, bytes binary, low int, full long"
+
+
+def _split(tests: DataFrame, width: int, params: Params) -> DataFrame:
+    """Phrases cut at places: the windows whose places lie between low and low + width (of the row) go to RANGES smaller ranges.
+
+    trigger becomes the hash of the bytes that all windows of the range hold; full is the hash of the bytes of all of them.
+    """
+    length, step = params.length, -(-width // RANGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, len(batch), 256):
-                part = batch.slice(low, 256)
-                data, row, start = _starts(part)
-                windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[start])
-                ends = np.arange(len(start) + 1, dtype=np.int32) * length
-                window = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(windows)])
-                n = part.column("n").to_numpy().astype(np.int64)
-                first = part.column("first").to_numpy()[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
-                columns = [pa.array(part.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("doc", "tag", "trigger", "single")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(first), window], ["doc", "tag", "trigger", "single", "first", "window"])
-
-    each = tests.mapInArrow(_bytes.frugal(run), "doc long, tag long, trigger long, single boolean, first long, window binary")
-    twice = each.groupBy("trigger", "window").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("times")).where("times > 1")
-    return each.where("single").join(twice, ["trigger", "window"]).select("doc", "tag", "first", F.lit(1).cast("long").alias("n"))
+            for at_row in range(0, len(batch), 1024):
+                part = batch.slice(at_row, 1024)
+                data, at = _bytes.text_buffers(part.column("bytes"))
+                n, first, low = (part.column(c).to_numpy().astype(np.int64) for c in ("n", "first", "low"))
+                place = _places(data, at, params)
+                row = np.repeat(np.arange(len(n)), RANGES)
+                own = low[row] + np.tile(np.arange(RANGES) * step, len(n))
+                end = np.minimum(own + step, low[row] + width)
+                # the k-th window of a phrase has the place of the first less k
+                begin, last = np.maximum(0, place[row] - end + 1), np.minimum(n[row] - 1, place[row] - own)
+                kept = (own < end) & (begin <= last)
+                row, own, end, begin, last = (x[kept] for x in (row, own, end, begin, last))
+                start, stop, trigger = at[row] + begin, at[row] + last + length, at[row] + place[row]
+                prefix = _bytes.prefix_hash(data)
+                key = _bytes.mix(_bytes.span_hash(prefix, trigger - own, trigger - end + 1 + length) + own.astype(_U))
+                ends = np.append(0, np.cumsum(stop - start)).astype(np.int32)
+                cut = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(data[_spread(start, stop - start)])])
+                columns = [part.column(c).take(pa.array(row)) for c in ("doc", "tag")] + [pa.array(key.view(np.int64)), part.column("single").take(pa.array(row))]
+                columns += [pa.array(first[row] + begin), pa.array(last - begin + 1, pa.int32()), cut, pa.array(own, pa.int32()), pa.array(_bytes.span_hash(prefix, start, stop).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _PARTS.split(", ")])
+
+    return tests.select("doc", "tag", "single", "first", "n", "bytes", "low").mapInArrow(_bytes.frugal(run), _PARTS)
+
+
+def _groups(counted: DataFrame, scratch: _store.Scratch) -> DataFrame:
+    """trigger and how many different phrases it has, of those where a phrase that occurs once may hold windows of another.
+
+    counted has trigger and times, a row for each different phrase. Written, so that both sides of a join with it are plain
+    exchanges, whose hot partitions Spark can split.
+    """
+    groups = counted.groupBy("trigger").agg(F.count("*").alias("different"), F.min("times").alias("least"))
+    return scratch.staged(groups.where("different > 1 and least = 1").select("trigger", "different"))
+
+
+def _refined(tests: DataFrame, params: Params, scratch: _store.Scratch) -> tuple[DataFrame, DataFrame]:
+    """Phrases in groups that a task can order, and those (of big groups) whose windows all occur again: doc, tag, first, n."""
+    names = ["doc", "tag", "trigger", "single", "first", "n", "bytes"]
+    ready = tests.where("not big").select(*names)
+    whole = ready.select("doc", "tag", "first", "n").where("false")
+    width, large = params.length - params.gram + 1, tests.where("big").withColumn("low", F.lit(0))
+    while width > 1 and not large.isEmpty():
+        parts = scratch.staged(_split(large, width, params))
+        times = F.sum(F.when(F.col("single"), 1).otherwise(2))
+        counted = scratch.staged(parts.groupBy("trigger", "full").agg(times.alias("times"), F.min(F.struct("doc", "tag", "first", "n", "low", "bytes")).alias("one")))
+        again = counted.where("times > 1").select("trigger", "full")
+        whole = whole.union(parts.where("single").join(again, ["trigger", "full"], "left_semi").select("doc", "tag", "first", "n"))
+        left = counted.join(_groups(counted, scratch), "trigger").select("one.*", "trigger", (F.col("times") == 1).alias("single"), (F.col("different") > GROUP).alias("big"))
+        left = scratch.staged(left)
+        ready = ready.union(left.where("not big").select(*names))
+        large, width = left.where("big"), -(-width // RANGES)
+    return ready, whole
 
 
 def removals(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
@@ -314,9 +370,7 @@ def removals(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
         counted = mixed.groupBy("trigger", "phrase").agg(F.count("*").alias("times"), F.min(F.struct("doc", "span")).alias("one"))
         counted = scratch.staged(counted)
         whole = alike.union(mixed.join(counted.where("times > 1").select("trigger", "phrase"), ["trigger", "phrase"], "left_semi").select("doc", "span"))
-        groups = counted.groupBy("trigger").agg(F.count("*").alias("different"), F.min("times").alias("least")).where("different > 1 and least = 1")
-        groups = scratch.staged(groups)
-        tests = counted.join(groups, "trigger").select("one.doc", "one.span", "trigger", (F.col("times") == 1).alias("single"), (F.col("different") > GROUP).alias("big"))
+        tests = counted.join(_groups(counted, scratch), "trigger").select("one.doc", "one.span", "trigger", (F.col("times") == 1).alias("single"), (F.col("different") > GROUP).alias("big"))
 
         null = {"trigger": F.lit(None).cast("long"), "single": F.lit(None).cast("boolean"), "big": F.lit(None).cast("boolean")}
         marks = whole.select("doc", "span", F.lit(True).alias("whole"), *[c.alias(k) for k, c in null.items()])
@@ -324,9 +378,10 @@ def removals(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
         # at most two marks for each phrase of a text, however many rows have it: its copies' marks are equal
         marks = marks.groupBy("doc", _tag("span").alias("tag")).agg(F.collect_set(F.struct(_first("span").alias("first"), _count("span").cast("int").alias("n"), "whole", "trigger", "single", "big")).alias("marks"))
         marked = _store.staged(_mark(_packed(docs).join(marks, ["doc", "tag"], "left"), length), "repeats-marked")
+        tests = marked.where("size(tests) > 0").select("doc", "tag", F.explode("tests").alias("t")).select("doc", "tag", "t.*")
+        ready, more = _refined(tests, params, scratch)
+        again = _store.staged(_ordered(ready, params).union(more), "repeats-again")
 
-    tests = marked.where("size(tests) > 0").select("doc", "tag", F.explode("tests").alias("t")).select("doc", "tag", "t.*")
-    again = _ordered(tests.where("not big").drop("big"), params).union(_aggregated(tests.where("big").drop("big"), length))
     # no more runs than the text has windows that begin one
     again = again.groupBy("doc", "tag").agg(F.collect_list(F.struct(F.col("first").alias("low"), (F.col("first") + F.col("n") - 1 + length).alias("high"))).alias("more"))
     flagged = marked.where("packed is not null").select("doc", "tag", "n_bytes", "packed", "runs").join(again, ["doc", "tag"], "left")

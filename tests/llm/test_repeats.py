@@ -43,6 +43,44 @@ def test_sections_and_large_groups(spark, monkeypatch):
     check(spark, planted(random.Random(7)), repeats.Params(length=20, gram=6))
 
 
+@pytest.mark.parametrize("group", [1, 3, 40])
+def test_groups_of_any_size_are_split_alike(spark, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    r = random.Random(group)
+    line = "".join(r.choice("abcdefgh ") for _ in range(31))
+    around = lambda n: "".join(r.choice("pq") for _ in range(n))
+    # one line in many contexts, too short for a window, just long enough, and longer
+    texts = [around(r.randint(0, 30)) + line[: r.choice((12, 17, 19, 20, 21, 31))] + around(r.randint(0, 30)) for _ in range(150)]
+    check(spark, [*texts, *planted(r)[:20]], repeats.Params(length=20, gram=6))
+
+
+@pytest.mark.parametrize("group", [512, 4_000])
+def test_a_passage_in_many_contexts_costs_a_few_rows_for_each(spark, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    made = []
+    own = repeats._store.Scratch.staged
+    monkeypatch.setattr(repeats._store.Scratch, "staged", lambda self, df: made.append(out := own(self, df)) or made.__setitem__(-1, out.count()) or out)
+    r = np.random.default_rng(3)
+    text = lambda n: r.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    line, n = text(90), 40_000
+    texts = [text(60) + line + text(60) for _ in range(n)]
+    seen = {}
+    for k, t in enumerate(texts):
+        for at in range(len(t) - 80 + 1):
+            h = hash(t[at : at + 80])
+            seen[h] = -1 if h in seen else k
+    want = []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for at in range(len(t) - 80 + 1):
+            if seen[hash(t[at : at + 80])] < 0:
+                gone[at : at + 80] = True
+        want.append((len(t), int(gone.sum())))
+    rows = repeats.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), repeats.Params(length=80, gram=24)).collect()
+    assert [(x.n_bytes, x.n_removed) for x in sorted(rows, key=lambda x: x.doc_id)] == want
+    assert len(made) > 6 and max(made) < 6 * n
+
+
 def test_windows_ordered_place_by_place(spark, monkeypatch):
     monkeypatch.setattr(repeats, "AT_ONCE", 40)
     check(spark, planted(random.Random(11)), repeats.Params(length=20, gram=6))
