@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import shared
 from lodestone.catalog import query
-from lodestone.operators import answers, chunking, facts, invariants, quality, search, sections, tables
+from lodestone.operators import answers, assembly, chunking, facts, invariants, quality, search, sections, tables
 from lodestone.plans import question, tools
 from lodestone.sources import files, markup
 from lodestone.tables import table
@@ -389,3 +389,66 @@ def q69_korean_mentions(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select("o_orderkey", said.alias("text"))
     allowed = rows.select("o_orderkey", F.lit("ratio").alias("kind"), F.lit("7.5").alias("value"))
     return answers.unsupported_mentions(rows, "o_orderkey", "text", allowed)
+
+
+# ---- whole filings in reading order ---------------------------------------------------------------------------------
+
+_LINES = """SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem"""
+
+
+def _reading(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A filing for each order. Its lines are headings (R), tables (A) and paragraphs of 600 characters (N), by l_returnflag.
+
+    Every second open line begins a section; so does nothing before the first. Tables have another inside for every third supplier.
+    """
+    lines = table(spark, d, "lineitem")
+    by_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = lines.withColumn("i", F.row_number().over(by_order))
+    opens = (F.col("l_linestatus") == "O") & (F.col("i") % 2 == 0)
+    section = F.max(F.when(opens, F.col("i"))).over(by_order.rowsBetween(Window.unboundedPreceding, 0)).cast("string")
+    lines = lines.withColumns({"opens": opens, "section_id": section})
+    starts = lines.where("opens").select(F.col("l_orderkey").alias("doc_id"), "section_id", (10 * F.col("i") - 5).alias("sequence_no"), F.concat(F.lit("S"), "section_id").alias("section_path"))
+    part, supplier = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+
+    def row(*cells):
+        return F.struct(F.array(F.struct(F.array(*cells).alias("cells"))).alias("rows"))
+
+    def of(text, nested=None):
+        return F.struct(F.lit("DATA").alias("type"), text.alias("text"), *([] if nested is None else [nested.alias("nestedTables")]))
+
+    inner = row(of(F.concat(F.lit("in "), F.col("l_linenumber").cast("string"))))
+    nested = F.when(F.col("l_suppkey") % 3 == 0, F.array(inner)).otherwise(F.slice(F.array(inner), 1, 0))
+    text = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("h"), part)).when(F.col("l_returnflag") == "N", F.rpad(F.concat(F.lit("p"), part, F.lit(" ")), 600, "x"))
+    kind = F.when(F.col("l_returnflag") == "R", "HEADING").when(F.col("l_returnflag") == "A", "TABLE").otherwise("PARAGRAPH")
+    key = (F.col("l_orderkey") * 1000 + F.col("i")).alias("table_id")
+    blocks = lines.select(F.col("l_orderkey").alias("doc_id"), (10 * F.col("i")).alias("sequence_no"), "section_id", kind.alias("block_type"), text.alias("text"), key, F.to_json(row(of(part, F.slice(F.array(inner), 1, 0)), of(supplier, nested))).alias("table_json"))
+    return starts, blocks
+
+
+@query(f"""WITH l AS ({_LINES}), s AS (SELECT *, l_linestatus = 'O' AND i % 2 = 0 AS opens FROM l),
+g AS (SELECT *, sum(opens::INT) OVER o AS seg, max(CASE WHEN opens THEN i END) OVER o AS sec FROM s WINDOW o AS (PARTITION BY l_orderkey ORDER BY i ROWS UNBOUNDED PRECEDING)),
+u AS (SELECT *, max(CASE WHEN l_returnflag <> 'R' THEN i END) OVER b AS used, max(CASE WHEN l_returnflag = 'R' THEN i END) OVER b AS headed FROM g
+  WINDOW b AS (PARTITION BY l_orderkey, seg ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT *, sum((l_returnflag = 'R' AND (headed IS NULL OR coalesce(used > headed, false)))::INT) OVER w AS epoch, sum((l_returnflag <> 'N')::INT) OVER w AS run FROM u
+  WINDOW w AS (PARTITION BY l_orderkey, seg ORDER BY i ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT l_orderkey, seg, epoch, string_agg('h' || l_partkey, ' > ' ORDER BY i) AS heads FROM e WHERE l_returnflag = 'R' GROUP BY ALL),
+p AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey, seg, run ORDER BY i) - 1) // 2 AS chunk FROM e WHERE l_returnflag = 'N'),
+t AS (SELECT l_orderkey, seg, epoch, any_value(sec) AS sec, min(i) AS anchor, 0 AS part, 'TEXT' AS chunk_type, string_agg(rpad('p' || l_partkey || ' ', 600, 'x'), chr(10) || chr(10) ORDER BY i) AS body, '' AS context
+  FROM p GROUP BY l_orderkey, seg, epoch, run, chunk
+UNION ALL SELECT l_orderkey, seg, epoch, sec, i, 0, 'TABLE', l_partkey || ' | ' || l_suppkey, '' FROM e WHERE l_returnflag = 'A'
+UNION ALL SELECT l_orderkey, seg, epoch, sec, i, 1, 'TABLE', 'in ' || l_linenumber, '상위 셀 문맥: ' || l_suppkey || chr(10) FROM e WHERE l_returnflag = 'A' AND l_suppkey % 3 = 0)
+SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY anchor, part)::INT AS sequence_no, chunk_type,
+'[' || CASE WHEN sec IS NULL THEN '문서 서두' ELSE 'S' || sec END || ']' || chr(10) || CASE WHEN heads IS NULL THEN '' ELSE '소제목: ' || heads || chr(10) END || context || body AS search_text
+FROM t LEFT JOIN h USING (l_orderkey, seg, epoch)""")
+def q70_filing_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return assembly.chunks(*_reading(spark, d)).select("doc_id", "sequence_no", "chunk_type", "search_text")
+
+
+@query(f"""WITH l AS ({_LINES}), x AS (SELECT *, CASE WHEN l_partkey % 10 = 3 THEN 10 * (i - 1) ELSE 10 * i END AS seq FROM l), n AS (SELECT l_orderkey, seq, count(*) AS n FROM x GROUP BY ALL)
+SELECT l_orderkey AS doc_id, seq::INT AS sequence_no, CASE WHEN seq < 1 THEN 'BAD_SEQUENCE' ELSE 'SHARED_SEQUENCE' END AS problem FROM n WHERE seq < 1 OR n > 1
+UNION ALL SELECT l_orderkey, seq::INT, 'UNKNOWN_SECTION' FROM x WHERE l_suppkey % 7 = 0""")
+def q70b_reading_order_problems(spark: SparkSession, d: str) -> DataFrame:
+    starts, _ = _reading(spark, d)
+    lines = table(spark, d, "lineitem").withColumn("i", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")))
+    moved = lines.select(F.col("l_orderkey").alias("doc_id"), (10 * F.col("i") - F.when(F.col("l_partkey") % 10 == 3, 10).otherwise(0)).alias("sequence_no"), F.when(F.col("l_suppkey") % 7 == 0, "none").alias("section_id"))
+    return assembly.problems(starts, moved)

@@ -65,6 +65,41 @@ def split_long(text: str, sizes: Sizes) -> list[str]:
     return [text] if len(text) <= sizes.most else packed(sentences(text, sizes.absolute), sizes.most)
 
 
+# What ends a sentence at once, what ends it before a blank that no small letter follows, and what may close and open around it.
+_ENDS = re.compile(r"""[!?。！？][!?。！？.．)\]}」』”’"']*\s*|[.．][!?。！？.．)\]}」』”’"']*\s+(?=[(\[{「『“‘"'\s]*[^a-zà-öø-ÿ(\[{「『“‘"'\s])""")
+_MARKS = ",;:)]，；"
+
+
+def sentence_units(text: str) -> list[str]:
+    """Sentences by the marks of Korean and Latin prose; a point before a small letter or inside a number ends none."""
+    out, at = [], 0
+    for end in [m.end() for m in _ENDS.finditer(text)] + [len(text)]:
+        if piece := text[at:end].strip():
+            out.append(piece)
+        at = end
+    return out
+
+
+def broken(text: str, most: int) -> list[str]:
+    """A text longer than ``most`` in pieces: cut before the last blank or behind the last soft mark of the second half, or else at most."""
+    out, rest = [], text.strip()
+    while len(rest) > most:
+        places = range(min(most - 1, len(rest) - 1), max(1, most // 2) - 1, -1)
+        cut = next((k if rest[k].isspace() else k + 1 for k in places if rest[k].isspace() or rest[k] in _MARKS), most)
+        out.append(rest[:cut].strip())
+        rest = rest[cut:].lstrip()
+    return [p for p in [*out, rest] if p]
+
+
+def split_text(text: str, preferred: int, absolute: int) -> list[str]:
+    """Sentences packed up to ``preferred``; one longer than ``absolute`` is broken."""
+    text = text.strip()
+    if len(text) <= preferred:
+        return [text] if text else []
+    units = [p for s in sentence_units(text) for p in ([s] if len(s) <= absolute else broken(s, preferred))]
+    return packed(units, preferred)
+
+
 @dataclass
 class _Draft:
     headings: list[str]
