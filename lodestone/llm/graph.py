@@ -23,21 +23,19 @@ def _small_star(links: DataFrame) -> DataFrame:
     return joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _mark(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _stars(links: DataFrame) -> bool:
+    """Whether each node has one link, and to a node that has none of its own: then that is its component."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").isEmpty()
 
 
 def components(links: DataFrame, scratch: _store.Scratch) -> DataFrame:
     """node and component (the smallest node reachable) for every node of a link (u, v). Self-links and nulls are ignored.
 
-    Each round is written to the scratch tables, the result among them; the driver sees two numbers a round. The number of rounds grows
-    with the logarithm of the longest path, squared at most.
+    Each round is written to the scratch tables, the result among them; the driver sees a yes or no a round. The number of rounds
+    grows with the logarithm of the longest path, squared at most.
     """
-    now = scratch.staged(links.where("u <> v").select("u", "v").distinct())
-    mark = _mark(now)
-    while True:
+    now = scratch.staged(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not _stars(now):
         now = scratch.staged(_small_star(_large_star(now)))
-        mark, before = _mark(now), mark
-        if mark == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

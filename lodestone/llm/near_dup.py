@@ -9,12 +9,12 @@ and maxes apart, miss a pair of similarity 0.8 with probability (1 - 0.8**4)**32
 1. Equal sets become one class, kept by the smallest doc_id; only classes are banded.
 2. In each bucket every class is compared with the smallest one (the star). Links that hold on full sets give
    components.
-3. In buckets that still hold several components, every class outside the largest is compared with a few classes
-   drawn from that. Copies that drifted from the smallest class mostly link here.
-4. Where a bucket holds several components even then, every class outside the largest is compared with all of
-   other components there. In small buckets those pairs are rows; in large ones blocks of either side are
-   compared at once. Pairs inside a component can't change the result. So no link between components is lost,
-   whatever the size of a bucket.
+3. In small buckets that still hold several components, every class outside the largest is compared with all of other
+   components there. In large ones it is compared with a few classes drawn from the largest; copies that drifted from
+   the smallest class mostly link here.
+4. Where a large bucket holds several components even then, every class outside the largest is compared with all of
+   other components there, blocks of either side at once. Pairs inside a component can't change the result. So no link
+   between components is lost, whatever the size of a bucket.
 
 What grows how: copies, equal or linked with a group's core, cost rows in proportion. Only classes that lie in one
 bucket with many others and yet outside its largest component, near misses at similarities of about 0.6 to 0.8, cost
@@ -58,9 +58,9 @@ class Params:
 
 
 PARAMS = Params()
-#: Turns in which what isn't yet in a bucket's largest component is compared with HUBS members of that.
-TURNS, HUBS = 1, 8
-#: Members up to which a bucket's pairs are rows, and members of a block of larger buckets.
+#: Members of a large bucket's largest component that all others there are compared with.
+HUBS = 8
+#: Members up to which a bucket is small, so that its pairs are rows, and members of a block of larger buckets.
 FEW, BLOCK = 12, 1024
 #: A bucket is dealt into parts of about PART rows, or of the HOT_BUCKETS-th of all rows where that is more, so that no
 #: more than HOT_BUCKETS buckets have several parts. PART is FEW at least: buckets of few members have one part.
@@ -188,7 +188,7 @@ def _linked(pairs: DataFrame, packed: DataFrame, params: Params) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     u, v = (packed.select(F.col("doc_id").alias(c), F.col("packed").alias(f"packed_{c}")) for c in "uv")
-    return pairs.join(v, "v").join(u, "u").select("u", "v", "packed_u", "packed_v").mapInArrow(_bytes.frugal(run), "u long, v long").distinct()
+    return pairs.join(v, "v").join(u, "u").select("u", "v", "packed_u", "packed_v").sortWithinPartitions("u").mapInArrow(_bytes.frugal(run), "u long, v long")
 
 
 def _parted(buckets: DataFrame) -> DataFrame:
@@ -197,9 +197,9 @@ def _parted(buckets: DataFrame) -> DataFrame:
 
 
 def _members(rows: DataFrame, buckets: DataFrame, scratch: _store.Scratch) -> DataFrame:
-    """The rows (rep, band, key) that lie in buckets (band, key, hub, n), with hub, parts and the part each is dealt to."""
+    """The rows (rep, band, key) that lie in buckets (band, key, hub, n), with hub, parts, the part each is dealt to, and whether the bucket is large."""
     total = buckets.agg(F.sum("n")).first()[0] or 0
-    buckets = buckets.withColumn("parts", F.ceil(F.col("n") / max(PART, -(-total // HOT_BUCKETS))).cast("int")).drop("n")
+    buckets = buckets.withColumn("parts", F.ceil(F.col("n") / max(PART, -(-total // HOT_BUCKETS))).cast("int")).withColumn("large", F.col("n") > FEW).drop("n")
     # at most HOT_BUCKETS rows, so every task may hold them
     hot = F.broadcast(scratch.staged(buckets.where("parts > 1").select("band", "key", F.col("parts").alias("several"))))
     part = F.pmod(F.xxhash64(F.lit(6), "rep"), F.coalesce("several", F.lit(1))).cast("int")
@@ -207,12 +207,12 @@ def _members(rows: DataFrame, buckets: DataFrame, scratch: _store.Scratch) -> Da
     return dealt.join(_parted(buckets), ["band", "key", "part"])
 
 
-def _open(placed: DataFrame, turn: int, scratch: _store.Scratch) -> tuple[DataFrame, DataFrame]:
+def _open(placed: DataFrame, scratch: _store.Scratch) -> tuple[DataFrame, DataFrame]:
     """The members of buckets with several components; and those outside the largest, as a, with some hubs from inside it."""
     several = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("parts").alias("parts")).where("low < high").select("band", "key", "parts")
     several = scratch.staged(several)
     opened = scratch.staged(placed.join(_parted(several), ["band", "key", "part"], "left_semi"))
-    drawn = [F.min_by("rep", F.xxhash64("rep", F.lit(turn * HUBS + k))).alias(f"h{k}") for k in range(HUBS)]
+    drawn = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"h{k}") for k in range(HUBS)]
     sizes = opened.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.first("parts").alias("parts"), *drawn)
     hubs = F.struct("component", F.array(*[f"h{k}" for k in range(HUBS)]).alias("hubs"))
     largest = sizes.groupBy("band", "key").agg(F.max_by(hubs, F.struct("n", "component")).alias("largest"), F.sum("n").alias("total"), F.max("n").alias("most"), F.first("parts").alias("parts"))
@@ -315,25 +315,30 @@ def _clusters(docs: DataFrame, params: Params, scratch: _store.Scratch) -> DataF
 
     star = members.where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
     links = scratch.staged(_linked(_plausible(star, classes, params), packed, params))
-    for turn in range(TURNS + 1):
-        found = components(links, scratch)
-        placed = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        opened, outside = _open(scratch.staged(placed), turn, scratch)
-        if turn < TURNS:
-            pairs = outside.select("a", F.explode(F.array_distinct("hubs")).alias("rep"))
-        else:
-            few = outside.where(F.col("total") <= FEW).select("band", "key", "a", "component_a")
-            pairs = few.join(opened.where("parts = 1"), ["band", "key"]).where("component_a <> component and a <> hub and rep <> hub").select("a", "rep")
-        pairs = pairs.select(F.least("a", "rep").alias("u"), F.greatest("a", "rep").alias("v")).distinct()
-        more = _linked(_plausible(pairs, classes, params), packed, params)
-        if turn == TURNS:
-            more = more.union(_block_links(opened, outside.where(F.col("total") > FEW), packed, params))
-        links = scratch.staged(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+
+    def placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+        own = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        return scratch.staged(own.withColumn("component", F.coalesce("component", "rep")))
+
+    found = components(links, scratch)
+    opened, outside = _open(placed(members, found), scratch)
+    few = outside.where(F.col("total") <= FEW).select("band", "key", "a", "component_a")
+    few = few.join(opened.where("parts = 1"), ["band", "key"]).where("component_a <> component and a <> hub and rep <> hub").select("a", "rep")
+    pairs = few.union(outside.where(F.col("total") > FEW).select("a", F.explode(F.array_distinct("hubs"))))
+    pairs = pairs.select(F.least("a", "rep").alias("u"), F.greatest("a", "rep").alias("v")).distinct()
+    known = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    links = scratch.staged(known.union(_linked(_plausible(pairs, classes, params), packed, params)))
+    large = members.where("large")
+    if not large.isEmpty():
+        opened, outside = _open(placed(large, components(links, scratch)), scratch)
+        links = scratch.staged(links.union(_block_links(opened, outside, packed, params)))
     # rows of one doc_id with different texts
     several = nodes.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n")).alias("low"), F.max(F.struct("f1", "f2", "n")).alias("high")).where("low <> high").select("doc_id")
-    own = nodes.join(scratch.staged(several), "doc_id").join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).select("doc_id", "rep").distinct()
-    own = scratch.staged(own)
-    links = links.union(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id").select(F.col("rep").alias("u"), F.col("least").alias("v")))
+    several = scratch.staged(several)
+    if not several.isEmpty():
+        own = nodes.join(several, "doc_id").join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).select("doc_id", "rep").distinct()
+        own = scratch.staged(own)
+        links = links.union(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id").select(F.col("rep").alias("u"), F.col("least").alias("v")))
     found = components(links, scratch)
 
     by_class = classes.select("f1", "f2", "n", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
