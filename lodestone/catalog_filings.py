@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone import shared
 from lodestone.catalog import query
-from lodestone.operators import answers, assembly, chunking, facts, invariants, quality, search, sections, tables
+from lodestone.operators import answers, assembly, chunking, facts, invariants, quality, references, search, sections, tables
 from lodestone.plans import question, tools
 from lodestone.sources import files, markup
 from lodestone.tables import table
@@ -452,3 +452,72 @@ def q70b_reading_order_problems(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").withColumn("i", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")))
     moved = lines.select(F.col("l_orderkey").alias("doc_id"), (10 * F.col("i") - F.when(F.col("l_partkey") % 10 == 3, 10).otherwise(0)).alias("sequence_no"), F.when(F.col("l_suppkey") % 7 == 0, "none").alias("section_id"))
     return assembly.problems(starts, moved)
+
+
+# ---- references of answers ------------------------------------------------------------------------------------------
+
+
+def _answers(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """An answer for each order, whose lines are documents, evidence, facts, calculations over two facts in a row, and claims; parts and suppliers break them."""
+    i = F.col("i")
+    by_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = table(spark, d, "lineitem").withColumn("i", F.row_number().over(by_order)).select(F.col("l_orderkey").alias("answer"), i.alias("position"), "l_partkey", "l_suppkey", "l_returnflag", "i")
+
+    def named(letter, *at):
+        return [F.concat(F.lit(letter), n.cast("string")) for n in at]
+
+    def unless(test, broken, sound):
+        return F.when(test, broken).otherwise(sound)
+
+    part, supplier, pair = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_returnflag") == "A"
+    (e1, e2), (f1, f2), (own,) = named("e", i, i + 1), named("f", i, i + 1), named("d", i)
+    nothing = F.array().cast("array<string>")
+    return {
+        "documents": lines.where(part % 11 != 0).select("answer", "position", own.alias("document_id")),
+        "evidence": lines.select("answer", "position", e1.alias("evidence_id"), own.alias("document_id"), unless(supplier % 13 == 0, "CANDIDATE", F.lit("VERIFIED")).alias("status")),
+        "facts": lines.select("answer", "position", unless(part % 23 == 0, "f1", f1).alias("fact_id"), unless(part % 19 == 0, "UNVALIDATED", F.lit("VERIFIED")).alias("status"), unless(part % 17 == 0, nothing, F.array(e1)).alias("evidence_ids")),
+        "calculations": lines.where(pair & (part % 5 != 0)).select("answer", "position", F.lit("RATIO").alias("operation"), F.array(f2, f1).alias("fact_ids")),
+        "claims": lines.select(
+            "answer", "position", unless(pair, "CALCULATION", F.lit("FACT")).alias("kind"), F.when(pair, "RATIO").alias("operation"),
+            unless(pair, F.array(f1, f2), F.array(f1)).alias("fact_ids"), unless(supplier % 7 == 0, nothing, unless(pair, F.array(e1, e2), F.array(e1))).alias("evidence_ids"),
+        ),
+    }
+
+
+_ANSWERS = f"""l AS (SELECT l_orderkey AS a, i, l_partkey AS p, l_suppkey AS s, l_returnflag = 'A' AS pair FROM ({_LINES})),
+d AS (SELECT a, 'd' || i AS id FROM l WHERE p % 11 <> 0),
+ev AS (SELECT a, i, 'e' || i AS id, 'd' || i AS doc, s % 13 <> 0 AS ok FROM l),
+f AS (SELECT a, i, CASE WHEN p % 23 = 0 THEN 'f1' ELSE 'f' || i END AS id, p % 19 <> 0 AS ok, CASE WHEN p % 17 = 0 THEN NULL ELSE 'e' || i END AS e FROM l),
+fk AS (SELECT a, id, bool_and(ok) AS ok FROM f GROUP BY ALL),
+c AS (SELECT a, i, least('f' || i, 'f' || (i + 1)) AS x, greatest('f' || i, 'f' || (i + 1)) AS y FROM l WHERE pair AND p % 5 <> 0),
+cf AS (SELECT a, i, unnest(['f' || i, 'f' || (i + 1)]) AS id FROM c),
+mf AS (SELECT a, i, unnest(CASE WHEN pair THEN ['f' || i, 'f' || (i + 1)] ELSE ['f' || i] END) AS id FROM l),
+me AS (SELECT a, i, unnest(CASE WHEN s % 7 = 0 THEN [] WHEN pair THEN ['e' || i, 'e' || (i + 1)] ELSE ['e' || i] END) AS id FROM l),
+found AS (SELECT a, 2 AS step, max(i) AS i, 'REPEATED_ID' AS problem FROM f GROUP BY a, id HAVING count(*) > 1
+UNION ALL SELECT a, 3, i, 'UNKNOWN_DOCUMENT' FROM ev WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.a = ev.a AND d.id = ev.doc)
+UNION ALL SELECT a, 4, i, CASE WHEN NOT ok THEN 'UNVERIFIED_FACT' ELSE 'FACT_WITHOUT_EVIDENCE' END FROM f WHERE NOT ok OR e IS NULL
+UNION ALL SELECT f.a, 4, f.i, 'UNVERIFIED_EVIDENCE' FROM f JOIN ev ON ev.a = f.a AND ev.id = f.e WHERE NOT ev.ok
+UNION ALL SELECT cf.a, 5, cf.i, CASE WHEN ok IS NULL THEN 'UNKNOWN_FACT' ELSE 'UNVERIFIED_FACT' END FROM cf LEFT JOIN fk ON fk.a = cf.a AND fk.id = cf.id WHERE NOT coalesce(ok, false)
+UNION ALL SELECT mf.a, 6, mf.i, CASE WHEN ok IS NULL THEN 'UNKNOWN_FACT' ELSE 'UNVERIFIED_FACT' END FROM mf LEFT JOIN fk ON fk.a = mf.a AND fk.id = mf.id WHERE NOT coalesce(ok, false)
+UNION ALL SELECT a, 7, i, 'UNKNOWN_EVIDENCE' FROM me WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.a = me.a AND ev.id = me.id)
+UNION ALL SELECT a, 8, i, 'MISSING_PROOF' FROM (SELECT DISTINCT mf.a, mf.i, f.e FROM mf JOIN f ON f.a = mf.a AND f.id = mf.id WHERE f.e IS NOT NULL) q WHERE NOT EXISTS (SELECT 1 FROM me WHERE me.a = q.a AND me.i = q.i AND me.id = q.e)
+UNION ALL SELECT a, 9, i, 'NO_SINGLE_CALCULATION' FROM l WHERE pair AND (SELECT count(*) FROM c WHERE c.a = l.a AND c.x = least('f' || l.i, 'f' || (l.i + 1)) AND c.y = greatest('f' || l.i, 'f' || (l.i + 1))) <> 1),
+names AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{name}')" for k, name in enumerate(references.CHECKS))}) AS t(step, name))"""
+
+
+@query(f"WITH {_ANSWERS} SELECT a AS answer, name AS \"check\", problem, count(*) AS n FROM found JOIN names USING (step) GROUP BY ALL")
+def q71_reference_problems(spark: SparkSession, d: str) -> DataFrame:
+    return references.problems(**_answers(spark, d)).groupBy("answer", "check", "problem").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_ANSWERS}, o AS (SELECT a, min({{'step': step, 'i': i}}) AS m FROM found GROUP BY a) SELECT a AS answer, name AS \"check\", m.i::INT AS position FROM o JOIN names ON names.step = m.step")
+def q71b_first_reference_problem(spark: SparkSession, d: str) -> DataFrame:
+    return references.first_problems(references.problems(**_answers(spark, d))).select("answer", "check", "position")
+
+
+@query("""SELECT l_orderkey AS answer, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem) AS x
+WHERE l_partkey % 11 <> 0 AND (l_suppkey % 7 <> 0 OR EXISTS (SELECT 1 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem) AS y
+WHERE y.l_orderkey = x.l_orderkey AND y.i = x.i - 1 AND y.l_returnflag = 'A' AND y.l_suppkey % 7 <> 0)) GROUP BY l_orderkey""")
+def q71c_used_documents(spark: SparkSession, d: str) -> DataFrame:
+    given = _answers(spark, d)
+    return references.used_documents(given["documents"], given["evidence"], given["claims"]).groupBy("answer").agg(F.count("*").alias("n"))
