@@ -206,9 +206,8 @@ def q13d_replace_by_document(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders")
     theirs = table(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
     marked = orders.join(theirs, "o_custkey", "left_semi")
-    # every customer that has any order of theirs is replaced
-    fresh = marked.where("o_orderstatus = 'F'")
-    left = orders.join(marked.select("o_custkey").distinct(), "o_custkey", "left_anti").unionByName(fresh)
+    # every customer that has any order of theirs is replaced, those without a fresh one by nothing
+    left = quality.replaced(orders, marked.where("o_orderstatus = 'F'"), "o_custkey", marked)
     return left.agg(F.count("*").alias("n"), (F.sum(F.col("o_totalprice").cast("decimal(18,2)")) * 100).cast("long").alias("total_cents"))
 
 

@@ -9,7 +9,7 @@ from lodestone import shared
 from lodestone.catalog import query
 from lodestone.operators import answers, assembly, chunking, facts, invariants, quality, references, search, sections, tables
 from lodestone.plans import question, tools
-from lodestone.sources import files, markup
+from lodestone.sources import files, lines, markup, versions
 from lodestone.tables import table
 
 # ---- facts of filings, from grids to typed values -------------------------------------------------------------------
@@ -334,6 +334,45 @@ def q67c_manifest_problems(spark: SparkSession, d: str) -> DataFrame:
     return _manifest(spark, d).groupBy("problem").agg(F.count("*").alias("n"))
 
 
+def _manifest_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest line for each order in the order of their keys, some blank, some broken, some with a number that another has."""
+    k = F.col("o_orderkey")
+    number = F.lpad(F.when(k % 6 == 5, k - 2).otherwise(k).cast("string"), 14, "0")
+    row = F.to_json(F.struct(F.concat(F.lit("major_"), number).alias("doc_id"), F.lit("major").alias("doc_group"), number.alias("rcept_no"), F.lit("20240102").alias("rcept_dt"), F.lit("a/b.xml").alias("file_path"), F.when(k % 8 == 1, 0).otherwise(1).alias("n_files")))
+    line = F.when(k % 10 == 3, "").when(k % 14 == 6, F.concat(F.lit("{"), row)).otherwise(row)
+    path = shared.new_path(spark, "manifest-lines")
+    table(spark, d, "orders").select(k, line.alias("value")).repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    return lines.manifest(spark, path, across=True)
+
+
+_MANIFEST_LINES = """SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS line_no, CASE WHEN o_orderkey % 6 = 5 THEN o_orderkey - 2 ELSE o_orderkey END AS number,
+CASE WHEN o_orderkey % 10 = 3 THEN 'BLANK' WHEN o_orderkey % 14 = 6 THEN 'MALFORMED' WHEN o_orderkey % 8 = 1 THEN 'n_files' END AS problem FROM orders"""
+
+
+@query(f"SELECT line_no::BIGINT AS line_no, problem FROM ({_MANIFEST_LINES})")
+def q67d_manifest_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _manifest_lines(spark, d).select("line_no", "problem")
+
+
+@query(f"""WITH r AS (SELECT line_no, lpad(number::VARCHAR, 14, '0') AS n FROM ({_MANIFEST_LINES}) WHERE problem IS NULL OR problem = 'n_files'), v AS (SELECT line_no, unnest(['doc_id', 'rcept_no']) AS key, unnest(['major_' || n, n]) AS value FROM r),
+f AS (SELECT key, value, min(line_no) AS first_line FROM v GROUP BY ALL) SELECT key, value, first_line::BIGINT AS first_line, line_no::BIGINT AS line_no FROM v JOIN f USING (key, value) WHERE line_no > first_line""")
+def q67e_manifest_repeats(spark: SparkSession, d: str) -> DataFrame:
+    rows = _manifest_lines(spark, d).where("problem is null or problem not in ('BLANK', 'MALFORMED')")
+    return lines.repeated(rows, "doc_id", "rcept_no")
+
+
+@query("""SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 3 = 0 THEN 'second' ELSE 'first' END AS version FROM orders WHERE o_orderkey % 7 <> 0 AND (o_custkey % 3 <> 0 OR o_orderstatus = 'F')
+UNION ALL SELECT o_orderkey, o_custkey, 'first' FROM orders WHERE o_orderkey % 7 <> 0 AND o_custkey % 3 = 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 7 <> 0)""")
+def q72_replaced_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by customer, published twice: then those of every third customer are replaced by the closed ones among them. Every seventh order fails."""
+    folder, ledger = shared.new_path(spark, "order-versions"), shared.new_path(spark, "order-failures")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.lit("first").alias("version"))
+    fine = versions.noted_failures(rows, ledger, "1", F.col("o_orderkey"), F.when(F.col("o_orderkey") % 7 == 0, "seventh"), "load")
+    versions.replaced_documents(spark, folder, fine, "o_custkey")
+    second = fine.where("o_custkey % 3 = 0 and o_orderstatus = 'F'").withColumn("version", F.lit("second"))
+    return versions.replaced_documents(spark, folder, second, "o_custkey").drop("o_orderstatus")
+
+
 # ---- plans with all tools -------------------------------------------------------------------------------------------
 
 _HITS = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 20"
