@@ -6,11 +6,10 @@ order lines their documents and facts, orders dated versions, documents text chu
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
@@ -307,100 +306,144 @@ def q22_profile_vs_parse_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return counted.join(parsed, "doc_id", "left").select("doc_id", "headings", (F.col("headings") == F.coalesce("n_heading", F.lit(0))).alias("agrees"))
 
 
-# ---- tables of filings, from rows in code ---------------------------------------------------------------------------
+# ---- tables of filings, made of orders ------------------------------------------------------------------------------
 
+def _cell(text: Column | str, rows: int = 1, columns: int = 1, kind: str = "DATA") -> Column:
+    text = F.lit(text) if isinstance(text, str) else text.cast("string")
+    return F.struct(F.lit(kind).alias("type"), F.lit(rows).alias("rowSpan"), F.lit(columns).alias("colSpan"), text.alias("text"))
 
-def _cell(text: str, rows: int = 1, columns: int = 1, kind: str = "DATA", nested: list | None = None) -> dict:
-    return {"type": kind, "rowSpan": rows, "colSpan": columns, "text": text, "nestedTables": nested or []}
 
+def _table(*rows: tuple[Column, ...]) -> Column:
+    return F.struct(F.array(*[F.struct(F.array(*cells).alias("cells")) for cells in rows]).alias("rows"))
 
-TABLES = {
-    1: {"rows": [
-        {"cells": [_cell("1. 투자구분", columns=2, kind="HEADER"), _cell("신규시설투자")]},
-        {"cells": [_cell("2. 투자내역", rows=3, kind="HEADER"), _cell("투자금액(원)", kind="HEADER"), _cell("5,296,200,000,000")]},
-        {"cells": [_cell("자기자본(원)", kind="HEADER"), _cell("53,503,752,397,611")]},
-        {"cells": [_cell("자기자본대비(%)", kind="HEADER"), _cell("9.90")]},
-        {"cells": [_cell("3. 투자목적", columns=2, kind="HEADER"), _cell("생산능력 확대")]},
-        {"cells": [_cell("4. 투자기간", rows=2, kind="HEADER"), _cell("시작일", kind="HEADER"), _cell("2024-01-02")]},
-        {"cells": [_cell("종료일", kind="HEADER"), _cell("2026년 12월 31일")]},
-        {"cells": [_cell("5. 이사회결의일(결정일)", columns=2, kind="HEADER"), _cell("2023.12.20")]},
-    ]},
-    2: {"rows": [
-        {"cells": [_cell("정정항목", kind="HEADER"), _cell("정정전", kind="HEADER"), _cell("정정후", kind="HEADER")]},
-        {"cells": [_cell("2. 투자내역 - 투자금액(원)"), _cell("100"), _cell("120")]},
-        {"cells": [_cell("4. 투자기간 - 종료일"), _cell("2025-01-01"), _cell("2025-06-30")]},
-    ]},
-    3: {"rows": [{"cells": [_cell("a", rows=2), _cell("b", columns=2, nested=[{"rows": [{"cells": [_cell("inner")]}]}])]}, {"cells": [_cell("c"), _cell("d\ne")]}]},
-    4: {"rows": [{"cells": [_cell("x", rows=0)]}]},
-}
 
+def _head(text: str, rows: int = 1, columns: int = 1) -> Column:
+    return _cell(text, rows, columns, "HEADER")
 
-def _tables(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, json.dumps(t, ensure_ascii=False)) for k, t in TABLES.items()], "table_id long, table_json string")
 
+def _grids(spark: SparkSession, d: str) -> DataFrame:
+    """A table for each order: a cell over two rows, one over two columns with a table inside, a text of two lines."""
+    k, inner = F.col("o_orderkey"), F.array(_table((_cell(F.col("o_orderpriority")),)))
+    wide = F.struct(F.lit("DATA").alias("type"), F.lit(1).alias("rowSpan"), F.lit(2).alias("colSpan"), F.col("o_orderstatus").alias("text"), inner.alias("nestedTables"))
+    plain = _cell(F.col("o_custkey"), rows=2)
+    first = F.struct(*[plain[c].alias(c) for c in ("type", "rowSpan", "colSpan", "text")], F.slice(inner, 1, 0).alias("nestedTables"))
+    second = F.struct(F.array(_cell(F.year("o_orderdate")), _cell(F.concat(F.lit("d\n"), k.cast("string")))).alias("cells"))
+    rows = [F.to_json(F.struct(F.array(first, wide).alias("cells"))), F.to_json(second)]
+    return table(spark, d, "orders").select(k.alias("table_id"), F.concat(F.lit('{"rows":['), rows[0], F.lit(","), rows[1], F.lit("]}")).alias("table_json"))
 
-@query("""SELECT * FROM (VALUES ('', 0, 0, 'a', true, false), ('', 0, 1, 'b', true, false), ('', 0, 2, '', false, false), ('', 1, 0, 'a', false, true), ('', 1, 1, 'c', true, false),
-('', 1, 2, 'd' || chr(10) || 'e', true, false), ('rows[0].cells[1].nestedTables[0].', 0, 0, 'inner', true, false)) AS t(path, row_index, column_index, text, is_origin, continues)""")
+
+@query("""SELECT o_orderkey AS table_id, x.path, x.r::INT AS row_index, x.c::INT AS column_index, x.t AS text, x.o AS is_origin, x.n AS continues FROM orders, unnest([
+{'path': '', 'r': 0, 'c': 0, 't': o_custkey::VARCHAR, 'o': true, 'n': false}, {'path': '', 'r': 0, 'c': 1, 't': o_orderstatus, 'o': true, 'n': false}, {'path': '', 'r': 0, 'c': 2, 't': '', 'o': false, 'n': false},
+{'path': '', 'r': 1, 'c': 0, 't': o_custkey::VARCHAR, 'o': false, 'n': true}, {'path': '', 'r': 1, 'c': 1, 't': year(o_orderdate)::VARCHAR, 'o': true, 'n': false},
+{'path': '', 'r': 1, 'c': 2, 't': 'd' || chr(10) || o_orderkey, 'o': true, 'n': false}, {'path': 'rows[0].cells[1].nestedTables[0].', 'r': 0, 'c': 0, 't': o_orderpriority, 'o': true, 'n': false}]) AS u(x)""")
 def q23_grid_expand(spark: SparkSession, d: str) -> DataFrame:
-    return tables.grid(_tables(spark).where("table_id = 3")).select("path", "row_index", "column_index", "text", "is_origin", "continues")
+    return tables.grid(_grids(spark, d)).select("table_id", "path", "row_index", "column_index", "text", "is_origin", "continues")
 
 
-@query("""SELECT * FROM (VALUES ('', 1, 'a | b' || chr(10) || 'a | c | d / e', 0, 1), ('rows[0].cells[1].nestedTables[0].', 1, 'inner', 0, 0)) AS t(path, sequence_no, body, first_row, last_row)""")
+@query("""SELECT o_orderkey AS table_id, '' AS path, 1 AS sequence_no, o_custkey || ' | ' || o_orderstatus || chr(10) || o_custkey || ' | ' || year(o_orderdate) || ' | d / ' || o_orderkey AS body, 0 AS first_row, 1 AS last_row FROM orders
+UNION ALL SELECT o_orderkey, 'rows[0].cells[1].nestedTables[0].', 1, o_orderpriority, 0, 0 FROM orders""")
 def q24_table_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return tables.table_chunks(tables.grid(_tables(spark).where("table_id = 3"))).drop("table_id")
+    return tables.table_chunks(tables.grid(_grids(spark, d)))
 
 
-@query("""SELECT * FROM (VALUES ('facility.type', '신규시설투자', NULL), ('facility.amount', '5,296,200,000,000', '원'), ('facility.equity_amount', '53,503,752,397,611', '원'),
-('facility.equity_ratio', '9.90', '%'), ('facility.purpose', '생산능력 확대', NULL), ('facility.start_date', '2024-01-02', NULL), ('facility.end_date', '2026년 12월 31일', NULL),
-('facility.decision_date', '2023.12.20', NULL)) AS t(fact_key, raw_value, unit)""")
+@query("""SELECT o_orderkey AS table_id, x.k AS fact_key, x.v AS raw_value, x.u AS unit, x.r::INT AS row_index FROM orders, unnest([
+{'k': 'facility.type', 'v': '신설', 'u': NULL, 'r': 0}, {'k': 'facility.amount', 'v': trunc(o_totalprice)::BIGINT::VARCHAR, 'u': '원', 'r': 1}, {'k': 'facility.equity_amount', 'v': o_custkey::VARCHAR, 'u': '백만원', 'r': 2},
+{'k': 'facility.equity_ratio', 'v': (o_orderkey % 90) || '.5', 'u': '%', 'r': 3}, {'k': 'facility.purpose', 'v': o_orderpriority, 'u': NULL, 'r': 4}, {'k': 'facility.start_date', 'v': strftime(o_orderdate, '%Y-%m-%d'), 'u': NULL, 'r': 5},
+{'k': 'facility.end_date', 'v': strftime(o_orderdate + INTERVAL 30 DAY, '%Y.%m.%d'), 'u': NULL, 'r': 6}, {'k': 'facility.decision_date', 'v': strftime(o_orderdate, '%Y%m%d'), 'u': NULL, 'r': 7}]) AS u(x)
+WHERE NOT (o_orderkey % 5 = 0 AND x.r = 2)""")
 def q25_evidence_extract(spark: SparkSession, d: str) -> DataFrame:
-    return tables.evidence(tables.grid(_tables(spark).where("table_id = 1"))).select("fact_key", "raw_value", "unit")
-
-
-@query("SELECT * FROM (VALUES ('amount', '100', '120'), ('end_date', '2025-01-01', '2025-06-30')) AS t(item, before, after)")
+    """Labels over several rows and columns; every fifth order leaves the value of its equity empty."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    made = _table(
+        (_head("1. 투자구분", columns=2), _cell("신설")),
+        (_head("2. 투자내역", rows=3), _head("투자금액(원)"), _cell(F.col("o_totalprice").cast("long"))),
+        (_head("자기자본(백만원)"), _cell(F.when(k % 5 == 0, " ").otherwise(F.col("o_custkey").cast("string")))),
+        (_head("자기자본대비(%)"), _cell(F.concat((k % 90).cast("string"), F.lit(".5")))),
+        (_head("3. 투자목적", columns=2), _cell(F.col("o_orderpriority"))),
+        (_head("4. 투자기간", rows=2), _head("시작일"), _cell(F.date_format(day, "yyyy-MM-dd"))),
+        (_head("종료일"), _cell(F.date_format(F.date_add(day, 30), "yyyy.MM.dd"))),
+        (_head("5. 이사회결의일(결정일)", columns=2), _cell(F.date_format(day, "yyyyMMdd"))),
+    )
+    grids = tables.grid(table(spark, d, "orders").select(k.alias("table_id"), F.to_json(made).alias("table_json")))
+    return tables.evidence(grids).select("table_id", "fact_key", "raw_value", "unit", "row_index")
+
+
+@query("""SELECT o_orderkey AS table_id, 'amount' AS item, o_custkey::VARCHAR AS before, trunc(o_totalprice)::BIGINT::VARCHAR AS after FROM orders UNION ALL
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN 'end_date' END, strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') FROM orders""")
 def q26_correction_diff(spark: SparkSession, d: str) -> DataFrame:
-    return tables.corrections(tables.grid(_tables(spark).where("table_id = 2"))).select(N.correction_item(F.col("item")).alias("item"), "before", "after")
+    """Corrections of an amount and, but for every third order, of an end date alone; rows before the header are none."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    item = F.when(k % 3 == 0, "4. 투자기간 - 시작일, 종료일").otherwise("4. 투자기간 - 종료일")
+    made = _table(
+        (_cell("2. 투자금액"), _cell("1"), _cell("2")),
+        (_head("정정항목"), _head("정정전"), _head("정정후")),
+        (_cell("2. 투자내역 - 투자금액(원)"), _cell(F.col("o_custkey")), _cell(F.col("o_totalprice").cast("long"))),
+        (_cell(item), _cell(F.date_format(day, "yyyy-MM-dd")), _cell(F.date_format(F.date_add(day, 30), "yyyy-MM-dd"))),
+    )
+    grids = tables.grid(table(spark, d, "orders").select(k.alias("table_id"), F.to_json(made).alias("table_json")))
+    return tables.corrections(grids).select("table_id", N.correction_item(F.col("item")).alias("item"), "before", "after")
 
 
 # ---- typed values ---------------------------------------------------------------------------------------------------
 
-AMOUNTS = [("5,296,200,000,000원", None), ("1,200 백만원", None), ("3.5억원", "억원"), ("100", None), ("100", "천원"), ("7백만원", "억원"), ("약 백원", None), ("  ", "원"), (None, None), ("0원", None), ("12", "달러"), ("-3", "원")]
-DATES = ["2024-01-02", "2024.3.5", "2024년 12월 31일", "20240229", "2024-02-30", "soon", "", None, "2023.12.20."]
-RATIOS = [("9.90%", None), ("1,234.5", "%"), ("12", "퍼센트"), ("12", "배"), ("x", "%"), ("", None)]
-TYPES = ["신설", "증설 및 이전", "없음", "", None, "기존 설비의 개보수"]
+def _told(spark: SparkSession, d: str, *texts: Column | str | None) -> DataFrame:
+    """o_orderkey and raw: one of the texts for each order, in turn."""
+    k = F.col("o_orderkey")
+    raw = F.lit(None).cast("string")
+    for n, text in enumerate(texts):
+        raw = F.when(k % len(texts) == n, F.lit(text) if text is None or isinstance(text, str) else text).otherwise(raw)
+    return table(spark, d, "orders").select("*", raw.alias("raw"))
 
 
-@query("""SELECT * FROM (VALUES (0, 'MAPPED', '5296200000000'), (1, 'MAPPED', '1200000000'), (2, 'MAPPED', '350000000'), (3, 'AMBIGUOUS', NULL), (4, 'MAPPED', '100000'), (5, 'AMBIGUOUS', NULL),
-(6, 'UNMAPPED', NULL), (7, 'MISSING', NULL), (8, 'MISSING', NULL), (9, 'MAPPED', '0'), (10, 'UNMAPPED', NULL), (11, 'MAPPED', '-3')) AS t(k, status, value)""")
+@query("""SELECT o_orderkey, CASE k WHEN 3 THEN 'AMBIGUOUS' WHEN 5 THEN 'AMBIGUOUS' WHEN 6 THEN 'UNMAPPED' WHEN 7 THEN 'MISSING' WHEN 8 THEN 'UNMAPPED' WHEN 10 THEN 'MISSING' ELSE 'MAPPED' END AS status,
+CASE k WHEN 0 THEN n * 1000 WHEN 1 THEN n * 1000000 WHEN 2 THEN n * 100000000 + 50000000 WHEN 4 THEN n * 1000 WHEN 9 THEN -n END::VARCHAR AS value FROM (SELECT o_orderkey, o_orderkey % 11 AS k, o_custkey + 1 AS n FROM orders)""")
 def q27_krw_normalize(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(AMOUNTS)], "k int, raw string, unit string")
-    return rows.select("k", N.krw_amount(F.col("raw"), F.col("unit")).alias("x")).select("k", "x.status", "x.value")
+    n = F.col("o_custkey") + 1
+    text = n.cast("string")
+    said = (F.concat(F.format_number(n * 1000, 0), F.lit("원")), F.concat(text, F.lit(" 백만원")), F.concat(text, F.lit(".5억원")), text, text, F.concat(text, F.lit("백만원")), F.concat(F.lit("약 "), text, F.lit("원")), "  ", text, F.concat(F.lit("-"), text), None)
+    unit = F.element_at(F.create_map(*[F.lit(x) for k, u in ((2, "억원"), (4, "천원"), (5, "억원"), (7, "원"), (8, "달러"), (9, "원")) for x in (k, u)]), (F.col("o_orderkey") % 11).cast("int"))
+    return _told(spark, d, *said).select("o_orderkey", N.krw_amount(F.col("raw"), unit).alias("x")).select("o_orderkey", "x.status", "x.value")
 
 
-@query("""SELECT * FROM (VALUES (0, 'MAPPED', '2024-01-02'), (1, 'MAPPED', '2024-03-05'), (2, 'MAPPED', '2024-12-31'), (3, 'MAPPED', '2024-02-29'), (4, 'UNMAPPED', NULL), (5, 'UNMAPPED', NULL),
-(6, 'MISSING', NULL), (7, 'MISSING', NULL), (8, 'MAPPED', '2023-12-20')) AS t(k, status, value)""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 8 IN (4, 5) THEN 'UNMAPPED' WHEN o_orderkey % 8 = 6 THEN 'MISSING' ELSE 'MAPPED' END AS status,
+CASE WHEN o_orderkey % 8 NOT IN (4, 5, 6) THEN strftime(o_orderdate, '%Y-%m-%d') END AS value FROM orders""")
 def q28_date_normalize(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(DATES)), "k int, raw string")
-    return rows.select("k", N.iso_date(F.col("raw")).alias("x")).select("k", "x.status", "x.value")
+    said = [F.date_format("o_orderdate", f) for f in ("yyyy-MM-dd", "yyyy.M.d", "yyyy년 M월 d일", "yyyyMMdd", "yyyy-02-30")]
+    rows = _told(spark, d, *said, "soon", "", F.date_format("o_orderdate", "yyyy.MM.dd."))
+    return rows.select("o_orderkey", N.iso_date(F.col("raw")).alias("x")).select("o_orderkey", "x.status", "x.value")
+
+
+_KINDS = ("신설", "증설", "개보수", "교체", "이전", "기타", "없음", "")
 
 
-@query("""SELECT * FROM (VALUES (0, 'MAPPED', 'NEW_CONSTRUCTION'), (1, 'AMBIGUOUS', NULL), (2, 'UNMAPPED', NULL), (3, 'MISSING', NULL), (4, 'MISSING', NULL), (5, 'MAPPED', 'RENOVATION')) AS t(k, status, value)""")
+@query("""WITH w AS (SELECT o_orderkey, ['NEW_CONSTRUCTION', 'EXPANSION', 'RENOVATION', 'REPLACEMENT', 'RELOCATION', 'OTHER', NULL, NULL] AS c, o_orderkey % 8 + 1 AS i, (o_orderkey // 8) % 8 + 1 AS j FROM orders),
+f AS (SELECT *, len(list_distinct([c[i], c[j]])) AS n FROM w) SELECT o_orderkey, CASE WHEN i = 8 AND j = 8 THEN 'MISSING' WHEN n = 0 THEN 'UNMAPPED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'MAPPED' END AS status,
+CASE WHEN n = 1 THEN coalesce(c[i], c[j]) END AS value FROM f""")
 def q29_type_code(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(TYPES)), "k int, raw string")
-    return rows.select("k", N.facility_type(F.col("raw")).alias("x")).select("k", "x.status", "x.value")
+    k = F.col("o_orderkey")
+    words = F.array(*map(F.lit, _KINDS))
+    raw = F.concat_ws(" ", F.element_at(words, (k % 8 + 1).cast("int")), F.element_at(words, (F.floor(k / 8) % 8 + 1).cast("int")))
+    return table(spark, d, "orders").select("o_orderkey", N.facility_type(raw).alias("x")).select("o_orderkey", "x.status", "x.value")
 
 
-@query("""SELECT * FROM (VALUES (0, 'MAPPED', '9.90'), (1, 'MAPPED', '1234.5'), (2, 'MAPPED', '12'), (3, 'AMBIGUOUS', NULL), (4, 'UNMAPPED', NULL), (5, 'MISSING', NULL)) AS t(k, status, value)""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 3 THEN 'AMBIGUOUS' WHEN 4 THEN 'UNMAPPED' WHEN 5 THEN 'MISSING' ELSE 'MAPPED' END AS status,
+CASE o_orderkey % 6 WHEN 0 THEN o_custkey || '.90' WHEN 1 THEN '1' || lpad((o_custkey % 1000)::VARCHAR, 3, '0') || '.5' WHEN 2 THEN o_custkey::VARCHAR END AS value FROM orders""")
 def q29b_ratio_normalize(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(RATIOS)], "k int, raw string, unit string")
-    return rows.select("k", N.ratio(F.col("raw"), F.col("unit")).alias("x")).select("k", "x.status", "x.value")
+    n = F.col("o_custkey").cast("string")
+    thousand = F.concat(F.lit("1,"), F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), F.lit(".5"))
+    unit = F.element_at(F.create_map(*[F.lit(x) for k, u in ((1, "%"), (2, "퍼센트"), (3, "배"), (4, "%")) for x in (k, u)]), (F.col("o_orderkey") % 6).cast("int"))
+    rows = _told(spark, d, F.concat(n, F.lit(".90%")), thousand, n, n, "x", "")
+    return rows.select("o_orderkey", N.ratio(F.col("raw"), unit).alias("x")).select("o_orderkey", "x.status", "x.value")
 
 
-@query("SELECT 12000000::VARCHAR AS foreign_value, '1,312.5' AS told, '1312.5' AS fx_rate")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 2 THEN (o_custkey + 1) * 1000 END::VARCHAR AS foreign_value, CASE WHEN o_orderkey % 3 = 0 THEN '1' || (o_orderkey % 900 + 100) || '.5' END AS fx_rate FROM orders""")
 def q29c_foreign_amount_note(spark: SparkSession, d: str) -> DataFrame:
-    note = "- 기타 사항 USD 5\n- 투자금액은 USD 12,000,000 이며 환율 1,312.5 KRW/USD 를 적용"
-    rows = spark.createDataFrame([(note,)], "note string").select(N.foreign_amount(F.col("note")).alias("x"))
-    return rows.select("x.foreign_value", F.lit("1,312.5").alias("told"), "x.fx_rate")
+    """Notes of two bullets: with amount and rate, without rate, and with an amount that isn't the investment's."""
+    dollars = F.format_number((F.col("o_custkey") + 1) * 1000, 0)
+    amount = F.concat(F.lit("- 기타 사항 USD 5\n- 투자금액은 USD "), dollars)
+    rate = F.concat(F.lit(" 이며 환율 1,"), (F.col("o_orderkey") % 900 + 100).cast("string"), F.lit(".5 KRW/USD 를 적용"))
+    rows = _told(spark, d, F.concat(amount, rate), amount, F.concat(F.lit("- 차입금은 USD "), dollars))
+    return rows.select("o_orderkey", N.foreign_amount(F.col("raw")).alias("x")).select("o_orderkey", "x.foreign_value", "x.fx_rate")
 
 
 # ---- calculations over facts ----------------------------------------------------------------------------------------
@@ -542,11 +585,17 @@ def q43_forbidden_phrases(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", "turn", F.array_join("phrases", "|").alias("phrases"))
 
 
-@query("SELECT * FROM (VALUES (1, 'ratio', '12.3'), (2, 'date', '2024-01-03')) AS t(id, kind, value)")
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 80 AS a, o_orderkey % 10 AS b FROM orders) SELECT id, 'ratio' AS kind, (a + 1)::VARCHAR AS value FROM o WHERE b < 5
+UNION ALL SELECT id, 'date', '2024-01-03' FROM o WHERE id % 4 = 0""")
 def q44_answer_number_mentions(spark: SparkSession, d: str) -> DataFrame:
-    said = spark.createDataFrame([(1, "The ratio is 9.9% and not 12.3%, as of 2024-01-02."), (2, "On 2024.01.03 it was 9.90퍼센트."), (3, "No number here.")], "id int, text string")
-    known = spark.createDataFrame([(k, kind, v) for k in (1, 2, 3) for kind, v in (("ratio", "9.8987"), ("ratio", "9.90"), ("date", "2024-01-02"))], "id int, kind string, value string")
-    return answers.unsupported_mentions(said, "id", "text", known)
+    """Answers name a ratio as disclosed and one rounded up, which holds from .5 on; every fourth another date."""
+    k = F.col("o_orderkey")
+    own = F.concat((k % 80).cast("string"), F.lit("."), (k % 10).cast("string"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    said = F.concat(F.lit("The ratio is "), own, F.lit("% and not "), (k % 80 + 1).cast("string"), F.lit("%, as of "), day, F.when(k % 4 == 0, " or 2024.01.03.").otherwise("."))
+    rows = table(spark, d, "orders").select(k.alias("id"), said.alias("text"), own.alias("ratio"), day.alias("day"))
+    known = rows.select("id", F.explode(F.array(F.struct(F.lit("ratio").alias("kind"), F.col("ratio").alias("value")), F.struct(F.lit("date").alias("kind"), F.col("day").alias("value")))).alias("x")).select("id", "x.kind", "x.value")
+    return answers.unsupported_mentions(rows.select("id", "text"), "id", "text", known)
 
 
 @query(f"WITH {_OUTCOME_SQL} SELECT count(*) AS n_filings, count(*) FILTER (WHERE n = 3) AS n_ready, count(*) = count(*) FILTER (WHERE n = 3) AS ready FROM c")
@@ -621,17 +670,20 @@ def q51_counts_as_text(spark: SparkSession, d: str) -> DataFrame:
     return counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m")).select("user_id", quality.sorted_pairs(F.col("m")).alias("summary"))
 
 
-@query("SELECT * FROM (VALUES (0, 'DART', '20240101000001'), (1, 'KRX', '20240101000002'), (2, NULL, NULL), (3, NULL, NULL)) AS t(k, system, number)")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'DART' WHEN o_orderkey % 5 = 1 THEN 'KRX' END AS system, CASE WHEN o_orderkey % 5 < 2 THEN lpad(o_orderkey::VARCHAR, 14, '2') END AS number FROM orders""")
 def q52_link_targets(spark: SparkSession, d: str) -> DataFrame:
-    urls = ["http://dart.fss.or.kr/x?rcpNo=20240101000001", "https://kind.krx.co.kr/a?acptNo=20240101000002", "http://dart.fss.or.kr/x?rcpNo=1", None]
-    rows = spark.createDataFrame(list(enumerate(urls)), "k int, url string").withColumn("t", markup.link_target(F.col("url")))
-    return rows.select("k", "t.system", "t.number")
+    """Links to two systems, one with too short a number, one with two numbers, and none."""
+    own = F.lpad(F.col("o_orderkey").cast("string"), 14, "2")
+    dart = F.concat(F.lit("http://dart.fss.or.kr/x?rcpNo="), own)
+    rows = _told(spark, d, dart, F.concat(F.lit("https://kind.krx.co.kr/a?acptNo="), own, F.lit("&x=1#y")), "http://dart.fss.or.kr/x?rcpNo=1", F.concat(dart, F.lit("&rcpNo=30240101000001")), None)
+    return rows.select("o_orderkey", markup.link_target(F.col("raw")).alias("t")).select("o_orderkey", "t.system", "t.number")
 
 
-@query("SELECT * FROM (VALUES (0, '5296200000000'), (1, '10005'), (2, NULL)) AS t(k, value)")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN a * 1000000000000 + b * 100000000 WHEN 1 THEN a * 10000 + b WHEN 2 THEN b * 100000000 END::VARCHAR AS value FROM (SELECT o_orderkey, o_orderkey % 90 + 1 AS a, o_custkey % 9000 + 1000 AS b FROM orders)""")
 def q53_korean_money(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(0, "5조 2,962억 원"), (1, "1만 5 원"), (2, "없음")], "k int, raw string")
-    return rows.select("k", N.korean_money(F.col("raw")).cast("string").alias("value"))
+    a, b = (F.col("o_orderkey") % 90 + 1).cast("string"), F.format_number(F.col("o_custkey") % 9000 + 1000, 0)
+    rows = _told(spark, d, F.concat(a, F.lit("조 "), b, F.lit("억 원")), F.concat(a, F.lit("만 "), b, F.lit(" 원")), F.concat(b, F.lit("억원")), "없음")
+    return rows.select("o_orderkey", N.korean_money(F.col("raw")).cast("string").alias("value"))
 
 
 @query("""SELECT name, count(p_partkey) AS n, CASE count(p_partkey) WHEN 0 THEN 'NOT_FOUND' WHEN 1 THEN 'FOUND' ELSE 'AMBIGUOUS' END AS status
