@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone import shared
 from lodestone.catalog import query
-from lodestone.operators import answers, assembly, chunking, facts, invariants, quality, references, search, sections, tables
+from lodestone.operators import answers, assembly, chunking, facts, invariants, metrics, quality, references, search, sections, tables
 from lodestone.plans import question, tools
 from lodestone.sources import files, lines, markup, versions
 from lodestone.tables import table
@@ -282,6 +282,42 @@ def q66d_profile_against_parse(spark: SparkSession, d: str) -> DataFrame:
     return markup.reconciled(markup.structure_profile(made, "xml"), markup.blocks(made, "xml"), checks)
 
 
+def _tabled_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' links as a table of two columns, every third with a table of one cell inside, and with a paragraph and an image behind it."""
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    inner = lambda i: F.when(i % 3 == 0, F.concat(F.lit("<table><tr><th>n"), i.cast("string"), F.lit("</th></tr></table>"))).otherwise("")
+    rows = F.transform(links, lambda x, i: F.concat(F.lit("<tr><td>"), x, F.lit("</td><td>c"), inner(i), F.lit("</td></tr>")))
+    source = F.concat(F.lit("<html><body><h1>Links</h1><table>"), F.array_join(rows, ""), F.lit('</table><p>after</p><img alt="logo"></body></html>'))
+    return table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), source.alias("source"))
+
+
+_LINKS = """SELECT page_id AS doc_id, hrefs, len(hrefs) AS n, (len(hrefs) + 2) // 3 AS m FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hrefs FROM pages)"""
+
+
+@query(f"""SELECT doc_id, (1 + m)::BIGINT AS n_tables, m::BIGINT AS n_nested_tables, (n + m)::BIGINT AS n_rows, (2 * n + m)::BIGINT AS n_cells, 1::BIGINT AS n_headings, 1::BIGINT AS n_paragraphs, 1::BIGINT AS n_images, 4::BIGINT AS n_blocks,
+(5 + 5 + 4 + n + coalesce(list_sum([length(x) FOR x IN hrefs]), 0) + coalesce(list_sum([1 + length((3 * k)::VARCHAR) FOR k IN range(0, m)]), 0))::BIGINT AS n_characters FROM ({_LINKS})""")
+def q73_tree_metrics(spark: SparkSession, d: str) -> DataFrame:
+    out = metrics.of_documents(markup.blocks(_tabled_pages(spark, d), "html"))
+    return out.select("doc_id", "n_tables", "n_nested_tables", "n_rows", "n_cells", "n_headings", "n_paragraphs", "n_images", "n_blocks", "n_characters")
+
+
+@query(f"""SELECT doc_id, '' AS path, 1 + m AS n_tables, (n + m)::BIGINT AS n_rows, (2 * n + m)::BIGINT AS n_cells, 0 AS depth FROM ({_LINKS}) WHERE n > 0
+UNION ALL SELECT doc_id, 'rows[' || 3 * k || '].cells[1].nestedTables[0].', 1, 1, 1, 1 FROM ({_LINKS}), unnest(range(0, m)) AS u(k)""")
+def q73b_metrics_by_path(spark: SparkSession, d: str) -> DataFrame:
+    parsed = markup.blocks(_tabled_pages(spark, d), "html")
+    return metrics.rolled_up(metrics.by_path(metrics.grids(parsed))).select("doc_id", "path", "n_tables", "n_rows", "n_cells", "depth")
+
+
+@query(f"""SELECT doc_id, unnest(['tables', 'nested_tables', 'rows', 'cells']) AS metric, unnest([1 + m, m, n + m, 2 * n + m - (doc_id % 4 = 1)::INT])::BIGINT AS profiled, unnest([1 + m, m, n + m, 2 * n + m])::BIGINT AS parsed,
+unnest([true, true, true, doc_id % 4 <> 1]) AS agrees FROM ({_LINKS})""")
+def q73c_profile_reconciled(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles against parses; every fourth profile misses a cell, which has to show."""
+    pages = _tabled_pages(spark, d)
+    profile = markup.structure_profile(pages, "html")
+    missed = F.when(F.col("doc_id") % 4 == 1, F.map_from_entries(F.transform(F.map_entries("tags"), lambda e: F.struct(e["key"], F.when(e["key"] == "td", e["value"] - 1).otherwise(e["value"]))))).otherwise(F.col("tags"))
+    return metrics.reconciled(profile.withColumn("tags", missed), metrics.of_documents(markup.blocks(pages, "html")))
+
+
 # ---- sources, written and read again --------------------------------------------------------------------------------
 
 
