@@ -121,7 +121,8 @@ def plan(quotas: DataFrame, params: Params = PARAMS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), shard)), pa.array(numbers[own]), pa.array(drawn[own])], ["shard", "src", "n"])
 
     drawn = spark.range(0, -(-total // params.shard)).mapInArrow(_bytes.frugal(draw), "shard long, src long, n long")
-    drawn = _store.staged(_running(_store.staged(drawn, "mix-drawn"), ["src"], "shard", "n", "first"), "mix-draws")
+    with _store.Scratch(spark, "mix-drawn") as scratch:
+        drawn = _store.staged(_running(scratch.staged(drawn), ["src"], "shard", "n", "first"), "mix-draws")
     limits = quotas.select("src", "quota", "blocks")
     held = drawn.join(limits, "src").withColumn("fit", F.least("n", F.greatest(F.col("quota") - F.col("first"), F.lit(0))))
     # slots beyond quotas, about the root of all, take the places that other quotas still have

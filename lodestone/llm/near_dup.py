@@ -359,8 +359,10 @@ def kept(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
     stay = docs.withColumn(name, own).join(gone, name, "left_anti")
     # of rows that share a surviving doc_id the one of least hash stays; where there are none, docs move once
-    often = _store.staged(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name), "near-dup-repeated")
-    if often.isEmpty():
-        return stay.select(*docs.columns)
+    with _store.Scratch(docs.sparkSession, "near-dup-repeated") as scratch:
+        often = scratch.staged(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name))
+        if often.isEmpty():
+            return stay.select(*docs.columns)
+        often = _store.staged(often, "near-dup-repeated")
     one = stay.join(often, name, "left_semi").groupBy(name).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("_row"))
     return stay.join(often, name, "left_anti").select(*docs.columns).union(one.select("_row.*"))

@@ -114,7 +114,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, params: Params) -> Model:
     return Model(kept.astype(np.int32), w[kept].astype(np.float32), float(bias), params.bits)
 
 
-def teachers(docs: DataFrame, labels: DataFrame, label: str, params: Params) -> DataFrame:
+def teachers(docs: DataFrame, labels: DataFrame, label: str, params: Params, scratch: _store.Scratch | None = None) -> DataFrame:
     """turn, toxic and text of the labelled rows to learn from: those of least hash, up to the bound."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -123,7 +123,7 @@ def teachers(docs: DataFrame, labels: DataFrame, label: str, params: Params) ->
     toxic, clean = (known.where(test).orderBy("turn", "doc_id").limit(most) for test, most in (("toxic > 0", params.max_toxic), ("toxic <= 0", params.max_clean)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(toxic.union(clean), "doc_id")
     # written, as both kinds are read from it; bounded again, as a doc_id may stand in many rows
-    rows = _store.staged(rows, "toxicity-teachers")
+    rows = scratch.staged(rows) if scratch else _store.staged(rows, "toxicity-teachers")
     order = ["turn", "doc_id", F.xxhash64("text")]
     toxic, clean = (rows.where(test).orderBy(*order).limit(most) for test, most in (("toxic > 0", params.max_toxic), ("toxic <= 0", params.max_clean)))
     return toxic.union(clean).select("turn", "toxic", "text")
@@ -152,8 +152,9 @@ def trained(docs: DataFrame, labels: DataFrame, params: Params = PARAMS, label:
         model = fit(rows, np.array(labels, bool), params)
         yield pa.RecordBatch.from_arrays([pa.array([*model.place.tolist(), -1], pa.int32()), pa.array([*model.weight.tolist(), model.bias], pa.float64())], ["place", "weight"])
 
-    made = teachers(docs, labels, label, params).mapInArrow(_bytes.frugal(make), "turn long, toxic int, places array<int>")
-    rows = made.repartition(1).sortWithinPartitions("turn", "places").mapInArrow(_bytes.frugal(learn), "place int, weight double").toPandas()
+    with _store.Scratch(docs.sparkSession, "toxicity") as scratch:
+        made = teachers(docs, labels, label, params, scratch).mapInArrow(_bytes.frugal(make), "turn long, toxic int, places array<int>")
+        rows = made.repartition(1).sortWithinPartitions("turn", "places").mapInArrow(_bytes.frugal(learn), "place int, weight double").toPandas()
     own = rows[rows.place >= 0]
     bias = rows.weight[rows.place < 0]  # Spark runs no task where there are no rows
     return Model(own.place.to_numpy(np.int32), own.weight.to_numpy(np.float32), float(bias.iloc[0]) if len(bias) else -35.0, params.bits)
