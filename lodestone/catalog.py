@@ -298,12 +298,15 @@ def q21_html_blocks(spark: SparkSession, d: str) -> DataFrame:
     return _blocks(spark, d).drop("error")
 
 
-@query("""SELECT page_id AS doc_id, len(regexp_extract_all(lower(html), '<h[1-6][\\s>/]')) AS headings, true AS agrees FROM pages""")
+@query("""SELECT page_id AS doc_id, len(regexp_extract_all(lower(html), '<h[1-6][\\s>/]'))::BIGINT AS headings, len(list_filter(regexp_extract_all(html, '<h1>(.*?)</h1>', 1), x -> trim(x) <> ''))::BIGINT AS parsed,
+(length(html) - length(replace(html, '<p>', ''))) // 3 AS paragraphs FROM pages""".replace("x -> ", "lambda x: "))
 def q22_profile_vs_parse_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    """Headings and paragraphs that open in the source, and headings that the parser found."""
     pages = _pages(spark, d)
-    counted = pages.select("doc_id", F.regexp_count(F.lower("source"), F.lit(r"<h[1-6][\s>/]")).cast("long").alias("headings"))
+    count = lambda pattern: F.regexp_count(F.lower("source"), F.lit(pattern)).cast("long")
+    counted = pages.select("doc_id", count(r"<h[1-6][\s>/]").alias("headings"), count(r"<p[\s>/]").alias("paragraphs"))
     parsed = markup.tree_metrics(_blocks(spark, d)).select("doc_id", "n_heading")
-    return counted.join(parsed, "doc_id", "left").select("doc_id", "headings", (F.col("headings") == F.coalesce("n_heading", F.lit(0))).alias("agrees"))
+    return counted.join(parsed, "doc_id", "left").select("doc_id", "headings", F.coalesce("n_heading", F.lit(0)).alias("parsed"), "paragraphs")
 
 
 # ---- tables of filings, made of orders ------------------------------------------------------------------------------
@@ -709,11 +712,14 @@ def q56_missing_core_facts(spark: SparkSession, d: str) -> DataFrame:
     return wanted.join(facts.where("verified").select("filing", "fact_key"), ["filing", "fact_key"], "left_anti")
 
 
-@query("""SELECT 'finite_score' AS rule, 0::BIGINT AS n UNION ALL SELECT 'score_is_its_parts', 0""")
+@query(f"""WITH h AS ({_chunk_sql()}) SELECT 'finite_score' AS rule, count(*) FILTER (WHERE doc_id % 7 = 2 AND doc_id % 10 <> 3) AS n FROM h
+UNION ALL SELECT 'score_is_its_parts', count(*) FILTER (WHERE doc_id % 7 = 2 OR doc_id % 10 = 3) FROM h UNION ALL SELECT 'all', count(*) FROM h""")
 def q57_hit_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Hits, of which some have a score beside their parts and some none that is finite; all counts them."""
     parts = list(search.chunk_scores(CHUNK, WORDS))[:-1]
     hits = _chunks(spark, d).where(search.chunk_predicate(CHUNK, WORDS)).withColumns(search.chunk_scores(CHUNK, WORDS))
-    return quality.violations(hits, invariants.hit_rules(parts))
+    wrong = F.when(F.col("doc_id") % 10 == 3, F.col("final_score") + 1).when(F.col("doc_id") % 7 == 2, float("nan")).otherwise(F.col("final_score"))
+    return quality.violations(hits.withColumn("final_score", wrong), invariants.hit_rules(parts) | {"all": F.lit(False)})
 
 
 @query(f"""WITH {FACTS_SQL} SELECT 'fact_key' AS rule, count(*) AS n FROM facts WHERE NOT regexp_matches('f.' || fact_key, '^[a-z][a-z0-9_]*(\\.[a-z][a-z0-9_]*)+$')
@@ -741,7 +747,7 @@ def q60_stream_without_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """The events table read as a stream, drained through a deduplication into a table of the session's folder."""
     import uuid
 
-    from lodestone.shared import shared_folder
+    from lodestone.shared import remove, shared_folder
     from lodestone.streaming import events
 
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -749,6 +755,7 @@ def q60_stream_without_duplicates(spark: SparkSession, d: str) -> DataFrame:
     rows = events.source(spark, f"{d}/events.parque[t]", table(spark, d, "events").schema)
     # a batch that is done again after a failure replaces itself
     events.drained(events.deduplicated(rows, "event_id", late=None), f"{out}/state", lambda df, n: df.select("event_id").write.mode("overwrite").parquet(f"{out}/rows/batch={n}"))
+    remove(spark, f"{out}/state")
     return spark.read.parquet(f"{out}/rows").select("event_id")
 
 

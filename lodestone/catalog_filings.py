@@ -92,12 +92,17 @@ def q61b_facts_generated(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("table_id").alias("o_orderkey"), "receipt_no", "fact_key", F.col("date_value").cast("string").alias("date_value"), "text_value", amount.alias("amount"), "currency", F.size("evidence_ids").alias("n_evidence"))
 
 
-@query("""SELECT rule, 0::BIGINT AS n FROM unnest(['value_matches_type', 'no_value_unless_available', 'raw_value_given', 'decimal_has_unit', 'policy_version_given', 'verified_has_evidence', 'period_is_whole',
-'evidence_ids_differ', 'fact_key', 'receipt_no']) AS u(rule)""")
+@query(f"""WITH f AS ({_fact_sql()}), v AS (SELECT * FROM f WHERE verdict = 'VERIFIED') SELECT 'receipt_no' AS rule, (SELECT count(*) FROM v WHERE o_orderkey % 10 = 3) AS n UNION ALL SELECT 'all', (SELECT count(*) FROM v) UNION ALL
+SELECT 'decimal_has_unit', (SELECT count(*) FROM v WHERE o_orderkey % 7 = 3 AND unit = 'KRW') UNION ALL SELECT rule, 0
+FROM unnest(['value_matches_type', 'no_value_unless_available', 'raw_value_given', 'policy_version_given', 'verified_has_evidence', 'period_is_whole', 'evidence_ids_differ', 'fact_key']) AS u(rule)""")
 def q61c_generated_facts_keep_all_rules(spark: SparkSession, d: str) -> DataFrame:
-    filings = table(spark, d, "orders").select(F.col("o_orderkey").alias("table_id"), F.lpad(F.col("o_orderkey").cast("string"), 14, "0").alias("receipt_no"))
+    """Generated facts, of which every tenth filing's number is cut short and every seventh loses its currency: no other rule is broken. all counts them."""
+    k = F.col("o_orderkey")
+    receipt = F.lpad(k.cast("string"), 14, "0")
+    filings = table(spark, d, "orders").select(k.alias("table_id"), F.when(k % 10 == 3, F.substring(receipt, 2, 13)).otherwise(receipt).alias("receipt_no"))
     made = facts.generated(_verdicts(spark, d), filings).withColumns({"period_start": F.lit(None).cast("date"), "period_end": F.lit(None).cast("date")})
-    return quality.violations(made, invariants.fact_rules())
+    made = made.withColumn("currency", F.when(F.col("table_id") % 7 != 3, F.col("currency")))
+    return quality.violations(made, invariants.fact_rules() | {"all": F.lit(False)})
 
 
 # ---- rules over facts and evidence that break them ------------------------------------------------------------------
@@ -272,11 +277,14 @@ def q66c_html_tag_histogram(spark: SparkSession, d: str) -> DataFrame:
     return markup.structure_profile(pages, "html").select("doc_id", F.explode("tags").alias("tag", "n"))
 
 
-@query("""SELECT o_orderkey AS doc_id, 'tables' AS metric, 1::BIGINT AS profiled, 1::BIGINT AS parsed, true AS agrees FROM orders WHERE o_orderkey % 101 <> 7
-UNION ALL SELECT o_orderkey, 'paragraphs', 1, 1, true FROM orders WHERE o_orderkey % 101 <> 7
-UNION ALL SELECT o_orderkey, unnest(['tables', 'paragraphs']), 0, 0, true FROM orders WHERE o_orderkey % 101 = 7""")
+@query("""WITH k AS (SELECT o_orderkey AS k, o_orderkey % 101 = 7 AS bad FROM orders) SELECT k AS doc_id, 'tables' AS metric, CASE WHEN bad THEN 0 ELSE k % 3 END::BIGINT AS profiled, CASE WHEN bad THEN 0 ELSE k % 3 END::BIGINT AS parsed, true AS agrees FROM k
+UNION ALL SELECT k, 'paragraphs', CASE WHEN bad THEN 0 ELSE k % 4 + (k % 5 = 2)::INT END, CASE WHEN bad THEN 0 ELSE k % 4 END, bad OR k % 5 <> 2 FROM k""")
 def q66d_profile_against_parse(spark: SparkSession, d: str) -> DataFrame:
-    made = _xml(spark, d)
+    """As many paragraphs and tables as the key says; every fifth filing has an empty paragraph, which the parse leaves out."""
+    k = F.col("o_orderkey")
+    parts = [F.lit("<DOCUMENT><BODY><SECTION-1><TITLE>t</TITLE>"), F.repeat(F.lit("<P>a & b</P>"), (k % 4).cast("int")), F.when(k % 5 == 2, "<P> </P>").otherwise(""), F.repeat(F.lit("<TABLE><TR><TD>x</TD></TR></TABLE>"), (k % 3).cast("int"))]
+    source = F.concat(*parts, F.when(k % 101 == 7, "").otherwise("</SECTION-1></BODY></DOCUMENT>"))
+    made = table(spark, d, "orders").select(k.alias("doc_id"), source.alias("source"))
     outer = F.coalesce(F.col("tags")["TABLE"], F.lit(0)) - F.col("n_nested_tables")
     checks = {"tables": (outer, F.col("n_table")), "paragraphs": (F.coalesce(F.col("tags")["P"], F.lit(0)), F.col("n_paragraph"))}
     return markup.reconciled(markup.structure_profile(made, "xml"), markup.blocks(made, "xml"), checks)
