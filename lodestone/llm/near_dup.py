@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import _bytes, _store
 from lodestone.llm.graph import components
+from lodestone.llm.sieve import may_hold
 
 
 @dataclass(frozen=True)
@@ -310,8 +311,10 @@ def _clusters(docs: DataFrame, params: Params, scratch: _store.Scratch) -> DataF
     rows = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = rows.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count("*").alias("n")).where("hub < top").drop("top")
     members = scratch.staged(_members(rows, scratch.staged(buckets), scratch))
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    packed = scratch.staged(_packed(_ids_and_texts(docs).join(wanted, "doc_id", "left_semi")))
+    wanted = scratch.staged(members.select(F.col("rep").alias("doc_id")).distinct())
+    # texts of other documents don't move, and those that do are compressed before
+    near = _ids_and_texts(docs).where(may_hold(wanted, "doc_id")(F.col("doc_id")))
+    packed = scratch.staged(_packed(near).join(wanted, "doc_id", "left_semi"))
 
     star = members.where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
     links = scratch.staged(_linked(_plausible(star, classes, params), packed, params))
@@ -357,7 +360,10 @@ def kept(docs: DataFrame, params: Params = PARAMS) -> DataFrame:
         name += "_"
     own = F.col("doc_id").cast("long")
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    stay = docs.withColumn(name, own).join(gone, name, "left_anti")
+    gone = _store.staged(gone, "near-dup-gone")
+    # only rows that may go are joined
+    maybe, rows = may_hold(gone, name), docs.withColumn(name, own)
+    stay = rows.where(~maybe(F.col(name))).unionByName(rows.where(maybe(F.col(name))).join(gone, name, "left_anti"))
     # of rows that share a surviving doc_id the one of least hash stays; where there are none, docs move once
     with _store.Scratch(docs.sparkSession, "near-dup-repeated") as scratch:
         often = scratch.staged(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name))
