@@ -9,7 +9,7 @@ from lodestone import shared
 from lodestone.catalog import query
 from lodestone.operators import answers, assembly, chunking, facts, invariants, metrics, quality, references, search, sections, tables
 from lodestone.plans import question, tools
-from lodestone.sources import files, lines, markup, versions
+from lodestone.sources import files, lines, markup, paths, versions
 from lodestone.tables import table
 
 # ---- facts of filings, from grids to typed values -------------------------------------------------------------------
@@ -417,6 +417,37 @@ def q72_replaced_versions(spark: SparkSession, d: str) -> DataFrame:
     return versions.replaced_documents(spark, folder, second, "o_custkey").drop("o_orderstatus")
 
 
+#: A syllable in its composed and decomposed forms.
+_COMPOSED, _DECOMPOSED = "\uac01", "\u1100\u1161\u11a8"
+
+
+def _paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A file for each order in a folder of its customer, whose name is decomposed for closed orders; and the folders that are asked for, some in an unsafe way."""
+    k, form = F.col("o_orderkey"), F.when(F.col("o_orderstatus") == "F", _DECOMPOSED).otherwise(_COMPOSED)
+    own = F.concat(F.lit("d"), (F.col("o_custkey") % 50).cast("string"), F.lit("/"), form, F.col("o_custkey").cast("string"))
+    there = F.concat(F.lit("d"), (F.col("o_custkey") % 50).cast("string"), F.lit("/"), F.lit(_COMPOSED), F.col("o_custkey").cast("string"))
+    asked = F.when(k % 9 == 4, F.concat(F.lit("../"), there)).when(k % 9 == 7, F.concat(there, F.lit("/none/x"))).otherwise(there)
+    orders = table(spark, d, "orders")
+    return orders.select(k, F.concat(own, F.lit("/f"), k.cast("string")).alias("path")), orders.select(k, asked.alias("path"))
+
+
+_FOLDERS = f"""SELECT o_orderkey, o_custkey AS c, 'd' || (o_custkey % 50) AS parent, CASE WHEN o_orderstatus = 'F' THEN '{_DECOMPOSED}' ELSE '{_COMPOSED}' END || o_custkey AS name FROM orders"""
+
+
+@query(f"""SELECT parent, nfc_normalize(name) AS same, count(DISTINCT name) AS n FROM ({_FOLDERS}) GROUP BY ALL HAVING count(DISTINCT name) > 1""")
+def q74_path_collisions(spark: SparkSession, d: str) -> DataFrame:
+    found, _ = _paths(spark, d)
+    return paths.collisions(found).select("parent", "same", F.size("folders").cast("long").alias("n"))
+
+
+@query(f"""WITH f AS ({_FOLDERS}), g AS (SELECT c, min(parent || '/' || name) AS folder, count(DISTINCT name) AS n FROM f GROUP BY c),
+p AS (SELECT o_orderkey, folder, CASE WHEN o_orderkey % 9 = 4 THEN 'SEGMENT' WHEN o_orderkey % 9 = 7 THEN 'MISSING' WHEN n > 1 THEN 'AMBIGUOUS' END AS problem FROM f JOIN g USING (c))
+SELECT o_orderkey, CASE WHEN problem IS NULL THEN folder END AS folder, problem, CASE WHEN problem = 'MISSING' THEN 'none' END AS missing FROM p""")
+def q74b_paths_resolved(spark: SparkSession, d: str) -> DataFrame:
+    found, asked = _paths(spark, d)
+    return paths.resolved(asked, found).drop("path")
+
+
 # ---- plans with all tools -------------------------------------------------------------------------------------------
 
 _HITS = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 20"
