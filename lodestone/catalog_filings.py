@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone import shared
 from lodestone.catalog import query
+from lodestone.functions import decimals
 from lodestone.operators import answers, assembly, chunking, facts, invariants, metrics, quality, references, search, sections, tables
 from lodestone.plans import question, tools
 from lodestone.sources import files, lines, markup, paths, versions
@@ -635,3 +636,18 @@ WHERE y.l_orderkey = x.l_orderkey AND y.i = x.i - 1 AND y.l_returnflag = 'A' AND
 def q71c_used_documents(spark: SparkSession, d: str) -> DataFrame:
     given = _answers(spark, d)
     return references.used_documents(given["documents"], given["evidence"], given["claims"]).groupBy("answer").agg(F.count("*").alias("n"))
+
+
+# ---- numbers of 16 significant digits -------------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT o_orderkey, (((o_orderkey + 1)::HUGEINT * 1000000007 + o_custkey) * 10000000 + CASE o_orderkey % 3 WHEN 0 THEN 5000000 WHEN 1 THEN o_custkey ELSE 9999999 END) * 100000 AS v FROM orders),
+l AS (SELECT *, CASE WHEN length(v::VARCHAR) > 16 THEN (10::HUGEINT ** (length(v::VARCHAR) - 16))::HUGEINT ELSE 1 END AS p FROM n), q AS (SELECT *, v // p AS q, v % p AS r FROM l)
+SELECT o_orderkey, ((q + CASE WHEN 2 * r > p OR 2 * r = p AND q % 2 = 1 THEN 1 ELSE 0 END) * p)::VARCHAR AS value FROM q""")
+def q75_significant_digits(spark: SparkSession, d: str) -> DataFrame:
+    """Whole numbers of 20 digits and more, many of them halves at the sixteenth."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("decimal(38,0)")
+    tail = F.when(k % 3 == 0, 5000000).when(k % 3 == 1, F.col("o_custkey")).otherwise(9999999).cast("decimal(38,0)")
+    high = ((k + 1).cast("decimal(12,0)") * F.lit(1000000007).cast("decimal(12,0)") + c).cast("decimal(26,0)")
+    text = F.concat((high * F.lit(10000000).cast("decimal(8,0)") + tail).cast("decimal(38,0)").cast("string"), F.lit("00000"))
+    return table(spark, d, "orders").select("o_orderkey", decimals.significant(text).alias("value"))
