@@ -57,3 +57,10 @@ def test_against_sql(spark, limit):
 
 def test_empty_table(spark):
     assert made(spark, [], sharding.PARAMS) == []
+
+
+def test_a_very_long_text_and_a_very_long_word(spark):
+    rows = [(1, "word " * 4_000_000), (2, "x" * 3_000_000), (3, None), (4, "a")]
+    got = {r.doc_id: (r.n_bytes, r.shard) for r in sharding.with_totals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {1: 20_000_000, 2: 3_000_000, 3: 0, 4: 1}
+    assert got[1][1] != got[2][1]

@@ -125,3 +125,11 @@ def test_query_on_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.op10_token_ids(spark, d).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy(F.col("doc_id"))
     assert list(map(tuple, got.collect())) == brute(rows)
+
+
+def test_columns_with_the_names_of_its_own_and_a_very_long_word(spark):
+    schema = "doc_id long, text string, ids string, n string, part int, start long, hash string, row int"
+    rows = [(2, "one two", "x", "y", 1, 9, "h", 3), (1, "z" * 400_000, "x", "y", 1, 9, "h", 3), (3, None, None, None, None, None, None, None)]
+    got = token_ids.write_and_read(spark.createDataFrame(rows, schema), queries.tokenizer_path())
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert sorted(map(tuple, got.collect())) == sorted(brute(rows))

@@ -75,3 +75,11 @@ def test_oracle_and_operator_agree_outside_ascii(spark):
     con.executemany("insert into pages values (?, ?)", rows)
     want = con.execute("select page_id, host, path, rule, verdict from (" + sql.url_rules() + ") order by page_id").fetchall()
     assert got == want
+
+
+def test_empty_table_and_clashing_columns(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, host string, verdict string")
+    assert url_rules.judged(empty).count() == 0
+    one = spark.createDataFrame([(1, "http://a.com/x", "clash", "clash"), (1, "http://a.com/x", "clash", "clash"), (None, "http://" + "h" * 500_000 + "/p", "", "")], "page_id long, url string, host string, verdict string")
+    rows = url_rules.judged(one).collect()
+    assert len(rows) == 3 and {r.host for r in rows if r.page_id == 1} == {"a.com"} and {len(r.host) for r in rows if r.page_id is None} == {500_000}
