@@ -291,6 +291,18 @@ def q66d_profile_against_parse(spark: SparkSession, d: str) -> DataFrame:
     return markup.reconciled(markup.structure_profile(made, "xml"), markup.blocks(made, "xml"), checks)
 
 
+@query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END + 1 AS n_repairs, 'COMPLETED' AS status, 'a & ' || o_orderkey AS text FROM orders""")
+def q66e_quotes_in_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """A filing for each order whose paragraph has attributes as they should be, with words in quotes, with a quote too many, and with an empty one."""
+    k = F.col("o_orderkey").cast("string")
+    kinds = (' A="v"', F.concat(F.lit(' A="say "'), k, F.lit('" now" B="2"')), F.concat(F.lit(' A=""'), k, F.lit('"')), ' A="" B = "x"')
+    attributes = F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in kinds]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    source = F.concat(F.lit("<DOCUMENT><BODY><P"), attributes, F.lit(">a & "), k, F.lit("</P></BODY></DOCUMENT>"))
+    made = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), source.alias("source"))
+    profile = markup.structure_profile(made, "xml").select("doc_id", "n_repairs", "status")
+    return profile.join(markup.blocks(made, "xml").where("block_type = 'PARAGRAPH'").select("doc_id", "text"), "doc_id", "left")
+
+
 def _tabled_pages(spark: SparkSession, d: str) -> DataFrame:
     """The pages' links as a table of two columns, every third with a table of one cell inside, and with a paragraph and an image behind it."""
     links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))

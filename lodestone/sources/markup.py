@@ -147,11 +147,46 @@ _BARE_AMPERSAND = re.compile(r"&(?!(?:#\d+|#x[0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);
 _BARE_ANGLE = re.compile(rf"<(?![/!?A-Za-z])|<(?=/?(?:{'|'.join(PSEUDO_TAGS)})\b)")
 
 
+_MARKS = re.compile('[<>"]')
+_OPENS = re.compile(r"=\s*$")
+#: What stands behind a quote that ends a value: the line's or the tag's end, or another attribute.
+_CLOSES = re.compile(r"\s*(?:$|[/?]?>|[^\W\d][\w:.\-]*\s*=|:[\w:.\-]*\s*=)")
+
+
+def repaired_quotes(line: str) -> tuple[str, int]:
+    """A line with quotes inside attribute values escaped, or left out where the value has nothing before them; and how many there were.
+
+    Outside a tag, in a tag, in a value: only marks change the state, and angle brackets in a value are none.
+    """
+    out, done, repairs = [], 0, 0
+    tag, value = False, -1  # where the value begins
+    for mark in _MARKS.finditer(line):
+        at, sign = mark.start(), mark[0]
+        if not tag:
+            tag = sign == "<"
+        elif value < 0:
+            if sign == ">":
+                tag = False
+            elif sign == '"' and _OPENS.search(line, 0, at):
+                value = at + 1
+        elif sign == '"':
+            if _CLOSES.match(line, at + 1):
+                value = -1
+                continue
+            repairs += 1
+            empty = at == value
+            out += [line[done:at], "" if empty else "&quot;"]
+            done = at + 1
+            value = at + 1 if empty else value
+    return "".join([*out, line[done:]]), repairs
+
+
 def repaired_xml(source: str) -> tuple[str, int]:
-    """The source with bare ampersands and angle brackets escaped, and how many there were."""
+    """The source with bare ampersands, angle brackets and quotes in attributes escaped, and how many there were."""
     source, a = _BARE_AMPERSAND.subn("&amp;", source)
     source, b = _BARE_ANGLE.subn("&lt;", source)
-    return source, a + b
+    lines = [repaired_quotes(x) if x.count('"') > 2 else (x, 0) for x in source.split("\n")]
+    return "\n".join(x for x, _ in lines), a + b + sum(n for _, n in lines)
 
 
 class _XmlBlocks(ContentHandler):

@@ -138,6 +138,27 @@ def test_profiles(spark):
     assert {r.doc_id: r.status for r in profile.collect()} == {1: "COMPLETED", 2: "FAILED", 3: "FAILED"}
 
 
+@pytest.mark.parametrize(("line", "fixed", "n"), [
+    ('<P A="v" B="w">x "y" z</P>', '<P A="v" B="w">x "y" z</P>', 0),
+    ('<P A="say "k" now" B="2">t</P>', '<P A="say &quot;k&quot; now" B="2">t</P>', 2),
+    ('<P A=""k">t</P><Q B="">', '<P A="k">t</P><Q B="">', 1),
+    ('<P A="" B = "x"/>', '<P A="" B = "x"/>', 0),
+    ('<P A = "a > b" C="x"">t', '<P A = "a > b" C="x&quot;">t', 1),
+    ('<?xml version="1.0" encoding="utf-8"?>', '<?xml version="1.0" encoding="utf-8"?>', 0),
+    ('<P A="""">t', '<P A="">t', 2),
+    ('<P A="ends at the line', '<P A="ends at the line', 0),
+    ("", "", 0),
+])
+def test_quotes_in_attributes(line, fixed, n):
+    assert markup.repaired_quotes(line) == (fixed, n)
+
+
+def test_repairs_of_quotes_are_counted(spark):
+    rows = spark.createDataFrame([(1, '<DOCUMENT><P A="say "k" now">a & b</P></DOCUMENT>')], "doc_id long, source string")
+    got = markup.structure_profile(rows, "xml").first()
+    assert (got.n_repairs, got.status, got.tags) == (3, "COMPLETED", {"DOCUMENT": 1, "P": 1})
+
+
 def test_mentions(spark):
     texts = ["1조 2,345억 6만 7원과 1,200 원, 3.5억원", "2024년 1월 5일, 2024.1.5, 2024/01/06, 2024년 12월, 12024-01-01x", "9.9%와 12 퍼센트", "숫자 없음", None, "0원"]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").select("k", normalize.mentions(F.col("text")).alias("m")).collect()
