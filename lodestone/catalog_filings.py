@@ -10,7 +10,7 @@ from lodestone.catalog import query
 from lodestone.functions import decimals
 from lodestone.operators import answers, assembly, chunking, facts, invariants, metrics, quality, references, search, sections, tables
 from lodestone.plans import question, tools
-from lodestone.sources import files, lines, markup, paths, versions
+from lodestone.sources import elements, files, lines, markup, paths, versions
 from lodestone.tables import table
 
 # ---- facts of filings, from grids to typed values -------------------------------------------------------------------
@@ -339,6 +339,33 @@ def q73c_profile_reconciled(spark: SparkSession, d: str) -> DataFrame:
     return metrics.reconciled(profile.withColumn("tags", missed), metrics.of_documents(markup.blocks(pages, "html")))
 
 
+def _formed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' links as titles of tables: bold and centred, directly before a table but for every fourth; every seventh page has no form."""
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    between = lambda i: F.when(i % 4 == 3, "<p>between</p>").otherwise("<script>s</script>")
+    span = lambda i: F.concat(F.lit('<span style="font-weight:'), F.when(i % 2 == 0, "bold").otherwise("700"), F.lit(';text-align:center">'))
+    parts = F.transform(links, lambda x, i: F.concat(span(i), x, F.lit("</span>"), between(i), F.lit("<table><tr><td>c</td></tr></table>")))
+    form = F.when(F.col("page_id") % 7 == 0, "other").otherwise("xforms")
+    source = F.concat(F.lit('<html><body><div class="'), form, F.lit('"><h2>Page '), F.col("page_id").cast("string"), F.lit("</h2>"), F.array_join(parts, ""), F.lit("</div></body></html>"))
+    return table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), source.alias("source"))
+
+
+_TITLES = f"""SELECT doc_id, i::INT AS i, hrefs[i] AS x FROM ({_LINKS}), unnest(range(1, n + 1)) AS u(i) WHERE doc_id % 7 <> 0"""
+
+
+@query(f"""SELECT doc_id, x AS title, 'STYLE' AS kind FROM ({_TITLES}) WHERE (i - 1) % 4 <> 3 AND length(trim(x)) BETWEEN 1 AND 120 UNION ALL SELECT doc_id, 'Page ' || doc_id, 'TAG' FROM ({_LINKS}) WHERE doc_id % 7 <> 0""")
+def q76_styled_headings(spark: SparkSession, d: str) -> DataFrame:
+    return elements.headings(elements.elements(_formed_pages(spark, d))).select("doc_id", "title", "kind")
+
+
+@query(f"""WITH t AS (SELECT doc_id, i, x, (i - 1) % 4 <> 3 AS styled FROM ({_TITLES})), u AS (SELECT *, coalesce(max(CASE WHEN styled THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS own FROM t),
+n AS (SELECT doc_id, own, count(*) AS n FROM u GROUP BY ALL)
+SELECT l.doc_id, CASE WHEN l.i = 0 THEN 'Page ' || l.doc_id ELSE x END AS title, coalesce(n.n, 0)::BIGINT AS n_tables FROM (SELECT doc_id, i, x FROM t WHERE styled UNION ALL SELECT doc_id, 0, NULL FROM ({_LINKS}) WHERE doc_id % 7 <> 0) l
+LEFT JOIN n ON n.doc_id = l.doc_id AND n.own = l.i UNION ALL SELECT doc_id, NULL, n FROM ({_LINKS}) WHERE doc_id % 7 = 0 AND n > 0""")
+def q76b_sections_by_headings(spark: SparkSession, d: str) -> DataFrame:
+    return elements.sections(elements.elements(_formed_pages(spark, d))).select("doc_id", "title", "n_tables")
+
+
 # ---- sources, written and read again --------------------------------------------------------------------------------
 
 
