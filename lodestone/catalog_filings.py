@@ -322,7 +322,7 @@ def q73_tree_metrics(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "n_tables", "n_nested_tables", "n_rows", "n_cells", "n_headings", "n_paragraphs", "n_images", "n_blocks", "n_characters")
 
 
-@query(f"""SELECT doc_id, '' AS path, 1 + m AS n_tables, (n + m)::BIGINT AS n_rows, (2 * n + m)::BIGINT AS n_cells, 0 AS depth FROM ({_LINKS}) WHERE n > 0
+@query(f"""SELECT doc_id, '' AS path, (1 + m)::INT AS n_tables, (n + m)::BIGINT AS n_rows, (2 * n + m)::BIGINT AS n_cells, 0 AS depth FROM ({_LINKS}) WHERE n > 0
 UNION ALL SELECT doc_id, 'rows[' || 3 * k || '].cells[1].nestedTables[0].', 1, 1, 1, 1 FROM ({_LINKS}), unnest(range(0, m)) AS u(k)""")
 def q73b_metrics_by_path(spark: SparkSession, d: str) -> DataFrame:
     parsed = markup.blocks(_tabled_pages(spark, d), "html")
