@@ -346,7 +346,7 @@ def q23_grid_expand(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT o_orderkey AS table_id, '' AS path, 1 AS sequence_no, o_custkey || ' | ' || o_orderstatus || chr(10) || o_custkey || ' | ' || year(o_orderdate) || ' | d / ' || o_orderkey AS body, 0 AS first_row, 1 AS last_row FROM orders
 UNION ALL SELECT o_orderkey, 'rows[0].cells[1].nestedTables[0].', 1, o_orderpriority, 0, 0 FROM orders""")
 def q24_table_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return tables.table_chunks(tables.grid(_grids(spark, d)))
+    return tables.table_chunks(tables.grid_rows(_grids(spark, d)))
 
 
 @query("""SELECT o_orderkey AS table_id, x.k AS fact_key, x.v AS raw_value, x.u AS unit, x.r::INT AS row_index FROM orders, unnest([
