@@ -14,16 +14,17 @@ def paths(nodes: DataFrame, glue: str = " > ") -> DataFrame:
     Blank titles are left out of paths. A node under a parent that isn't there is a MISSING_PARENT, one on or under a
     circle a CYCLE; neither has a path. Each round doubles the length of the pieces of path that nodes know, so there are
     as many rounds as the logarithm of the depth; a round that settles no further node leaves circles alone. ids are unique.
+    Both sides of each join are as long as the forest, so neither is sent through the driver.
     """
     with shared.Scratch(nodes.sparkSession, "sections") as scratch:
         known = nodes.select(F.col("id").alias("up")).distinct()
         own = F.when(F.trim("title") != "", F.array("title")).otherwise(F.array().cast("array<string>"))
         rows = nodes.select("id", "parent", own.alias("parts"), F.lit(1).alias("level"))
-        rows = rows.join(known, rows["parent"] == known["up"], "left").withColumn("missing", F.col("parent").isNotNull() & F.col("up").isNull())
+        rows = rows.join(known.hint("merge"), rows["parent"] == known["up"], "left").withColumn("missing", F.col("parent").isNotNull() & F.col("up").isNull())
         rows, before = scratch.staged(rows.select("id", "up", "parts", "level", "missing")), None
         while (left := rows.where("up is not null").count()) and left != before:
             above = rows.select(F.col("id").alias("up"), F.struct(F.col("up").alias("next"), "parts", "level", "missing").alias("above"))
-            joined = rows.join(above, "up", "left")
+            joined = rows.join(above.hint("merge"), "up", "left")
             on = F.col("above").isNotNull()
             rows = scratch.staged(
                 joined.select(

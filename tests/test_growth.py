@@ -44,3 +44,16 @@ def test_grids_come_in_small_parts():
     frame.schema = {"table_id": type("T", (), {"dataType": type("L", (), {"simpleString": lambda self: "bigint"})()})()}
     parts = list(tables.grid_rows(frame)([batch]))
     assert sum(p.num_rows for p in parts) == 30_000 and max(p.num_rows for p in parts) <= 2_100
+
+
+def test_paths_send_nothing_through_the_driver(spark, monkeypatch):
+    plans, staged = [], shared.Scratch.staged
+
+    def seen(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(self, df)
+
+    monkeypatch.setattr(shared.Scratch, "staged", seen)
+    rows = spark.createDataFrame([(k, k // 2 if k else None, "t") for k in range(20)], "id long, parent long, title string")
+    assert sections.paths(rows).where("error is null").count() == 20
+    assert plans and not any("Broadcast" in p for p in plans)
