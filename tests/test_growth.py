@@ -46,6 +46,10 @@ def test_grids_come_in_small_parts():
     assert sum(p.num_rows for p in parts) == 30_000 and max(p.num_rows for p in parts) <= 2_100
 
 
+def test_reading_of_values_is_a_short_expression(spark):
+    assert len(str(facts.normalized(F.col("k"), F.col("raw"), F.col("unit")))) < 20_000
+
+
 def test_paths_send_nothing_through_the_driver(spark, monkeypatch):
     plans, staged = [], shared.Scratch.staged
 
