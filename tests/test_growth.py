@@ -46,6 +46,13 @@ def test_grids_come_in_small_parts():
     assert sum(p.num_rows for p in parts) == 30_000 and max(p.num_rows for p in parts) <= 2_100
 
 
+def test_pages_come_in_small_parts(spark):
+    source = "<h1>t</h1>" + "<p>some words</p>" * 20
+    batch = pa.record_batch({"doc_id": pa.array(range(5_000), pa.int64()), "source": [source] * 5_000})
+    parts = list(markup.blocks(Frame(), "html")([batch]))
+    assert sum(p.num_rows for p in parts) == 5_000 * 21 and max(p.num_rows for p in parts) < 2_100
+
+
 def test_reading_of_values_is_a_short_expression(spark):
     assert len(str(facts.normalized(F.col("k"), F.col("raw"), F.col("unit")))) < 20_000
 
