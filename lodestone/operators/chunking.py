@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,19 +156,27 @@ def text_chunks_of(blocks: list[tuple[int, str, str | None]], sizes: Sizes = TEX
     return out
 
 
+#: Documents whose chunks are made at once.
+_READ = 32
+
+
 def text_chunks(blocks: DataFrame, sizes: Sizes = TEXT_SIZES) -> DataFrame:
     """doc_id, sequence_no, headings, body, first_block, last_block from blocks (doc_id, sequence_no, block_type, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("doc_id", pa.int64()), ("sequence_no", pa.int32()), ("headings", pa.list_(pa.string())), ("body", pa.string()), ("first_block", pa.int64()), ("last_block", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, parts in zip(batch.doc_id, batch.parts, strict=True):
-                rows += [{"doc_id": doc} | c for c in text_chunks_of([(p["sequence_no"], p["block_type"], p["text"]) for p in parts], sizes)]
-            yield pd.DataFrame(rows, columns=["doc_id", "sequence_no", "headings", "body", "first_block", "last_block"])
+            for start in range(0, batch.num_rows, _READ):  # what a task holds beside the batch it was given
+                part = [c.to_pylist() for c in batch.slice(start, _READ).columns]
+                rows = [{"doc_id": doc} | c for doc, *blocks in zip(*part, strict=True) for c in text_chunks_of(list(zip(*blocks, strict=True)), sizes)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     # a document's blocks are at most one file's
-    gathered = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sequence_no", "block_type", "text"))).alias("parts"))
-    return gathered.mapInPandas(run, "doc_id long, sequence_no int, headings array<string>, body string, first_block long, last_block long")
+    gathered = blocks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("sequence_no", "block_type", "text"))).alias("parts"))
+    gathered = gathered.select("doc_id", "parts.sequence_no", "parts.block_type", "parts.text")
+    return gathered.mapInArrow(run, "doc_id long, sequence_no int, headings array<string>, body string, first_block long, last_block long")
 
 
 def chunking_target() -> Column:

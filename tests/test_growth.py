@@ -53,6 +53,13 @@ def test_pages_come_in_small_parts(spark):
     assert sum(p.num_rows for p in parts) == 5_000 * 21 and max(p.num_rows for p in parts) < 2_100
 
 
+def test_chunks_come_in_small_parts(spark):
+    batch = pa.record_batch({"doc_id": pa.array(range(500), pa.int64()), "sequence_no": [[1, 2]] * 500, "block_type": [["HEADING", "PARAGRAPH"]] * 500, "text": [["h", "words"]] * 500})
+    parts = list(chunking.text_chunks(Frame())([batch]))
+    assert sum(p.num_rows for p in parts) == 500 and max(p.num_rows for p in parts) <= 32
+    assert parts[0].to_pylist()[0] == {"doc_id": 0, "sequence_no": 1, "headings": ["h"], "body": "words", "first_block": 2, "last_block": 2}
+
+
 def test_reading_of_values_is_a_short_expression(spark):
     assert len(str(facts.normalized(F.col("k"), F.col("raw"), F.col("unit")))) < 20_000
 
