@@ -83,3 +83,29 @@ def test_empty_frames(spark):
     empty = {k: spark.createDataFrame([], s) for k, s in SCHEMAS.items()}
     assert references.problems(**empty).count() == 0
     assert references.first_problems(references.problems(**empty)).count() == 0
+
+
+def test_answers_that_are_dealt_already_move_once(spark, frames):
+    """Things and edges meet without joins, and each frame is read once."""
+    dealt = {k: v.repartition(4, "answer") for k, v in frames.items()}
+    plan = references.problems(**dealt)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == len(frames)
+    dealt_by_name = references.problems(**frames)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in dealt_by_name and dealt_by_name.count("Exchange hashpartitioning(answer") == 2
+
+
+def test_names_that_are_null_or_said_twice(spark):
+    made = {
+        "documents": [(1, 1, None)],
+        "evidence": [(1, 1, "e1", None, OK), (1, 2, "e2", "d", OK)],
+        "facts": [(1, 1, "f", OK, ["e1"]), (1, 2, "f", OK, ["e2", None])],
+        "calculations": [(1, 1, None, ["f"])],
+        "claims": [(1, 1, "CALCULATION", None, ["f", "g", "g"], ["e1", None])],
+    }
+    got = sorted(map(str, references.problems(**{k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in made.items()}).drop("answer").collect()))
+    want = [
+        ("document", 1, None, "BLANK_ID"), ("fact", 2, "f", "REPEATED_ID"), ("evidence-document", 1, None, "UNKNOWN_DOCUMENT"), ("evidence-document", 2, "d", "UNKNOWN_DOCUMENT"),
+        ("fact-evidence", 2, None, "UNKNOWN_EVIDENCE"), ("claim-fact", 1, "g", "UNKNOWN_FACT"), ("claim-fact", 1, "g", "UNKNOWN_FACT"), ("claim-evidence", 1, None, "UNKNOWN_EVIDENCE"),
+        ("claim-proof", 1, "e2", "MISSING_PROOF"), ("claim-proof", 1, None, "MISSING_PROOF"), ("claim-calculation", 1, None, "NO_SINGLE_CALCULATION"),
+    ]
+    assert got == sorted(f"Row(check={c!r}, position={p}, id={i!r}, problem={x!r})" for c, p, i, x in want)
