@@ -14,12 +14,17 @@ empty one; one that can't be expanded is a problem. Chunks without a letter or d
 
 from __future__ import annotations
 
+import itertools
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone import shared
 from lodestone.functions import text as T
 from lodestone.operators import tables
 from lodestone.operators.chunking import TABLE_SIZES, TEXT_SIZES, Sizes, split_text
@@ -31,6 +36,8 @@ CONTEXT_PREFIX = "상위 셀 문맥: "
 MOST_CONTEXT, CUT = 500, "…"
 
 _BLOCK = ["doc_id", "sequence_no"]
+#: One step of a nested grid's path: a row and a cell of the grid around it.
+_STEP = re.compile(r"rows\[(\d+)\]\.cells\[(\d+)\]\.nestedTables\[\d+\]\.")
 
 
 def problems(sections: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -151,49 +158,31 @@ def text_drafts(ordered: DataFrame, sizes: Sizes = TEXT_SIZES) -> DataFrame:
                       first["sequence_no"].alias("first_block"), F.element_at("p", -1)["sequence_no"].alias("last_block"))
 
 
-def _path_order(path: Column) -> Column:
-    """The numbers of a path, so that a table comes before those inside it and these in the order of their cells."""
-    return F.transform(F.regexp_extract_all(path, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))
-
-
-def table_parts(cells: DataFrame, sizes: Sizes = TABLE_SIZES) -> DataFrame:
-    """table_id, path, chunk, body, first_row, last_row, header_rows of each grid's chunks.
+def grid_chunks(rows: list[tuple[int, bool, str]], sizes: Sizes = TABLE_SIZES) -> list[tuple[str, int, int]]:
+    """(body, first row, last row) of a grid's chunks, from its rows that aren't blank: (row, of headers alone, text).
 
     Rows of headers alone at a grid's start are repeated in each chunk, unless the grid has no others or they leave no room.
     """
-    keys = ["table_id", "path"]
-    rows = tables.row_texts(cells.withColumn("text", T.paragraph(F.col("text"))))
-    by_grid = Window.partitionBy(*keys)
-    rows = rows.withColumn("lead", ~F.max(~F.col("header_only")).over(by_grid.orderBy("row_index").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumns({"head": F.sum(F.when(F.col("lead"), F.length("text") + 1)).over(by_grid), "only": F.min("lead").over(by_grid)})
-    rows = rows.withColumn("lead", F.col("lead") & ~F.col("only") & (F.col("head") < sizes.absolute))
-    leads = F.sort_array(F.collect_list(F.struct("row_index", "text")))
-    heads = rows.where("lead").groupBy(*keys).agg(F.array_join(F.transform(leads, lambda x: x["text"]), "\n").alias("header"), F.count("*").alias("header_rows"))
-    body = rows.where("not lead").withColumn("room", F.when((F.col("head") < sizes.absolute) & ~F.col("only"), F.col("head")).otherwise(0).cast("int"))
-
-    def packing():
-        length, chunk = 0, 0
-
-        def add(row):
-            nonlocal length, chunk
-            size = len(row.text)
-            if length and (row.room + size > sizes.absolute or not _taken(row.room + length, 1 + size, sizes)):
-                length, chunk = 0, chunk + 1
-            if row.room + size > sizes.absolute:
-                room = sizes.absolute - row.room
-                own = split_text(row.text, min(max(1, sizes.most - row.room), room), room)
-                chunk += len(own)
-                return [(chunk - len(own) + k, piece) for k, piece in enumerate(own)]
-            length += size + (length > 0)
-            return [(chunk, row.text)]
-
-        return add
-
-    packed = _folded(body.select(*keys, "row_index", "text", "room"), keys, ["row_index"], packing, "chunk int, piece string")
-    lines = F.sort_array(F.collect_list(F.struct("row_index", "piece")))
-    out = packed.groupBy(*keys, "chunk").agg(lines.alias("p")).join(heads, keys, "left")
-    text = F.array_join(F.concat(F.when(F.col("header").isNotNull(), F.array("header")).otherwise(F.array().cast("array<string>")), F.transform("p", lambda x: x["piece"])), "\n")
-    return out.select(*keys, "chunk", text.alias("body"), F.col("p")[0]["row_index"].alias("first_row"), F.element_at("p", -1)["row_index"].alias("last_row"), F.coalesce("header_rows", F.lit(0)).alias("header_rows"))
+    lead = next((k for k, (_, header_only, _) in enumerate(rows) if not header_only), 0)
+    room = sum(len(text) + 1 for _, _, text in rows[:lead])
+    if room >= sizes.absolute:
+        lead = room = 0
+    header = [text for _, _, text in rows[:lead]]
+    out: list[tuple[list[str], int, int]] = []
+    length, joins = 0, False  # of the last chunk without its header, and whether it may take more
+    for row, _, text in rows[lead:]:
+        size = len(text)
+        if room + size > sizes.absolute:
+            left = sizes.absolute - room
+            out += [([piece], row, row) for piece in split_text(text, min(max(1, sizes.most - room), left), left)]
+            length, joins = 0, False
+        elif joins and _taken(room + length, 1 + size, sizes):
+            out[-1] = ([*out[-1][0], text], out[-1][1], row)
+            length += size + 1
+        else:
+            out.append(([text], row, row))
+            length, joins = size, True
+    return [("\n".join([*header, *texts]), first, last) for texts, first, last in out]
 
 
 def nearest(text: str, most: int) -> str:
@@ -258,12 +247,93 @@ def contexts(cells: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "table_id long, path string, context string")
 
 
+def contexts_of(rows: list[tuple]) -> dict[str, str]:
+    """What ``contexts`` tells of the nested grids of one table, from its expanded rows."""
+    sides = {path: (before, after) for path, row, _, before, after in rows if row == 0}
+    cells = {(path, row): own for path, row, own, _, _ in rows}
+    out = {}
+    for path in sides:
+        chain, outer = [], ""
+        for step in _STEP.finditer(path):
+            inner, cell = path[: step.end()], int(step[2])
+            chain.append(direct_context(*sides.get(inner, (None, None)), next((c[0] for c in cells.get((outer, int(step[1])), ()) if c[4] == cell), None)))
+            outer = inner
+        if chain:
+            out[path] = with_ancestors(chain)
+    return out
+
+
+def _with_context(keys: pa.Array, rows: list[tuple], more: list[tuple]) -> pa.RecordBatch:
+    """rows as in ``tables``, with the number of their table and the context of their grid."""
+    made, (number, context) = tables.row_batch(keys, rows), zip(*more, strict=True)
+    columns = [made.column("table_id"), pa.array(number, pa.int64()), *(made.column(c) for c in ("path", "row_index", "cells")), pa.array(context, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["table_id", "number", "path", "row_index", "cells", "context"])
+
+
+_DRAFT = (("path", pa.string()), ("part", pa.int32()), ("body", pa.string()), ("context", pa.string()), ("first_row", pa.int32()), ("last_row", pa.int32()))
+
+
+def _draft_batch(drafts: list[tuple]) -> pa.RecordBatch:
+    keys, *columns = zip(*drafts, strict=True)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), *(pa.array(x, kind) for x, (_, kind) in zip(columns, _DRAFT, strict=True))], names=["table_id", *(name for name, _ in _DRAFT)])
+
+
 def table_drafts(blocks: DataFrame, sizes: Sizes = TABLE_SIZES) -> DataFrame:
-    """table_id, path, part (from 0, in the order of the table's grids), body, context, first_row, last_row from (table_id, table_json)."""
-    cells = tables.grid(blocks)
-    order = Window.partitionBy("table_id").orderBy(_path_order(F.col("path")), "chunk")
-    parts = table_parts(cells, sizes).withColumn("part", F.row_number().over(order) - 1)
-    return parts.join(contexts(cells), ["table_id", "path"], "left").select("table_id", "path", "part", "body", "context", "first_row", "last_row")
+    """table_id, path, part (from 0, in the order of the table's grids), body, context, first_row, last_row from (table_id, table_json).
+
+    table_id is of any type, a struct too. A table's rows stay in the task that expands it, in their order, so nothing is dealt or
+    sorted; a task holds one grid. A table that can't be expanded has no drafts.
+    """
+    kind = blocks.schema["table_id"].dataType.simpleString()
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
+        for batch in batches:
+            rows, more, held = [], [], 0
+            for at, source in enumerate(batch.column(1).to_pylist()):
+                try:
+                    own = tables.expanded_rows(json.loads(source or "{}"))
+                except (ValueError, TypeError, AttributeError):
+                    continue
+                around, number = contexts_of(own), number + 1
+                rows += [(at, *row, None) for row in own]
+                more += [(number, around.get(row[0])) for row in own]
+                held += sum(len(row[2]) for row in own)
+                if held >= tables.CELLS:
+                    yield _with_context(batch.column(0), rows, more)
+                    rows, more, held = [], [], 0
+            if rows:
+                yield _with_context(batch.column(0), rows, more)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def all_rows():
+            for batch in batches:
+                keys, names = batch.column(0), [c.to_pylist() for c in batch.columns[1:]]
+                for k, row in enumerate(zip(*names, strict=True)):
+                    yield keys, k, row
+
+        out, table, part = [], None, 0
+        for (number, path, context), rows in itertools.groupby(all_rows(), lambda x: x[2][:3]):
+            if number != table:
+                table, part = number, 0
+            keys, at, row = next(rows)
+            key, own = keys.slice(at, 1), [row[3:], *(row[3:] for _, _, row in rows)]
+            for body, start, end in grid_chunks(own, sizes):
+                out.append((key, path, part, body, context, start, end))
+                part += 1
+            if len(out) >= 500:
+                yield _draft_batch(out)
+                out = []
+        if out:
+            yield _draft_batch(out)
+
+    schema = f"table_id {kind}, number long, path string, row_index int, cells array<struct<text: string, is_origin: boolean, is_header: boolean, continues: boolean, cell_index: int>>, context string"
+    rows = blocks.select("table_id", "table_json").mapInArrow(expand, schema)
+    cells = F.transform("cells", lambda x: F.struct(T.paragraph(x["text"]).alias("text"), (x["is_origin"] | x["continues"]).alias("shown"), x["is_header"].alias("header")))
+    rows = rows.withColumn("cells", cells)
+    text = T.row_text(F.transform("cells", lambda x: F.when(x["shown"], x["text"]).otherwise("")))
+    rows = rows.select("table_id", "number", "path", "context", "row_index", F.forall("cells", lambda x: x["header"] | (x["text"] == "")).alias("header_only"), text.alias("text"))
+    return rows.where("text <> ''").mapInArrow(pack, f"table_id {kind}, path string, part int, body string, context string, first_row int, last_row int")
 
 
 def chunks(sections: DataFrame, blocks: DataFrame, text_sizes: Sizes = TEXT_SIZES, table_sizes: Sizes = TABLE_SIZES) -> DataFrame:
@@ -272,14 +342,16 @@ def chunks(sections: DataFrame, blocks: DataFrame, text_sizes: Sizes = TEXT_SIZE
     sections have doc_id, section_id, sequence_no and section_path; blocks doc_id, sequence_no, section_id, block_type, text and
     table_id with table_json for tables. first and last are block numbers of text, and rows of the grid of a table.
     """
-    bad = problems(sections, blocks).select("doc_id").distinct()
+    bad = shared.staged(problems(sections, blocks).select("doc_id").distinct(), "filing-problems")
     sections, blocks = (x.join(bad, "doc_id", "left_anti") for x in (sections, blocks))
-    ordered = reading_order(sections, blocks)
+    # five things are made of the blocks in order, so they are written once
+    blocks = blocks.withColumn("table_json", F.when(F.col("block_type") == "TABLE", F.col("table_json")))
+    ordered = shared.staged(reading_order(sections, blocks).drop("text"), "filing-order")
     text = text_drafts(ordered, text_sizes).withColumns({"chunk_type": F.lit("TEXT"), "path": F.lit(None).cast("string"), "context": F.lit(None).cast("string")})
     text = text.withColumnsRenamed({"first_block": "first", "last_block": "last"})
-    placed = ordered.where("block_type = 'TABLE'").select("doc_id", "segment", "epoch", "section_id", F.col("sequence_no").alias("anchor"), "table_id")
-    drafts = table_drafts(blocks.where("block_type = 'TABLE'").select("table_id", "table_json"), table_sizes)
-    table = placed.join(drafts, "table_id").drop("table_id").withColumn("chunk_type", F.lit("TABLE")).withColumnsRenamed({"first_row": "first", "last_row": "last"})
+    place = F.struct("doc_id", "segment", "epoch", "section_id", F.col("sequence_no").alias("anchor"))
+    drafts = table_drafts(ordered.where("block_type = 'TABLE' and table_id is not null").select(place.alias("table_id"), "table_json"), table_sizes)
+    table = drafts.select("table_id.*", *drafts.columns[1:]).withColumn("chunk_type", F.lit("TABLE")).withColumnsRenamed({"first_row": "first", "last_row": "last"})
 
     out = text.unionByName(table).where(F.col("body").rlike(r"[\p{L}\p{N}]"))
     out = out.join(_headings(ordered), ["doc_id", "segment", "epoch"], "left")

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import shared
 from lodestone.operators import assembly, chunking, tables
 from lodestone.operators.chunking import Sizes
 
@@ -229,3 +230,28 @@ def test_reading_order_numbers(spark):
     blocks = [(1, k, "a" if k < 6 else "b", kind, "text", None, None) for k, kind in zip((2, 3, 4, 5, 7, 8, 9), kinds, strict=True)]
     rows = assembly.reading_order(*frames(spark, sections, blocks)).orderBy("sequence_no").select("sequence_no", F.dense_rank().over(assembly.Window.orderBy("segment")).alias("s"), "epoch", "run").collect()
     assert [tuple(r) for r in rows] == [(2, 1, 1, 1), (3, 1, 1, 1), (4, 1, 2, 2), (5, 1, 2, 3), (7, 2, 0, 1), (8, 2, 1, 2), (9, 2, 1, 2)]
+
+
+def test_drafts_of_tables_move_nothing(spark):
+    """A table is expanded once, where it is, and its context is that of the cells; keys are of any type."""
+    inner = grid(["in"])
+    table = grid([cell("k", "HEADER"), cell("v", "HEADER")], ["1", cell("a cell\nof two lines", nested=[grid([cell("mid", nested=[inner])]), grid([])])], [cell(""), cell("x" * 200, nested=[inner])])
+    rows = [(k, json.dumps(table) if k % 3 else (None, "no json")[k % 2]) for k in range(40)]
+    made = spark.createDataFrame(rows, "k long, table_json string").repartition(3)
+    drafts = assembly.table_drafts(made.select(F.struct("k", F.lit("a").alias("b")).alias("table_id"), "table_json"), TABLE)
+    assert "Exchange hashpartitioning" not in drafts._jdf.queryExecution().executedPlan().toString()
+    told = {(r.table_id, r.path): r.context for r in assembly.contexts(tables.grid(made.withColumnRenamed("k", "table_id"))).collect()}
+    got: dict[int, list] = {}
+    for r in drafts.collect():
+        assert r.table_id.b == "a" and r.context == told.get((r.table_id.k, r.path))
+        got.setdefault(r.table_id.k, []).append((r.part, path_numbers(r.path), r.body, r.first_row, r.last_row))
+    want = [(k, path, body, first, last) for k, (path, body, first, last) in enumerate(packed_table(table, TABLE))]
+    assert set(got) == {k for k in range(40) if k % 3} and all(sorted(x) == want for x in got.values())
+
+
+def test_blocks_are_put_in_order_once(spark, monkeypatch):
+    staged, names = shared.staged, []
+    monkeypatch.setattr(shared, "staged", lambda df, name: names.append(name) or staged(df, name))
+    s, b = made(random.Random(2), 1)
+    plan = assembly.chunks(*frames(spark, s, b), TEXT, TABLE)._jdf.queryExecution().executedPlan().toString()
+    assert names == ["filing-problems", "filing-order"] and "starts" not in plan
